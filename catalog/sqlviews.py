@@ -160,6 +160,22 @@ VIEWS["d_request_state"] = (("d_failure",), """
 """)
 
 
+VIEWS["d_entry"] = ((), f"""
+  SELECT concat(CAST(1755000000000 + CASE WHEN k % 20 = 19 THEN k - 1 ELSE k END AS VARCHAR), '-0') AS entry_id,
+    CASE WHEN k % 17 = 0 THEN 'COMPENSATE' ELSE 'ISSUE' END AS "type",
+    CASE WHEN k % 31 = 1 THEN 'not-a-uuid' WHEN k % 20 = 19 THEN {_uuid('req:', '(k - 1)')} ELSE {_uuid('req:', 'k')} END AS "requestId",
+    CASE WHEN k % 31 = 2 THEN 'abc' WHEN k % 17 = 0 THEN NULL WHEN k % 20 = 19 THEN CAST((k - 1) % 25 + 1 AS VARCHAR)
+         ELSE CAST(k % 25 + 1 AS VARCHAR) END AS "campaignId",
+    CASE WHEN k % 31 = 3 THEN '-4' ELSE CAST(u AS VARCHAR) END AS "userId",
+    CAST((u - 1) // 8388608 AS VARCHAR) AS "bitmapSegmentId",
+    CASE WHEN k % 31 = 4 THEN '-1' ELSE CAST((u - 1) % 8388608 AS VARCHAR) END AS "bitOffset",
+    CASE WHEN k % 31 = 5 THEN '0' WHEN k % 20 = 19 THEN CAST((k - 1) // 25 + 1 AS VARCHAR) ELSE CAST(k // 25 + 1 AS VARCHAR) END AS "issueSequence",
+    CASE WHEN k % 31 = 6 THEN ' ' ELSE CAST(1755000000000 + k * 7 AS VARCHAR) END AS "decidedAt"
+  FROM (SELECT o_orderkey AS k, o_custkey + 1 AS u FROM orders
+        UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 20 = 18)
+""")
+
+
 def with_views(body: str, *names: str) -> str:
     """``body`` preceded by the views it names and those they read."""
     order: list[str] = []

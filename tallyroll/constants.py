@@ -36,9 +36,9 @@ RECORD_VERSION = "v2"
 # Decision code -> request status shown to the user.
 REQUEST_STATUS_BY_CODE = {
     DECISION_SOLD_OUT: "REJECTED_SOLD_OUT",
-    DECISION_ALREADY_ISSUED: "REJECTED_ALREADY_ISSUED",
-    DECISION_NOT_OPEN: "REJECTED_EVENT_NOT_OPEN",
-    DECISION_CLOSED: "REJECTED_EVENT_CLOSED",
+    DECISION_ALREADY_ISSUED: "REJECTED_DUPLICATE",
+    DECISION_NOT_OPEN: "REJECTED_NOT_OPEN",
+    DECISION_CLOSED: "REJECTED_CLOSED",
 }
 
 # Identifier formats and bitmap geometry.

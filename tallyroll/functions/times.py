@@ -62,3 +62,8 @@ def local_to_offset_text(local: Column, zone: str = "Asia/Seoul") -> Column:
         F.lit(":"),
         F.lpad((size % 60).cast("string"), 2, "0"),
     )
+
+
+def convert_local(utc: Column, zone: str = "Asia/Seoul") -> Column:
+    """Zone-free UTC time as wall-clock time in ``zone``."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)

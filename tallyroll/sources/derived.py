@@ -290,11 +290,12 @@ def request_state(requests_like: DataFrame) -> DataFrame:
 
 
 def stream_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw issue-stream entries from ``orders``, text only, with malformed ones and redeliveries."""
+    """Raw issue-stream entries from ``orders``, text only, with malformed ones, redeliveries and id clashes."""
     key = F.col("o_orderkey")
     s = lambda c: c.cast("string")
     user_id = F.col("o_custkey") + 1
-    return _table(spark, sf_dir, "orders").select(
+    at_least_once = F.explode(F.sequence(F.lit(1), F.when(key % 20 == 18, 2).otherwise(1)))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", at_least_once.alias("delivery")).select(
         F.concat(s(F.lit(1755000000000) + F.when(key % 20 == 19, key - 1).otherwise(key)), F.lit("-0")).alias("entry_id"),
         F.when(key % 17 == 0, "COMPENSATE").otherwise("ISSUE").alias("type"),
         F.when(key % 31 == 1, F.lit("not-a-uuid")).when(key % 20 == 19, request_uuid(key - 1))
