@@ -102,7 +102,9 @@ def allocate(
         F.when(c("gate").isNotNull(), c("gate")).when(c("won_at") == c("arrival_no"), DECISION_ACCEPTED)
         .when(served, DECISION_ALREADY_ISSUED).otherwise(DECISION_SOLD_OUT).cast("int"),
     )
-    answers = _with_remaining(decided, winners, segment_rows)
+    segment = number_segment(c("arrival_no"), segment_rows)
+    segments = firsts.select("campaign_id", segment.alias("segment")).distinct()
+    answers = _with_remaining(decided.withColumn("segment", segment), segments, winners, segment_rows)
 
     answer = F.struct("arrival_no", "user_id", "code", "issue_sequence", "remaining", "decided_at")
     answers = answers.select(*facts, answer.alias("a"))
@@ -132,45 +134,34 @@ def allocate(
     )
 
 
-def _with_remaining(decided: DataFrame, winners: DataFrame, segment_rows: int) -> DataFrame:
+def _with_remaining(decided: DataFrame, segments: DataFrame, winners: DataFrame, segment_rows: int) -> DataFrame:
     """Sequence, and the stock each first request left or met.
 
-    A sold-out request met none; an accepted one knows its place; the others count the
-    places taken before them: whole earlier segments by a carried total, their own segment by a running sum.
+    Places taken before a request are whole earlier segments, by a carried total, plus a
+    running sum inside its own segment. Only one small row per segment is carried.
     """
     c = F.col
-    accepted, sold_out = c("code") == DECISION_ACCEPTED, c("code") == DECISION_SOLD_OUT
-    gone = c("code").isin(DECISION_NOT_INITIALIZED, DECISION_CORRUPTED_STATE)
-    decided = decided.withColumn("decided_at", c("arrived_at"))
-    columns = ["campaign_id", "request_id", "arrival_no", "user_id", "code", "issue_sequence", "remaining", "decided_at"]
-    no_number = F.lit(None).cast("long")
-    simple = decided.filter(accepted | sold_out | gone).withColumn(
-        "issue_sequence", F.when(accepted, c("base_sequence") + c("place")).otherwise(no_number)
-    ).withColumn(
-        "remaining", F.when(accepted, c("stock") - c("place")).when(sold_out, F.lit(0).cast("long")).otherwise(no_number)
-    ).select(columns)
-
-    segment = number_segment(c("arrival_no"), segment_rows)
-    met = decided.filter(~(accepted | sold_out | gone)).select(
-        "campaign_id", "request_id", "arrival_no", "user_id", "code", "decided_at", "stock", F.lit(0).alias("taken"),
-    )
-    taken = winners.select(
-        "campaign_id", F.lit(None).cast("string").alias("request_id"), c("won_at").alias("arrival_no"), "user_id",
-        F.lit(None).cast("int").alias("code"), F.lit(None).cast("timestamp_ntz").alias("decided_at"), no_number.alias("stock"),
-        F.lit(1).alias("taken"),
-    )
-    line = met.unionByName(taken).withColumn("segment", segment)
     before = Window.partitionBy("campaign_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        line.groupBy("campaign_id", "segment").agg(F.sum("taken").alias("n"))
-        .select("campaign_id", "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carry"))
+    taken = (
+        winners.withColumn("segment", number_segment(c("won_at"), segment_rows))
+        .groupBy("campaign_id", "segment").agg(F.count(F.lit(1)).alias("n"))
+    )
+    carried = segments.join(taken, ["campaign_id", "segment"], "left").select(
+        "campaign_id", "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carry")
     )
+    accepted = c("code") == DECISION_ACCEPTED
+    gone = c("code").isin(DECISION_NOT_INITIALIZED, DECISION_CORRUPTED_STATE)
     inside = Window.partitionBy("campaign_id", "segment").orderBy("arrival_no").rowsBetween(Window.unboundedPreceding, 0)
-    counted = line.join(carried, ["campaign_id", "segment"]).withColumn(
-        "remaining", c("stock") - c("carry") - F.sum("taken").over(inside)
+    return (
+        decided.join(carried, ["campaign_id", "segment"])
+        .withColumn("inside", F.count(F.when(accepted, 1)).over(inside))
+        .select(
+            "campaign_id", "request_id", "arrival_no", "user_id", "code",
+            F.when(accepted, c("base_sequence") + c("place")).alias("issue_sequence"),
+            F.when(~gone, c("stock") - c("carry") - c("inside")).alias("remaining"),
+            c("arrived_at").alias("decided_at"),
+        )
     )
-    others = counted.filter(c("code").isNotNull()).withColumn("issue_sequence", no_number).select(columns)
-    return simple.unionByName(others)
 
 
 def allocate_plain(requests: DataFrame, campaigns: DataFrame) -> DataFrame:
