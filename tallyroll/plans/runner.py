@@ -96,7 +96,7 @@ def as_violations(df: DataFrame, check: Check) -> DataFrame:
 
 
 def _require_event(tables: Tables, scope: Scope) -> None:
-    if scope.kind == EVENT and tables.event.filter(F.col("event_id") == scope.event_id).isEmpty():
+    if scope.kind == EVENT and scope.event_set is None and tables.event.filter(F.col("event_id") == scope.event_id).isEmpty():
         raise ValueError(f"campaign {scope.event_id} does not exist")
 
 
@@ -206,6 +206,16 @@ def run_and_store(
     return results, violations
 
 
+def recheck(tables: Tables, name: str, events: DataFrame, params: dict | None = None) -> DataFrame:
+    """Does each campaign pass the rule now? Runs the EVENT rule over all of them at once."""
+    check = CHECKS[name]
+    if EVENT not in check.scopes:
+        raise ValueError(f"check {name!r} has no EVENT scope")
+    wanted = events.select("event_id").distinct()
+    bad = check.fn(tables, Scope.events(wanted), **(params or {})).select("event_id").distinct().withColumn("_bad", F.lit(True))
+    return wanted.join(bad, "event_id", "left").select("event_id", F.col("_bad").isNull().alias("passed"))
+
+
 def link_violations(violations: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Attach violations to their result by (run_id, check_name).
 

@@ -33,6 +33,11 @@ class Scope:
             raise ValueError("an EVENT scope needs an event id")
         return Scope(EVENT, event_id=event_id)
 
+    @staticmethod
+    def events(event_set: DataFrame) -> "Scope":
+        """The EVENT rules over every campaign of a frame, in one pass."""
+        return Scope(EVENT, event_set=event_set)
+
     @staticmethod
     def range(start: datetime, end: datetime) -> "Scope":
         if start is None or end is None or not start < end:
@@ -50,11 +55,11 @@ class Scope:
         return (column >= ts(self.start)) & (column < ts(self.end))
 
     def keep_events(self, df: DataFrame) -> DataFrame:
-        """Rows of the scope's campaigns; an ALL scope without a set keeps all."""
-        if self.kind == EVENT:
-            return df.filter(F.col("event_id") == self.event_id)
+        """Rows of the scope's campaigns; a scope without any keeps all."""
         if self.event_set is not None:
             return df.join(self.event_set.select("event_id").distinct(), "event_id", "left_semi")
+        if self.kind == EVENT:
+            return df.filter(F.col("event_id") == self.event_id)
         return df
 
 
