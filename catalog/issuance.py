@@ -223,23 +223,23 @@ def persist_classify(spark, sf_dir):
 
 
 @query("persist_new_issues", with_views(f"""WITH {_PERSIST.strip()}
-    SELECT 1000000 + arrival_no AS issue_id, event_id, user_id, issue_sequence, request_id, message_id, 'ISSUED' AS status, decided_at AS issued_at,
+    SELECT event_id * 4294967296 + issue_sequence AS issue_id, event_id, user_id, issue_sequence, request_id, message_id, 'ISSUED' AS status, decided_at AS issued_at,
       decided_at AS valid_from, decided_at + INTERVAL 24 HOUR AS valid_to, TIMESTAMP '2024-02-10' AS created_at
     FROM a5 WHERE outcome = 'INSERT'""", "d_parsed", "d_issue"))
 def persist_new_issues(spark, sf_dir):
     t = derived.tables(spark, sf_dir)
     stored = t.issue.filter(F.col("issue_id") % 4 == 0)
-    return persistence.persist_issues(_arrivals(spark, sf_dir), stored, t.event, t.coupon, NOW, 1_000_000)[0].drop("used_at", "canceled_at")
+    return persistence.persist_issues(_arrivals(spark, sf_dir), stored, t.event, t.coupon, NOW)[0].drop("used_at", "canceled_at")
 
 
 @query("persist_new_history", with_views(f"""WITH {_PERSIST.strip()}
-    SELECT 1000000 + arrival_no AS issue_id, CAST(NULL AS VARCHAR) AS from_status, 'ISSUED' AS to_status, 'SYSTEM' AS actor, 'ISSUE_CONFIRMED' AS reason,
+    SELECT event_id * 4294967296 + issue_sequence AS issue_id, CAST(NULL AS VARCHAR) AS from_status, 'ISSUED' AS to_status, 'SYSTEM' AS actor, 'ISSUE_CONFIRMED' AS reason,
       decided_at AS occurred_at, TIMESTAMP '2024-02-10' AS recorded_at, request_id AS event_uid
     FROM a5 WHERE outcome = 'INSERT'""", "d_parsed", "d_issue"))
 def persist_new_history(spark, sf_dir):
     t = derived.tables(spark, sf_dir)
     stored = t.issue.filter(F.col("issue_id") % 4 == 0)
-    return persistence.persist_issues(_arrivals(spark, sf_dir), stored, t.event, t.coupon, NOW, 1_000_000)[1]
+    return persistence.persist_issues(_arrivals(spark, sf_dir), stored, t.event, t.coupon, NOW)[1]
 
 
 @query("issue_valid_to", with_views("""

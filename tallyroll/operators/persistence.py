@@ -14,6 +14,10 @@ from tallyroll.constants import (
 from tallyroll.functions.times import hours, ts
 
 
+# Sequences stay below this number, so ids of different campaigns never meet.
+ISSUE_ID_SPAN = 1 << 32
+
+
 def with_valid_to(entries: DataFrame, event: DataFrame, coupon: DataFrame) -> DataFrame:
     """End of validity: decision time plus the coupon's valid hours."""
     rules = event.select("event_id", "coupon_id").join(coupon.select("coupon_id", "valid_hours"), "coupon_id").drop("coupon_id")
@@ -67,18 +71,18 @@ def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
 
 
 def persist_issues(
-    entries: DataFrame, issue: DataFrame, event: DataFrame, coupon: DataFrame, now: datetime, first_id: int = 0
+    entries: DataFrame, issue: DataFrame, event: DataFrame, coupon: DataFrame, now: datetime
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New issue rows, their first history rows, and the classified entries.
 
-    Issue ids continue from ``first_id`` by arrival number, so ids are unique without
-    numbering all rows in one task.
+    A campaign gives out each sequence once, so campaign and sequence make up the issue id: unique,
+    the same on every retry, and without numbering all rows in one task.
     """
     judged = classify_entries(entries, issue)
     fresh = judged.filter(F.col("outcome") == "INSERT").withColumn("valid_from", F.col("decided_at"))
     fresh = with_valid_to(fresh, event, coupon)
     new_issue = fresh.select(
-        (F.lit(first_id) + F.col("arrival_no")).alias("issue_id"), "event_id", "user_id", "issue_sequence", "request_id",
+        (F.col("event_id") * F.lit(ISSUE_ID_SPAN) + F.col("issue_sequence")).alias("issue_id"), "event_id", "user_id", "issue_sequence", "request_id",
         "message_id", F.lit(ISSUED).alias("status"), F.col("decided_at").alias("issued_at"), "valid_from", "valid_to",
         F.lit(None).cast("timestamp_ntz").alias("used_at"), F.lit(None).cast("timestamp_ntz").alias("canceled_at"),
         ts(now).alias("created_at"),

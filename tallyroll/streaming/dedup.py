@@ -12,5 +12,5 @@ def drop_redelivered(entries: DataFrame, at: str = "decided_at", hours: int = RE
     """One row per message id; on a stream, repeats are remembered for the retention time."""
     if not entries.isStreaming:
         return entries.dropDuplicates(["message_id"])
-    clock = entries.withColumn("_clock", F.col(at).cast("timestamp")).withWatermark("_clock", f"{hours} hours")
+    clock = entries.withColumn("_clock", F.col(at).cast("timestamp_ltz")).withWatermark("_clock", f"{hours} hours")
     return clock.dropDuplicatesWithinWatermark(["message_id"]).drop("_clock")

@@ -19,7 +19,7 @@ def failure_windows(failed: DataFrame, width: str = "5 seconds", late: str = "10
     rows = failed.withColumn("reason", reason)
     if failed.isStreaming:
         # Watermarks need an instant; the session zone turns wall-clock time into one and back.
-        rows = rows.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+        rows = rows.withColumn("at", F.col("at").cast("timestamp_ltz")).withWatermark("at", late)
     return (
         rows.groupBy(F.window("at", width).alias("w"), "campaign_id", "reason").agg(F.count(F.lit(1)).alias("failures"))
         .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "campaign_id", "reason", "failures")
