@@ -15,8 +15,13 @@ PHONE = r"\b(0\d{1,2})[-.\s]?(\d{3,4})[-.\s]?(\d{4})\b"
 PHONE_MASK = "$1-****-$3"
 
 
+# The same language as EMAIL; no step back can help before the "@", so none is tried.
+_EMAIL_ONE_WAY = EMAIL.replace("{1,3})", "{1,3}+)").replace("*(@", "*+(@")
+
+
 def mask_email(text: Column) -> Column:
-    return F.regexp_replace(text, EMAIL, EMAIL_MASK)
+    """Text without an "@" holds no address and is passed through."""
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, _EMAIL_ONE_WAY, EMAIL_MASK)).otherwise(text)
 
 
 def mask_phone(text: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tallyroll.constants import (
     DECISION_PERSISTENCE_FAILED, ISSUED, MAX_DELIVERY_ATTEMPTS, PENDING, REASON_ISSUE_CONFIRMED, RETENTION_HOURS,
 )
 from tallyroll.functions.times import hours, ts
+from tallyroll.plans.staging import cut
 
 
 # Sequences stay below this number, so ids of different campaigns never meet.
@@ -26,17 +29,48 @@ def with_valid_to(entries: DataFrame, event: DataFrame, coupon: DataFrame) -> Da
     ).drop("valid_hours")
 
 
-def _twin(columns: list[str], rows: DataFrame, flag: str) -> DataFrame:
-    """Distinct stored key values with a marker column."""
-    return rows.dropna(subset=columns).select(*columns).distinct().withColumn(flag, F.lit(True))
+UNIQUE_KEYS = (("event_id", "user_id"), ("event_id", "issue_sequence"), ("message_id",))
+
+
+def _key_rows(rows: DataFrame, *extra: str) -> DataFrame:
+    """One row per unique key a row holds; keys with a missing part hold nothing."""
+    keys = [
+        F.when(
+            reduce(and_, [F.col(c).isNotNull() for c in columns]),
+            F.concat_ws(":", F.lit(str(i)), *[F.col(c).cast("string") for c in columns]),
+        )
+        for i, columns in enumerate(UNIQUE_KEYS)
+    ]
+    return rows.select(*extra, F.explode(F.array_compact(F.array(*keys))).alias("key"))
+
+
+def _greedy_winners(contested: DataFrame) -> DataFrame:
+    """Entries stored when contested ones are tried one by one in arrival order.
+
+    An entry that is first on all its keys is stored; whoever shares a key with it is not. The rest is looked at again, so an
+    entry blocked by a loser only is still stored. Rounds end when nothing is left; only
+    contested entries take part.
+    """
+    left = cut(contested)
+    winners = left.filter(F.lit(False))
+    while not left.isEmpty():
+        keys = _key_rows(left, "arrival_no")
+        first = keys.groupBy("key").agg(F.min("arrival_no").alias("first"))
+        judged = keys.join(first, "key").groupBy("arrival_no").agg(F.bool_and(F.col("arrival_no") == F.col("first")).alias("wins"))
+        won = cut(left.join(judged.filter("wins"), "arrival_no", "left_semi"))
+        winners = winners.unionByName(won)
+        taken = _key_rows(won).distinct()
+        lost = keys.join(taken, "key", "left_semi").select("arrival_no").distinct()
+        left = cut(left.join(lost, "arrival_no", "left_anti"))
+    return winners
 
 
 def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
     """Outcome of storing each entry: INSERT, ABSORBED (same request again) or CONFLICT.
 
     ``entries``: request_id, event_id, user_id, issue_sequence, message_id, arrival_no and
-    whatever else is stored. Entries compete in arrival order with stored rows and with
-    each other on every unique key.
+    whatever else is stored. The outcome is that of trying entries in arrival order against the
+    stored rows and the rows stored before them, on every unique key.
     """
     c = F.col
     identity = F.struct("event_id", "user_id", "issue_sequence")
@@ -44,30 +78,31 @@ def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
     first = entries.groupBy("request_id").agg(
         F.min(F.struct("arrival_no", identity.alias("identity"))).alias("first")
     )
-    out = entries.join(first, "request_id").join(stored, "request_id", "left")
     known = F.coalesce(c("stored"), c("first.identity"))
     is_first = c("stored").isNull() & (c("arrival_no") == c("first.arrival_no"))
-    out = out.withColumn(
-        "outcome",
-        F.when(is_first, "INSERT").when(known == identity, "ABSORBED").otherwise("CONFLICT"),
-    ).drop("first", "stored")
-
-    # Other unique keys: a new request must not take a pair that is stored or that an earlier entry takes.
-    for keys in (["event_id", "user_id"], ["event_id", "issue_sequence"], ["message_id"]):
-        taken = _twin(keys, issue, "_taken")
-        winner = (
-            out.filter(c("outcome") == "INSERT").dropna(subset=keys).groupBy(*keys)
-            .agg(F.min("arrival_no").alias("_winner"))
-        )
-        out = (
-            out.join(taken, keys, "left").join(winner, keys, "left")
-            .withColumn(
-                "outcome",
-                F.when((c("outcome") == "INSERT") & (c("_taken") | (c("arrival_no") > c("_winner"))), "CONFLICT")
-                .otherwise(c("outcome")),
-            ).drop("_taken", "_winner")
-        )
-    return out
+    out = cut(
+        entries.join(first, "request_id").join(stored, "request_id", "left")
+        .withColumn("outcome", F.when(is_first, "INSERT").when(known == identity, "ABSORBED").otherwise("CONFLICT"))
+        .withColumn("_leans", c("stored").isNull() & (c("outcome") == "ABSORBED"))
+        .drop("first", "stored")
+    )
+    fresh = out.filter(c("outcome") == "INSERT")
+    keys = _key_rows(fresh, "arrival_no")
+    blocked = keys.join(_key_rows(issue), "key", "left_semi").select("arrival_no").distinct()
+    free = _key_rows(fresh.join(blocked, "arrival_no", "left_anti"), "arrival_no")
+    shared = free.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    contested = fresh.join(free.join(shared, "key", "left_semi").select("arrival_no").distinct(), "arrival_no", "left_semi").select(
+        "arrival_no", "event_id", "user_id", "issue_sequence", "message_id"
+    )
+    contested = cut(contested)
+    lost = contested.join(_greedy_winners(contested), "arrival_no", "left_anti").select("arrival_no")
+    refused = blocked.unionByName(lost)
+    # A refused first entry takes the repeats that lean on it along.
+    refused = out.join(refused, "arrival_no", "left_semi").select("request_id").distinct().withColumn("_refused", F.lit(True))
+    falls = (c("outcome") == "INSERT") | c("_leans")
+    return out.join(refused, "request_id", "left").withColumn(
+        "outcome", F.when(falls & c("_refused"), "CONFLICT").otherwise(c("outcome"))
+    ).drop("_refused", "_leans")
 
 
 def persist_issues(

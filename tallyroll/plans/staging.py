@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError(f"set {SETTING} to a folder all executors can reach")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The frame written to reliable shared storage, its lineage cut there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder of its own for one run."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

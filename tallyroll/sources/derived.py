@@ -21,10 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _hash_uuid(prefix: str, key):
     h = F.md5(F.concat(F.lit(prefix), key.cast("string")))
-    return F.concat_ws(
-        "-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
-        F.substring(h, 17, 4), F.substring(h, 21, 12),
-    )
+    return F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
 
 
 def request_uuid(key):
