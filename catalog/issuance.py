@@ -178,24 +178,24 @@ def stream_dedup(spark, sf_dir):
 
 
 def _arrivals(spark, sf_dir):
-    """Good entries with an arrival number taken from the entry id; a redelivery arrives later."""
+    """Good entries, one per entry id and user, with an arrival number taken from the entry id.
+
+    Two users under one entry id arrive one after the other.
+    """
     good, _ = parse_issue_entries(derived.stream_entry(spark, sf_dir))
+    keys = ["entry_id", "user_id"]
+    rest = [c for c in good.columns if c not in ("decided_at", *keys)]
+    once = good.groupBy(*keys).agg(F.min(F.struct("decided_at", *rest)).alias("e")).select(*keys, "e.*")
+    lowest = once.groupBy("entry_id").agg(F.min("user_id").alias("lowest"))
     n = F.split(F.col("entry_id"), "-")[0].cast("long") - F.lit(1755000000000)
-    first = F.min("user_id").over(_by_entry())
-    return good.select("*", (n * 3).alias("slot")).dropDuplicates(["entry_id", "user_id"]).withColumn(
-        "arrival_no", F.col("slot") + F.when(F.col("user_id") == first, 0).otherwise(1)).drop("slot")
-
-
-def _by_entry():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("entry_id")
+    later = F.when(F.col("user_id") == F.col("lowest"), 0).otherwise(1)
+    return once.join(lowest, "entry_id").withColumn("arrival_no", n * 3 + later).drop("lowest")
 
 
 _ARRIVALS = """
   arr AS (SELECT *, CAST(split_part(entry_id, '-', 1) AS BIGINT) - 1755000000000 AS n,
-      min(user_id) OVER (PARTITION BY entry_id) AS fu FROM (SELECT DISTINCT * FROM d_parsed)),
-  arrivals AS (SELECT * EXCLUDE (n, fu), n * 3 + CASE WHEN user_id = fu THEN 0 ELSE 1 END AS arrival_no FROM arr)"""
+      min(user_id) OVER (PARTITION BY entry_id) AS fu FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, user_id ORDER BY decided_at) AS k FROM d_parsed) WHERE k = 1),
+  arrivals AS (SELECT * EXCLUDE (n, fu, k), n * 3 + CASE WHEN user_id = fu THEN 0 ELSE 1 END AS arrival_no FROM arr)"""
 
 # Stored already: every issue whose id is a multiple of four.
 _PERSIST = f"""{_ARRIVALS},
