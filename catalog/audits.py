@@ -163,15 +163,16 @@ WITH v AS (SELECT h.history_id, h.issue_id, h.from_status, h.to_status, h.occurr
 SELECT history_id, issue_id, from_status, to_status, occurred_at, recorded_at, violation_type, event_id
 FROM v WHERE violation_type IS NOT NULL
 """
+_HISTORY_STRUCTURE_BARE = _HISTORY_STRUCTURE.replace("violation_type, event_id\nFROM v", "violation_type, CAST(NULL AS BIGINT) AS event_id\nFROM v")
 
 
-@query("check_history_structure_all", with_views(_HISTORY_STRUCTURE, "d_history"))
+@query("check_history_structure_all", with_views(_HISTORY_STRUCTURE_BARE, "d_history"))
 def check_history_structure_all(spark, sf_dir):
     return checks.history_structure(derived.tables(spark, sf_dir), Scope.all(NOW))
 
 
 @query("check_history_structure_range", with_views(
-    _HISTORY_STRUCTURE + " AND (recorded_at IS NULL OR (recorded_at >= TIMESTAMP '1997-01-01' AND recorded_at < TIMESTAMP '1999-01-01'))", "d_history"))
+    _HISTORY_STRUCTURE_BARE + " AND (recorded_at IS NULL OR (recorded_at >= TIMESTAMP '1997-01-01' AND recorded_at < TIMESTAMP '1999-01-01'))", "d_history"))
 def check_history_structure_range(spark, sf_dir):
     return checks.history_structure(derived.tables(spark, sf_dir), Scope.range(FROM, TO))
 
@@ -340,6 +341,17 @@ def run_all_results(spark, sf_dir):
     return results.select("check_name", "trigger_type", "scope_type", "status", "violation_count")
 
 
+@query("run_violations_by_type", with_views(f"""
+    SELECT 'issue_history_state' AS check_name, violation_type, count(*) AS rows, sum(issue_id) AS ids FROM ({_HISTORY_STATE} AND i.event_id IN (3, 4)) GROUP BY violation_type
+    UNION ALL SELECT 'time_sync', 'TIME_MISMATCH', count(*), sum(issue_id) FROM ({_TIME_SYNC} AND event_id IN (3, 4))""".replace("sum(issue_id)", "CAST(sum(issue_id) AS BIGINT)"), "d_history"))
+def run_violations_by_type(spark, sf_dir):
+    """The two rules that share one pass over the history, for some campaigns."""
+    t = derived.tables(spark, sf_dir)
+    some = t.event.filter(F.col("event_id").isin(3, 4))
+    _, violations = run_checks(spark, t, Scope.events(some), NOW, ["issue_history_state", "time_sync"])
+    return violations.groupBy("check_name", "violation_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("target_id").alias("ids"))
+
+
 @query("run_event_results", with_views(f"""
     WITH bundle AS (
       SELECT 'stock' AS check_name FROM ({_STOCK} AND e.event_id = 8)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroll.constants import ISSUED
-from tallyroll.plans.segments import time_segment
+from tallyroll.plans.segments import spread, time_segment
 
 
 def latest_history(history: DataFrame, *columns: str) -> DataFrame:
@@ -33,9 +33,12 @@ def chain_breaks(history: DataFrame) -> DataFrame:
     The first row must be (none -> ISSUED); every later row must start at the status
     the previous one ended with. Ordered by (occurred_at, history_id), missing times first.
     """
-    h = history.select(
-        "issue_id", "history_id", "from_status", "to_status", "occurred_at",
-        time_segment(F.col("occurred_at"), F.col("history_id")).alias("segment"),
+    h = spread(
+        history.select(
+            "issue_id", "history_id", "from_status", "to_status", "occurred_at",
+            time_segment(F.col("occurred_at"), F.col("history_id")).alias("segment"),
+        ),
+        "issue_id", "segment",
     )
     inside = Window.partitionBy("issue_id", "segment").orderBy(
         F.col("occurred_at").asc_nulls_first(), F.col("history_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroll.constants import (
@@ -179,25 +179,60 @@ def history_structure(tables: Tables, scope: Scope, skew_seconds: int = CLOCK_SK
         rows.withColumn("violation_type", rule).filter(c("violation_type").isNotNull())
         .select("history_id", "issue_id", "from_status", "to_status", "occurred_at", "recorded_at", "violation_type")
     )
-    # The owner is looked up after filtering, so only violating rows take part in the join.
     narrowed = scope.kind == EVENT or (scope.kind == ALL and scope.event_set is not None)
-    owners = (_scoped_issue(tables.issue, scope) if narrowed else tables.issue).select("issue_id", "event_id")
-    return bad.join(owners, "issue_id", "inner" if narrowed else "left")
+    if not narrowed:
+        # Nothing of the issue is needed, so the issue table is not read at all.
+        return bad.withColumn("event_id", F.lit(None).cast("long"))
+    # The owner is looked up after filtering, so only violating rows take part in the join.
+    return bad.join(_scoped_issue(tables.issue, scope).select("issue_id", "event_id"), "issue_id")
 
 
-def issue_history_state(tables: Tables, scope: Scope) -> DataFrame:
-    """Issue status against the newest history row."""
-    issues = _scoped_issue(tables.issue, scope).select("issue_id", "event_id", F.col("status").alias("current_status"))
+def _latest_of(tables: Tables, issues: DataFrame, narrow: bool) -> DataFrame:
     history = tables.history
-    if scope.kind == EVENT:
+    if narrow:
         history = history.join(issues.select("issue_id"), "issue_id", "left_semi")
-    latest = latest_history(history, "from_status", "to_status")
-    kind = F.when(F.col("history_id").isNull(), "NO_HISTORY").when(
-        ~F.col("to_status").eqNullSafe(F.col("current_status")), "LATEST_STATUS_MISMATCH"
+    return latest_history(history, "from_status", "to_status", "reason")
+
+
+def _state_rule() -> Column:
+    """Issue status (``status``) against the newest history row."""
+    return F.when(F.col("history_id").isNull(), "NO_HISTORY").when(
+        ~F.col("to_status").eqNullSafe(F.col("status")), "LATEST_STATUS_MISMATCH"
+    )
+
+
+def _issue_time() -> Column:
+    c = F.col
+    return F.when(c("status") == USED, c("used_at")).when(c("status") == ISSUED, c("issued_at")).when(c("status") == EXPIRED, c("valid_to"))
+
+
+def _time_rule(max_lag_seconds: int, tolerance_seconds: int) -> Column:
+    """Issue time (``issue_time``) against the newest history row's time, where the statuses agree."""
+    c = F.col
+    gap = micros_between(c("issue_time"), c("occurred_at"))
+    first_hand = (c("status") == USED) | ((c("status") == ISSUED) & c("from_status").isNull())
+    swept = (c("status") == EXPIRED) & (c("reason").isNull() | (c("reason") != REASON_MANUAL_EXPIRED))
+    wrong = (
+        c("issue_time").isNull()
+        | (first_hand & (F.abs(gap) > tolerance_seconds * 1_000_000))
+        | (swept & ((c("occurred_at") < c("issue_time"))
+                    | (seconds_between(c("issue_time"), c("occurred_at")) > max_lag_seconds)))
     )
+    agree = c("status").isin(ISSUED, USED, EXPIRED) & (c("status") == c("to_status"))
+    return F.when(agree & wrong, "TIME_MISMATCH")
+
+
+_STATE_COLUMNS = ("current_status", "history_id", "from_status", "to_status", "occurred_at")
+_TIME_COLUMNS = ("status", "issue_time", "history_time", "time_diff_micros")
+
+
+def issue_history_state(tables: Tables, scope: Scope) -> DataFrame:
+    """Issue status against the newest history row."""
+    issues = _scoped_issue(tables.issue, scope).select("issue_id", "event_id", "status")
     return (
-        issues.join(latest, "issue_id", "left").withColumn("violation_type", kind)
+        issues.join(_latest_of(tables, issues, scope.kind == EVENT), "issue_id", "left").withColumn("violation_type", _state_rule())
         .filter(F.col("violation_type").isNotNull())
+        .withColumnRenamed("status", "current_status").select("issue_id", "event_id", *_STATE_COLUMNS, "violation_type")
     )
 
 
@@ -206,37 +241,47 @@ def time_sync(
     tolerance_seconds: int = TIME_SYNC_TOLERANCE_SECONDS,
 ) -> DataFrame:
     """Issue times against the newest history row's time."""
-    c = F.col
-    issues = (
-        _created_issue(tables.issue, scope).filter(c("status").isin(ISSUED, USED, EXPIRED))
-        .select(
-            "issue_id", "event_id", "status",
-            F.when(c("status") == USED, c("used_at")).when(c("status") == ISSUED, c("issued_at"))
-            .otherwise(c("valid_to")).alias("issue_time"),
-        )
-    )
-    history = tables.history
-    if scope.kind != ALL:
-        history = history.join(issues.select("issue_id"), "issue_id", "left_semi")
-    latest = latest_history(history, "from_status", "to_status", "reason").withColumnRenamed("occurred_at", "history_time")
-    gap = micros_between(c("issue_time"), c("history_time"))
-    first_hand = (c("status") == USED) | ((c("status") == ISSUED) & c("from_status").isNull())
-    swept = (c("status") == EXPIRED) & (c("reason").isNull() | (c("reason") != REASON_MANUAL_EXPIRED))
-    wrong = (
-        c("issue_time").isNull()
-        | (first_hand & (F.abs(gap) > tolerance_seconds * 1_000_000))
-        | (swept & ((c("history_time") < c("issue_time"))
-                    | (seconds_between(c("issue_time"), c("history_time")) > max_lag_seconds)))
+    issues = _created_issue(tables.issue, scope).filter(F.col("status").isin(ISSUED, USED, EXPIRED)).select(
+        "issue_id", "event_id", "status", _issue_time().alias("issue_time")
     )
     return (
-        issues.join(latest, "issue_id").filter(c("status") == c("to_status")).filter(wrong)
+        issues.join(_latest_of(tables, issues, scope.kind != ALL), "issue_id")
+        .withColumn("violation_type", _time_rule(max_lag_seconds, tolerance_seconds))
+        .filter(F.col("violation_type").isNotNull())
         .select(
-            "issue_id", "event_id", "status", "issue_time", "history_time", F.abs(gap).alias("time_diff_micros"),
-            F.lit("TIME_MISMATCH").alias("violation_type"),
+            "issue_id", "event_id", "status", "issue_time", F.col("occurred_at").alias("history_time"),
+            F.abs(micros_between(F.col("issue_time"), F.col("occurred_at"))).alias("time_diff_micros"), "violation_type",
         )
     )
 
 
+def latest_row_rules(
+    tables: Tables, scope: Scope, max_lag_seconds: int = MAX_BATCH_LAG_SECONDS,
+    tolerance_seconds: int = TIME_SYNC_TOLERANCE_SECONDS,
+) -> DataFrame:
+    """Both rules on the newest history row in one pass over the history.
+
+    An issue breaks at most one of them: the time rule only looks at issues whose status
+    agrees. ``detail`` is the JSON each rule would give on its own. For campaign scopes.
+    """
+    c = F.col
+    issues = _scoped_issue(tables.issue, scope).select("issue_id", "event_id", "status", _issue_time().alias("issue_time"))
+    rows = issues.join(_latest_of(tables, issues, scope.kind == EVENT), "issue_id", "left")
+    state = _state_rule()
+    rows = rows.withColumn("violation_type", F.coalesce(state, _time_rule(max_lag_seconds, tolerance_seconds))).filter(
+        c("violation_type").isNotNull()
+    )
+    timed = c("violation_type") == "TIME_MISMATCH"
+    gap = F.abs(micros_between(c("issue_time"), c("occurred_at")))
+    time_detail = dict(zip(_TIME_COLUMNS, (c("status"), c("issue_time"), c("occurred_at"), gap)))
+    state_detail = dict(zip(_STATE_COLUMNS, (c("status"), c("history_id"), c("from_status"), c("to_status"), c("occurred_at"))))
+    pack = lambda fields: F.to_json(F.struct(c("issue_id"), *[v.alias(k) for k, v in fields.items()]))
+    return rows.select(
+        F.when(timed, "time_sync").otherwise("issue_history_state").alias("check_name"), "issue_id", "event_id", "violation_type",
+        F.when(timed, pack(time_detail)).otherwise(pack(state_detail)).alias("detail"),
+    )
+
+
 def expiration_lag(
     tables: Tables, scope: Scope, checked_at: datetime | None = None, delay_millis: int = EXPIRATION_DELAY_MILLIS
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyroll.constants import EXPIRED, ISSUED, OPEN, REASON_MANUAL_EXPIRED, SCHEDULED, USED
 from tallyroll.functions.times import ts
-from tallyroll.plans.segments import number_segment, ranked
+from tallyroll.plans.segments import number_segment, ranked, spread
 
 
 def replay_commands(cmds: DataFrame, idempotency: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def apply_commands(issue: DataFrame, cmds: DataFrame) -> tuple[DataFrame, DataFr
         rows.select("issue_id", "segment").distinct().join(ends, ["issue_id", "segment"], "left")
         .withColumn("carry", F.last("end", ignorenulls=True).over(before)).drop("end")
     )
-    rows = rows.join(carried, ["issue_id", "segment"], "left").withColumn(
+    rows = spread(rows.join(carried, ["issue_id", "segment"], "left"), "issue_id", "segment").withColumn(
         "meets", F.coalesce(F.last("mark", ignorenulls=True).over(inside), c("carry"), c("status"))
     )
     live = c("status").isin(ISSUED, USED)

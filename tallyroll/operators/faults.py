@@ -26,7 +26,7 @@ PLANTED_ID_BASE = 1 << 60
 def _newest(rows: DataFrame, events: DataFrame | None, *order) -> DataFrame:
     """The first row of each campaign; the rank filter is applied before the shuffle too."""
     if events is not None:
-        rows = rows.join(events.select("event_id").distinct(), "event_id", "left_semi")
+        rows = rows.join(events.select("event_id"), "event_id", "left_semi")
     w = Window.partitionBy("event_id").orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
@@ -91,7 +91,7 @@ def time_sync(tables: Tables, now: datetime, events: DataFrame | None = None) ->
 
 def loss(tables: Tables, now: datetime, events: DataFrame | None = None) -> Tables:
     """Live stock one lower than it should be."""
-    rows = tables.state if events is None else tables.state.join(events.select("event_id").distinct(), "event_id", "left_semi")
+    rows = tables.state if events is None else tables.state.join(events.select("event_id"), "event_id", "left_semi")
     change = rows.select("event_id", (F.col("remaining_stock") - 1).alias("remaining_stock"))
     return tables.with_(state=apply_changes(tables.state, "event_id", change))
 
@@ -110,7 +110,7 @@ def state_chain(tables: Tables, now: datetime, events: DataFrame | None = None)
 
 def stock(tables: Tables, now: datetime, events: DataFrame | None = None) -> Tables:
     """Stored remaining stock one lower than it should be."""
-    rows = tables.event if events is None else tables.event.join(events.select("event_id").distinct(), "event_id", "left_semi")
+    rows = tables.event if events is None else tables.event.join(events.select("event_id"), "event_id", "left_semi")
     change = rows.select("event_id", (F.col("remaining_stock") - 1).alias("remaining_stock"))
     return tables.with_(event=apply_changes(tables.event, "event_id", change))
 

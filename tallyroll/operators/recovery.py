@@ -32,7 +32,7 @@ class Proposal:
 
 
 def _only(df: DataFrame, ids: DataFrame | None, key: str) -> DataFrame:
-    return df if ids is None else df.join(ids.select(key).distinct(), key, "left_semi")
+    return df if ids is None else df.join(ids.select(key), key, "left_semi")
 
 
 def reconcile_stock(event: DataFrame, issue: DataFrame, now: datetime, ids: DataFrame | None = None) -> Proposal:
@@ -299,7 +299,7 @@ def recovery_targets(violations: DataFrame, issue: DataFrame, check: str, event_
     if check == "stock":
         return rows.select(F.col("target_id").alias("event_id")).distinct()
     return (
-        issue.join(rows.select(F.col("target_id").alias("issue_id")).distinct(), "issue_id", "left_semi")
+        issue.join(rows.select(F.col("target_id").alias("issue_id")), "issue_id", "left_semi")
         .select("event_id").distinct()
     )
 

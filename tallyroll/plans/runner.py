@@ -95,6 +95,25 @@ def as_violations(df: DataFrame, check: Check) -> DataFrame:
     )
 
 
+# Rules that read the same newest history rows and can share one pass.
+LATEST_ROW_RULES = ("issue_history_state", "time_sync")
+
+
+def _shared_pass(chosen: list[Check], scope: Scope) -> list[Check]:
+    """The rules of ``chosen`` to run in one pass, or none."""
+    both = [c for c in chosen if c.name in LATEST_ROW_RULES and c is CHECKS.get(c.name)]
+    campaigns = scope.kind == EVENT or scope.event_set is not None
+    return both if len(both) == 2 and campaigns else []
+
+
+def _shared_violations(tables: Tables, scope: Scope, params: dict[str, dict] | None) -> DataFrame:
+    rows = rules.latest_row_rules(tables, scope, **(params or {}).get("time_sync", {}))
+    return rows.select(
+        "check_name", F.lit("ISSUE").alias("target_type"), F.col("issue_id").cast("long").alias("target_id"),
+        F.col("event_id").cast("long").alias("event_id"), "violation_type", "detail",
+    )
+
+
 def _require_event(tables: Tables, scope: Scope) -> None:
     if scope.kind == EVENT and scope.event_set is None and tables.event.filter(F.col("event_id") == scope.event_id).isEmpty():
         raise ValueError(f"campaign {scope.event_id} does not exist")
@@ -154,7 +173,13 @@ def run_checks(
     _require_event(tables, scope)
     frames, errors, refused = [], {}, []
     chosen = select_checks(names, scope.kind)
-    for check in chosen:
+    shared = _shared_pass(chosen, scope)
+    if shared:
+        try:
+            frames.append(_shared_violations(tables, scope, params))
+        except Exception:  # let each rule report for itself
+            shared = []
+    for check in [c for c in chosen if c not in shared]:
         try:
             frames.append(as_violations(check.fn(tables, scope, **(params or {}).get(check.name, {})), check))
             if check.errors:
@@ -181,23 +206,28 @@ def run_and_store(
     """
     _require_event(tables, scope)
     run_id = run_id or uuid.uuid4().hex
-    errors, refused = {}, []
+    base = f"{folder}/violations/run_id={run_id}"
+    errors, refused, written = {}, [], []
     chosen = select_checks(names, scope.kind)
-    for check in chosen:
+
+    def store(rows: DataFrame, part: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/part={part}")
+        written.append(f"{base}/part={part}")
+
+    shared = _shared_pass(chosen, scope)
+    if shared:
+        try:
+            store(_shared_violations(tables, scope, params), "latest_row_rules")
+        except Exception:  # let each rule report for itself
+            shared = []
+    for check in [c for c in chosen if c not in shared]:
         try:
-            rows = as_violations(check.fn(tables, scope, **(params or {}).get(check.name, {})), check)
-            rows.write.mode("overwrite").parquet(f"{folder}/violations/run_id={run_id}/check={check.name}")
+            store(as_violations(check.fn(tables, scope, **(params or {}).get(check.name, {})), check), check.name)
             if check.errors:
                 refused.append(_refusals(check, tables, scope))
         except Exception as failure:
             errors[check.name] = str(failure)
-    done = [c for c in chosen if c.name not in errors]
-    if done:
-        violations = spark.read.schema(VIOLATION).parquet(
-            *[f"{folder}/violations/run_id={run_id}/check={c.name}" for c in done]
-        )
-    else:
-        violations = _empty(spark)
+    violations = spark.read.schema(VIOLATION).parquet(*written) if written else _empty(spark)
     results = summarize(
         spark, violations, [c.name for c in chosen], scope, trigger, executed_at, errors,
         reduce(DataFrame.unionByName, refused) if refused else None,

@@ -57,7 +57,7 @@ class Scope:
     def keep_events(self, df: DataFrame) -> DataFrame:
         """Rows of the scope's campaigns; a scope without any keeps all."""
         if self.event_set is not None:
-            return df.join(self.event_set.select("event_id").distinct(), "event_id", "left_semi")
+            return df.join(self.event_set.select("event_id"), "event_id", "left_semi")
         if self.kind == EVENT:
             return df.filter(F.col("event_id") == self.event_id)
         return df

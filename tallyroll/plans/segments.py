@@ -11,20 +11,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT_ROWS = 1_000_000
-NULL_TIME_BASE = -(1 << 52)
+NULL_TIME_BASE = -(1 << 62)
 
 
 def number_segment(order: Column, size: int = SEGMENT_ROWS) -> Column:
-    """Segment of a unique running number: at most ``size`` rows each."""
-    return F.floor(order / F.lit(size)).cast("long")
+    """Segment of a unique running number: at most ``size`` rows each. Integer arithmetic only."""
+    return (order - F.pmod(order, F.lit(size))).cast("long")
 
 
 def time_segment(at: Column, tie: Column, width_seconds: int = 86_400) -> Column:
     """Segment of a (time, number) order with missing times first."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return F.when(at.isNull(), F.lit(NULL_TIME_BASE) + number_segment(tie)).otherwise(
-        F.floor(F.timestamp_diff("SECOND", epoch, at) / F.lit(width_seconds))
-    ).cast("long")
+        number_segment(F.timestamp_diff("SECOND", epoch, at), width_seconds)
+    )
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Partition by all of ``columns``.
+
+    A window on (key, segment) is also content with rows partitioned by the key alone, as
+    a join leaves them; that would put a hot key back into one task.
+    """
+    return df.repartition(*columns)
 
 
 def segment_offsets(df: DataFrame, keys: list[str], segment: str, descending: bool = False) -> DataFrame:
@@ -56,6 +65,7 @@ def ranked(
     joined = rows.join(offsets, [*keys, "_segment"])
     if limit:
         joined = joined.filter(F.col("_offset") < F.col(limit))
+    joined = spread(joined, *keys, "_segment")
     inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
     out = joined.withColumn(name, F.col("_offset") + F.row_number().over(inside))
     if limit:
