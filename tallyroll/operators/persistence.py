@@ -14,7 +14,7 @@ from tallyroll.constants import (
     DECISION_PERSISTENCE_FAILED, ISSUED, MAX_DELIVERY_ATTEMPTS, PENDING, REASON_ISSUE_CONFIRMED, RETENTION_HOURS,
 )
 from tallyroll.functions.times import hours, ts
-from tallyroll.plans.staging import cut
+from tallyroll.plans.staging import cut, matching
 
 
 # Sequences stay below this number, so ids of different campaigns never meet.
@@ -74,7 +74,10 @@ def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
     """
     c = F.col
     identity = F.struct("event_id", "user_id", "issue_sequence")
-    stored = issue.dropna(subset=["request_id"]).groupBy("request_id").agg(F.first(identity).alias("stored"))
+    entries = cut(entries)
+    stored = matching(issue.select("request_id", "event_id", "user_id", "issue_sequence"), entries, ["request_id"]).groupBy("request_id").agg(
+        F.min(identity).alias("stored")
+    )
     first = entries.groupBy("request_id").agg(
         F.min(F.struct("arrival_no", identity.alias("identity"))).alias("first")
     )
@@ -88,7 +91,8 @@ def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
     )
     fresh = out.filter(c("outcome") == "INSERT")
     keys = _key_rows(fresh, "arrival_no")
-    blocked = keys.join(_key_rows(issue), "key", "left_semi").select("arrival_no").distinct()
+    held = matching(_key_rows(issue), keys, ["key"])
+    blocked = keys.join(held, "key", "left_semi").select("arrival_no").distinct()
     free = _key_rows(fresh.join(blocked, "arrival_no", "left_anti"), "arrival_no")
     shared = free.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     contested = fresh.join(free.join(shared, "key", "left_semi").select("arrival_no").distinct(), "arrival_no", "left_semi").select(
@@ -136,9 +140,8 @@ def probe(failures: DataFrame, issue: DataFrame) -> DataFrame:
 
     A failure without a sequence is compared by campaign and user only.
     """
-    stored = issue.dropna(subset=["request_id"]).groupBy("request_id").agg(
-        F.first(F.struct("event_id", "user_id", "issue_sequence")).alias("stored")
-    )
+    wanted = matching(issue.select("request_id", "event_id", "user_id", "issue_sequence"), failures, ["request_id"])
+    stored = wanted.groupBy("request_id").agg(F.min(F.struct("event_id", "user_id", "issue_sequence")).alias("stored"))
     c = F.col
     same = (
         (c("stored.event_id") == c("event_id")) & (c("stored.user_id") == c("user_id"))

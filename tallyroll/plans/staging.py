@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 SETTING = "spark.checkpoint.dir"
 
@@ -30,6 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BROADCAST_ROWS = 200_000
+
+
+def if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A frame of keys, marked for broadcast once it is known to hold at most ``rows`` rows.
+
+    The check counts at most one row more than that. Above it the frame is left as it is and Spark
+    joins by shuffle. Use it for narrow key columns only.
+    """
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
+def matching(table: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a large table whose key occurs in ``keys``; the table is not shuffled for few keys."""
+    return table.join(if_small(keys.select(*columns).distinct()), columns, "left_semi")
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder of its own for one run."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyroll.constants import COMPENSATED, DECISION_ACCEPTED, DECISION_PERSISTENCE_FAILED
 from tallyroll.operators.allocation import allocate, to_request_state
 from tallyroll.operators.persistence import compensate
-from tallyroll.plans.staging import read_batches, write_batch
+from tallyroll.plans.staging import matching, read_batches, write_batch
 from tallyroll.schemas import REQUEST
 
 # Stream rows: kind (REQUEST or COMPENSATE) and the request columns.
@@ -41,7 +41,7 @@ _GIVEN_BACK = T.StructType([
 def _records(spark, folder: str, before: int, campaigns: DataFrame) -> DataFrame:
     """Request records as they stand, of the campaigns at hand."""
     keys = ["campaign_id", "request_id"]
-    first = read_batches(spark, f"{folder}/record", _RECORD, before).drop("batch").join(campaigns, "campaign_id", "left_semi")
+    first = matching(read_batches(spark, f"{folder}/record", _RECORD, before).drop("batch"), campaigns, ["campaign_id"])
     back = (
         read_batches(spark, f"{folder}/give_back", _GIVEN_BACK, before).filter(F.col("result") == "COMPENSATED")
         .select(*keys).withColumn("_back", F.lit(True))

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyroll.operators.commands import apply_commands, replay_commands
 from tallyroll.operators.recovery import apply_changes
-from tallyroll.plans.staging import read_batches, write_batch
+from tallyroll.plans.staging import matching, read_batches, write_batch
 
 _L, _S, _T = T.LongType(), T.StringType(), T.TimestampNTZType()
 
@@ -27,11 +27,14 @@ _RESULT = _schema(
     ("at", _T), ("previous_status", _S), ("result", _S))
 
 
-def current_issue(spark, folder: str, issue: DataFrame, before: int | None = None) -> DataFrame:
-    """Coupons with the newest change of each applied."""
+def current_issue(spark, folder: str, issue: DataFrame, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Coupons with the newest change of each applied; ``only`` narrows them to its issue ids."""
     newest = Window.partitionBy("issue_id").orderBy(F.col("batch").desc())
+    changes = read_batches(spark, f"{folder}/update", _UPDATE, before)
+    if only is not None:
+        issue, changes = matching(issue, only, ["issue_id"]), matching(changes, only, ["issue_id"])
     changes = (
-        read_batches(spark, f"{folder}/update", _UPDATE, before).withColumn("_rn", F.row_number().over(newest))
+        changes.withColumn("_rn", F.row_number().over(newest))
         .filter(F.col("_rn") == 1).drop("_rn", "batch")
     )
     return apply_changes(issue, "issue_id", changes)
@@ -40,10 +43,10 @@ def current_issue(spark, folder: str, issue: DataFrame, before: int | None = Non
 def command_batch(cmds: DataFrame, number: int, folder: str, issue: DataFrame) -> None:
     """Apply one micro-batch; only commands that succeeded are remembered by key."""
     spark = cmds.sparkSession
-    done = read_batches(spark, f"{folder}/done", _DONE, number).drop("batch")
+    done = matching(read_batches(spark, f"{folder}/done", _DONE, number).drop("batch"), cmds, ["event_uid"])
     sorted_out = replay_commands(cmds, done)
     fresh = sorted_out.filter(F.col("replay") == "NEW").drop("replay")
-    updates, history, results = apply_commands(current_issue(spark, folder, issue, number), fresh)
+    updates, history, results = apply_commands(current_issue(spark, folder, issue, number, cmds), fresh)
     write_batch(results, f"{folder}/result", number)
     write_batch(updates, f"{folder}/update", number)
     write_batch(history, f"{folder}/history", number)
