@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.sqlviews import VIEWS, with_views
-from tallyroll.functions.times import hours, seconds, ts
+from tallyroll.functions.times import plus, ts
 from tallyroll.operators import commands, lifecycle
 from tallyroll.sources import derived
 
@@ -198,7 +198,7 @@ def _commands(spark, sf_dir):
         (k + 1).alias("issue_id"), (F.col("o_custkey") + F.when(k % 13 == 5, 2).otherwise(1)).alias("user_id"),
         F.when(n.isin(1, 3, 7), "USED").when(n.isin(2, 5), "ISSUED").otherwise("EXPIRED").alias("target_status"),
         F.when(k % 2 == 0, "asked").alias("reason"),
-        (F.col("o_orderdate").cast("timestamp_ntz") + seconds(k % 86400) + hours(n * 4 - 5)).alias("at"),
+        plus(plus(F.col("o_orderdate").cast("timestamp_ntz"), k % 86400, "SECOND"), n * 4 - 5, "HOUR").alias("at"),
     )
 
 
@@ -333,5 +333,5 @@ def round_create(spark, sf_dir):
     cmds = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         p.alias("command_no"), (p % 6 + 1).alias("coupon_id"), F.when(p % 4 == 0, size % 12 + 1).alias("round"),
         F.when(p % 37 == 5, 0).otherwise(size * 10 + F.floor(p / 400)).cast("long").alias("total_stock"),
-        (ts("2001-08-01 00:00:00") + hours(size % 5 * 240)).alias("open_at"), (ts("2001-10-01 00:00:00") + hours(size % 3 * 24)).alias("close_at"))
+        plus(ts("2001-08-01 00:00:00"), size % 5 * 240, "HOUR").alias("open_at"), plus(ts("2001-10-01 00:00:00"), size % 3 * 24, "HOUR").alias("close_at"))
     return commands.create_rounds(t.event, t.coupon, cmds, MID)

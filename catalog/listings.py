@@ -69,7 +69,7 @@ def report_recent_events_closed(spark, sf_dir):
 def report_search_coupons(spark, sf_dir):
     coupons = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         F.col("p_partkey").alias("coupon_id"), F.col("p_name").alias("coupon_name"),
-        (times.ts("2000-01-01 00:00:00") - times.hours(F.col("p_size") * 24)).alias("created_at"))
+        times.plus(times.ts("2000-01-01 00:00:00"), F.col("p_size") * -24, "HOUR").alias("created_at"))
     return reports.search_coupons(coupons, " RED ", 50)
 
 

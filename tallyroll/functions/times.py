@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,19 +16,22 @@ def ts(value: str | datetime | Column) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def seconds(n: int | float | Column) -> Column:
-    """Day-time interval of ``n`` seconds."""
-    n = n if isinstance(n, Column) else F.lit(n)
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n.cast("decimal(18,6)"))
+def seconds(n: int | float) -> Column:
+    """Constant day-time interval of ``n`` seconds."""
+    return F.lit(timedelta(seconds=n))
 
 
 def millis(n: int) -> Column:
-    return seconds(n / 1000)
+    return F.lit(timedelta(milliseconds=n))
 
 
-def hours(n: int | Column) -> Column:
-    n = n if isinstance(n, Column) else F.lit(n)
-    return F.make_dt_interval(F.lit(0), n.cast("int"), F.lit(0), F.lit(0).cast("decimal(18,6)"))
+def hours(n: int) -> Column:
+    return F.lit(timedelta(hours=n))
+
+
+def plus(at: Column, n: Column, unit: str) -> Column:
+    """``at`` moved by a column of whole units."""
+    return F.timestamp_add(unit, n, at)
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -43,10 +46,7 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 def epoch_millis_to_local(ms: Column, zone: str = "Asia/Seoul") -> Column:
     """Epoch milliseconds as wall-clock time in ``zone``."""
-    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), (ms.cast("decimal(18,0)") / F.lit(1000)).cast("decimal(18,6)")
-    )
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    return convert_local(plus(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ms, "MILLISECOND"), zone)
 
 
 def local_to_offset_text(local: Column, zone: str = "Asia/Seoul") -> Column:

@@ -13,7 +13,7 @@ from tallyroll.constants import (
     ACTOR_SYSTEM, CLAIM_IDLE_SECONDS, COMPENSATED, CONFIRMED, DECISION_ACCEPTED,
     DECISION_PERSISTENCE_FAILED, ISSUED, MAX_DELIVERY_ATTEMPTS, PENDING, REASON_ISSUE_CONFIRMED, RETENTION_HOURS,
 )
-from tallyroll.functions.times import hours, ts
+from tallyroll.functions.times import hours, plus, ts
 from tallyroll.plans.staging import cut, matching
 
 
@@ -25,7 +25,7 @@ def with_valid_to(entries: DataFrame, event: DataFrame, coupon: DataFrame) -> Da
     """End of validity: decision time plus the coupon's valid hours."""
     rules = event.select("event_id", "coupon_id").join(coupon.select("coupon_id", "valid_hours"), "coupon_id").drop("coupon_id")
     return entries.join(rules, "event_id", "left").withColumn(
-        "valid_to", F.col("valid_from") + hours(F.col("valid_hours"))
+        "valid_to", plus(F.col("valid_from"), F.col("valid_hours"), "HOUR")
     ).drop("valid_hours")
 
 

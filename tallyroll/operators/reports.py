@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroll.constants import ISSUED
 from tallyroll.functions.text import clamp, mask_email, mask_name, mask_phone
-from tallyroll.functions.times import local_to_offset_text, micros_between
+from tallyroll.functions.times import local_to_offset_text, micros_between, plus
 from tallyroll.operators.failures import page
 
 
@@ -126,9 +126,7 @@ def _bucket(at: Column, interval: str) -> Column:
 
 def verification_series(results: DataFrame, interval: str = "1 hour") -> DataFrame:
     """Audit outcomes per time bucket, rule, status and scope, placed at their end time."""
-    ended = F.col("executed_at") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), (F.col("duration_millis") / F.lit(1000)).cast("decimal(18,6)")
-    )
+    ended = plus(F.col("executed_at"), F.col("duration_millis"), "MILLISECOND")
     return (
         results.withColumn("ended_at", ended)
         .groupBy(_bucket(F.col("ended_at"), interval), "check_name", "status", "scope_type")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroll.constants import ACTIVE_STATUSES
-from tallyroll.functions.times import hours, seconds, ts
+from tallyroll.functions.times import hours, plus, seconds, ts
 from tallyroll.sources.ledger import Tables
 
 
@@ -33,7 +33,7 @@ def issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     k = key % 101
-    ia = F.col("o_orderdate").cast("timestamp_ntz") + seconds(key % 86400)
+    ia = plus(F.col("o_orderdate").cast("timestamp_ntz"), key % 86400, "SECOND")
     status = (
         F.when(k == 2, "UNKNOWN")
         .when(k == 6, "CANCELED")
@@ -45,7 +45,7 @@ def issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     base = o.select(key.alias("key"), k.alias("k"), ia.alias("ia"), status.alias("status"), "o_custkey")
     key, k, ia = F.col("key"), F.col("k"), F.col("ia")
-    return base.select(
+    columns = [
         (key + 1).alias("issue_id"),
         (key % 25 + 1).alias("event_id"),
         F.when(k == 7, F.lit(None)).otherwise(F.col("o_custkey") + 1).alias("user_id"),
@@ -63,13 +63,15 @@ def issue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 3, ia).otherwise(ia + hours(24)).alias("valid_to"),
         F.when(k == 9, F.lit(None))
         .when(k == 12, ia + hours(25))
-        .when(F.col("status") == "USED", ia + hours(key % 20 + 1))
+        .when(F.col("status") == "USED", plus(ia, key % 20 + 1, "HOUR"))
         .alias("used_at"),
         F.when(k == 6, F.lit(None))
-        .when(F.col("status") == "CANCELED", ia + hours(key % 5 + 1))
+        .when(F.col("status") == "CANCELED", plus(ia, key % 5 + 1, "HOUR"))
         .alias("canceled_at"),
         F.when(k == 4, ia - seconds(6)).when(k == 5, ia - seconds(5)).otherwise(ia + seconds(1)).alias("created_at"),
-    )
+    ]
+    # One struct per row: each column is computed once, not again in every filter above the view.
+    return base.select(F.explode(F.array(F.struct(*columns))).alias("r")).select("r.*")
 
 
 def history(issues: DataFrame) -> DataFrame:
@@ -152,15 +154,15 @@ def event(spark: SparkSession, sf_dir: str, issues: DataFrame) -> DataFrame:
         (F.col("region") + 1).alias("coupon_id"),
         (F.floor(n / 5) + 1).cast("int").alias("round"),
         ts("1995-01-01 00:00:00").alias("open_at"),
-        (ts("2001-08-02 00:00:00") + hours(n * 24)).alias("close_at"),
+        plus(ts("2001-08-02 00:00:00"), n * 24, "HOUR").alias("close_at"),
         (act + n % 3).cast("long").alias("total_stock"),
         remaining.cast("long").alias("remaining_stock"),
         (act + F.when(n == 7, 1).otherwise(0)).cast("long").alias("issued_quantity"),
         F.lit(1).alias("per_user_limit"),
         F.when(n % 4 == 0, "CLOSED").when(n % 4 == 1, "SOLD_OUT").when(n % 4 == 2, "OPEN")
         .otherwise("SCHEDULED").alias("status"),
-        (ts("1994-12-01 00:00:00") + hours(n * 24)).alias("created_at"),
-        (ts("1994-12-01 00:00:00") + hours(n * 24)).alias("updated_at"),
+        plus(ts("1994-12-01 00:00:00"), n * 24, "HOUR").alias("created_at"),
+        plus(ts("1994-12-01 00:00:00"), n * 24, "HOUR").alias("updated_at"),
     )
 
 
@@ -172,7 +174,7 @@ def coupon(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(r % 2 == 0, "FIXED").otherwise("RATE").alias("type"),
         ((r + 1) * 1000).alias("value"),
         F.lit(24).alias("valid_hours"),
-        (ts("1994-11-01 00:00:00") + hours(r * 24)).alias("created_at"),
+        plus(ts("1994-11-01 00:00:00"), r * 24, "HOUR").alias("created_at"),
     )
 
 
