@@ -141,18 +141,18 @@ def request_compensate(spark, sf_dir):
 
 
 @query("request_counter_deltas", with_views(f"""
-    WITH c AS (SELECT event_id AS campaign_id, {_CONFIRM} AS r1, {_COMP} AS r2, failure_id FROM (SELECT * FROM d_failure) t LEFT JOIN d_request_state r
+    WITH c AS (SELECT event_id AS campaign_id, {_CONFIRM} AS r1, {_COMP} AS r2, failure_stage FROM (SELECT * FROM d_failure) t LEFT JOIN d_request_state r
       ON r.request_id = t.request_id AND r.campaign_id = t.event_id)
-    SELECT campaign_id, count(*) FILTER (failure_id % 2 = 0 AND r1 = 'CONFIRMED_NOW') AS confirmed,
-      count(*) FILTER (failure_id % 2 = 1 AND r2 = 'COMPENSATED') AS returned
-    FROM c WHERE (failure_id % 2 = 0 AND r1 = 'CONFIRMED_NOW') OR (failure_id % 2 = 1 AND r2 = 'COMPENSATED') GROUP BY campaign_id""", "d_failure", "d_request_state"))
+    SELECT campaign_id, count(*) FILTER (failure_stage = 'CONFIRM' AND r1 = 'CONFIRMED_NOW') AS confirmed,
+      count(*) FILTER (failure_stage <> 'CONFIRM' AND r2 = 'COMPENSATED') AS returned
+    FROM c WHERE (failure_stage = 'CONFIRM' AND r1 = 'CONFIRMED_NOW') OR (failure_stage <> 'CONFIRM' AND r2 = 'COMPENSATED') GROUP BY campaign_id""", "d_failure", "d_request_state"))
 def request_counter_deltas(spark, sf_dir):
     f = _f(spark, sf_dir)
     state = derived.request_state(f)
-    cmds = f.select("failure_id", F.col("event_id").alias("campaign_id"), "user_id", "request_id")
-    even, odd = cmds.filter(F.col("failure_id") % 2 == 0), cmds.filter(F.col("failure_id") % 2 == 1)
+    cmds = f.select("failure_id", F.col("event_id").alias("campaign_id"), "user_id", "request_id", "failure_stage")
+    late = F.col("failure_stage") == "CONFIRM"
     return persistence.counter_deltas(
-        persistence.confirm(state, even, "failure_id"), persistence.compensate(state, odd, "failure_id"))
+        persistence.confirm(state, cmds.filter(late), "failure_id"), persistence.compensate(state, cmds.filter(~late), "failure_id"))
 
 
 _CONFIRM_SWEEP = f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.sqlviews import VIEWS, request_uuid, with_views
+from tallyroll.functions.times import ts
 from tallyroll.operators import allocation, persistence, reports
 from tallyroll.sources import derived
 from tallyroll.sources.stream import pack_request_state, parse_issue_entries, parse_request_state
@@ -197,9 +198,9 @@ _ARRIVALS = """
       min(user_id) OVER (PARTITION BY entry_id) AS fu FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, user_id ORDER BY decided_at) AS k FROM d_parsed) WHERE k = 1),
   arrivals AS (SELECT * EXCLUDE (n, fu, k), n * 3 + CASE WHEN user_id = fu THEN 0 ELSE 1 END AS arrival_no FROM arr)"""
 
-# Stored already: every issue whose id is a multiple of four.
+# Stored already: what the ledger held at the start of 1997.
 _PERSIST = f"""{_ARRIVALS},
-  old AS (SELECT * FROM d_issue WHERE issue_id % 4 = 0),
+  old AS (SELECT * FROM d_issue WHERE created_at < TIMESTAMP '1997-01-01'),
   s AS (SELECT request_id, any_value(event_id) AS e, any_value(user_id) AS u, any_value(issue_sequence) AS q FROM old GROUP BY request_id),
   a1 AS (SELECT x.*, s.request_id AS have, s.e, s.u, s.q, row_number() OVER w AS nth, first_value(x.event_id) OVER w AS fe, first_value(x.user_id) OVER w AS fu,
       first_value(x.issue_sequence) OVER w AS fs FROM arrivals x LEFT JOIN s ON s.request_id = x.request_id WINDOW w AS (PARTITION BY x.request_id ORDER BY arrival_no)),
@@ -217,7 +218,7 @@ _PERSIST = f"""{_ARRIVALS},
 @query("persist_classify", with_views(
     f"WITH {_PERSIST.strip()} SELECT arrival_no, request_id, event_id, user_id, outcome FROM a5", "d_parsed", "d_issue"))
 def persist_classify(spark, sf_dir):
-    stored = derived.issue(spark, sf_dir).filter(F.col("issue_id") % 4 == 0)
+    stored = derived.issue(spark, sf_dir).filter(F.col("created_at") < ts("1997-01-01 00:00:00"))
     return persistence.classify_entries(_arrivals(spark, sf_dir), stored).select(
         "arrival_no", "request_id", "event_id", "user_id", "outcome")
 
@@ -228,7 +229,7 @@ def persist_classify(spark, sf_dir):
     FROM a5 WHERE outcome = 'INSERT'""", "d_parsed", "d_issue"))
 def persist_new_issues(spark, sf_dir):
     t = derived.tables(spark, sf_dir)
-    stored = t.issue.filter(F.col("issue_id") % 4 == 0)
+    stored = t.issue.filter(F.col("created_at") < ts("1997-01-01 00:00:00"))
     return persistence.persist_issues(_arrivals(spark, sf_dir), stored, t.event, t.coupon, NOW)[0].drop("used_at", "canceled_at")
 
 
@@ -238,7 +239,7 @@ def persist_new_issues(spark, sf_dir):
     FROM a5 WHERE outcome = 'INSERT'""", "d_parsed", "d_issue"))
 def persist_new_history(spark, sf_dir):
     t = derived.tables(spark, sf_dir)
-    stored = t.issue.filter(F.col("issue_id") % 4 == 0)
+    stored = t.issue.filter(F.col("created_at") < ts("1997-01-01 00:00:00"))
     return persistence.persist_issues(_arrivals(spark, sf_dir), stored, t.event, t.coupon, NOW)[1]
 
 
@@ -280,10 +281,10 @@ def relay_targets(spark, sf_dir):
 
 @query("pending_entries", with_views("""
     SELECT entry_id, event_id, user_id, issue_sequence FROM d_parsed p WHERE issue_sequence > 10 AND NOT EXISTS (
-      SELECT 1 FROM d_issue i WHERE i.event_id = p.event_id AND i.issue_sequence = p.issue_sequence AND i.issue_id % 4 = 0)""", "d_parsed", "d_issue"))
+      SELECT 1 FROM d_issue i WHERE i.event_id = p.event_id AND i.issue_sequence = p.issue_sequence AND i.created_at < TIMESTAMP '1997-01-01')""", "d_parsed", "d_issue"))
 def pending_entries(spark, sf_dir):
     good, _ = parse_issue_entries(derived.stream_entry(spark, sf_dir))
-    stored = derived.issue(spark, sf_dir).filter(F.col("issue_id") % 4 == 0)
+    stored = derived.issue(spark, sf_dir).filter(F.col("created_at") < ts("1997-01-01 00:00:00"))
     return persistence.pending_entries(good, stored, 10).select("entry_id", "event_id", "user_id", "issue_sequence")
 
 

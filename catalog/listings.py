@@ -32,9 +32,9 @@ def name_mask(col: str) -> str:
 
 @query("report_issuance_log", with_views(f"""
     WITH m AS (
-      SELECT issue_sequence, user_id, status, issued_at, created_at AS persisted_at, 0 AS src, issue_id FROM d_issue WHERE event_id = 3 AND issue_sequence > 100 AND issue_id % 4 = 0
+      SELECT issue_sequence, user_id, status, issued_at, created_at AS persisted_at, 0 AS src, issue_id FROM d_issue WHERE event_id = 3 AND issue_sequence > 100 AND created_at < TIMESTAMP '1997-01-01'
       UNION ALL SELECT issue_sequence, user_id, 'PROCESSING', decided_at, NULL, 1, 0 FROM d_parsed p WHERE event_id = 3 AND issue_sequence > 100
-        AND NOT EXISTS (SELECT 1 FROM d_issue i WHERE i.event_id = p.event_id AND i.issue_sequence = p.issue_sequence AND i.issue_id % 4 = 0)),
+        AND NOT EXISTS (SELECT 1 FROM d_issue i WHERE i.event_id = p.event_id AND i.issue_sequence = p.issue_sequence AND i.created_at < TIMESTAMP '1997-01-01')),
     d AS (SELECT *, row_number() OVER (PARTITION BY issue_sequence ORDER BY src, issue_id, user_id) AS k FROM m),
     t AS (SELECT *, row_number() OVER (ORDER BY issue_sequence) AS pos FROM d WHERE k = 1 ORDER BY issue_sequence LIMIT 51)
     SELECT issue_sequence, t.user_id, {name_mask('u.name')} AS name, regexp_replace(u.email, {EMAIL}) AS email, regexp_replace(u.phone, {PHONE}) AS phone, status,
@@ -43,7 +43,7 @@ def name_mask(col: str) -> str:
     FROM t LEFT JOIN d_user u ON u.user_id = t.user_id""", "d_issue", "d_parsed", "d_user"))
 def report_issuance_log(spark, sf_dir):
     good, _ = parse_issue_entries(derived.stream_entry(spark, sf_dir))
-    stored = derived.issue(spark, sf_dir).filter(F.col("issue_id") % 4 == 0)
+    stored = derived.issue(spark, sf_dir).filter(F.col("created_at") < times.ts("1997-01-01 00:00:00"))
     return reports.issuance_log(persistence.pending_entries(good, stored), stored, derived.user(spark, sf_dir), 3, 100, 50)
 
 

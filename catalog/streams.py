@@ -65,7 +65,7 @@ def stream_dedup_entries(spark, sf_dir):
     return _finish(dedup.drop_redelivered(good).select("message_id", "event_id", "issue_sequence"), folder)
 
 
-_STREAMED = _PERSIST.replace("old AS (SELECT * FROM d_issue WHERE issue_id % 4 = 0)", "old AS (SELECT * FROM d_issue WHERE false)")
+_STREAMED = _PERSIST.replace("old AS (SELECT * FROM d_issue WHERE created_at < TIMESTAMP '1997-01-01')", "old AS (SELECT * FROM d_issue WHERE false)")
 
 
 @query("stream_persist_issues", with_views(f"""WITH {_STREAMED.strip()}

@@ -58,7 +58,10 @@ def read_batches(spark: SparkSession, folder: str, schema: T.StructType, before:
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     try:
         rows = spark.read.schema(full).parquet(folder)
-    except AnalysisException:
+    except AnalysisException as missing:
+        # Only a folder nobody has written yet counts as empty; anything else must not pass for it.
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full)
     return rows if before is None else rows.filter(rows["batch"] < before)
 
