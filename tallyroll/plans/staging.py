@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] == "local":
         return tempfile.mkdtemp(prefix="tallyroll-")
     raise ValueError(f"set {SETTING} to a folder all executors can reach")
 
