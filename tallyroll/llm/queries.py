@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroll.llm import mixing, token_counts
+from tallyroll.llm import chat, mixing, quality, secrets, token_counts, topk
 from tallyroll.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op2_top_k", topk.ORACLE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_mix_sources")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -31,3 +36,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_counts")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.documents_token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op6_chat_format")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_digests(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_quality_rules")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_secret_scans")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
