@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The frame written once to the shared folder and read back.
 
     It survives lost executors, cuts the lineage, and its shuffle files go when the write has ended.
@@ -44,7 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(folder)
+        df.write.option("compression", compression).parquet(folder)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroll.llm import chat, mixing, quality, secrets, token_counts, topk
+from tallyroll.llm import chat, mixing, quality, secrets, token_counts, token_files, topk
 from tallyroll.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query("op3_token_files")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.documents_token_files(table(spark, sf_dir, "documents"))
+
+
 @query("op4_mix_sources")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
