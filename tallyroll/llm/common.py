@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyroll.plans.staging import work_folder
 
@@ -167,3 +168,99 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def counts_by_row(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of the ascending positions fall into each row."""
     return np.diff(np.searchsorted(positions, offsets))
+
+
+def total_text(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+def bucket_count(total_bytes: int, each: int, least: int = 16, most: int = 16384) -> int:
+    """Buckets of about ``each`` bytes; the most keeps the number of pieces that tasks send in proportion."""
+    return max(least, min(most, -(-total_bytes // each)))
+
+
+def deal(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, the rows of ``columns`` that belong to it, column after column), in the rows' order."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    columns = [c[order] for c in columns]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
+        if a < b:
+            yield int(bucket[a]), b"".join(c[a:b].tobytes() for c in columns)
+
+
+def dealt(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
+    """The columns back from pieces made by ``deal``."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for part, kind in zip(parts, kinds, strict=True):
+            part.append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows without the key) of sorted batches; the first ``keys`` columns are the key."""
+    open_, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:keys] != open_:
+                if open_ is not None:
+                    yield open_, rows
+                open_, rows = row[:keys], []
+            rows.append(row[keys:])
+    if open_ is not None:
+        yield open_, rows
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b): root is the smallest node that links reach.
+
+    Large and small stars in turn: each node's neighbours are hung on its smallest neighbour until nothing changes. Every
+    round is a join and an aggregation with partial sums; rounds grow with the logarithm of the longest path.
+    """
+    edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    while not _stars(edges):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Large star: a node's larger neighbours are hung on its smallest neighbour (or itself), and it too.
+        met = both.join(least, "a")
+        large = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = staged(large.unionByName(met.filter("a > m and b < a").select("a", F.col("m").alias("b"))).distinct(), name)
+        # Small star: a node's smaller neighbours are hung on the smallest of them, and the node too.
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        edges = staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node, which hangs on none."""
+    ends = edges.select("a", F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up")))
+    return ends.groupBy("a").agg(F.sum("up").alias("n"), F.min("up").alias("low")).filter("n > 1 or (n = 1 and low = 0)").isEmpty()
+
+
+class Forest:
+    """Union and find over numbers from 0; the smallest number of a tree is its root."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def union(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True

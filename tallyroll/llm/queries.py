@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroll.llm import chat, mixing, piece_dropout, quality, secrets, token_counts, token_files, topk
+from tallyroll.llm import chat, mixing, ngram_join, piece_dropout, quality, secrets, token_counts, token_files, topk
 from tallyroll.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_piece_dropout")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_dropout.encode_pieces(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ngram_jaccard")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.documents_components(table(spark, sf_dir, "documents"))
