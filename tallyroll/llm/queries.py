@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroll.llm import chat, mixing, ngram_join, piece_dropout, quality, secrets, token_counts, token_files, topk
+from tallyroll.llm import chat, mixing, ngram_join, piece_dropout, quality, secrets, substring_dedup, token_counts, token_files, topk
 from tallyroll.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_substring_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op2_top_k", topk.ORACLE)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
