@@ -1,19 +1,46 @@
-"""Corpus pipeline: the stages, in order, from documents to token ids."""
+"""Corpus pipeline: from documents to token ids in five stages.
+
+Rejected documents go, one of each near-duplicate group stays, secrets are masked, sources are mixed to their weights,
+and the mix is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroll.llm import mixing
+from tallyroll.llm import mixing, ngram_join, piece_dropout, quality, secrets
 from tallyroll.llm.common import staged, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the classifier, fitted on the labelled ones among them, keep."""
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id."""
+    return ngram_join.one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    return secrets.mask_secrets(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix."""
+    return piece_dropout.encode_pieces(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules), ("ngram_jaccard_join", near_duplicates), ("secret_scans", secret_scans), ("mix_sources", mix_sources),
+    ("sentencepiece_codec", encode)]
+#: No SQL says what a trained classifier keeps or how a draw falls; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
