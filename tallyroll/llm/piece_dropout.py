@@ -18,7 +18,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,11 @@ class Pieces:
         self.raw_start = np.cumsum(self.raw_length) - self.raw_length
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    @cached_property
+    def joins(self) -> dict[int, tuple[int, int]]:
+        """Pair -> (merged symbol, rank), for work on one unit."""
+        return dict(zip(self.pair.tolist(), zip(self.merged.tolist(), self.rank[self.merged].tolist(), strict=True), strict=True))
+
     def join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged symbol and rank of each pair; rank NONE where there is no such piece."""
         key = left.astype(np.int64) << 16 | right
@@ -146,28 +151,28 @@ def segment_one(p: Pieces, symbols: np.ndarray, key: np.uint64, rate: float) ->
     symbol, nxt, prv, alive = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     agenda: list = []
 
-    def propose(lefts: list[int]) -> None:
-        lefts = [i for i in lefts if i >= 0 and nxt[i] < n]
-        if not lefts:
+    base, joins, bound = int(key), p.joins, min(2**64 - 1, int(rate * 2.0**64)) if rate > 0 else 0
+
+    def propose(i: int) -> None:
+        if i < 0 or nxt[i] >= n or symbol[i] >= BARE or symbol[nxt[i]] >= BARE:
             return
-        left = np.array([symbol[i] for i in lefts], np.int32)
-        right = np.array([symbol[nxt[i]] for i in lefts], np.int32)
-        merged, rank = p.join(left, right)
-        drop = skipped(key, np.array(lefts), left.astype(np.int64) << 16 | right, rate) if rate > 0 else np.zeros(len(lefts), bool)
-        for i, m, r, d in zip(lefts, merged.tolist(), rank.tolist(), drop.tolist(), strict=True):
-            if r != NONE:
-                heapq.heappush(agenda, (r, i, m, symbol[i], symbol[nxt[i]], d))
+        pair = symbol[i] << 16 | symbol[nxt[i]]
+        known = joins.get(pair)
+        if known is not None and not (bound and mix_int(mix_int(base + i * int(GOLDEN)) ^ pair) < bound):
+            heapq.heappush(agenda, (known[1], i, known[0], symbol[i], symbol[nxt[i]]))
 
-    propose(list(range(n)))
+    for i in range(n):
+        propose(i)
     while agenda:
-        _, i, m, a, b, drop = heapq.heappop(agenda)
-        if drop or not alive[i] or symbol[i] != a or nxt[i] >= n or symbol[nxt[i]] != b:
+        _, i, m, a, b = heapq.heappop(agenda)
+        if not alive[i] or symbol[i] != a or nxt[i] >= n or symbol[nxt[i]] != b:
             continue
         gone = nxt[i]
         symbol[i], alive[gone], nxt[i] = m, False, nxt[gone]
         if nxt[i] < n:
             prv[nxt[i]] = i
-        propose([prv[i], i])
+        propose(prv[i])
+        propose(i)
     return np.array([s for s, a in zip(symbol, alive, strict=True) if a], np.int32)
 
 
