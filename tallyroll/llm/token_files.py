@@ -29,7 +29,8 @@ MODEL, END_ID = "word_bpe_49k.json", 1
 SCALE_BITS, VOCABULARY = 20, 1 << 16
 BLOCK_TOKENS, LANE_TOKENS, MOST_LANES, SECTION_STEPS = 1 << 19, 128, 2048, 128
 SEGMENT_BYTES = 24 << 20
-MOST_WORDS = 250_000
+MOST_WORDS = 400_000
+CLOSING = ".,;:!?"
 LOW = U64(1 << 31)
 
 
@@ -46,39 +47,78 @@ def load(model: str):
 
 
 class Words(dict):
-    """Word -> place and number of its ids in ``ids``. The tokenizer never looks across a space or a line feed."""
+    """Word -> place and number of its ids in ``ids``. The tokenizer never looks across a space or a line feed.
+
+    A word of letters, with or without closing punctuation, is one or two pre-tokens, so its lower-cased letters go
+    straight to the merges; other words go through the whole tokenizer. Words met first are kept, later ones for a
+    batch only.
+    """
 
     def __init__(self, model: str, end_id: int) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
         super().__init__()
         self.tokenizer = load(model)
-        self.end_id = end_id
-        self.restart()
-
-    def restart(self) -> None:
-        self.clear()
-        self.ids = array("i", [self.end_id])
+        self.merges, self.spell = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters: dict[str, list[int]] = {}
+        self.closing: dict[str, list[int]] = {"": []}
+        self.ids = array("i", [end_id])
+        self.kept = 1
+        self.more: dict[str, int] = {}
         self[""], self["\n"] = 0, 1
 
+    def find(self, word: str) -> list[int]:
+        core = word.rstrip(CLOSING)
+        if not core.isalpha() or not (core.isascii() or max(core) < "\u0100"):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        low = core.lower()
+        ids = self.letters.get(low)
+        if ids is None:
+            ids = [t.id for t in self.merges.tokenize(low if low.isascii() else self.spell(low)[0][0])]
+            if len(self.letters) < MOST_WORDS:
+                self.letters[low] = ids
+        end = word[len(core) :]
+        after = self.closing.get(end)
+        if after is None:
+            after = self.tokenizer.encode(end, add_special_tokens=False).ids
+            if len(self.closing) < MOST_WORDS:
+                self.closing[end] = after
+        return ids + after
+
     def __missing__(self, word: str) -> int:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        value = self[word] = len(self.ids) << 24 | len(ids)
-        self.ids.extend(ids)
+        value = self.more.get(word)
+        if value is None:
+            ids = self.find(word)
+            value = len(self.ids) << 24 | len(ids)
+            self.ids.extend(ids)
+            if len(self) < MOST_WORDS:
+                self[word] = value
+                self.kept = len(self.ids)
+            else:
+                self.more[word] = value
         return value
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each followed by the end id, and the number of each."""
-        if len(self) > MOST_WORDS:
-            self.restart()
         words = " \n ".join([t.replace("\n", " ") for t in texts]).split(" ") if texts else []
         words.append("\n")
         place = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         ends = np.flatnonzero(place == 1)
         length = place & 0xFFFFFF
         upto = np.cumsum(length)
-        ids = np.frombuffer(self.ids, np.int32)[np.repeat((place >> 24) - (upto - length), length) + np.arange(upto[-1])].copy()
+        ids = np.frombuffer(self.ids, np.int32)[np.repeat((place >> 24) - (upto - length), length) + np.arange(upto[-1])]
+        if self.more:
+            self.more.clear()
+            del self.ids[self.kept :]
         return ids, np.diff(np.concatenate([[0], upto[ends]]))
 
 
+@lru_cache(maxsize=1)
+def known_words(model: str, end_id: int) -> Words:
+    """One a worker process, so that words stay known from task to task."""
+    return Words(model, end_id)
+
+
 TOKENS = T.StructType([
     T.StructField("segment", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("docs", T.BinaryType()), T.StructField("missing", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
@@ -98,7 +138,7 @@ def tokenized(docs: DataFrame, model: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        segment, words = TaskContext.get().partitionId(), Words(model, end_id)
+        segment, words = TaskContext.get().partitionId(), known_words(model, end_id)
         ids, counts, names, size, block = [], [], [], 0, 0
 
         def out() -> pa.RecordBatch:
