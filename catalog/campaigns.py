@@ -170,7 +170,7 @@ def init_fold(spark, sf_dir):
 @query("init_candidates", with_views("""
     SELECT e.event_id, e.status, coalesce(i.attempt_count, 0) AS attempt_count FROM d_event e LEFT JOIN d_init i ON i.event_id = e.event_id
     WHERE e.status IN ('SCHEDULED', 'OPEN') AND e.close_at > TIMESTAMP '2001-08-01' AND (i.event_id IS NULL OR i.status <> 'INITIALIZED')
-    ORDER BY 3, 1 LIMIT 100""", "d_event", "d_init"))
+    """, "d_event", "d_init"))
 def init_candidates(spark, sf_dir):
     return lifecycle.init_candidates(derived.tables(spark, sf_dir).event, _init(spark, sf_dir), EARLY)
 
@@ -247,22 +247,54 @@ def command_issue_updates(spark, sf_dir):
     return commands.apply_commands(derived.issue(spark, sf_dir), _commands(spark, sf_dir))[0]
 
 
-@query("command_replay", with_views("""
-    WITH idem AS (SELECT event_uid, issue_id, user_id, CASE WHEN command_no % 40 = 2 THEN 'EXPIRED' ELSE target_status END AS target_status,
-        CASE WHEN command_no % 50 <> 2 THEN "at" END AS occurred_at FROM d_command WHERE command_no % 10 = 2 AND command_no % 8 <> 7),
-    c AS (SELECT k.*, i.event_uid IS NOT NULL AS have, i.issue_id AS ii, i.user_id AS iu, i.target_status AS it, i.occurred_at AS io,
-        row_number() OVER w AS nth, first_value(k.issue_id) OVER w AS fi, first_value(k.user_id) OVER w AS fu, first_value(k.target_status) OVER w AS ft
-      FROM d_command k LEFT JOIN idem i ON i.event_uid = k.event_uid WINDOW w AS (PARTITION BY k.event_uid ORDER BY command_no))
-    SELECT command_no, CASE WHEN NOT have AND nth = 1 THEN 'NEW'
-      WHEN NOT (CASE WHEN have THEN ii ELSE fi END = issue_id AND CASE WHEN have THEN iu ELSE fu END = user_id AND CASE WHEN have THEN it ELSE ft END = target_status) THEN 'IDEMPOTENCY_CONFLICT'
-      WHEN have AND io IS NULL THEN 'DUPLICATE_REQUEST' ELSE 'REPLAY' END AS replay FROM c""", "d_command"))
+# The same walk with remembered keys: what a key's first success said answers its repeats, and refusals leave it free.
+def _keyed(idem: str) -> str:
+    moves = "('ISSUED>USED', 'ISSUED>EXPIRED', 'USED>ISSUED')"
+    step = f"""r.refusal IS NULL AND r.seen IS NULL AND NOT list_contains(list_transform({{m}}, x -> x[1]), r.event_uid) AND concat({{s}}, '>', r.target_status) IN {moves}"""
+    keep = "CASE WHEN {c} THEN list_append({m}, [r.event_uid, r.target_status]) ELSE {m} END"
+    first, later = step.format(m="CAST([] AS VARCHAR[][])", s="r.s0"), step.format(m="w.mem", s="w.state")
+    return f"""
+  SELECT * FROM (
+    WITH RECURSIVE idem AS ({idem}),
+    c AS (
+      SELECT k.*, i.event_id, i.user_id AS owner, i.status AS s0, i.valid_from AS vf, i.valid_to AS vt, i.issue_id IS NOT NULL AS found,
+        CASE WHEN m.event_uid IS NULL THEN NULL WHEN NOT (m.issue_id = k.issue_id AND m.user_id = k.user_id AND m.target_status = k.target_status) THEN 'IDEMPOTENCY_CONFLICT'
+          WHEN m.occurred_at IS NULL THEN 'DUPLICATE_REQUEST' ELSE 'REPLAY' END AS seen,
+        row_number() OVER (PARTITION BY k.issue_id ORDER BY command_no) AS step
+      FROM d_command k LEFT JOIN d_issue i ON i.issue_id = k.issue_id LEFT JOIN idem m ON m.event_uid = k.event_uid),
+    r AS (SELECT *, CASE WHEN NOT found THEN 'ISSUE_NOT_FOUND' WHEN owner IS NULL OR owner <> user_id THEN 'INVALID_REQUEST'
+        WHEN target_status = 'USED' AND vf > "at" THEN 'EVENT_NOT_OPEN' WHEN target_status IN ('USED', 'ISSUED') AND vt < "at" THEN 'ALREADY_EXPIRED' END AS refusal FROM c),
+    w AS (
+      SELECT r.*, s0 AS prev, CAST([] AS VARCHAR[][]) AS before, CASE WHEN {first} THEN target_status ELSE s0 END AS state,
+        {keep.format(c=first, m="CAST([] AS VARCHAR[][])")} AS mem FROM r WHERE step = 1
+      UNION ALL
+      SELECT r.*, w.state, w.mem, CASE WHEN {later} THEN r.target_status ELSE w.state END, {keep.format(c=later, m="w.mem")}
+      FROM w JOIN r ON r.issue_id = w.issue_id AND r.step = w.step + 1)
+    SELECT *, CASE WHEN seen IS NOT NULL THEN seen WHEN list_contains(before, [event_uid, target_status]) THEN 'REPLAY'
+        WHEN list_contains(list_transform(before, x -> x[1]), event_uid) THEN 'IDEMPOTENCY_CONFLICT' ELSE 'NEW' END AS replay,
+      CASE WHEN refusal IS NOT NULL THEN refusal WHEN concat(prev, '>', target_status) IN {moves} THEN 'SUCCESS'
+      WHEN target_status = 'USED' AND prev = 'USED' THEN 'ALREADY_USED' WHEN target_status = 'ISSUED' AND prev = 'ISSUED' THEN 'NOT_YET_USED'
+      WHEN target_status = 'EXPIRED' AND prev = 'EXPIRED' THEN 'ALREADY_EXPIRED' ELSE 'INVALID_STATE_TRANSITION' END AS result FROM w)
+"""
+
+
+# Repeats of a key concern the same coupon in these views, so a walk per coupon meets all of them.
+VIEWS["d_keyed"] = (("d_command", "d_issue"), _keyed("SELECT event_uid, issue_id, user_id, target_status, \"at\" AS occurred_at FROM d_command WHERE false"))
+VIEWS["d_keyed_memory"] = (("d_command", "d_issue"), _keyed("""
+    SELECT event_uid, issue_id, user_id, CASE WHEN command_no % 40 = 2 THEN 'EXPIRED' ELSE target_status END AS target_status,
+      CASE WHEN command_no % 50 <> 2 THEN "at" END AS occurred_at FROM d_command WHERE command_no % 10 = 2 AND command_no % 8 <> 7"""))
+
+
+@query("command_replay", with_views("SELECT command_no, replay, CASE WHEN replay = 'NEW' THEN result END AS result FROM d_keyed_memory", "d_keyed_memory"))
 def command_replay(spark, sf_dir):
     cmds = _commands(spark, sf_dir)
     n = F.col("command_no")
     idem = cmds.filter((n % 10 == 2) & (n % 8 != 7)).select(
         "event_uid", "issue_id", "user_id", F.when(n % 40 == 2, "EXPIRED").otherwise(F.col("target_status")).alias("target_status"),
         F.lit(None).cast("string").alias("from_status"), F.when(n % 50 != 2, F.col("at")).alias("occurred_at"))
-    return commands.replay_commands(cmds, idem).select("command_no", "replay")
+    _, _, results, repeats = commands.run_commands(derived.issue(spark, sf_dir), cmds, idem)
+    return results.select("command_no", F.lit("NEW").alias("replay"), "result").unionByName(
+        repeats.select("command_no", "replay", F.lit(None).cast("string").alias("result")))
 
 
 # --- masters ---------------------------------------------------------------------------

@@ -76,7 +76,7 @@ def failure_summary(spark, sf_dir):
 @query("failure_blocked_events", with_views(f"""
     WITH o AS (SELECT DISTINCT {GROUP} AS g, event_id FROM d_failure WHERE resolved_at IS NULL
       AND ((failure_stage = 'CONFIRM' AND compensation_result NOT IN {CONFIRM_DONE}) OR (failure_stage <> 'CONFIRM' AND compensation_result NOT IN {PERSIST_DONE})))
-    SELECT DISTINCT event_id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY event_id) AS n FROM o) WHERE n <= 20""", "d_failure"))
+    SELECT DISTINCT event_id FROM o""", "d_failure"))
 def failure_blocked_events(spark, sf_dir):
     return failures.blocked_events(_f(spark, sf_dir))
 
@@ -87,8 +87,7 @@ for _group, _stages, _retry, _done in (
 ):
     query(f"failure_retry_targets_{_group.lower()}", with_views(f"""
         SELECT failure_id, event_id, request_id, last_attempt_at FROM d_failure
-        WHERE failure_stage IN {_stages} AND resolved_at IS NULL AND compensation_result IN {_retry}
-        ORDER BY last_attempt_at ASC NULLS FIRST, failure_id LIMIT 1000""", "d_failure"))(
+        WHERE failure_stage IN {_stages} AND resolved_at IS NULL AND compensation_result IN {_retry}""", "d_failure"))(
         lambda s, d, g=_group: failures.retry_targets(_f(s, d), g).select("failure_id", "event_id", "request_id", "last_attempt_at"))
     query(f"failure_sweep_unrecoverable_{_group.lower()}", with_views(f"""
         SELECT count(*) AS unrecoverable FROM d_failure WHERE failure_stage IN {_stages} AND resolved_at IS NULL
@@ -97,8 +96,8 @@ for _group, _stages, _retry, _done in (
 
 
 @query("failure_append_rows", with_views(r"""
-    SELECT failure_id, substr(regexp_replace(regexp_replace(error_message, '([\w.+-]{1,3})[\w.+-]*(@[\w.-]+\.[A-Za-z]{2,})', '\1****\2', 'g'),
-      '\b(0\d{1,2})[-.\s]?(\d{3,4})[-.\s]?(\d{4})\b', '\1-****-\3', 'g'), 1, 2000) AS error_message,
+    SELECT failure_id, regexp_replace(regexp_replace(error_message, '([\w.+-]{1,3})[\w.+-]*(@[\w.-]+\.[A-Za-z]{2,})', '\1****\2', 'g'),
+      '\b(0\d{1,2})[-.\s]?(\d{3,4})[-.\s]?(\d{4})\b', '\1-****-\3', 'g') AS error_message,
       occurred_at + INTERVAL 9 HOUR AS occurred_at
     FROM d_failure""", "d_failure"))
 def failure_append_rows(spark, sf_dir):
@@ -156,8 +155,7 @@ def request_counter_deltas(spark, sf_dir):
 
 
 _CONFIRM_SWEEP = f"""
-  WITH t AS (SELECT * FROM d_failure WHERE failure_stage = 'CONFIRM' AND resolved_at IS NULL AND compensation_result IN {CONFIRM_RETRY}
-    ORDER BY last_attempt_at ASC NULLS FIRST, failure_id LIMIT 1000),
+  WITH t AS (SELECT * FROM d_failure WHERE failure_stage = 'CONFIRM' AND resolved_at IS NULL AND compensation_result IN {CONFIRM_RETRY}),
   a AS (SELECT t.*, {_CONFIRM} AS res FROM t LEFT JOIN d_request_state r ON r.request_id = t.request_id AND r.campaign_id = t.event_id)
   SELECT failure_id, attempt_count + 1 AS attempt_count, TIMESTAMP '2024-02-10' AS last_attempt_at,
     CASE WHEN res = 'CONFIRMED_NOW' THEN 'RESOLVED' WHEN res = 'ALREADY_CONFIRMED' THEN 'ALREADY_RESOLVED'
@@ -183,8 +181,7 @@ def failure_retry_confirm_counts(spark, sf_dir):
 
 @query("failure_retry_compensations", with_views(f"""
   WITH {_PROBE},
-  t AS (SELECT * FROM probed WHERE failure_stage <> 'CONFIRM' AND resolved_at IS NULL AND compensation_result IN {PERSIST_RETRY}
-    ORDER BY last_attempt_at ASC NULLS FIRST, failure_id LIMIT 1000),
+  t AS (SELECT * FROM probed WHERE failure_stage <> 'CONFIRM' AND resolved_at IS NULL AND compensation_result IN {PERSIST_RETRY}),
   a AS (SELECT t.*, CASE WHEN t.probe_result = 'PERSISTED' THEN {_CONFIRM} ELSE {_COMP} END AS res
     FROM t LEFT JOIN d_request_state r ON r.request_id = t.request_id AND r.campaign_id = t.event_id)
   SELECT failure_id, attempt_count + 1 AS attempt_count, res AS compensation_result,

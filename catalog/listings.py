@@ -48,8 +48,7 @@ def report_issuance_log(spark, sf_dir):
 
 
 @query("report_recent_events", with_views("""
-    SELECT event_id, e.coupon_id, coupon_name, type, value, round, status, total_stock, remaining_stock, e.created_at FROM d_event e JOIN d_coupon c ON c.coupon_id = e.coupon_id
-    ORDER BY e.created_at DESC, event_id DESC LIMIT 6""", "d_event", "d_coupon"))
+    SELECT event_id, e.coupon_id, coupon_name, type, value, round, status, total_stock, remaining_stock, e.created_at FROM d_event e JOIN d_coupon c ON c.coupon_id = e.coupon_id""", "d_event", "d_coupon"))
 def report_recent_events(spark, sf_dir):
     t = derived.tables(spark, sf_dir)
     return reports.recent_events(t.event, t.coupon)
@@ -57,20 +56,20 @@ def report_recent_events(spark, sf_dir):
 
 @query("report_recent_events_closed", with_views("""
     SELECT event_id, e.coupon_id, coupon_name, type, value, round, status, total_stock, remaining_stock, e.created_at FROM d_event e JOIN d_coupon c ON c.coupon_id = e.coupon_id
-    WHERE status = 'CLOSED' ORDER BY e.created_at DESC, event_id DESC LIMIT 50""", "d_event", "d_coupon"))
+    WHERE status = 'CLOSED'""", "d_event", "d_coupon"))
 def report_recent_events_closed(spark, sf_dir):
     t = derived.tables(spark, sf_dir)
-    return reports.recent_events(t.event, t.coupon, "CLOSED", 999)
+    return reports.recent_events(t.event, t.coupon, "CLOSED")
 
 
 @query("report_search_coupons", """
     SELECT p_partkey AS coupon_id, p_name AS coupon_name, TIMESTAMP '2000-01-01' - p_size * INTERVAL 1 DAY AS created_at FROM part
-    WHERE contains(lower(p_name), 'red') ORDER BY created_at DESC, coupon_id DESC LIMIT 50""")
+    WHERE contains(lower(p_name), 'red')""")
 def report_search_coupons(spark, sf_dir):
     coupons = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         F.col("p_partkey").alias("coupon_id"), F.col("p_name").alias("coupon_name"),
         times.plus(times.ts("2000-01-01 00:00:00"), F.col("p_size") * -24, "HOUR").alias("created_at"))
-    return reports.search_coupons(coupons, " RED ", 50)
+    return reports.search_coupons(coupons, " RED ")
 
 
 @query("report_results_page", with_views(

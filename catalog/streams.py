@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import catalog.campaigns  # noqa: F401  (defines the command views)
 from catalog.issuance import _PERSIST
 from catalog.registry import query
-from catalog.sqlviews import VIEWS, with_views
+from catalog.sqlviews import with_views
 from tallyroll.plans.staging import work_folder
 from tallyroll.schemas import ISSUE
 from tallyroll.sources import derived
@@ -18,51 +18,46 @@ from tallyroll.streaming import allocate, commands, dedup, ingest, pending, wind
 
 NOW = datetime(2024, 2, 10)
 
-# The command walk over the first command of each key only, as repeats are answered from memory.
-VIEWS["d_first_command"] = (("d_command",), """
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_uid ORDER BY command_no) AS nth FROM d_command) WHERE nth = 1
-""")
-VIEWS["d_walk_new"] = (("d_first_command", "d_issue"), VIEWS["d_walk"][1].replace("d_command", "d_first_command"))
-
-
-def _stage(df, folder):
+def _stage(df, folder, files=1000):
     """Write a derived frame so that a file stream can read it, and return that stream."""
     df.write.parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def _finish(stream, folder, mode="append"):
-    """Run a stream into files until its input is used up."""
-    q = (
-        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/position")
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+def _stage_in_order(df, folder, column, parts, files):
+    """As ``_stage``, in files that follow each other by ``column``."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    step = max(1, -(-(high + 1 - low) // parts)) if low is not None else 1
+    for k in range(parts):
+        part = df if low is None else df.filter(F.col(column).between(low + k * step, low + (k + 1) * step - 1))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("stream_failure_windows", """
-    WITH w AS (SELECT time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_id % 25 + 1 AS campaign_id,
+    SELECT time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_id % 25 + 1 AS campaign_id,
       CASE event_id % 5 WHEN 0 THEN 'SOLD_OUT' WHEN 1 THEN 'ALREADY_ISSUED' WHEN 2 THEN 'EVENT_NOT_OPEN' ELSE 'UNKNOWN' END AS reason, count(*) AS failures
-      FROM events WHERE event_type = 'error' GROUP BY ALL)
-    SELECT * FROM w WHERE window_start + INTERVAL 5 SECOND <= (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 10 SECOND""")
+    FROM events WHERE event_type = 'error' GROUP BY ALL""")
 def stream_failure_windows(spark, sf_dir):
-    """Windows the watermark has passed; the newest ones stay open."""
-    path = f"{sf_dir}/events*.parquet"
+    """Read in several micro-batches; equal to the batch form over all rows."""
+    folder = work_folder(spark, "failure-windows")
     e = F.col("event_id")
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).filter(F.col("event_type") == "error").select(
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type") == "error").select(
         (e % 25 + 1).alias("campaign_id"), F.col("ts").cast("timestamp_ntz").alias("at"),
         F.when(e % 5 == 0, "SOLD_OUT").when(e % 5 == 1, "ALREADY_ISSUED").when(e % 5 == 2, "EVENT_NOT_OPEN")
         .when(e % 5 == 3, "EVENT_CLOSED").otherwise("IDEMPOTENCY_CONFLICT").alias("reason"))
-    return _finish(windows.failure_windows(rows), work_folder(spark, "failure-windows"))
+    windows.failure_windows_query(_stage(rows.repartition(4), f"{folder}/in", 2), folder).awaitTermination()
+    return windows.window_totals(spark, folder)
 
 
 @query("stream_dedup_entries", with_views("SELECT DISTINCT message_id, event_id, issue_sequence FROM d_parsed", "d_parsed"))
 def stream_dedup_entries(spark, sf_dir):
     folder = work_folder(spark, "dedup")
     entries = derived.stream_entry(spark, sf_dir)
-    good, _ = parse_issue_entries(_stage(entries, f"{folder}/in"))
-    return _finish(dedup.drop_redelivered(good).select("message_id", "event_id", "issue_sequence"), folder)
+    good, _ = parse_issue_entries(_stage(entries.repartition(4), f"{folder}/in", 2))
+    rows = good.select("message_id", "event_id", "issue_sequence")
+    dedup.drop_redelivered_query(rows, folder).awaitTermination()
+    return dedup.first_deliveries(spark, folder, rows.schema)
 
 
 _STREAMED = _PERSIST.replace("old AS (SELECT * FROM d_issue WHERE created_at < TIMESTAMP '1997-01-01')", "old AS (SELECT * FROM d_issue WHERE false)")
@@ -89,23 +84,31 @@ def stream_allocate(spark, sf_dir):
 
 
 @query("stream_commands", with_views("""
-    SELECT command_no, issue_id, event_id, target_status, CASE WHEN refusal IS NULL THEN prev END AS previous_status, result FROM d_walk_new""", "d_walk_new"))
+    SELECT command_no, issue_id, event_id, target_status, CASE WHEN refusal IS NULL THEN prev END AS previous_status, result FROM d_keyed WHERE replay = 'NEW'
+    UNION ALL SELECT command_no, issue_id, NULL, target_status, NULL, replay FROM d_keyed WHERE replay <> 'NEW'""", "d_keyed"))
 def stream_commands(spark, sf_dir):
     from catalog.campaigns import _commands
 
     folder = work_folder(spark, "commands")
-    commands.command_query(_stage(_commands(spark, sf_dir), f"{folder}/in"), folder, derived.issue(spark, sf_dir)).awaitTermination()
-    return commands.results(spark, folder).select("command_no", "issue_id", "event_id", "target_status", "previous_status", "result")
+    cmds = _commands(spark, sf_dir)
+    # Files in the order of the log, several to a micro-batch: answers don't depend on where micro-batches end.
+    stream = _stage_in_order(cmds, f"{folder}/in", "command_no", 4, 2)
+    commands.command_query(stream, folder, derived.issue(spark, sf_dir)).awaitTermination()
+    columns = ("command_no", "issue_id", "event_id", "target_status", "previous_status", "result")
+    repeats = commands.repeats(spark, folder).join(cmds.select("command_no", "issue_id", "target_status"), "command_no")
+    return commands.results(spark, folder).select(*columns).unionByName(
+        repeats.withColumn("result", F.col("replay")).select("command_no", "issue_id", "target_status", "result"), allowMissingColumns=True)
 
 
 @query("stream_unstored_entries", with_views("""
-    WITH s AS (SELECT event_id, issue_sequence, issued_at, created_at FROM d_issue WHERE issued_at IS NOT NULL AND issue_sequence > 0),
-    m AS (SELECT least((SELECT max(issued_at) FROM s), (SELECT max(created_at) FROM s WHERE issue_sequence % 10 <> 3)) AS at_)
-    SELECT event_id, issue_sequence, issued_at AS decided_at FROM s, m
-    WHERE (issue_sequence % 10 = 3 OR created_at < issued_at) AND issued_at + INTERVAL 10 MINUTE < at_""", "d_issue"))
+    SELECT event_id, issue_sequence, issued_at AS decided_at FROM d_issue i WHERE issued_at IS NOT NULL AND issue_sequence > 0
+      AND NOT EXISTS (SELECT 1 FROM d_issue s WHERE s.issued_at IS NOT NULL AND s.issue_sequence > 0 AND s.issue_sequence % 10 <> 3 AND s.event_id = i.event_id
+        AND s.issue_sequence = i.issue_sequence AND s.created_at >= i.issued_at AND s.created_at <= i.issued_at + INTERVAL 10 MINUTE)""", "d_issue"))
 def stream_unstored_entries(spark, sf_dir):
     folder = work_folder(spark, "unstored")
     i = derived.issue(spark, sf_dir).filter(F.col("issued_at").isNotNull() & (F.col("issue_sequence") > 0))
-    entries = _stage(i.select("event_id", "issue_sequence", F.col("issued_at").alias("decided_at")), f"{folder}/entries")
-    stored = _stage(i.filter(F.col("issue_sequence") % 10 != 3).select("event_id", "issue_sequence", "created_at"), f"{folder}/stored")
-    return _finish(pending.unstored_entries(entries, stored), folder)
+    entries = _stage(i.select("event_id", "issue_sequence", F.col("issued_at").alias("decided_at")).repartition(3), f"{folder}/entries", 1)
+    stored = _stage(i.filter(F.col("issue_sequence") % 10 != 3).select("event_id", "issue_sequence", "created_at").repartition(3), f"{folder}/stored", 2)
+    pending.collect_query(entries, f"{folder}/one", pending.ENTRIES).awaitTermination()
+    pending.collect_query(stored, f"{folder}/two", pending.STORED).awaitTermination()
+    return pending.unstored_so_far(spark, f"{folder}/one", f"{folder}/two")

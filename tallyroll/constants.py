@@ -79,10 +79,6 @@ STAGE_GROUPS = {
         "settled": ("CONFIRMED_NOW", "ALREADY_CONFIRMED"),
     },
 }
-MAX_ERROR_MESSAGE = 2000
-MAX_RESULT_MESSAGE = 500
 MAX_DELIVERY_ATTEMPTS = 3
 CLAIM_IDLE_SECONDS = 30
 RETENTION_HOURS = 168
-BLOCKED_EVENT_SAMPLE = 20
-RETRY_BATCH = 1000

@@ -27,7 +27,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
-def _campaign_state(campaigns: DataFrame) -> DataFrame:
+def campaign_limits(campaigns: DataFrame) -> DataFrame:
     """Campaign limits with defaults for a campaign nobody has drawn from yet."""
     c = F.col
     have = set(campaigns.columns)
@@ -74,7 +74,7 @@ def allocate(
     )
     if remembered is not None:
         firsts = firsts.join(remembered.select(*facts), facts, "left_anti")
-    firsts = firsts.join(_campaign_state(campaigns), "campaign_id", "left").withColumn(
+    firsts = firsts.join(campaign_limits(campaigns), "campaign_id", "left").withColumn(
         "gate",
         F.when(c("known").isNull(), DECISION_NOT_INITIALIZED).when(c("corrupt"), DECISION_CORRUPTED_STATE)
         .when(c("arrived_at") < c("open_at"), DECISION_NOT_OPEN).when(c("arrived_at") >= c("close_at"), DECISION_CLOSED),
@@ -171,7 +171,7 @@ def allocate_plain(requests: DataFrame, campaigns: DataFrame) -> DataFrame:
     rows = validate_requests(requests).filter("valid").select(
         "*", F.row_number().over(by_id).alias("nth"), F.first("user_id").over(by_id).alias("first_user"),
         F.first("arrival_no").over(by_id).alias("first_no"),
-    ).join(_campaign_state(campaigns), "campaign_id", "left")
+    ).join(campaign_limits(campaigns), "campaign_id", "left")
     open_ = (c("arrived_at") >= c("open_at")) & (c("arrived_at") < c("close_at")) & c("known") & ~c("corrupt")
     firsts = rows.filter((c("nth") == 1) & open_)
     by_user = Window.partitionBy("campaign_id", "user_id").orderBy("arrival_no")

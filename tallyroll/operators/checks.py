@@ -361,9 +361,11 @@ def accuracy_summary(tables: Tables, decisions: DataFrame | None = None) -> Data
         )
         out = out.join(made, "event_id", "left").fillna(0, ["requests", "accepted", "sold_out"])
     out = out.fillna(0, ["issue_rows", "history_rows", "message_ids", "failures"])
-    return out.withColumn(
-        "accurate",
+    accurate = (
         (c("issue_rows") == c("history_rows")) & (c("issue_rows") == c("total_stock"))
         & c("max_sequence").eqNullSafe(c("issue_rows")) & (c("failures") == 0)
-        & (c("message_ids") == c("issue_rows")),
+        & (c("message_ids") == c("issue_rows"))
     )
+    if decisions is not None:
+        accurate = accurate & (c("accepted") == c("total_stock")) & (c("sold_out") == c("requests") - c("total_stock"))
+    return out.withColumn("accurate", accurate)

@@ -10,30 +10,65 @@ from pyspark.sql import functions as F
 from tallyroll.constants import EXPIRED, ISSUED, OPEN, REASON_MANUAL_EXPIRED, SCHEDULED, USED
 from tallyroll.functions.times import ts
 from tallyroll.plans.segments import number_segment, ranked, spread
+from tallyroll.plans.staging import cut
+
+
+_CONTENT = ("issue_id", "user_id", "target_status")
 
 
 def replay_commands(cmds: DataFrame, idempotency: DataFrame) -> DataFrame:
-    """Sort out repeated command keys.
+    """Hold commands against the remembered keys.
 
-    ``cmds``: event_uid, command_no, issue_id, user_id, target_status. A key seen before with
-    the same content gets the earlier answer (REPLAY), or DUPLICATE_REQUEST while that one is
-    unfinished; other content is an IDEMPOTENCY_CONFLICT. Inside one batch the first
-    command of a key stands for it.
+    ``cmds``: event_uid, command_no, issue_id, user_id, target_status. A remembered key with the same content gets
+    the earlier answer (REPLAY), or DUPLICATE_REQUEST while that one is unfinished; other content is an
+    IDEMPOTENCY_CONFLICT. Commands of keys nobody remembers are NEW.
     """
     c = F.col
-    content = F.struct("issue_id", "user_id", "target_status")
-    first = cmds.groupBy("event_uid").agg(F.min(F.struct("command_no", content.alias("content"))).alias("first"))
-    stored = idempotency.select(
-        "event_uid", content.alias("stored"), c("occurred_at").alias("stored_at"), c("from_status").alias("stored_from"),
-    )
-    out = cmds.join(first, "event_uid").join(stored, "event_uid", "left")
-    is_new = c("stored").isNull() & (c("command_no") == c("first.command_no"))
-    known = F.coalesce(c("stored"), c("first.content"))
+    stored = idempotency.select("event_uid", F.struct(*_CONTENT).alias("stored"), c("occurred_at").alias("stored_at"))
+    out = cmds.join(stored, "event_uid", "left")
     return out.withColumn(
         "replay",
-        F.when(is_new, "NEW").when(known != content, "IDEMPOTENCY_CONFLICT")
-        .when(c("stored").isNotNull() & c("stored_at").isNull(), "DUPLICATE_REQUEST").otherwise("REPLAY"),
-    ).drop("first", "stored")
+        F.when(c("stored").isNull(), "NEW").when(c("stored") != F.struct(*_CONTENT), "IDEMPOTENCY_CONFLICT")
+        .when(c("stored_at").isNull(), "DUPLICATE_REQUEST").otherwise("REPLAY"),
+    ).drop("stored", "stored_at")
+
+
+def run_commands(issue: DataFrame, cmds: DataFrame, idempotency: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Commands one after the other, keys remembered once a command has succeeded.
+
+    Returns issue updates, history rows and results of the commands that were tried, and the others with their
+    ``replay``. A refused command leaves its key free, so a later one with that key is tried.
+
+    Whether a command is tried depends on what earlier ones of its key achieved, and that on the coupons. Only coupons
+    which a key with several commands touches are looked at again: starting with the first command of each key, a round
+    tries the commands up to the first success known so far. The first n decisions are final after n rounds, and a round
+    that changes nothing ends it.
+    """
+    c = F.col
+    judged = replay_commands(cmds, idempotency)
+    open_ = judged.filter(c("replay") == "NEW").drop("replay")
+    repeated = open_.groupBy("event_uid").agg(F.count(F.lit(1)).alias("n"), F.min("command_no").alias("first")).filter("n > 1")
+    contested = cut(open_.join(repeated.select("event_uid", "first"), "event_uid"))
+    untried = contested.filter(c("command_no") > c("first")).select("command_no")
+    if not contested.isEmpty():
+        ids = contested.select("issue_id").distinct()
+        around = cut(open_.join(ids, "issue_id", "left_semi"))
+        coupons = cut(issue.join(ids, "issue_id", "left_semi"))
+        untried = cut(untried)
+        while True:
+            results = apply_commands(coupons, around.join(untried, "command_no", "left_anti"))[2]
+            won = results.filter(c("result") == "SUCCESS").join(repeated, "event_uid", "left_semi").groupBy("event_uid").agg(F.min("command_no").alias("won"))
+            after = cut(contested.join(won, "event_uid").filter(c("command_no") > c("won")).select("command_no"))
+            same = after.exceptAll(untried).isEmpty() and untried.exceptAll(after).isEmpty()
+            untried = after
+            if same:
+                break
+    updates, history, results = apply_commands(issue, open_.join(untried, "command_no", "left_anti"))
+    answers = results.filter(c("result") == "SUCCESS").select("event_uid", F.struct(*_CONTENT).alias("stored"))
+    late = open_.join(untried, "command_no", "left_semi").join(answers, "event_uid").withColumn(
+        "replay", F.when(c("stored") != F.struct(*_CONTENT), "IDEMPOTENCY_CONFLICT").otherwise("REPLAY")).drop("stored")
+    columns = [*cmds.columns, "replay"]
+    return updates, history, results, judged.filter(c("replay") != "NEW").select(columns).unionByName(late.select(columns))
 
 
 def apply_commands(issue: DataFrame, cmds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroll.constants import (
-    BLOCKED_EVENT_SAMPLE, MAX_ERROR_MESSAGE, RETRY_BATCH, STAGE_GROUPS,
+    STAGE_GROUPS,
 )
 from tallyroll.functions.text import mask_text, truncate
 from tallyroll.functions.times import convert_local, ts
@@ -95,10 +95,10 @@ def failure_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def blocked_events(df: DataFrame, per_group: int | None = BLOCKED_EVENT_SAMPLE) -> DataFrame:
+def blocked_events(df: DataFrame, per_group: int | None = None) -> DataFrame:
     """Campaigns held up by unresolved failures; missing results do not hold a campaign up.
 
-    The first ``per_group`` campaigns of each stage group are listed; None lists all.
+    All of them, or the first ``per_group`` campaigns of each stage group.
     """
     open_rows = with_group(df).filter(F.col("resolved_at").isNull() & ~_result_in("settled"))
     pairs = open_rows.select("stage_group", "event_id").distinct()
@@ -108,16 +108,16 @@ def blocked_events(df: DataFrame, per_group: int | None = BLOCKED_EVENT_SAMPLE)
     return pairs.select("event_id").distinct()
 
 
-def retry_targets(df: DataFrame, group: str, limit: int = RETRY_BATCH) -> DataFrame:
-    """Next failures to retry: never tried first, then the longest untried."""
+def retry_targets(df: DataFrame, group: str, limit: int | None = None) -> DataFrame:
+    """Failures to retry: all, or the next ``limit``, never tried first, then the longest untried."""
     rules = STAGE_GROUPS[group]
-    return (
-        df.filter(
-            F.col("failure_stage").isin(*rules["stages"]) & F.col("resolved_at").isNull()
-            & F.col("compensation_result").isin(*rules["retryable"])
-        )
-        .orderBy(F.col("last_attempt_at").asc_nulls_first(), F.col("failure_id").asc()).limit(limit)
+    rows = df.filter(
+        F.col("failure_stage").isin(*rules["stages"]) & F.col("resolved_at").isNull()
+        & F.col("compensation_result").isin(*rules["retryable"])
     )
+    if limit is None:
+        return rows
+    return rows.orderBy(F.col("last_attempt_at").asc_nulls_first(), F.col("failure_id").asc()).limit(limit)
 
 
 def sweep_unrecoverable(df: DataFrame, group: str) -> DataFrame:
@@ -130,10 +130,11 @@ def sweep_unrecoverable(df: DataFrame, group: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("unrecoverable"))
 
 
-def new_failures(df: DataFrame, zone: str = "Asia/Seoul") -> DataFrame:
-    """Rows ready to append: error text masked and cut, UTC time turned into wall-clock time."""
+def new_failures(df: DataFrame, zone: str = "Asia/Seoul", max_chars: int | None = None) -> DataFrame:
+    """Rows ready to append: error text masked, whole unless ``max_chars`` is given, UTC time turned into wall-clock time."""
+    message = mask_text(F.col("error_message"))
     return df.withColumn(
-        "error_message", truncate(mask_text(F.col("error_message")), MAX_ERROR_MESSAGE)
+        "error_message", message if max_chars is None else truncate(message, max_chars)
     ).withColumn("occurred_at", convert_local(F.col("occurred_at"), zone))
 
 
@@ -150,7 +151,7 @@ def _close(rows: DataFrame, now: datetime, outcomes: tuple[str, ...]) -> DataFra
     return rows.withColumn("resolved_at", F.when(done, F.coalesce(F.col("resolved_at"), ts(now))).otherwise(F.col("resolved_at")))
 
 
-def retry_confirms(df: DataFrame, state: DataFrame, now: datetime, limit: int = RETRY_BATCH) -> DataFrame:
+def retry_confirms(df: DataFrame, state: DataFrame, now: datetime, limit: int | None = None) -> DataFrame:
     """One sweep over failed confirmations: attempted rows with their outcome and new columns."""
     rows = _attempted(retry_targets(df, "CONFIRM", limit), now)
     answered = confirm(state, rows.select("failure_id", F.col("event_id").alias("campaign_id"), "user_id", "request_id"), "failure_id")
@@ -170,7 +171,7 @@ def retry_confirms(df: DataFrame, state: DataFrame, now: datetime, limit: int =
 
 
 def retry_compensations(
-    df: DataFrame, issue: DataFrame, state: DataFrame, now: datetime, limit: int = RETRY_BATCH
+    df: DataFrame, issue: DataFrame, state: DataFrame, now: datetime, limit: int | None = None
 ) -> DataFrame:
     """One sweep over failed stores: stored ones are confirmed, absent ones are given back."""
     rows = _attempted(retry_targets(df, "PERSIST", limit), now)

@@ -179,11 +179,11 @@ def rebuild_counters(event: DataFrame, issue: DataFrame) -> DataFrame:
     )
 
 
-def fold_init(log: DataFrame) -> DataFrame:
+def fold_init(log: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Initialization ledger per round from its attempt log.
 
     ``log``: event_id, seq, kind (ATTEMPT, SUCCESS, FAILURE), at, error_code, error_message.
-    INITIALIZED is final; a failure after it is ignored.
+    INITIALIZED is final; a failure after it is ignored. Error messages stay whole unless ``max_chars`` is given.
     """
     c = F.col
     row = F.struct("seq", "at", "kind", "error_code", "error_message")
@@ -197,6 +197,7 @@ def fold_init(log: DataFrame) -> DataFrame:
     )
     done = c("success").isNotNull()
     failed = ~done & (c("latest.kind") == "FAILURE")
+    message = c("latest.error_message") if max_chars is None else F.substring(c("latest.error_message"), 1, max_chars)
     return folded.select(
         "event_id",
         F.when(done, "INITIALIZED").when(failed, "FAILED").otherwise("PENDING").alias("status"),
@@ -204,19 +205,19 @@ def fold_init(log: DataFrame) -> DataFrame:
         c("attempt.at").alias("last_attempted_at"),
         c("success.at").alias("initialized_at"),
         F.when(failed, c("latest.error_code")).alias("last_error_code"),
-        F.when(failed, F.substring(c("latest.error_message"), 1, 500)).alias("last_error_message"),
+        F.when(failed, message).alias("last_error_message"),
         F.when(done, c("calm.at")).otherwise(c("latest.at")).alias("updated_at"),
     )
 
 
-def init_candidates(event: DataFrame, init: DataFrame, now: datetime, limit: int = 100) -> DataFrame:
-    """Rounds still to be initialized, least tried first."""
+def init_candidates(event: DataFrame, init: DataFrame, now: datetime, limit: int | None = None) -> DataFrame:
+    """Rounds still to be initialized: all, or the ``limit`` least tried."""
     c = F.col
     ledger = init.select("event_id", c("status").alias("init_status"), "attempt_count")
-    return (
+    rows = (
         event.filter(c("status").isin(SCHEDULED, OPEN) & (c("close_at") > ts(now))).select("event_id", "status")
         .join(ledger, "event_id", "left")
         .filter(c("init_status").isNull() | (c("init_status") != "INITIALIZED"))
         .select("event_id", "status", F.coalesce(c("attempt_count"), F.lit(0)).cast("long").alias("attempt_count"))
-        .orderBy("attempt_count", "event_id").limit(limit)
     )
+    return rows if limit is None else rows.orderBy("attempt_count", "event_id").limit(limit)

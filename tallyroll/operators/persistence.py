@@ -14,11 +14,14 @@ from tallyroll.constants import (
     DECISION_PERSISTENCE_FAILED, ISSUED, MAX_DELIVERY_ATTEMPTS, PENDING, REASON_ISSUE_CONFIRMED, RETENTION_HOURS,
 )
 from tallyroll.functions.times import hours, plus, ts
+from tallyroll.plans.segments import number_segment, ranked
 from tallyroll.plans.staging import cut, matching
 
 
 # Sequences stay below this number, so ids of different campaigns never meet.
 ISSUE_ID_SPAN = 1 << 32
+# Issue sequences are 32-bit numbers.
+MAX_SEQUENCE = (1 << 31) - 1
 
 
 def with_valid_to(entries: DataFrame, event: DataFrame, coupon: DataFrame) -> DataFrame:
@@ -114,10 +117,20 @@ def persist_issues(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New issue rows, their first history rows, and the classified entries.
 
+    Entries of a campaign that isn't there (NO_CAMPAIGN) and sequences that don't fit an issue id (BAD_SEQUENCE) are refused
+    before anything else; they take no key from others.
+
     A campaign gives out each sequence once, so campaign and sequence make up the issue id: unique,
     the same on every retry, and without numbering all rows in one task.
     """
-    judged = classify_entries(entries, issue)
+    known = event.select("event_id", F.lit(True).alias("_known")).distinct()
+    entries = entries.join(known, "event_id", "left").withColumn(
+        "_refusal",
+        F.when(F.col("_known").isNull(), "NO_CAMPAIGN").when(~F.col("issue_sequence").between(1, MAX_SEQUENCE), "BAD_SEQUENCE"),
+    ).drop("_known")
+    refused = entries.filter(F.col("_refusal").isNotNull()).withColumn("outcome", F.col("_refusal")).drop("_refusal")
+    judged = classify_entries(entries.filter(F.col("_refusal").isNull()).drop("_refusal"), issue)
+    judged = judged.unionByName(refused.select(judged.columns))
     fresh = judged.filter(F.col("outcome") == "INSERT").withColumn("valid_from", F.col("decided_at"))
     fresh = with_valid_to(fresh, event, coupon)
     new_issue = fresh.select(
@@ -185,17 +198,30 @@ def compensate(state: DataFrame, cmds: DataFrame, order: str = "command_no") ->
     return _answer(state, cmds, order, "compensate_result", already, "COMPENSATED", "NOT_COMPENSABLE", "ALREADY_COMPENSATED")
 
 
-def apply_answers(state: DataFrame, answers: DataFrame, result: str, now: datetime) -> DataFrame:
-    """Request records after the acting commands: life cycle moved on, counters left to :func:`counter_deltas`."""
+def apply_answers(
+    state: DataFrame, answers: DataFrame, result: str, now: datetime, stock: DataFrame | None = None, order: str = "command_no",
+) -> DataFrame:
+    """Request records after the acting commands: life cycle moved on, counters left to :func:`counter_deltas`.
+
+    With ``stock`` (campaign_id, stock before the commands) a compensated record holds the stock it restored: one more
+    for each command of its campaign up to its own.
+    """
     done = "CONFIRMED_NOW" if result == "confirm_result" else "COMPENSATED"
     code, stage = (DECISION_ACCEPTED, CONFIRMED) if done == "CONFIRMED_NOW" else (DECISION_PERSISTENCE_FAILED, COMPENSATED)
-    moved = answers.filter(F.col(result) == done).select("campaign_id", "request_id").distinct().withColumn("_moved", F.lit(True))
+    acted = answers.filter(F.col(result) == done)
+    moved = acted.groupBy("campaign_id", "request_id").agg(F.min(order).alias("_at"), F.lit(True).alias("_moved"))
+    restored = F.lit(None).cast("long")
+    if stock is not None and done == "COMPENSATED":
+        moved = ranked(moved, ["campaign_id"], number_segment(F.col("_at")), [F.col("_at").asc()], name="_place").join(
+            stock.select("campaign_id", F.col("stock").alias("_stock")), "campaign_id", "left")
+        restored = F.col("_stock") + F.col("_place")
     m = F.coalesce(F.col("_moved"), F.lit(False))
     return state.join(moved, ["campaign_id", "request_id"], "left").select(
         *[
             F.when(m, F.lit(code)).otherwise(F.col(c)).alias(c) if c == "code"
             else F.when(m, F.lit(stage)).otherwise(F.col(c)).alias(c) if c == "lifecycle"
             else F.when(m, ts(now)).otherwise(F.col(c)).alias(c) if c == "updated_at"
+            else F.when(m, F.coalesce(restored, F.col(c))).otherwise(F.col(c)).alias(c) if c == "remaining"
             else F.col(c)
             for c in state.columns
         ]

@@ -35,6 +35,14 @@ def _only(df: DataFrame, ids: DataFrame | None, key: str) -> DataFrame:
     return df if ids is None else df.join(ids.select(key), key, "left_semi")
 
 
+def _with_unknown(outcomes: DataFrame, ids: DataFrame | None, table: DataFrame, key: str) -> DataFrame:
+    """Outcomes with one NOT_FOUND row for each target that the table doesn't have."""
+    if ids is None:
+        return outcomes
+    unknown = ids.select(key).distinct().join(table.select(key), key, "left_anti").withColumn("outcome", F.lit("NOT_FOUND"))
+    return outcomes.unionByName(unknown, allowMissingColumns=True)
+
+
 def reconcile_stock(event: DataFrame, issue: DataFrame, now: datetime, ids: DataFrame | None = None) -> Proposal:
     """Set the counters from the issues; refused while more issues are active than the stock allows."""
     active = F.coalesce(F.col("actual_active_count"), F.lit(0))
@@ -52,7 +60,11 @@ def reconcile_stock(event: DataFrame, issue: DataFrame, now: datetime, ids: Data
         (F.col("total_stock") - F.col("actual_active_count")).alias("remaining_stock"),
         ts(now).alias("updated_at"),
     )
-    return Proposal(outcomes, event_updates=updates)
+    return Proposal(_with_unknown(outcomes, ids, event, "event_id"), event_updates=updates)
+
+
+# More segments than issue ids can fill.
+NO_SEQUENCE = 1 << 50
 
 
 def excess_issues(event: DataFrame, issue: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -65,9 +77,11 @@ def excess_issues(event: DataFrame, issue: DataFrame, ids: DataFrame | None = No
         .filter(F.col("excess") > 0)
     )
     sequence = F.coalesce(F.col("issue_sequence"), F.lit(-1))
+    # Coupons without a sequence come last; their segments follow the issue id, which orders them.
+    segment = F.when(F.col("issue_sequence").isNull(), number_segment(F.col("issue_id")) - NO_SEQUENCE).otherwise(number_segment(F.col("sequence")))
     return ranked(
         active.join(over, "event_id").withColumn("sequence", sequence),
-        ["event_id"], number_segment(F.col("sequence")), [F.col("sequence").desc(), F.col("issue_id").desc()],
+        ["event_id"], segment, [F.col("sequence").desc(), F.col("issue_id").desc()],
         limit="excess", descending=True, name="excess_rank",
     )
 
@@ -104,7 +118,7 @@ def revoke_excess(event: DataFrame, issue: DataFrame, now: datetime, ids: DataFr
     )
     issues = revoked.select("issue_id", F.lit(CANCELED).alias("status"), at.alias("canceled_at"))
     history = _history_rows(revoked, F.lit(ISSUED), CANCELED, ACTOR_STOCK_RECOVERY, REASON_REVOKED, at, at, "revoke", now)
-    return Proposal(outcomes, event_updates=events, issue_updates=issues, history_inserts=history)
+    return Proposal(_with_unknown(outcomes, ids, event, "event_id"), event_updates=events, issue_updates=issues, history_inserts=history)
 
 
 def _history_rows(rows, from_status, to_status, actor, reason, occurred, recorded, operation, now, uid=None):
@@ -162,7 +176,7 @@ def restore_chain(issue: DataFrame, history: DataFrame, ids: DataFrame | None =
     fixed = verdict.filter(c("outcome") == "RECOVERED")
     deletes = chain.filter(in_tail).join(fixed.select("issue_id"), "issue_id", "left_semi").select("history_id", "issue_id")
     return Proposal(
-        verdict.select("issue_id", "event_id", "outcome"),
+        _with_unknown(verdict.select("issue_id", "event_id", "outcome"), ids, issue, "issue_id"),
         issue_updates=fixed.select("issue_id", "status", "used_at", "canceled_at"),
         history_deletes=deletes,
     )
@@ -178,7 +192,7 @@ def sync_times(
         "issue_id", "event_id", "status", "issued_at", "used_at",
         F.when(c("status") == USED, c("used_at")).otherwise(c("issued_at")).alias("issue_time"),
     )
-    latest = latest_history(history, "from_status")
+    latest = latest_history(history if ids is None else history.join(rows.select("issue_id"), "issue_id", "left_semi"), "from_status")
     reentry = (c("status") == ISSUED) & c("from_status").isNotNull()
     apart = c("issue_time").isNull() | (
         F.abs(micros_between(c("issue_time"), c("occurred_at"))) > tolerance_seconds * 1_000_000
@@ -191,7 +205,7 @@ def sync_times(
         F.when(c("status") == ISSUED, c("occurred_at")).otherwise(c("issued_at")).alias("issued_at"),
         F.when(c("status") == USED, c("occurred_at")).otherwise(c("used_at")).alias("used_at"),
     )
-    return Proposal(judged.select("issue_id", "event_id", "outcome"), issue_updates=patched)
+    return Proposal(_with_unknown(judged.select("issue_id", "event_id", "outcome"), ids, issue, "event_id"), issue_updates=patched)
 
 
 def restore_initial_history(
@@ -208,7 +222,8 @@ def restore_initial_history(
             c("from_status").isNull() & (c("to_status") == ISSUED) & (c("event_uid") == c("request_id")), 1
         )).alias("restored_rows"),
     )
-    taken = history.select(c("event_uid").alias("request_id")).distinct().withColumn("taken", F.lit(True))
+    wanted = targets.select(c("request_id").alias("event_uid"))
+    taken = history.select("event_uid").join(wanted, "event_uid", "left_semi").select(c("event_uid").alias("request_id")).distinct().withColumn("taken", F.lit(True))
     judged = (
         targets.join(mine, "issue_id", "left").join(taken, "request_id", "left")
         .fillna(0, ["history_count", "restored_rows"])
@@ -229,7 +244,7 @@ def restore_initial_history(
         judged.filter(c("outcome") == "RESTORED"), F.lit(None), ISSUED, ACTOR_SYSTEM, REASON_ISSUE_CONFIRMED,
         c("issued_at"), ts(now), "restore", now, uid=c("request_id"),
     )
-    return Proposal(judged.select("issue_id", "event_id", "history_count", "outcome"), history_inserts=inserts)
+    return Proposal(_with_unknown(judged.select("issue_id", "event_id", "history_count", "outcome"), ids, issue, "issue_id"), history_inserts=inserts)
 
 
 def expire_delayed(
@@ -265,7 +280,7 @@ def expire_delayed(
     )
     expired = judged.filter(c("outcome") == "EXPIRED")
     return Proposal(
-        judged.select("issue_id", "event_id", "outcome"),
+        _with_unknown(judged.select("issue_id", "event_id", "outcome"), ids, issue, "issue_id"),
         issue_updates=expired.select("issue_id", F.lit(EXPIRED).alias("status")),
         history_inserts=_history_rows(
             expired, F.lit(ISSUED), EXPIRED, ACTOR_SYSTEM, REASON_RECOVERY_EXPIRATION, c("valid_to"), at, "expire", now

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroll.constants import ISSUED
-from tallyroll.functions.text import clamp, mask_email, mask_name, mask_phone
+from tallyroll.functions.text import mask_email, mask_name, mask_phone
 from tallyroll.functions.times import local_to_offset_text, micros_between, plus
 from tallyroll.operators.failures import page
 
@@ -53,21 +53,20 @@ def issuance_log(
 
 
 def recent_events(event: DataFrame, coupon: DataFrame, status: str | None = None, size: int | None = None) -> DataFrame:
-    """Newest rounds with their coupon; 6 by default, 50 at most."""
+    """Rounds with their coupon: all, or the ``size`` newest."""
     rows = event if status is None else event.filter(F.col("status") == status)
-    n = clamp(size, 1, 50, 6)
-    newest = rows.orderBy(F.col("created_at").desc(), F.col("event_id").desc()).limit(n)
+    newest = rows if size is None else rows.orderBy(F.col("created_at").desc(), F.col("event_id").desc()).limit(size)
     return newest.join(coupon.select("coupon_id", "coupon_name", "type", "value"), "coupon_id").select(
         "event_id", "coupon_id", "coupon_name", "type", "value", "round", "status", "total_stock", "remaining_stock", "created_at"
     )
 
 
 def search_coupons(coupon: DataFrame, keyword: str | None = None, size: int | None = None) -> DataFrame:
-    """Coupons whose name contains the keyword, case ignored and wildcards literal; newest first."""
+    """Coupons whose name contains the keyword, case ignored and wildcards literal: all, or the ``size`` newest."""
     rows = coupon
     if keyword and keyword.strip():
         rows = rows.filter(F.contains(F.lower(F.col("coupon_name")), F.lit(keyword.strip().lower())))
-    return rows.orderBy(F.col("created_at").desc(), F.col("coupon_id").desc()).limit(clamp(size, 1, 50, 6))
+    return rows if size is None else rows.orderBy(F.col("created_at").desc(), F.col("coupon_id").desc()).limit(size)
 
 
 def results_page(results: DataFrame, number: int, size: int, status: str | None = None) -> DataFrame:

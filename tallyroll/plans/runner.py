@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroll.constants import MAX_RESULT_MESSAGE, ORPHAN_THRESHOLD_MINUTES
+from tallyroll.constants import ORPHAN_THRESHOLD_MINUTES
 from tallyroll.functions.times import seconds, ts
 from tallyroll.operators import checks as rules
 from tallyroll.plans.scope import ALL, AS_OF_RANGE, EVENT, Scope
@@ -149,7 +149,7 @@ def summarize(
         F.when(message.isNotNull(), "ERROR").when(n > 0, "FAIL").otherwise("PASS").alias("status"),
         F.when(message.isNotNull(), F.lit(0)).otherwise(n).cast("long").alias("violation_count"),
         F.to_json(F.create_map(F.lit("violationCount"), n.cast("string"))).alias("diff_detail"),
-        F.substring(message, 1, MAX_RESULT_MESSAGE).alias("error_message"),
+        message.alias("error_message"),
         ts(executed_at).alias("executed_at"),
         F.when(message.isNotNull() | (n > 0), "NOT_RECOVERED").otherwise("NOT_REQUIRED").alias("recovery_status"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyroll.operators.commands import apply_commands, replay_commands
+from tallyroll.operators.commands import run_commands
 from tallyroll.operators.recovery import apply_changes
 from tallyroll.plans.staging import matching, read_batches, write_batch
 
@@ -44,9 +44,7 @@ def command_batch(cmds: DataFrame, number: int, folder: str, issue: DataFrame) -
     """Apply one micro-batch; only commands that succeeded are remembered by key."""
     spark = cmds.sparkSession
     done = matching(read_batches(spark, f"{folder}/done", _DONE, number).drop("batch"), cmds, ["event_uid"])
-    sorted_out = replay_commands(cmds, done)
-    fresh = sorted_out.filter(F.col("replay") == "NEW").drop("replay")
-    updates, history, results = apply_commands(current_issue(spark, folder, issue, number, cmds), fresh)
+    updates, history, results, repeats = run_commands(current_issue(spark, folder, issue, number, cmds), cmds, done)
     write_batch(results, f"{folder}/result", number)
     write_batch(updates, f"{folder}/update", number)
     write_batch(history, f"{folder}/history", number)
@@ -54,7 +52,7 @@ def command_batch(cmds: DataFrame, number: int, folder: str, issue: DataFrame) -
     write_batch(
         mine.select("event_uid", "issue_id", "user_id", "target_status", F.col("previous_status").alias("from_status"), F.col("at").alias("occurred_at")),
         f"{folder}/done", number)
-    write_batch(sorted_out.filter(F.col("replay") != "NEW").select("command_no", "event_uid", "replay"), f"{folder}/replayed", number)
+    write_batch(repeats.select("command_no", "event_uid", "replay"), f"{folder}/replayed", number)
 
 
 def command_query(stream: DataFrame, folder: str, issue: DataFrame, available_now: bool = True) -> StreamingQuery:
@@ -71,3 +69,8 @@ def command_query(stream: DataFrame, folder: str, issue: DataFrame, available_no
 
 def results(spark, folder: str) -> DataFrame:
     return read_batches(spark, f"{folder}/result", _RESULT).drop("batch")
+
+
+def repeats(spark, folder: str) -> DataFrame:
+    """Commands that an earlier one with their key answers."""
+    return read_batches(spark, f"{folder}/replayed", _schema(("command_no", _L), ("event_uid", _S), ("replay", _S))).drop("batch")

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from tallyroll.constants import RETENTION_HOURS
+from tallyroll.plans.staging import read_batches, write_batch
 
 
-def drop_redelivered(entries: DataFrame, at: str = "decided_at", hours: int = RETENTION_HOURS) -> DataFrame:
-    """One row per message id; on a stream, repeats are remembered for the retention time."""
-    if not entries.isStreaming:
-        return entries.dropDuplicates(["message_id"])
-    clock = entries.withColumn("_clock", F.col(at).cast("timestamp_ltz")).withWatermark("_clock", f"{hours} hours")
-    return clock.dropDuplicatesWithinWatermark(["message_id"]).drop("_clock")
+def drop_redelivered(entries: DataFrame) -> DataFrame:
+    """One row per message id."""
+    return entries.dropDuplicates(["message_id"])
+
+
+def drop_redelivered_query(entries: DataFrame, folder: str) -> StreamingQuery:
+    """First deliveries into ``folder``/out. Message ids are remembered as a narrow table of earlier batches.
+
+    No delivery is dropped for being late. Whoever knows that a message can't come again after some time may delete the
+    ``ids`` folders of older batches.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        seen = read_batches(batch.sparkSession, f"{folder}/ids", T.StructType([T.StructField("message_id", T.StringType())]), before=number)
+        fresh = drop_redelivered(batch).join(seen.select("message_id"), "message_id", "left_anti").select(batch.columns)
+        write_batch(fresh, f"{folder}/out", number)
+        kept = batch.sparkSession.read.schema(fresh.schema).parquet(f"{folder}/out/batch={number}")
+        write_batch(kept.select(F.col("message_id").cast("string").alias("message_id")), f"{folder}/ids", number)
+
+    return entries.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/position").trigger(availableNow=True).start()
+
+
+def first_deliveries(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    return read_batches(spark, f"{folder}/out", schema).drop("batch")

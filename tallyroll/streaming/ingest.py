@@ -42,9 +42,12 @@ def persist_batch(entries: DataFrame, batch: int, folder: str, event: DataFrame,
     issues, history, judged = persist_issues(arrivals, stored, event, coupon, now)
     write_batch(issues.select(ISSUE.fieldNames()), f"{folder}/issue", batch)
     write_batch(history, f"{folder}/history", batch)
-    answered = judged.filter(F.col("outcome") != "CONFLICT").select(F.col("event_id").alias("campaign_id"), "request_id", "user_id").distinct()
+    stored_now = F.col("outcome").isin("INSERT", "ABSORBED")
+    answered = judged.filter(stored_now).select(F.col("event_id").alias("campaign_id"), "request_id", "user_id").distinct()
     write_batch(answered, f"{folder}/confirm", batch)
     write_batch(judged.filter(F.col("outcome") == "CONFLICT").select("entry_id", "event_id", "request_id", "user_id", "issue_sequence"), f"{folder}/conflict", batch)
+    refused = judged.filter(F.col("outcome").isin("NO_CAMPAIGN", "BAD_SEQUENCE"))
+    write_batch(refused.select("entry_id", "event_id", "request_id", "user_id", "issue_sequence", "outcome"), f"{folder}/refused", batch)
     write_batch(bad, f"{folder}/malformed", batch)
 
 

@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from tallyroll.functions.times import ts
+from tallyroll.plans.staging import read_batches, write_batch
+
+_KEY = [T.StructField("event_id", T.LongType()), T.StructField("issue_sequence", T.LongType())]
+ENTRIES = T.StructType([*_KEY, T.StructField("decided_at", T.TimestampNTZType())])
+STORED = T.StructType([*_KEY, T.StructField("created_at", T.TimestampNTZType())])
 
 
-def unstored_entries(entries: DataFrame, stored: DataFrame, wait: str = "10 minutes") -> DataFrame:
-    """Stream-stream outer join: entries without a stored row within ``wait`` of their decision.
+def unstored_entries(entries: DataFrame, stored: DataFrame, wait: str = "10 minutes", as_of: datetime | None = None) -> DataFrame:
+    """Entries without a stored row from their decision to ``wait`` later.
 
-    ``entries``: event_id, issue_sequence, decided_at. ``stored``: event_id, issue_sequence, created_at. An
-    entry is reported once the watermark has passed its waiting time.
+    ``entries``: event_id, issue_sequence, decided_at. ``stored``: event_id, issue_sequence, created_at. With ``as_of``
+    only entries whose waiting time has passed by then; otherwise all.
     """
-    e = entries.select("event_id", "issue_sequence", "decided_at").withColumn("e_at", F.col("decided_at").cast("timestamp_ltz")).withWatermark("e_at", "0 seconds")
-    s = stored.select(
-        F.col("event_id").alias("s_event"), F.col("issue_sequence").alias("s_sequence"), F.col("created_at").cast("timestamp_ltz").alias("s_at")
-    ).withWatermark("s_at", "0 seconds")
+    span = F.expr(f"INTERVAL {wait}")
+    e, s = entries.alias("e"), stored.alias("s")
     within = (
-        (F.col("event_id") == F.col("s_event")) & (F.col("issue_sequence") == F.col("s_sequence"))
-        & (F.col("s_at") >= F.col("e_at")) & (F.col("s_at") <= F.col("e_at") + F.expr(f"INTERVAL {wait}"))
+        (F.col("e.event_id") == F.col("s.event_id")) & (F.col("e.issue_sequence") == F.col("s.issue_sequence"))
+        & (F.col("s.created_at") >= F.col("e.decided_at")) & (F.col("s.created_at") <= F.col("e.decided_at") + span)
     )
-    return e.join(s, within, "left_outer").filter(F.col("s_event").isNull()).select("event_id", "issue_sequence", "decided_at")
+    out = e.join(s, within, "left_anti").select("event_id", "issue_sequence", "decided_at")
+    return out if as_of is None else out.filter(F.col("decided_at") + span < ts(as_of))
+
+
+def collect_query(rows: DataFrame, folder: str, schema: T.StructType) -> StreamingQuery:
+    """Keeps one side of the comparison; a row is taken whenever it comes."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        write_batch(batch.select(schema.fieldNames()), f"{folder}/rows", number)
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/position").trigger(availableNow=True).start()
+
+
+def unstored_so_far(spark: SparkSession, entries: str, stored: str, wait: str = "10 minutes", as_of: datetime | None = None) -> DataFrame:
+    """The comparison over everything that both streams have brought."""
+    return unstored_entries(
+        read_batches(spark, f"{entries}/rows", ENTRIES).drop("batch"), read_batches(spark, f"{stored}/rows", STORED).drop("batch"), wait, as_of)

@@ -113,7 +113,67 @@ def test_give_back_frees_the_place_and_the_user(spark, tmp_path):
         spark.createDataFrame(part, streaming.COMMAND).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(streaming.COMMAND).parquet(f"{tmp_path}/in")
         streaming.allocate_query(stream, f"{tmp_path}/out", table).awaitTermination()
-    codes = {r["arrival_no"]: (r["code"], r["issue_sequence"]) for r in streaming.decisions(spark, f"{tmp_path}/out").collect()}
-    assert codes == {1: (0, 1), 2: (1, None), 5: (0, 2), 6: (8, 1), 9: (1, None)}
+    codes = {r["arrival_no"]: (r["code"], r["issue_sequence"], r["remaining"]) for r in streaming.decisions(spark, f"{tmp_path}/out").collect()}
+    assert codes == {1: (0, 1, 0), 2: (1, None, 0), 5: (0, 2, 0), 6: (8, 1, 1), 9: (1, None, 0)}
     back = {r["arrival_no"]: r["result"] for r in streaming.give_backs(spark, f"{tmp_path}/out").collect()}
     assert back == {3: "COMPENSATED", 4: "NOT_COMPENSABLE", 7: "ALREADY_COMPENSATED", 8: "REQUEST_NOT_FOUND"}
+
+
+def replay_with_give_backs(rows, stocks):
+    """One command after the other."""
+    memory, holders, drawn, out = {}, set(), dict.fromkeys(stocks, 0), {}
+    left = dict(stocks)
+    for kind, campaign, user, request, at, no in rows:
+        known = memory.get((campaign, request))
+        if kind == "COMPENSATE":
+            if known is None:
+                out[no] = "REQUEST_NOT_FOUND"
+            elif known[0] != user:
+                out[no] = "INVALID_ARGUMENT"
+            elif known[1] == 8:
+                out[no] = "ALREADY_COMPENSATED"
+            elif known[1] != 0:
+                out[no] = "NOT_COMPENSABLE"
+            else:
+                left[campaign] += 1
+                holders.discard((campaign, user))
+                memory[campaign, request] = (user, 8, known[2], left[campaign])
+                out[no] = "COMPENSATED"
+        elif known is not None:
+            out[no] = known[1:] if known[0] == user else (6, None, None)
+        else:
+            if (campaign, user) in holders:
+                code, sequence = 2, None
+            elif not left[campaign]:
+                code, sequence = 1, None
+            else:
+                left[campaign] -= 1
+                drawn[campaign] += 1
+                holders.add((campaign, user))
+                code, sequence = 0, drawn[campaign]
+            memory[campaign, request] = (user, code, sequence, left[campaign])
+            out[no] = memory[campaign, request][1:]
+    return out
+
+
+def test_answers_do_not_depend_on_micro_batches(spark, tmp_path):
+    import random
+
+    draw, at = random.Random(11), OPEN + timedelta(seconds=1)
+    rows = []
+    for no in range(1, 121):
+        request = draw.randrange(30)
+        user = request % 8 + 1 if draw.random() < 0.9 else 9
+        rows.append(("COMPENSATE" if draw.random() < 0.4 else "REQUEST", draw.randrange(1, 4), user, f"r{request}", at, no))
+    want = replay_with_give_backs(rows, {1: 3, 2: 1, 3: 1000})
+    assert {"COMPENSATED", "NOT_COMPENSABLE", "ALREADY_COMPENSATED", "INVALID_ARGUMENT"} <= {v for v in want.values() if isinstance(v, str)}
+    table = spark.createDataFrame([(1, 3, OPEN, CLOSE), (2, 1, OPEN, CLOSE), (3, 1000, OPEN, CLOSE)], CAMPAIGN)
+    for k in range(0, 120, 60):
+        spark.createDataFrame(rows[k : k + 60], streaming.COMMAND).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for files in (2, 1):
+        folder = f"{tmp_path}/out{files}"
+        stream = spark.readStream.schema(streaming.COMMAND).option("maxFilesPerTrigger", files).parquet(f"{tmp_path}/in")
+        streaming.allocate_query(stream, folder, table).awaitTermination()
+        got = {r["arrival_no"]: (r["code"], r["issue_sequence"], r["remaining"]) for r in streaming.decisions(spark, folder).collect()}
+        got |= {r["arrival_no"]: r["result"] for r in streaming.give_backs(spark, folder).collect()}
+        assert got == want

@@ -87,7 +87,58 @@ def test_repeated_keys(spark):
         [("b", 1, 1, "USED", "ISSUED", START), ("c", 1, 1, "USED", None, None), ("d", 1, 2, "USED", "ISSUED", START)],
         "event_uid string, issue_id long, user_id long, target_status string, from_status string, occurred_at timestamp_ntz")
     got = {r["command_no"]: r["replay"] for r in commands.replay_commands(cmds, idem).collect()}
-    assert got == {1: "NEW", 2: "REPLAY", 3: "IDEMPOTENCY_CONFLICT", 4: "REPLAY", 5: "DUPLICATE_REQUEST", 6: "IDEMPOTENCY_CONFLICT"}
+    assert got == {1: "NEW", 2: "NEW", 3: "NEW", 4: "REPLAY", 5: "DUPLICATE_REQUEST", 6: "IDEMPOTENCY_CONFLICT"}
+
+
+def keyed_walk(issues, cmds):
+    """One command after the other; a key is remembered when its command has succeeded."""
+    status = {i["issue_id"]: i["status"] for i in issues}
+    known = {i["issue_id"]: i for i in issues}
+    memory, out = {}, {}
+    for no, uid, issue, user, target, _, at in sorted(cmds):
+        content = (issue, user, target)
+        if uid in memory:
+            out[no] = "REPLAY" if memory[uid] == content else "IDEMPOTENCY_CONFLICT"
+            continue
+        row = known[issue]
+        if row["user_id"] != user:
+            out[no] = "INVALID_REQUEST"
+        elif target == "USED" and row["valid_from"] > at:
+            out[no] = "EVENT_NOT_OPEN"
+        elif target in ("USED", "ISSUED") and row["valid_to"] < at:
+            out[no] = "ALREADY_EXPIRED"
+        elif (status[issue], target) in (("ISSUED", "USED"), ("ISSUED", "EXPIRED"), ("USED", "ISSUED")):
+            out[no], status[issue], memory[uid] = "SUCCESS", target, content
+        else:
+            out[no] = {("USED", "USED"): "ALREADY_USED", ("ISSUED", "ISSUED"): "NOT_YET_USED", ("EXPIRED", "EXPIRED"): "ALREADY_EXPIRED"}.get(
+                (status[issue], target), "INVALID_STATE_TRANSITION")
+    return out
+
+
+def test_a_refused_command_leaves_its_key_free(spark, make, tmp_path):
+    import random
+
+    draw = random.Random(3)
+    issues = [issue_row(i, user_id=1) for i in range(1, 4)]
+    cmds = []
+    for no in range(1, 31):
+        at = START + timedelta(minutes=draw.choice([-30, 10, 20, 200]))
+        cmds.append((no, f"k{draw.randrange(8)}", draw.randrange(1, 4), 1, draw.choice(["USED", "ISSUED", "USED", "EXPIRED"] if no > 20 else ["USED", "ISSUED"]), None, at))
+    want = keyed_walk(issues, cmds)
+    assert {"REPLAY", "IDEMPOTENCY_CONFLICT", "SUCCESS", "EVENT_NOT_OPEN"} <= set(want.values())
+    df = make.rows(streaming.COMMAND, *cmds)
+    empty = spark.createDataFrame([], "event_uid string, issue_id long, user_id long, target_status string, occurred_at timestamp_ntz")
+    _, _, results, repeats = commands.run_commands(make.issue(*issues), df, empty)
+    got = {r["command_no"]: r["result"] for r in results.collect()} | {r["command_no"]: r["replay"] for r in repeats.collect()}
+    assert got == want
+    # The same answers whatever the size of the micro-batches.
+    for k in range(2):
+        df.filter(f"command_no > {15 * k} and command_no <= {15 * k + 15}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(streaming.COMMAND).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streaming.command_query(stream, f"{tmp_path}/out", make.issue(*issues)).awaitTermination()
+    got = {r["command_no"]: r["result"] for r in streaming.results(spark, f"{tmp_path}/out").collect()}
+    got |= {r["command_no"]: r["replay"] for r in spark.read.parquet(f"{tmp_path}/out/replayed").collect()}
+    assert got == want
 
 
 def test_rounds(spark, make):
@@ -138,5 +189,5 @@ def test_initialization_ledger(spark):
     got = {r["event_id"]: r for r in lifecycle.fold_init(log).collect()}
     assert (got[1]["status"], got[1]["attempt_count"], got[1]["initialized_at"], got[1]["last_error_code"], got[1]["updated_at"]) == (
         "INITIALIZED", 2, at(4), None, at(4))
-    assert (got[2]["status"], got[2]["last_error_code"], len(got[2]["last_error_message"])) == ("FAILED", "E", 500)
+    assert (got[2]["status"], got[2]["last_error_code"], len(got[2]["last_error_message"])) == ("FAILED", "E", 600)
     assert (got[3]["status"], got[3]["last_error_code"], got[3]["updated_at"]) == ("PENDING", None, at(2))
