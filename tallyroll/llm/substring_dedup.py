@@ -150,7 +150,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["chunk", "bucket", "bits"])
 
 
-OCCURRENCE = ["<u8", "<u8", "<u8", "<i8", "<u8", "u1", "u1", f"V{2 * SIDE}"]
+OCCURRENCE = ["<u8", "<u8", "u1", "<i8", "<u8", "u1", "u1", f"V{2 * SIDE}"]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         column = np.arange(SIDE)
         around[:, :SIDE][column[None, :] < SIDE - left[:, None]] = 0
         around[:, SIDE:][column[None, :] >= right[:, None]] = 0
-        none = np.frombuffer(missing, "u1")[row].astype(np.uint64)
+        none = np.frombuffer(missing, "u1")[row]
         doc = np.frombuffer(ids, "<i8")[row]
         # Texts without an id come last; equal ids go by chunk and place.
         place = np.uint64(chunk) << U64(32) | at.astype(np.uint64)
@@ -241,7 +241,11 @@ def shift_hashes(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.
 def _sort_buckets(batches: Iterator[pa.RecordBatch], buckets: int, hot_rows: int) -> Iterator[pa.RecordBatch]:
     """Masks of the samples of each suffix bucket, and open strings of hot classes."""
     names = ["kind", "bucket", "piece"]
-    for (_,), rows in grouped(batches, 1):
+    for (kind, bucket), rows in grouped(batches, 2):
+        if kind == 1:  # settled where it was found
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([1] * len(rows), pa.int32()), pa.array([bucket] * len(rows), pa.int64()), pa.array([p for (p,) in rows], pa.binary())], names=names)
+            continue
         raw = [zstandard.ZstdDecompressor().decompress(p) for (p,) in rows]
         key, second, none, doc, place, left, right, around = dealt(raw, OCCURRENCE)
         del raw
@@ -312,7 +316,7 @@ def _returned(place: np.ndarray, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open strings of hot classes: all but the first of equal ones start earlier elsewhere."""
     for (_,), rows in grouped(batches, 1):
-        value, second, none, doc, place, shift = dealt([p for (p,) in rows], ["<u8", "<u8", "<u8", "<i8", "<u8", "u1"])
+        value, second, none, doc, place, shift = dealt([p for (p,) in rows], ["<u8", "<u8", "u1", "<i8", "<u8", "u1"])
         by = np.lexsort((place, doc, none, second, value))
         later = by[1:][(value[by[1:]] == value[by[:-1]]) & (second[by[1:]] == second[by[:-1]])]
         yield from _returned(place[later], U64(1) << shift[later].astype(np.uint64))
@@ -378,13 +382,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_rows: int = HOT
 
     found = beside(met.select("chunk", F.col("bucket").alias("kind"), F.col("bits").alias("piece"))).mapInArrow(
         lambda it: _occurrences(it, buckets), "kind int, bucket long, piece binary")
-    found = staged(found, "substring-samples", "uncompressed")
-    sorted_ = found.filter("kind = 0").select("bucket", "piece").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    # Samples are the largest thing on the way: they are shuffled once and never stored.
+    sorted_ = found.select("kind", "bucket", "piece").repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(
         lambda it: _sort_buckets(it, buckets, hot_rows), "kind int, bucket long, piece binary")
     sorted_ = staged(sorted_, "substring-masks", "uncompressed")
     hot = sorted_.filter("kind = 2").select("bucket", "piece").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
         _settle, "kind int, bucket long, piece binary")
-    masks = found.unionByName(sorted_).filter("kind = 1").unionByName(hot).select(F.col("bucket").alias("chunk"), "kind", "piece")
+    masks = sorted_.filter("kind = 1").unionByName(hot).select(F.col("bucket").alias("chunk"), "kind", "piece")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return beside(masks).mapInArrow(lambda it: _remove(it, with_text), schema)
 
