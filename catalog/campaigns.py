@@ -250,7 +250,7 @@ def command_issue_updates(spark, sf_dir):
 # The same walk with remembered keys: what a key's first success said answers its repeats, and refusals leave it free.
 def _keyed(idem: str) -> str:
     moves = "('ISSUED>USED', 'ISSUED>EXPIRED', 'USED>ISSUED')"
-    step = f"""r.refusal IS NULL AND r.seen IS NULL AND NOT list_contains(list_transform({{m}}, x -> x[1]), r.event_uid) AND concat({{s}}, '>', r.target_status) IN {moves}"""
+    step = f"""r.refusal IS NULL AND r.seen IS NULL AND NOT list_contains(list_transform({{m}}, lambda x: x[1]), r.event_uid) AND concat({{s}}, '>', r.target_status) IN {moves}"""
     keep = "CASE WHEN {c} THEN list_append({m}, [r.event_uid, r.target_status]) ELSE {m} END"
     first, later = step.format(m="CAST([] AS VARCHAR[][])", s="r.s0"), step.format(m="w.mem", s="w.state")
     return f"""
@@ -271,7 +271,7 @@ def _keyed(idem: str) -> str:
       SELECT r.*, w.state, w.mem, CASE WHEN {later} THEN r.target_status ELSE w.state END, {keep.format(c=later, m="w.mem")}
       FROM w JOIN r ON r.issue_id = w.issue_id AND r.step = w.step + 1)
     SELECT *, CASE WHEN seen IS NOT NULL THEN seen WHEN list_contains(before, [event_uid, target_status]) THEN 'REPLAY'
-        WHEN list_contains(list_transform(before, x -> x[1]), event_uid) THEN 'IDEMPOTENCY_CONFLICT' ELSE 'NEW' END AS replay,
+        WHEN list_contains(list_transform(before, lambda x: x[1]), event_uid) THEN 'IDEMPOTENCY_CONFLICT' ELSE 'NEW' END AS replay,
       CASE WHEN refusal IS NOT NULL THEN refusal WHEN concat(prev, '>', target_status) IN {moves} THEN 'SUCCESS'
       WHEN target_status = 'USED' AND prev = 'USED' THEN 'ALREADY_USED' WHEN target_status = 'ISSUED' AND prev = 'ISSUED' THEN 'NOT_YET_USED'
       WHEN target_status = 'EXPIRED' AND prev = 'EXPIRED' THEN 'ALREADY_EXPIRED' ELSE 'INVALID_STATE_TRANSITION' END AS result FROM w)
