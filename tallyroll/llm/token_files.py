@@ -29,7 +29,7 @@ MODEL, END_ID = "word_bpe_49k.json", 1
 SCALE_BITS, VOCABULARY = 20, 1 << 16
 BLOCK_TOKENS, LANE_TOKENS, MOST_LANES, SECTION_STEPS = 1 << 19, 128, 2048, 128
 SEGMENT_BYTES = 24 << 20
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 CLOSING = ".,;:!?"
 LOW = U64(1 << 31)
 
@@ -60,7 +60,8 @@ class Words(dict):
         super().__init__()
         self.tokenizer = load(model)
         self.merges, self.spell = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.letters: dict[str, list[int]] = {}
+        self.letters: dict[str, int] = {}
+        self.letter_ids = array("i")
         self.closing: dict[str, list[int]] = {"": []}
         self.ids = array("i", [end_id])
         self.kept = 1
@@ -72,11 +73,14 @@ class Words(dict):
         if not core.isalpha() or not (core.isascii() or max(core) < "\u0100"):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         low = core.lower()
-        ids = self.letters.get(low)
-        if ids is None:
+        place = self.letters.get(low)
+        if place is None:
             ids = [t.id for t in self.merges.tokenize(low if low.isascii() else self.spell(low)[0][0])]
             if len(self.letters) < MOST_WORDS:
-                self.letters[low] = ids
+                self.letters[low] = len(self.letter_ids) << 24 | len(ids)
+                self.letter_ids.extend(ids)
+        else:
+            ids = self.letter_ids[place >> 24 : (place >> 24) + (place & 0xFFFFFF)].tolist()
         end = word[len(core) :]
         after = self.closing.get(end)
         if after is None:
