@@ -7,9 +7,9 @@ of everything in them. Sets whose boxes and points leave room for the similarity
 Boxes of many-dimensional counts overlap almost everywhere as long as a box holds unrelated sets, so the root of the
 tree is not made of boxes: sets are first dealt into cells which no linked pair can miss. For sizes near b, a linked
 pair differs in at most D shingles; with D + 1 groups or more one group holds the same shingles in both, and its content
-is the cell. Cells chain sets of fitting size; the connected parts of these chains are the subtrees, each of which gets
-its texts once, builds its leaves and nodes, and joins them. A subtree of more than TILE_SETS sets is cut into tiles that
-meet pair by pair in tasks of their own. Equal sets are one point throughout.
+is the cell. The points of a cell are joined by their leaves' and their own bounds; the parts that pairs within the bounds
+connect are the subtrees, each of which gets its texts once, builds its leaves and joins them exactly. A subtree of more
+than TILE_SETS sets is cut into tiles that meet pair by pair in tasks of their own. Equal sets are one point throughout.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from tallyroll.llm.common import (
     GOLDEN, U64, Forest, bucket_count, components, deal, dealt, grouped, mix, prefix_hashes, span_hashes, staged, text_slices, total_text, word_spans)
 
-TILE_SETS, TILE_SHINGLES, LEAF, AXES = 2048, 4_000_000, 16, 64
+TILE_SETS, TILE_SHINGLES, LEAF = 2048, 4_000_000, 16
+LEAST_AXES, MOST_AXES = 64, 2048
 FLUSH_ROWS = 1 << 21
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -148,6 +149,11 @@ def _emit(batches: Iterator[pa.RecordBatch], rule: Rule, buckets: int) -> Iterat
             pieces = list(pieces)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _ in pieces], pa.int32()), pa.array([1] * len(pieces), pa.int32()), pa.array([p for _, p in pieces], pa.binary())], names=names)
+            spread = [k for k, own in enumerate(sets) if rule.levels(len(own))]
+            if spread:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((keys[spread, 0] >> U64(32)).astype(np.int64) % buckets, pa.int32()), pa.array([2] * len(spread), pa.int32()),
+                     pa.array([int(keys[k, 0]).to_bytes(8, "little") + point(sets[k], axes_for(len(sets[k]))).tobytes() for k in spread], pa.binary())], names=names)
             for own, key in zip(sets, keys[:, 0], strict=True):
                 for part in cells(own, rule):
                     held[0].append(part)
@@ -161,17 +167,23 @@ def _emit(batches: Iterator[pa.RecordBatch], rule: Rule, buckets: int) -> Iterat
         yield from flush()
 
 
-def _chains(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: a forest over the sets that meet in a cell, and the rows of its texts."""
-    names = ["rid", "doc_id", "k1", "k2", "n", "up"]
+def _meet(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Of each bucket: the sets that meet others in a cell, its points, and the rows of its texts."""
+    names = ["rid", "doc_id", "k1", "k2", "n", "cell", "point"]
     for (_, kind), rows in grouped(batches, 2):
         pieces = [r[0] for r in rows]
+        if kind == 2:
+            own = {p[:8]: p[8:] for p in pieces}
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none, none, pa.array([int.from_bytes(k, "little", signed=True) for k in own], pa.int64()), none, none, none, pa.array(list(own.values()), pa.binary())],
+                names=names)
+            continue
         if kind:
             rid, doc, k1, k2, n, missing = dealt(pieces, ["<i8", "<i8", "<u8", "<u8", "<u4", "u1"])
-            none = pa.nulls(len(rid), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid), pa.array(doc, mask=missing.astype(bool)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int64)), none],
-                names=names)
+                [pa.array(rid), pa.array(doc, mask=missing.astype(bool)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int64)),
+                 pa.nulls(len(rid), pa.int64()), pa.nulls(len(rid), pa.binary())], names=names)
             continue
         key, owner, size = dealt(pieces, ["<u8", "<u8", "<u4"])
         order = np.lexsort((owner, size, key))
@@ -180,38 +192,68 @@ def _chains(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         link = np.flatnonzero((key[1:] == key[:-1]) & (owner[1:] != owner[:-1]) & (100 * size[:-1] >= rule.percent * size[1:]))
         if not len(link):
             continue
-        nodes, place = np.unique(np.concatenate([owner[link], owner[link + 1]]).view(np.int64), return_inverse=True)
-        forest = Forest(len(nodes))
-        pairs = np.unique(place[: len(link)].astype(np.int64) << 32 | place[len(link) :])
-        for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True):
-            forest.union(a, b)
-        up = np.array([forest.find(x) for x in range(len(nodes))])
-        own = np.flatnonzero(up != np.arange(len(nodes)))
-        none = pa.nulls(len(own), pa.int64())
+        rows_ = np.unique(np.concatenate([link, link + 1]))
+        # Equal rows of different tasks are one.
+        rows_ = rows_[np.concatenate([[True], (key[rows_[1:]] != key[rows_[:-1]]) | (owner[rows_[1:]] != owner[rows_[:-1]])])]
+        none = pa.nulls(len(rows_), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, pa.array(nodes[own]), none, none, pa.array(nodes[up[own]])], names=names)
+            [none, none, pa.array(owner[rows_].view(np.int64)), none, pa.array(size[rows_]), pa.array(key[rows_].view(np.int64)), pa.nulls(len(rows_), pa.binary())],
+            names=names)
+
+
+def _within_bounds(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Of each task: a forest over the sets that some cell holds and whose points leave room for a link."""
+    number: dict[int, int] = {}
+    forest = Forest(0)
+    for _, rows in grouped(batches, 1):
+        own = []
+        for k1, _, _ in rows:
+            if k1 not in number:
+                number[k1] = len(forest.up)
+                forest.up.append(number[k1])
+            own.append(number[k1])
+        if len({forest.find(x) for x in own}) == 1:
+            continue
+        size = np.array([n for _, n, _ in rows], np.int64)
+        points = [np.frombuffer(p, np.uint16) for _, _, p in rows]
+        axes = min(map(len, points))
+        points = np.stack([p.reshape(-1, axes).sum(axis=0) for p in points]).astype(np.int64)
+        for a, b in bounded_pairs(points, size, rule):
+            forest.union(own[a], own[b])
+    keys = list(number)
+    # The smallest key of each tree is its root in what follows.
+    least: dict[int, int] = {}
+    for x, k in enumerate(keys):
+        root = forest.find(x)
+        least[root] = min(least.get(root, k), k)
+    found = [(k, least[forest.find(x)]) for x, k in enumerate(keys)]
+    found = [(k, r) for k, r in found if k != r]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["a", "b"])
+
+
+def axes_for(n: int) -> int:
+    """Groups of a point: so many that each counts a few shingles, a power of two."""
+    return min(MOST_AXES, max(LEAST_AXES, 1 << (n // 6).bit_length()))
+
+
+def point(own: np.ndarray, axes: int) -> np.ndarray:
+    """Group counts by the low bits of the hash. Half as many groups are the sums of both halves of the counts."""
+    count = np.bincount((own & U64(axes - 1)).astype(np.int64), minlength=axes)
+    if count.max(initial=0) > 0xFFFF:
+        raise ValueError("a group count is over 16 bits")
+    return count.astype(np.uint16)
 
 
 # --- subtrees ---
 
-def count_points(sets: list[np.ndarray]) -> np.ndarray:
-    """Group counts of each set; AXES groups by the low bits of the hash."""
-    out = np.zeros((len(sets), AXES), np.uint32)
-    for row, own in zip(out, sets, strict=True):
-        row += np.bincount((own & U64(AXES - 1)).astype(np.int64), minlength=AXES).astype(np.uint32)
-    return out
-
-
-def tree_join(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """A forest of links among ``sets``. With two sides, links are looked for between them only.
+def bounded_pairs(points: np.ndarray, size: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs whose sizes fit and whose summed minima reach the overlap they would need.
 
-    Leaves hold LEAF points next to each other by size and then by their widest axis. Pairs of leaves and pairs of points
-    are tried if the sizes fit and the summed minima reach the overlap that is needed; pairs that links connect already
-    are not tried again.
+    Leaves hold LEAF points next to each other by size and then by their widest axis; pairs of leaves are tried by their
+    boxes' upper corners first. With ``side``, pairs of different sides only.
     """
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    points = count_points(sets)
+    n = len(size)
     order = np.argsort(size, kind="stable")
     if n > 4 * LEAF:
         slab = 16 * LEAF
@@ -220,27 +262,39 @@ def tree_join(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tupl
     leaves = [order[k : k + LEAF] for k in range(0, n, LEAF)]
     top = np.stack([points[x].max(axis=0) for x in leaves])
     small, large = np.array([size[x].min() for x in leaves]), np.array([size[x].max() for x in leaves])
-    forest, links, both = Forest(n), [], len(set(side.tolist())) > 1
     for i, leaf in enumerate(leaves):
         fit = np.flatnonzero((100 * large[i:] >= rule.percent * small[i]) & (100 * large[i] >= rule.percent * small[i:])) + i
-        bound = np.minimum(top[i], top[fit]).sum(axis=1)
-        fit = fit[bound >= rule.least_common(small[i] + small[fit])]
+        if len(fit) > 1:
+            bound = np.minimum(top[i], top[fit]).sum(axis=1)
+            fit = fit[bound >= rule.least_common(small[i] + small[fit])]
         for j in fit.tolist():
             other = leaves[j]
             room = np.minimum(points[leaf][:, None, :], points[other][None, :, :]).sum(axis=2)
             good = room >= rule.least_common(size[leaf][:, None] + size[other][None, :])
-            if both:
+            if side is not None:
                 good &= side[leaf][:, None] != side[other][None, :]
             if i == j:
                 good &= np.arange(len(leaf))[:, None] < np.arange(len(other))[None, :]
-            for a, b in zip(*np.nonzero(good), strict=True):
-                a, b = int(leaf[a]), int(other[b])
-                if forest.find(a) == forest.find(b):
-                    continue
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * common >= rule.percent * (size[a] + size[b] - common):
-                    forest.union(a, b)
-                    links.append((a, b))
+            one, two = np.nonzero(good)
+            yield from zip(leaf[one].tolist(), other[two].tolist(), strict=True)
+
+
+def tree_join(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """A forest of links among ``sets``. With two sides, links are looked for between them only.
+
+    Pairs within the bounds are compared exactly, unless links connect them already.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    axes = axes_for(int(size.max(initial=0)))
+    points = np.stack([point(s, axes) for s in sets]).astype(np.int64)
+    forest, links = Forest(len(sets)), []
+    for a, b in bounded_pairs(points, size, rule, side if len(set(side.tolist())) > 1 else None):
+        if forest.find(a) == forest.find(b):
+            continue
+        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if 100 * common >= rule.percent * (size[a] + size[b] - common):
+            forest.union(a, b)
+            links.append((a, b))
     return links
 
 
@@ -282,11 +336,14 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("__rid", "doc_id", "text")
     sent = rows.mapInArrow(lambda it: _emit(it, rule, buckets), "bucket int, kind int, piece binary")
     met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
-        lambda it: _chains(it, rule), "rid long, doc_id long, k1 long, k2 long, n long, up long")
+        lambda it: _meet(it, rule), "rid long, doc_id long, k1 long, k2 long, n long, cell long, point binary")
     met = staged(met, "ngram-cells")
     key = F.unhex(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
-    texts = met.filter("up is null").select(F.col("rid").alias("__rid"), "doc_id", key.alias("set"), "k1", "n")
-    chained = components(met.filter("up is not null").select(F.col("k1").alias("a"), F.col("up").alias("b")), "ngram-subtrees")
+    texts = met.filter("rid is not null").select(F.col("rid").alias("__rid"), "doc_id", key.alias("set"), "k1", "n")
+    points = met.filter("point is not null").groupBy("k1").agg(F.first("point").alias("point"))
+    inside = met.filter("cell is not null").select("cell", "k1", "n").join(points, "k1").select("cell", "k1", "n", "point")
+    near = inside.repartition(buckets, "cell").sortWithinPartitions("cell", "n", "k1").mapInArrow(lambda it: _within_bounds(it, rule), "a long, b long")
+    chained = components(near, "ngram-subtrees")
     # One text of each set that meets others.
     sets = texts.groupBy("set").agg(F.min(F.struct("doc_id", "__rid", "k1", "n")).alias("x")).select("set", "x.*")
     sets = staged(sets.join(chained.withColumnRenamed("node", "k1"), "k1").select("set", "__rid", "n", "root"), "ngram-sets")

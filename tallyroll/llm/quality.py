@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tallyroll.llm.common import GOLDEN, U64, WORD_BYTE, counts_by_row, mix, prefix_hashes, span_hashes, text_slices, word_spans
 
 #: Labelled rows used to fit the model, at most; those with the smallest hash of their id.
-MOST_LABELLED = 3000
+MOST_LABELLED = 2000
 BITS, EPOCHS, RATE, SHRINK, SEED = 16, 12, 0.5, 1e-6, 7
 KEEP_FROM = 0.5
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
