@@ -218,7 +218,7 @@ def _within_bounds(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa
         points = [np.frombuffer(p, np.uint16) for _, _, p in rows]
         axes = min(map(len, points))
         points = np.stack([p.reshape(-1, axes).sum(axis=0) for p in points]).astype(np.int64)
-        for a, b in bounded_pairs(points, size, rule):
+        for a, b in bounded_pairs(points, size, rule, lambda x, own=own: forest.find(own[x])):
             forest.union(own[a], own[b])
     keys = list(number)
     # The smallest key of each tree is its root in what follows.
@@ -247,11 +247,12 @@ def point(own: np.ndarray, axes: int) -> np.ndarray:
 
 # --- subtrees ---
 
-def bounded_pairs(points: np.ndarray, size: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def bounded_pairs(points: np.ndarray, size: np.ndarray, rule: Rule, root, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Pairs whose sizes fit and whose summed minima reach the overlap they would need.
 
     Leaves hold LEAF points next to each other by size and then by their widest axis; pairs of leaves are tried by their
-    boxes' upper corners first. With ``side``, pairs of different sides only.
+    boxes' upper corners first. Leaves that are one tree already, by ``root``, are left out, so a group of near copies costs
+    about one pass over its leaves. With ``side``, pairs of different sides only.
     """
     n = len(size)
     order = np.argsort(size, kind="stable")
@@ -269,6 +270,9 @@ def bounded_pairs(points: np.ndarray, size: np.ndarray, rule: Rule, side: np.nda
             fit = fit[bound >= rule.least_common(small[i] + small[fit])]
         for j in fit.tolist():
             other = leaves[j]
+            first = root(leaf[0])
+            if all(root(x) == first for x in leaf[1:]) and all(root(x) == first for x in other):
+                continue
             room = np.minimum(points[leaf][:, None, :], points[other][None, :, :]).sum(axis=2)
             good = room >= rule.least_common(size[leaf][:, None] + size[other][None, :])
             if side is not None:
@@ -288,7 +292,7 @@ def tree_join(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tupl
     axes = axes_for(int(size.max(initial=0)))
     points = np.stack([point(s, axes) for s in sets]).astype(np.int64)
     forest, links = Forest(len(sets)), []
-    for a, b in bounded_pairs(points, size, rule, side if len(set(side.tolist())) > 1 else None):
+    for a, b in bounded_pairs(points, size, rule, forest.find, side if len(set(side.tolist())) > 1 else None):
         if forest.find(a) == forest.find(b):
             continue
         common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
