@@ -54,7 +54,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         nonlocal number
-        packed = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+        packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
         row = [part << 12 | number, sum(map(len, ids)), np.concatenate(ids).tobytes(), np.concatenate(missing).tobytes(), np.concatenate(sizes).tobytes(), packed]
         number += 1
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
@@ -202,7 +202,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         lead = np.flatnonzero(~repeat)
         columns = [key[lead], second[lead], none[lead], doc[lead], place[lead], left[lead].astype("u1"), right[lead].astype("u1"),
                    around[lead].view(f"V{2 * SIDE}").ravel()]
-        pieces = [(b, zstandard.ZstdCompressor(level=1).compress(p)) for b, p in deal(_bucket(second[lead], buckets), columns)]
+        pieces = [(b, zstandard.ZstdCompressor(level=3).compress(p)) for b, p in deal(_bucket(second[lead], buckets), columns)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([0] * len(pieces), pa.int32()), pa.array([b for b, _ in pieces], pa.int64()), pa.array([p for _, p in pieces], pa.binary())], names=names)
 
