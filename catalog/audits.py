@@ -16,7 +16,6 @@ from tallyroll.sources import derived
 NOW = datetime(2000, 1, 1)
 FROM, TO = datetime(1997, 1, 1), datetime(1999, 1, 1)
 UUID = "'^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$'"
-ACTIVE = "('ISSUED', 'USED', 'EXPIRED')"
 
 
 def _all(t):
@@ -43,12 +42,16 @@ for _name, _fn, _cols in (
 
 # --- stock and loss --------------------------------------------------------------------
 
-_STOCK = f"""
-SELECT e.event_id, e.total_stock, e.issued_quantity, e.remaining_stock, coalesce(a.n, 0) AS actual_active_count,
-  'STOCK_MISMATCH' AS violation_type
-FROM d_event e LEFT JOIN (SELECT event_id, count(*) AS n FROM d_issue WHERE status IN {ACTIVE} GROUP BY event_id) a
-  ON a.event_id = e.event_id
-WHERE (e.total_stock <> coalesce(a.n, 0) + e.remaining_stock OR e.issued_quantity <> coalesce(a.n, 0))
+# Event and issue rows in one pile: what a campaign says of itself, and a one for each coupon that is out.
+_STOCK = """
+SELECT e.event_id, e.total_stock, e.issued_quantity, e.remaining_stock, e.actual_active_count, 'STOCK_MISMATCH' AS violation_type
+FROM (
+  SELECT event_id, CAST(sum(given) AS BIGINT) AS total_stock, CAST(sum(told) AS BIGINT) AS issued_quantity, CAST(sum(rest) AS BIGINT) AS remaining_stock,
+    CAST(sum(out_) AS BIGINT) AS actual_active_count, max(stage) AS status, max(made) AS created_at
+  FROM (SELECT event_id, total_stock AS given, issued_quantity AS told, remaining_stock AS rest, 0 AS out_, status AS stage, created_at AS made FROM d_event
+    UNION ALL BY NAME SELECT event_id, 1 AS out_ FROM d_issue WHERE status IN ('EXPIRED', 'ISSUED', 'USED'))
+  GROUP BY event_id HAVING count(stage) = 1) e
+WHERE greatest(abs(e.total_stock - e.remaining_stock - e.actual_active_count), abs(e.issued_quantity - e.actual_active_count)) > 0
 """
 
 
@@ -85,16 +88,15 @@ def check_loss(spark, sf_dir):
 
 # --- state chain -----------------------------------------------------------------------
 
+# Each row beside the one before it, which is none for the first: its own start must be that one's end.
 _CHAIN = """
-WITH c AS (
-  SELECT h.history_id, h.issue_id, i.event_id, i.created_at, h.from_status, h.to_status,
-    lag(h.to_status) OVER w AS prev_to_status, row_number() OVER w AS rn
-  FROM d_history h JOIN d_issue i ON i.issue_id = h.issue_id
-  WINDOW w AS (PARTITION BY h.issue_id ORDER BY h.occurred_at NULLS FIRST, h.history_id))
-SELECT issue_id, event_id, history_id, prev_to_status, from_status, to_status, 'BROKEN_CHAIN' AS violation_type
-FROM c
-WHERE ((rn = 1 AND NOT (from_status IS NULL AND to_status IS NOT DISTINCT FROM 'ISSUED'))
-  OR (rn > 1 AND from_status IS DISTINCT FROM prev_to_status))
+WITH n AS (
+  SELECT history_id, issue_id, from_status, to_status,
+    count(*) OVER (PARTITION BY issue_id ORDER BY coalesce(occurred_at, TIMESTAMP '0001-01-01'), history_id ROWS UNBOUNDED PRECEDING) AS k
+  FROM d_history)
+SELECT b.issue_id, i.event_id, b.history_id, a.to_status AS prev_to_status, b.from_status, b.to_status, 'BROKEN_CHAIN' AS violation_type
+FROM n b LEFT JOIN n a ON a.issue_id = b.issue_id AND a.k + 1 = b.k JOIN d_issue i ON i.issue_id = b.issue_id
+WHERE (b.from_status IS DISTINCT FROM a.to_status OR (b.k = 1 AND coalesce(b.to_status, '') <> 'ISSUED'))
 """
 
 
@@ -119,18 +121,19 @@ def check_state_chain_event(spark, sf_dir):
 
 # --- structure -------------------------------------------------------------------------
 
+# Every rule says its name or nothing; the first name counts.
 _ISSUE_STRUCTURE = f"""
-WITH v AS (SELECT *, CASE
-    WHEN user_id IS NULL THEN 'MISSING_USER_ID'
-    WHEN issue_sequence IS NULL OR issue_sequence <= 0 THEN 'INVALID_ISSUE_SEQUENCE'
-    WHEN request_id IS NULL OR NOT regexp_matches(request_id, {UUID}) THEN 'INVALID_REQUEST_ID'
-    WHEN message_id IS NOT NULL AND NOT regexp_matches(message_id, {UUID}) THEN 'INVALID_MESSAGE_ID_FORMAT'
-    WHEN status IS NULL OR status NOT IN ('ISSUED', 'USED', 'EXPIRED', 'CANCELED') THEN 'INVALID_STATUS'
-    WHEN issued_at IS NULL OR valid_from IS NULL OR valid_to IS NULL OR created_at IS NULL THEN 'MISSING_TIMESTAMP'
-    WHEN issued_at > valid_from OR valid_from >= valid_to OR date_diff('microsecond', created_at, issued_at) > 5000000 THEN 'INVALID_TIMESTAMP_ORDER'
-    WHEN status = 'CANCELED' AND canceled_at IS NULL THEN 'MISSING_CANCELED_AT'
-    WHEN (status <> 'USED' AND used_at IS NOT NULL) OR (status = 'USED' AND (used_at IS NULL OR used_at < valid_from)) THEN 'INVALID_STATUS_FIELDS'
-  END AS violation_type FROM d_issue)
+WITH v AS (SELECT *, list_filter([
+    if(user_id IS NULL, 'MISSING_USER_ID', NULL),
+    if(coalesce(issue_sequence, 0) < 1, 'INVALID_ISSUE_SEQUENCE', NULL),
+    if(coalesce(regexp_full_match(request_id, {UUID}), false), NULL, 'INVALID_REQUEST_ID'),
+    if(coalesce(regexp_full_match(message_id, {UUID}), true), NULL, 'INVALID_MESSAGE_ID_FORMAT'),
+    if(list_contains(['CANCELED', 'EXPIRED', 'ISSUED', 'USED'], coalesce(status, '')), NULL, 'INVALID_STATUS'),
+    if(len(list_filter([issued_at, valid_from, valid_to, created_at], lambda t: t IS NOT NULL)) = 4, NULL, 'MISSING_TIMESTAMP'),
+    if(issued_at <= valid_from AND valid_from < valid_to AND epoch_us(issued_at) - epoch_us(created_at) <= 5000000, NULL, 'INVALID_TIMESTAMP_ORDER'),
+    if(status = 'CANCELED' AND canceled_at IS NULL, 'MISSING_CANCELED_AT', NULL),
+    if(CASE status WHEN 'USED' THEN coalesce(used_at < valid_from, true) ELSE used_at IS NOT NULL END, 'INVALID_STATUS_FIELDS', NULL)
+  ], lambda x: x IS NOT NULL)[1] AS violation_type FROM d_issue)
 SELECT issue_id, event_id, user_id, status, issued_at, valid_from, valid_to, used_at, canceled_at, violation_type
 FROM v WHERE violation_type IS NOT NULL
 """
@@ -204,20 +207,20 @@ def check_issue_history_state_event(spark, sf_dir):
     return checks.issue_history_state(derived.tables(spark, sf_dir), Scope.event(2))
 
 
+# One branch a status, each with the span that the history may be apart; no span, no judgement.
 _TIME_SYNC = f"""
-WITH {_LATEST}, x AS (
-  SELECT i.issue_id, i.event_id, i.status, i.created_at,
-    CASE i.status WHEN 'USED' THEN i.used_at WHEN 'ISSUED' THEN i.issued_at ELSE i.valid_to END AS issue_time,
-    l.occurred_at AS history_time, l.from_status, l.reason
-  FROM d_issue i JOIN latest l ON l.issue_id = i.issue_id
-  WHERE i.status = l.to_status AND i.status IN ('ISSUED', 'USED', 'EXPIRED'))
-SELECT issue_id, event_id, status, issue_time, history_time, abs(date_diff('microsecond', issue_time, history_time)) AS time_diff_micros,
-  'TIME_MISMATCH' AS violation_type
-FROM x
-WHERE (issue_time IS NULL
-  OR ((status = 'USED' OR (status = 'ISSUED' AND from_status IS NULL)) AND abs(date_diff('microsecond', issue_time, history_time)) > 1000000)
-  OR (status = 'EXPIRED' AND (reason IS NULL OR reason <> 'MANUAL_EXPIRED')
-      AND (history_time < issue_time OR date_sub('second', issue_time, history_time) > 1800)))
+WITH {_LATEST}, j AS (SELECT i.*, l.occurred_at, l.from_status, l.reason FROM d_issue i JOIN latest l ON l.issue_id = i.issue_id AND l.to_status = i.status)
+SELECT issue_id, event_id, status, issue_time, history_time, abs(apart) AS time_diff_micros, 'TIME_MISMATCH' AS violation_type
+FROM (
+  SELECT issue_id, event_id, created_at, status, used_at AS issue_time, occurred_at AS history_time, epoch_us(occurred_at) - epoch_us(used_at) AS apart,
+    -1000000 AS low, 1000000 AS high FROM j WHERE status = 'USED'
+  UNION ALL
+  SELECT issue_id, event_id, created_at, status, issued_at, occurred_at, epoch_us(occurred_at) - epoch_us(issued_at),
+    if(from_status IS NULL, -1000000, NULL), if(from_status IS NULL, 1000000, NULL) FROM j WHERE status = 'ISSUED'
+  UNION ALL
+  SELECT issue_id, event_id, created_at, status, valid_to, occurred_at, epoch_us(occurred_at) - epoch_us(valid_to),
+    if(reason IS DISTINCT FROM 'MANUAL_EXPIRED', 0, NULL), if(reason IS DISTINCT FROM 'MANUAL_EXPIRED', 1800999999, NULL) FROM j WHERE status = 'EXPIRED')
+WHERE (issue_time IS NULL OR NOT coalesce(apart BETWEEN low AND high, true))
 """
 
 
@@ -235,25 +238,25 @@ def check_time_sync_range(spark, sf_dir):
     return checks.time_sync(derived.tables(spark, sf_dir), Scope.range(FROM, TO))
 
 
+# One pass: what a coupon's status says it could be late with, if it is.
 _LAG = """
 SELECT * FROM (
-  SELECT issue_id, event_id, status, valid_to, used_at, 'EXPIRATION_BATCH_DELAY' AS violation_type FROM d_issue
-  WHERE status = 'ISSUED' AND valid_to + INTERVAL 120 SECOND < TIMESTAMP '2000-01-01' AND created_at {op} TIMESTAMP '2000-01-01'
-  UNION ALL
-  SELECT issue_id, event_id, status, valid_to, used_at, 'USED_AFTER_EXPIRATION' FROM d_issue
-  WHERE status = 'USED' AND used_at > valid_to AND used_at {op} TIMESTAMP '2000-01-01')
+  SELECT issue_id, event_id, status, valid_to, used_at, CASE
+      WHEN status = 'USED' AND epoch_us(used_at) - epoch_us(valid_to) > 0 AND used_at {op} TIMESTAMP '2000-01-01' THEN 'USED_AFTER_EXPIRATION'
+      WHEN status = 'ISSUED' AND epoch_us(TIMESTAMP '2000-01-01') - epoch_us(valid_to) > 120000000 AND created_at {op} TIMESTAMP '2000-01-01' THEN 'EXPIRATION_BATCH_DELAY'
+    END AS violation_type FROM d_issue) WHERE violation_type IS NOT NULL
 """
 
 
 @query("check_expiration_lag_all", with_views(
-    _LAG.format(op="<") + " WHERE event_id IN (SELECT event_id FROM d_event WHERE created_at < TIMESTAMP '2000-01-01')", "d_issue", "d_event"))
+    _LAG.format(op="<") + " AND event_id IN (SELECT event_id FROM d_event WHERE created_at < TIMESTAMP '2000-01-01')", "d_issue", "d_event"))
 def check_expiration_lag_all(spark, sf_dir):
     t = derived.tables(spark, sf_dir)
     return checks.expiration_lag(t, _all(t))
 
 
 @query("check_expiration_lag_range", with_views(
-    _LAG.format(op="<=") + " WHERE valid_to >= TIMESTAMP '1997-01-01' AND valid_to < TIMESTAMP '1999-01-01'", "d_issue"))
+    _LAG.format(op="<=") + " AND valid_to >= TIMESTAMP '1997-01-01' AND valid_to < TIMESTAMP '1999-01-01'", "d_issue"))
 def check_expiration_lag_range(spark, sf_dir):
     return checks.expiration_lag(derived.tables(spark, sf_dir), Scope.range(FROM, TO), checked_at=NOW)
 
@@ -327,7 +330,7 @@ _ALL_SCOPE = """ AND created_at < TIMESTAMP '2000-01-01'"""
 @query("run_all_results", with_views(f"""
     WITH bundle AS (
       SELECT 'stock' AS check_name FROM ({_STOCK} AND e.status IN ('SOLD_OUT', 'CLOSED'))
-      UNION ALL SELECT 'state_chain' FROM ({_CHAIN.replace('WITH c AS', 'WITH c1 AS').replace('FROM c', 'FROM c1')} {_ALL_SCOPE})
+      UNION ALL SELECT 'state_chain' FROM ({_CHAIN} {_ALL_SCOPE})
       UNION ALL SELECT 'issue_structure' FROM ({_ISSUE_STRUCTURE} {_ALL_SCOPE})
       UNION ALL SELECT 'history_structure' FROM ({_HISTORY_STRUCTURE} {_ALL_SCOPE})
       UNION ALL SELECT 'issue_history_state' FROM ({_HISTORY_STATE} AND i.created_at < TIMESTAMP '2000-01-01')
@@ -342,13 +345,12 @@ def run_all_results(spark, sf_dir):
 
 
 @query("run_violations_by_type", with_views(f"""
-    SELECT 'issue_history_state' AS check_name, violation_type, count(*) AS rows, sum(issue_id) AS ids FROM ({_HISTORY_STATE} AND i.event_id IN (3, 4)) GROUP BY violation_type
-    UNION ALL SELECT 'time_sync', 'TIME_MISMATCH', count(*), sum(issue_id) FROM ({_TIME_SYNC} AND event_id IN (3, 4))""".replace("sum(issue_id)", "CAST(sum(issue_id) AS BIGINT)"), "d_history"))
+    SELECT 'issue_history_state' AS check_name, violation_type, count(*) AS rows, CAST(sum(issue_id) AS BIGINT) AS ids FROM ({_HISTORY_STATE}) GROUP BY violation_type
+    UNION ALL SELECT 'time_sync', 'TIME_MISMATCH', count(*), CAST(sum(issue_id) AS BIGINT) FROM ({_TIME_SYNC})""", "d_history"))
 def run_violations_by_type(spark, sf_dir):
-    """The two rules that share one pass over the history, for some campaigns."""
+    """The two rules that share one pass over the history, for all campaigns."""
     t = derived.tables(spark, sf_dir)
-    some = t.event.filter(F.col("event_id").isin(3, 4))
-    _, violations = run_checks(spark, t, Scope.events(some), NOW, ["issue_history_state", "time_sync"])
+    _, violations = run_checks(spark, t, Scope.events(t.event), NOW, ["issue_history_state", "time_sync"])
     return violations.groupBy("check_name", "violation_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("target_id").alias("ids"))
 
 

@@ -398,7 +398,7 @@ def plant_state_chain(spark, sf_dir):
     return faults.state_chain(t, NOW).history.filter(F.col("actor") == "INJECTOR").select("issue_id", "from_status", "to_status", "occurred_at")
 
 
-@query("plant_stock_found", with_views(_STOCK.replace("e.remaining_stock", "(e.remaining_stock - 1)").replace("(e.remaining_stock - 1), coalesce", "e.remaining_stock - 1 AS remaining_stock, coalesce"), "d_event"))
+@query("plant_stock_found", with_views(_STOCK.replace("remaining_stock AS rest", "remaining_stock - 1 AS rest"), "d_event"))
 def plant_stock_found(spark, sf_dir):
     """Rounds the stock audit reports once their remaining stock is off by one."""
     planted = faults.stock(derived.tables(spark, sf_dir), NOW)
