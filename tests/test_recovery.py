@@ -149,3 +149,19 @@ def test_each_planted_fault_is_found(make, spark):
             assert found == ({name} if name != "none" else set()), name
     other, _ = runner.run_checks(spark, planted["stock"], Scope.event(2), CHECKED, ["stock"])
     assert other.collect()[0]["status"] == "PASS"
+
+
+def test_unknown_targets_are_outcomes(make, spark):
+    event, issue, history = make.event(event_row(1)), make.issue(issue_row(1)), make.history(history_row(1, 1, None, "ISSUED"))
+    events, issues = spark.createDataFrame([(1,), (404,)], "event_id long"), spark.createDataFrame([(1,), (404,)], "issue_id long")
+    for p in (recovery.reconcile_stock(event, issue, NOW, events), recovery.revoke_excess(event, issue, NOW, events), recovery.sync_times(issue, history, events)):
+        assert outcome(p.outcomes, "event_id")[404] == "NOT_FOUND"
+    for p in (recovery.restore_chain(issue, history, issues), recovery.restore_initial_history(issue, history, NOW, issues), recovery.expire_delayed(issue, history, NOW, issues)):
+        assert outcome(p.outcomes)[404] == "NOT_FOUND"
+
+
+def test_coupons_without_a_sequence_are_revoked_last(make):
+    event = make.event(event_row(1, total_stock=1))
+    issue = make.issue(*[issue_row(i, issue_sequence=None) for i in range(1, 4)], issue_row(9, issue_sequence=7))
+    ranks = {r["issue_id"]: r["excess_rank"] for r in recovery.excess_issues(event, issue).collect()}
+    assert ranks == {9: 1, 3: 2, 2: 3}

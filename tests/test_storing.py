@@ -133,3 +133,46 @@ def test_trimming_keeps_the_newest_and_the_unread(spark):
     acks = spark.createDataFrame(
         [(1, "a", n) for n in (1, 2, 3, 4, 5)] + [(1, "b", n) for n in (1, 3, 5)], "campaign_id long, consumer string, entry_no long")
     assert {r["entry_no"] for r in persistence.trimmable(entries, acks).collect()} == {1, 3}
+
+
+def test_unknown_campaigns_and_oversize_sequences_are_refused(spark, make):
+    event, coupon = make.event(event_row(1)), make.rows(schemas.COUPON, (1, "x", "FIXED", 1, 24, START))
+    rows = [(uuid_of(1), 1, 1, 1, "m1", 1, START), (uuid_of(2), 99, 1, 1, "m1", 0, START), (uuid_of(3), 1, 2, 1 << 31, "m3", 2, START), (uuid_of(4), 1, 2, 2, "m3", 3, START)]
+    issues, history, judged = persistence.persist_issues(spark.createDataFrame(rows, ENTRY), make.issue(), event, coupon, NOW)
+    assert {r["arrival_no"]: r["outcome"] for r in judged.collect()} == {0: "NO_CAMPAIGN", 1: "INSERT", 2: "BAD_SEQUENCE", 3: "INSERT"}
+    assert {r["user_id"]: r["valid_to"] for r in issues.collect()} == {1: START + timedelta(hours=24), 2: START + timedelta(hours=24)}
+    assert history.count() == 2
+
+
+def test_a_compensated_record_holds_the_restored_stock(spark):
+    schema = "campaign_id long, request_id string, user_id long, code int, lifecycle int, issue_sequence long, remaining long, updated_at timestamp_ntz"
+    state = spark.createDataFrame([(1, r, u, 0, 0, u, 0, START) for u, r in enumerate("abc", 1)], schema)
+    cmds = spark.createDataFrame([(5, 1, "c", 3), (7, 1, "a", 1), (9, 1, "a", 1)], "command_no long, campaign_id long, request_id string, user_id long")
+    stock = spark.createDataFrame([(1, 4)], "campaign_id long, stock long")
+    out = persistence.apply_answers(state, persistence.compensate(state, cmds), "compensate_result", NOW, stock)
+    assert {r["request_id"]: (r["code"], r["remaining"], r["updated_at"]) for r in out.collect()} == {"a": (8, 6, NOW), "b": (0, 0, START), "c": (8, 5, NOW)}
+
+
+def test_late_rows_count_and_order_does_not_matter(spark, tmp_path):
+    from tallyroll.streaming import dedup, pending, windows
+
+    at = lambda n: START + timedelta(seconds=n)
+    failed = [(1, at(100), "SOLD_OUT"), (1, at(0), "SOLD_OUT"), (1, at(1), "X"), (1, at(101), "SOLD_OUT"), (1, at(2), "SOLD_OUT")]
+    entries = [(1, 1, at(3600)), (1, 2, at(0)), (1, 3, at(1800))]
+    stored = [(1, 1, at(3601)), (1, 3, at(1801))]
+    seen = [("m1", 1), ("m2", 2), ("m1", 1), ("m3", 3), ("m2", 2)]
+
+    def stream(name, rows, schema):
+        for row in rows:  # a file a row, so a micro-batch a row
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/{name}")
+
+    windows.failure_windows_query(stream("f", failed, "campaign_id long, at timestamp_ntz, reason string"), f"{tmp_path}/w").awaitTermination()
+    got = sorted((r["window_start"], r["reason"], r["failures"]) for r in windows.window_totals(spark, f"{tmp_path}/w").collect())
+    assert got == [(at(0), "SOLD_OUT", 2), (at(0), "UNKNOWN", 1), (at(100), "SOLD_OUT", 2)]
+    pending.collect_query(stream("e", entries, pending.ENTRIES), f"{tmp_path}/e2", pending.ENTRIES).awaitTermination()
+    pending.collect_query(stream("s", stored, pending.STORED), f"{tmp_path}/s2", pending.STORED).awaitTermination()
+    assert [r["issue_sequence"] for r in pending.unstored_so_far(spark, f"{tmp_path}/e2", f"{tmp_path}/s2").collect()] == [2]
+    ids = stream("d", seen, "message_id string, n long")
+    dedup.drop_redelivered_query(ids, f"{tmp_path}/d2").awaitTermination()
+    assert sorted(r["n"] for r in dedup.first_deliveries(spark, f"{tmp_path}/d2", ids.schema).collect()) == [1, 2, 3]
