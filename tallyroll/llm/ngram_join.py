@@ -27,7 +27,7 @@ from tallyroll.llm.common import (
 
 TILE_SETS, TILE_SHINGLES, LEAF = 2048, 4_000_000, 16
 LEAST_AXES, MOST_AXES = 64, 2048
-FLUSH_ROWS = 1 << 21
+FLUSH_ROWS = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
