@@ -158,3 +158,23 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
     probe = turns.sparkSession.createDataFrame(
         [(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return digests(format_chats(turns.select("conv_id", "turn", "role", "text").unionByName(probe)))
+
+
+def _escaped(column: str) -> str:
+    """SQL for the length of an escaped text: one more for each backslash and each control string."""
+    more = [f"(length({column}) - length(replace({column}, '\\', '')))"]
+    more += [f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in CONTROL]
+    return " + ".join([f"length({column})", *more])
+
+
+ORACLE = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')))
+select cast(conv_id as bigint) as conv_id, count(*) as n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = '{LEARNED}'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = '{LEARNED}'), '')) as loss_sha256,
+  cast({len(BEGIN)} + sum({len(HEAD) + len(TAIL) + len(END)} + {_escaped("role")} + {_escaped("text")}) as bigint) as formatted_chars
+from turns group by conv_id
+"""

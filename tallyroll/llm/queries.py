@@ -48,7 +48,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.documents_token_counts(table(spark, sf_dir, "documents"))
 
 
-@query("op6_chat_format")
+@query("op6_chat_format", chat.ORACLE)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(table(spark, sf_dir, "conversations"))
 
