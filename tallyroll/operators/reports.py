@@ -9,6 +9,7 @@ from tallyroll.constants import ISSUED
 from tallyroll.functions.text import mask_email, mask_name, mask_phone
 from tallyroll.functions.times import local_to_offset_text, micros_between, plus
 from tallyroll.operators.failures import page
+from tallyroll.plans.segments import number_segment, spread
 
 
 def masked_users(user: DataFrame) -> DataFrame:
@@ -172,12 +173,42 @@ def storage_lag(history: DataFrame, issue: DataFrame, exact: bool = False) -> Da
         history.filter((F.col("to_status") == ISSUED) & F.col("from_status").isNull()).select("issue_id", lag.alias("lag"))
         .filter(F.col("lag").isNotNull()).join(issue.select("issue_id", "event_id"), "issue_id")
     )
-    quantile = F.percentile if exact else (lambda col, p: F.percentile_approx(col, p, 10_000).cast("double"))
-    return rows.groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("lag").alias("min_lag"), F.avg("lag").alias("avg_lag"),
-        quantile("lag", 0.5).alias("p50_lag"), quantile("lag", 0.99).alias("p99_lag"), F.max("lag").alias("max_lag"),
+    quantiles = [] if exact else [F.percentile_approx("lag", p, 10_000).cast("double").alias(n) for n, p in LAG_QUANTILES.items()]
+    out = rows.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("lag").alias("min_lag"), F.avg("lag").alias("avg_lag"), *quantiles, F.max("lag").alias("max_lag"),
         F.count(F.when(F.col("lag") < 0, 1)).alias("reversals"),
     )
+    if exact:
+        out = out.join(exact_quantiles(rows, "event_id", "lag", LAG_QUANTILES), "event_id")
+    return out.select("event_id", "rows", "min_lag", "avg_lag", *LAG_QUANTILES, "max_lag", "reversals")
+
+
+LAG_QUANTILES = {"p50_lag": 0.5, "p99_lag": 0.99}
+
+
+def exact_quantiles(rows: DataFrame, key: str, value: str, quantiles: dict[str, float], width: int = 1000) -> DataFrame:
+    """Interpolated quantiles of whole numbers per key, without a key's values meeting in one place.
+
+    Values are counted first, so equal ones are one row. Counts run up inside segments of ``width`` values; only one row a
+    segment is carried over them.
+    """
+    c = F.col
+    counted = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_segment", number_segment(c(value), width))
+    segments = counted.groupBy(key, "_segment").agg(F.sum("_n").alias("_sum"))
+    before = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = segments.select(key, "_segment", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "_segment").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = spread(counted.join(carried, [key, "_segment"]), key, "_segment").withColumn("_end", c("_before") + F.sum("_n").over(inside))
+    placed = placed.join(segments.groupBy(key).agg(F.sum("_sum").alias("_all")), key)
+
+    def at(rank):
+        return F.max(F.when((c("_end") - c("_n") <= rank) & (rank < c("_end")), c(value))).cast("double")
+
+    places = {name: (c("_all") - 1) * F.lit(q) for name, q in quantiles.items()}
+    ends = placed.groupBy(key).agg(
+        F.first("_all").alias("_all"), *[at(F.floor(p)).alias(f"_{n}_low") for n, p in places.items()], *[at(F.ceil(p)).alias(f"_{n}_high") for n, p in places.items()])
+    return ends.select(
+        key, *[(c(f"_{n}_low") + (c(f"_{n}_high") - c(f"_{n}_low")) * (p - F.floor(p))).alias(n) for n, p in places.items()])
 
 
 def decision_histogram(decisions: DataFrame) -> DataFrame:

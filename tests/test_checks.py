@@ -213,3 +213,21 @@ def test_uniqueness(make):
     assert [r["issue_sequence"] for r in checks.duplicate_keys(issue, ["event_id", "issue_sequence"]).collect()] == [4]
     assert [r["issue_sequence"] for r in checks.sequence_gaps(issue).collect()] == [4]
     assert checks.sequence_density(issue).collect()[0]["dense"] is True
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    from tallyroll.operators.reports import exact_quantiles
+
+    draw = random.Random(4)
+    values = {k: [draw.randrange(-3000, 3000) // 7 for _ in range(n)] for k, n in ((1, 1), (2, 2), (3, 501))}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k long, v long")
+    got = {r["k"]: (r["a"], r["b"]) for r in exact_quantiles(df, "k", "v", {"a": 0.5, "b": 0.99}, width=50).collect()}
+    for k, vs in values.items():
+        vs = sorted(vs)
+        for p, found in zip((0.5, 0.99), got[k]):
+            at = p * (len(vs) - 1)
+            low = int(at)
+            want = vs[low] + (vs[min(low + 1, len(vs) - 1)] - vs[low]) * (at - low)
+            assert abs(found - want) < 1e-6
