@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 
 from tallyroll.llm.common import GOLDEN, U64, mix, mix_int, slices, text_buffers
 
-MODEL, RATE, SEED, VARIANTS = "piece_bpe_32k.model", 0.1, 1234, 8
+MODEL, RATE, SEED = "piece_bpe_32k.model", 0.1, 1234
+#: Keys that the tests of one segmentation go through; occurrences draw from all 64-bit keys.
+VARIANTS = 8
 MARK = "▁"
 MOST_UNITS, LONG_UNIT, ROWS = 150_000, 48, 20_000
 #: Symbols from here on are characters without a piece; they become byte pieces.
@@ -137,9 +139,20 @@ def matrix(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def unit_keys(rows: np.ndarray, variants: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of seed, variant and symbols of each row; padding doesn't count."""
-    key = mix(variants.astype(np.uint64) + U64(mix_int(seed)))
+def taken(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` from ``begin`` on, one after another."""
+    upto = np.cumsum(length)
+    return flat[np.repeat(begin - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+def place_keys(documents: np.ndarray, ordinals: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of seed, document and the unit's ordinal in it: the key of one occurrence."""
+    return mix(mix(documents + ordinals.astype(np.uint64) * GOLDEN) + U64(mix_int(seed)))
+
+
+def unit_keys(rows: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of seed, draw and symbols of each row, for units outside of documents; padding doesn't count."""
+    key = mix(draws.astype(np.uint64) + U64(mix_int(seed)))
     for column in rows.T:
         key = np.where(column == PAD, key, mix(key * U64(31) + column.astype(np.uint64)))
     return key
@@ -176,8 +189,11 @@ def segment_one(p: Pieces, symbols: np.ndarray, key: np.uint64, rate: float) ->
     return np.array([s for s, a in zip(symbol, alive, strict=True) if a], np.int32)
 
 
-def segment_rows(p: Pieces, rows: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Units side by side, each the same as by ``segment_one``: all symbols one after another, and the number of each."""
+def segment_rows(p: Pieces, rows: np.ndarray, keys: np.ndarray, rate: float, steps: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Units side by side, each the same as by ``segment_one``: all symbols one after another, and the number of each.
+
+    ``steps`` takes (rows, places, pairs) of the merges of each round.
+    """
     symbol = rows.copy()
     n, width = symbol.shape[0], symbol.shape[1] - 1
     alive = symbol != PAD
@@ -201,6 +217,8 @@ def segment_rows(p: Pieces, rows: np.ndarray, keys: np.ndarray, rate: float) ->
             break
         at = best[row]
         gone = after[row, at]
+        if steps is not None:
+            steps.append((row, at, symbol[row, at].astype(np.int64) << 16 | symbol[row, gone]))
         symbol[row, at] = merged[row, at]
         alive[row, gone] = False
         rank[row, np.minimum(gone, width - 1)] = np.where(gone < width, NONE, rank[row, np.minimum(gone, width - 1)])
@@ -218,6 +236,25 @@ def segment_rows(p: Pieces, rows: np.ndarray, keys: np.ndarray, rate: float) ->
     return symbol[alive], alive.sum(axis=1)
 
 
+class Pool:
+    """Pieces of varying length, numbered from 0."""
+
+    def __init__(self, kind) -> None:
+        self.flat, self.begin, self.length = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, length: np.ndarray) -> None:
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
+        self.flat, self.length = np.concatenate([self.flat, flat.astype(self.flat.dtype)]), np.concatenate([self.length, length])
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        return taken(self.flat, self.begin[numbers], self.length[numbers])
+
+    def cut(self, n: int) -> None:
+        """Leaves only the first ``n`` pieces."""
+        if n < len(self.begin):
+            self.flat, self.begin, self.length = self.flat[: self.begin[n]].copy(), self.begin[:n], self.length[:n]
+
+
 class Segmenter(dict):
     """Unit -> number; units met first keep theirs, later ones get one for the batch only."""
 
@@ -226,8 +263,8 @@ class Segmenter(dict):
         self.p, self.rate, self.seed = pieces(model), rate, seed
         self.names: list[str] = []
         self.more: dict[str, int] = {}
-        self.place = np.full(0, -1, np.int64)
-        self.flat, self.room = np.zeros(0, np.int32), 1 << 22
+        #: Of each unit: first symbols, ids without skips, places and pairs of the merges that lead to them.
+        self.first, self.plain, self.place, self.pair = Pool(np.int32), Pool(np.int32), Pool(np.int32), Pool(np.uint32)
 
     def __missing__(self, unit: str) -> int:
         if len(self) < MOST_UNITS:
@@ -251,59 +288,83 @@ class Segmenter(dict):
             numbers.append(np.fromiter(map(self.__getitem__, parts), np.int64, len(parts)))
         sizes = np.array(sizes, np.int64)
         number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        self.learn()
         ordinal = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        variant = mix(np.repeat(documents, sizes) + ordinal.astype(np.uint64) * GOLDEN) % U64(VARIANTS)
-        code = number * VARIANTS + variant.astype(np.int64)
-        if len(self.names) * VARIANTS > len(self.place):
-            self.place = np.concatenate([self.place, np.full(len(self.names) * VARIANTS - len(self.place), -1, np.int64)])
-        unknown = np.unique(code[self.place[code] < 0])
-        self.solve(unknown)
-        place = self.place[code]
-        length = place & 0xFFFFFF
-        upto = np.cumsum(length)
-        ids = self.flat[np.repeat((place >> 24) - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        counts = np.diff(np.concatenate([[0], upto])[ends])
+        key = place_keys(np.repeat(documents, sizes), ordinal, self.seed)
+        anew = self.touched(number, key)
+        begin, length = self.plain.begin[number], self.plain.length[number]
+        own = number[anew]
+        found, n = self.segment(self.first.take(own), self.first.length[own], key[anew], self.rate)
+        begin[anew], length[anew] = len(self.plain.flat) + np.cumsum(n) - n, n
+        ids = taken(np.concatenate([self.plain.flat, found]), begin, length)
+        counts = np.diff(np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])])
         if self.more:
             # Units beyond the kept ones are forgotten.
             self.more.clear()
             del self.names[len(self) :]
-            self.place = self.place[: len(self) * VARIANTS]
-        if len(self.flat) > self.room:
-            self.compact()
+            for pool in (self.first, self.plain, self.place, self.pair):
+                pool.cut(len(self))
         return ids, counts
 
-    def compact(self) -> None:
-        """Leaves only the ids of kept units."""
-        live = np.flatnonzero(self.place >= 0)
-        place = self.place[live]
-        length = place & 0xFFFFFF
-        upto = np.cumsum(length)
-        self.flat = self.flat[np.repeat((place >> 24) - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
-        self.place[live] = upto - length << 24 | length
-        self.room = len(self.flat) + (1 << 22)
-
-    def solve(self, codes: np.ndarray) -> None:
-        if not len(codes):
+    def learn(self) -> None:
+        """Symbols, ids and merges without skips of the units that have none yet."""
+        new = self.names[len(self.first.begin) :]
+        if not new:
             return
-        flat, sizes = self.p.symbols([self.names[c] for c in (codes // VARIANTS).tolist()])
+        symbols, sizes = self.p.symbols(new)
+        # Of long units hardly an occurrence is without a skip, so nothing but their symbols is kept.
+        plain = sizes <= LONG_UNIT if self.rate > 0 else np.ones(len(sizes), bool)
+        steps: list = []
+        found, n = self.segment(symbols[np.repeat(plain, sizes)], sizes[plain], np.zeros(plain.sum(), np.uint64), 0.0, steps)
+        length = np.zeros(len(sizes), np.int64)
+        length[plain] = n
+        self.first.add(symbols, sizes)
+        self.plain.add(found, length)
+        unit, place, pair = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else np.zeros((3, 0), np.int64)
+        order = np.argsort(unit, kind="stable")
+        length = np.zeros(len(sizes), np.int64)
+        length[plain] = np.bincount(unit, minlength=int(plain.sum()))
+        self.place.add(place[order], length)
+        self.pair.add(pair[order], length)
+
+    def touched(self, number: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The occurrences that don't come out as without skips: some merge that leads there is skipped."""
+        if self.rate <= 0:
+            return np.zeros(0, np.int64)
+        out = []
+        for a in range(0, len(number), ROWS):
+            own = number[a : a + ROWS]
+            which = np.repeat(np.arange(len(own)), self.place.length[own])
+            hit = self.first.length[own] > LONG_UNIT
+            hit[which[skipped(key[a : a + ROWS][which], self.place.take(own), self.pair.take(own), self.rate)]] = True
+            out.append(a + np.flatnonzero(hit))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def segment(self, flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float, steps: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units given by their first symbols, one after another, and the number of each.
+
+        ``steps`` takes (units, places, pairs) of the merges of all but long units.
+        """
         begin = np.cumsum(sizes) - sizes
         order = np.argsort(sizes, kind="stable")
         short = int(np.searchsorted(sizes[order], LONG_UNIT, side="right"))
+        parts, counts = [np.zeros(0, np.int32)], np.zeros(len(sizes), np.int64)
         for a in [*range(0, short, ROWS), *range(short, len(order))]:
             part = order[a : min(a + ROWS, short)] if a < short else order[a : a + 1]
-            length = sizes[part]
-            upto = np.cumsum(length)
-            own = flat[np.repeat(begin[part] - (upto - length), length) + np.arange(upto[-1])]
+            own = taken(flat, begin[part], sizes[part])
             if a < short:
-                rows = matrix(own, length)
-                found, n = segment_rows(self.p, rows, unit_keys(rows, codes[part] % VARIANTS, self.seed), self.rate)
+                made: list | None = None if steps is None else []
+                found, n = segment_rows(self.p, matrix(own, sizes[part]), keys[part], rate, made)
+                if made:
+                    steps += [(part[row], at, pair) for row, at, pair in made]
             else:
-                found = segment_one(self.p, own, unit_keys(own[None, :], codes[part] % VARIANTS, self.seed)[0], self.rate)
+                found = segment_one(self.p, own, keys[part][0], rate)
                 n = np.array([len(found)])
-            found, n = self.p.spell(found, n)
-            self.place[codes[part]] = len(self.flat) + np.cumsum(n) - n << 24 | n
-            self.flat = np.concatenate([self.flat, found])
+            found, counts[part] = self.p.spell(found, n)
+            parts.append(found)
+        at = np.zeros(len(sizes), np.int64)
+        at[order] = np.cumsum(counts[order]) - counts[order]
+        return taken(np.concatenate(parts), at, counts), counts
 
 
 @lru_cache(maxsize=1)
