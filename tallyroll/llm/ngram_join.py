@@ -7,7 +7,8 @@ of everything in them. Sets whose boxes and points leave room for the similarity
 Boxes of many-dimensional counts overlap almost everywhere as long as a box holds unrelated sets, so the root of the
 tree is not made of boxes: sets are first dealt into cells which no linked pair can miss. For sizes near b, a linked
 pair differs in at most D shingles; with D + 1 groups or more one group holds the same shingles in both, and its content
-is the cell. The points of a cell are joined by their leaves' and their own bounds; the parts that pairs within the bounds
+is the cell. The points of a cell are joined by their leaves' and their own bounds; a cell of more than CELL_ROWS sets is cut
+into blocks by size, which are joined each by itself before trees meet across blocks. The parts that pairs within the bounds
 connect are the subtrees, each of which gets its texts once, builds its leaves and joins them exactly. A subtree of more
 than TILE_SETS sets is cut into tiles that meet pair by pair in tasks of their own. Equal sets are one point throughout.
 """
@@ -26,6 +27,7 @@ from tallyroll.llm.common import (
     GOLDEN, U64, Forest, bucket_count, components, deal, dealt, grouped, mix, prefix_hashes, span_hashes, staged, text_slices, total_text, word_spans)
 
 TILE_SETS, TILE_SHINGLES, LEAF = 2048, 4_000_000, 16
+CELL_ROWS = 2048
 LEAST_AXES, MOST_AXES = 64, 2048
 FLUSH_ROWS = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -167,23 +169,24 @@ def _emit(batches: Iterator[pa.RecordBatch], rule: Rule, buckets: int) -> Iterat
         yield from flush()
 
 
-def _meet(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: the sets that meet others in a cell, its points, and the rows of its texts."""
-    names = ["rid", "doc_id", "k1", "k2", "n", "cell", "point"]
+def _meet(batches: Iterator[pa.RecordBatch], rule: Rule, cell_rows: int) -> Iterator[pa.RecordBatch]:
+    """Of each bucket: the sets that meet others in a cell (with block and blocks of the cell), its points, and the rows of its texts."""
+    names = ["rid", "doc_id", "k1", "k2", "n", "cell", "block", "blocks", "point"]
     for (_, kind), rows in grouped(batches, 2):
         pieces = [r[0] for r in rows]
         if kind == 2:
             own = {p[:8]: p[8:] for p in pieces}
             none = pa.nulls(len(own), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, pa.array([int.from_bytes(k, "little", signed=True) for k in own], pa.int64()), none, none, none, pa.array(list(own.values()), pa.binary())],
+                [none, none, pa.array([int.from_bytes(k, "little", signed=True) for k in own], pa.int64()), none, none, none, none, none,
+                 pa.array(list(own.values()), pa.binary())],
                 names=names)
             continue
         if kind:
             rid, doc, k1, k2, n, missing = dealt(pieces, ["<i8", "<i8", "<u8", "<u8", "<u4", "u1"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rid), pa.array(doc, mask=missing.astype(bool)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int64)),
-                 pa.nulls(len(rid), pa.int64()), pa.nulls(len(rid), pa.binary())], names=names)
+                 *[pa.nulls(len(rid), pa.int64())] * 3, pa.nulls(len(rid), pa.binary())], names=names)
             continue
         key, owner, size = dealt(pieces, ["<u8", "<u8", "<u4"])
         order = np.lexsort((owner, size, key))
@@ -196,29 +199,38 @@ def _meet(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBa
         # Equal rows of different tasks are one.
         rows_ = rows_[np.concatenate([[True], (key[rows_[1:]] != key[rows_[:-1]]) | (owner[rows_[1:]] != owner[rows_[:-1]])])]
         none = pa.nulls(len(rows_), pa.int64())
+        start = np.concatenate([[0], np.flatnonzero(key[rows_[1:]] != key[rows_[:-1]]) + 1])
+        count = np.diff(np.concatenate([start, [len(rows_)]]))
+        block = (np.arange(len(rows_)) - np.repeat(start, count)) // cell_rows
         yield pa.RecordBatch.from_arrays(
-            [none, none, pa.array(owner[rows_].view(np.int64)), none, pa.array(size[rows_]), pa.array(key[rows_].view(np.int64)), pa.nulls(len(rows_), pa.binary())],
-            names=names)
+            [none, none, pa.array(owner[rows_].view(np.int64)), none, pa.array(size[rows_]), pa.array(key[rows_].view(np.int64)), pa.array(block),
+             pa.array(np.repeat(-(-count // cell_rows), count)), pa.nulls(len(rows_), pa.binary())], names=names)
 
 
 def _within_bounds(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Of each task: a forest over the sets that some cell holds and whose points leave room for a link."""
+    """Of each task: a forest over the sets that some block holds and whose points leave room for a link. Sets of one root are one tree before."""
     number: dict[int, int] = {}
     forest = Forest(0)
-    for _, rows in grouped(batches, 1):
-        own = []
-        for k1, _, _ in rows:
-            if k1 not in number:
-                number[k1] = len(forest.up)
-                forest.up.append(number[k1])
-            own.append(number[k1])
-        if len({forest.find(x) for x in own}) == 1:
+
+    def numbered(k: int) -> int:
+        if k not in number:
+            number[k] = len(forest.up)
+            forest.up.append(number[k])
+        return number[k]
+
+    for _, rows in grouped(batches, 3):
+        own = [numbered(k1) for _, k1, _, _ in rows]
+        for x, (_, _, root, _) in zip(own, rows, strict=True):
+            if root is not None:
+                forest.union(x, numbered(root))
+        trees = np.array([forest.find(x) for x in own])
+        if (trees == trees[0]).all():
             continue
-        size = np.array([n for _, n, _ in rows], np.int64)
-        points = [np.frombuffer(p, np.uint16) for _, _, p in rows]
+        size = np.array([n for n, *_ in rows], np.int64)
+        points = [np.frombuffer(p, np.uint16) for *_, p in rows]
         axes = min(map(len, points))
         points = np.stack([p.reshape(-1, axes).sum(axis=0) for p in points]).astype(np.int64)
-        for a, b in bounded_pairs(points, size, rule, lambda x, own=own: forest.find(own[x])):
+        for a, b in bounded_pairs(points, size, rule, lambda x, own=own: forest.find(own[x]), trees):
             forest.union(own[a], own[b])
     keys = list(number)
     # The smallest key of each tree is its root in what follows.
@@ -232,6 +244,42 @@ def _within_bounds(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["a", "b"])
 
 
+def _across_blocks(large: DataFrame, chained: DataFrame, near, rule: Rule, cell_rows: int) -> DataFrame:
+    """``chained`` (node, root), joined across the blocks of ``large`` cells (cell, block, n, k1).
+
+    One set of each tree goes first, where a cell has few trees. Where several are left, the sets outside of the cell's
+    largest tree are dealt into chunks, which meet the blocks of that tree and each other: no two sets of different trees
+    miss each other, sets of the largest tree don't meet again, and no task holds more than a block and a chunk.
+    """
+    def rooted() -> DataFrame:
+        rows = large.join(chained.withColumnRenamed("node", "k1"), "k1", "left")
+        return staged(rows.select("cell", "block", "n", "k1", F.coalesce("root", "k1").alias("root")), "ngram-large")
+
+    def joined(found: DataFrame) -> DataFrame:
+        return components(chained.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "ngram-subtrees")
+
+    rows = rooted()
+    trees = rows.groupBy("cell", "root").agg(F.min(F.struct("n", "k1")).alias("x"))
+    few = trees.groupBy("cell").agg(F.count("*").alias("t")).filter(F.col("t").between(2, cell_rows)).select("cell")
+    chained = joined(near(trees.join(few, "cell").select("cell", F.lit(0).alias("one"), F.lit(0).alias("two"), "x.n", "x.k1", "root")))
+    rows = rooted()
+    trees = rows.groupBy("cell", "root").agg(F.count("*").alias("k"))
+    cells = trees.groupBy("cell").agg(F.count("*").alias("t"), F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("most")).filter("t > 1")
+    cells = staged(cells.select("cell", F.col("most.root").alias("largest"), F.ceil((F.col("all") - F.col("most.k")) / cell_rows).alias("chunks")), "ngram-open")
+    if cells.isEmpty():
+        return chained
+    rows = rows.join(cells, "cell").withColumn("chunk", F.pmod(F.xxhash64("k1"), F.col("chunks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    inner, open_ = rows.filter("root = largest"), rows.filter("root <> largest")
+    spans = inner.groupBy("cell", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    met = open_.drop("block").join(spans, "cell").filter((100 * F.col("high") >= rule.percent * F.col("n")) & (100 * F.col("n") >= rule.percent * F.col("low")))
+    sent = inner.select("cell", F.col("block").alias("one"), every.alias("two"), "n", "k1", "root")
+    sent = sent.unionByName(met.select("cell", F.col("block").alias("one"), F.col("chunk").alias("two"), "n", "k1", "root"))
+    sent = sent.unionByName(open_.withColumn("other", every).select(
+        "cell", (-1 - F.least("chunk", "other")).alias("one"), F.greatest("chunk", "other").alias("two"), "n", "k1", "root"))
+    return joined(near(sent))
+
+
 def axes_for(n: int) -> int:
     """Groups of a point: so many that each counts a few shingles, a power of two."""
     return min(MOST_AXES, max(LEAST_AXES, 1 << (n // 6).bit_length()))
@@ -336,18 +384,27 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows too. component_id is the smallest doc_id of the component (null ids last). ``leads`` marks the row ids of one
     document in each component. Columns other than those two are not read.
     """
-    buckets = bucket_count(total_text(docs), 8 << 20)
+    buckets, cell_rows = bucket_count(total_text(docs), 8 << 20), CELL_ROWS
     rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("__rid", "doc_id", "text")
     sent = rows.mapInArrow(lambda it: _emit(it, rule, buckets), "bucket int, kind int, piece binary")
     met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
-        lambda it: _meet(it, rule), "rid long, doc_id long, k1 long, k2 long, n long, cell long, point binary")
+        lambda it: _meet(it, rule, cell_rows), "rid long, doc_id long, k1 long, k2 long, n long, cell long, block long, blocks long, point binary")
     met = staged(met, "ngram-cells")
     key = F.unhex(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
     texts = met.filter("rid is not null").select(F.col("rid").alias("__rid"), "doc_id", key.alias("set"), "k1", "n")
     points = met.filter("point is not null").groupBy("k1").agg(F.first("point").alias("point"))
-    inside = met.filter("cell is not null").select("cell", "k1", "n").join(points, "k1").select("cell", "k1", "n", "point")
-    near = inside.repartition(buckets, "cell").sortWithinPartitions("cell", "n", "k1").mapInArrow(lambda it: _within_bounds(it, rule), "a long, b long")
-    chained = components(near, "ngram-subtrees")
+    inside = met.filter("cell is not null").select("cell", "block", "blocks", "n", "k1")
+    place = ["cell", "one", "two"]
+
+    def near(sent: DataFrame) -> DataFrame:
+        held = sent.join(points, "k1").select(*place, "n", "k1", "root", "point")
+        return held.repartition(buckets, *place).sortWithinPartitions(*place, "n", "k1").mapInArrow(lambda it: _within_bounds(it, rule), "a long, b long")
+
+    single = inside.select("cell", F.col("block").alias("one"), F.lit(0).alias("two"), "n", "k1", F.lit(None).cast("long").alias("root"))
+    chained = components(near(single), "ngram-subtrees")
+    large = inside.filter("blocks > 1")
+    if not large.isEmpty():
+        chained = _across_blocks(large, chained, near, rule, cell_rows)
     # One text of each set that meets others.
     sets = texts.groupBy("set").agg(F.min(F.struct("doc_id", "__rid", "k1", "n")).alias("x")).select("set", "x.*")
     sets = staged(sets.join(chained.withColumnRenamed("node", "k1"), "k1").select("set", "__rid", "n", "root"), "ngram-sets")

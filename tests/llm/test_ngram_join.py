@@ -100,3 +100,28 @@ def test_levels_meet():
                 if rule.differ(a + b) > 0 and b <= 100 * a / percent:
                     both = set(rule.levels(a)) & set(rule.levels(b))
                     assert any(groups > rule.differ(a + b) + spare for _, groups, spare in both) or a == b == 0, (a, b)
+
+
+@pytest.mark.parametrize("most", [2, 5])
+def test_large_cells_are_cut_into_blocks(spark, monkeypatch, most):
+    """Families over many blocks, and sets of their cells that are no part of them."""
+    monkeypatch.setattr(op, "CELL_ROWS", most)
+    draw = random.Random(7)
+    rows = near_copies()[:60]
+    for family in range(3):
+        words = [f"f{family}w{k}" for k in range(120)]
+        for _ in range(25):
+            other = list(words)
+            for _ in range(draw.randrange(8)):
+                other[draw.randrange(len(other))] = f"x{draw.randrange(5000)}"
+            # Far ones share cells of the family only.
+            rows.append((len(rows), " ".join(other[: draw.choice([120, 120, 110, 70])])))
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), op.Rule(5, 80)) == brute(rows, op.Rule(5, 80))
+
+
+def test_blocks_hold_no_more_than_their_bound():
+    n = 11
+    piece = b"".join(c.tobytes() for c in (np.full(n, 9, np.uint64), np.arange(n).astype(np.uint64), np.full(n, 50, np.uint32)))
+    batch = op.pa.RecordBatch.from_arrays([op.pa.array([0], op.pa.int32()), op.pa.array([0], op.pa.int32()), op.pa.array([piece], op.pa.binary())], names=["bucket", "kind", "piece"])
+    met = op.pa.Table.from_batches(op._meet(iter([batch]), op.Rule(), 4)).to_pydict()
+    assert met["block"] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2] and set(met["blocks"]) == {3}
