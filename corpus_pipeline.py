@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
-    return piece_dropout.encode_pieces(docs)
+    """Token ids of every document of the mix; the copies of one document have draws of their own."""
+    return piece_dropout.encode_pieces(piece_dropout.numbered_copies(docs, "copy"), draw="copy")
 
 
 STAGES = [

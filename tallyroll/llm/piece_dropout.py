@@ -23,7 +23,7 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -373,11 +373,17 @@ def segmenter(model: str, rate: float, seed: int) -> Segmenter:
     return Segmenter(model, rate, seed)
 
 
-def encode_pieces(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int = SEED) -> DataFrame:
+def numbered_copies(docs: DataFrame, name: str) -> DataFrame:
+    """doc_id and text of every row, and from 1 on which of the rows with the same two it is."""
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    return docs.select("doc_id", "text").withColumn(name, F.row_number().over(same))
+
+
+def encode_pieces(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int = SEED, draw: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_crc32, ids and decoded_sha256 (of the text decoded from the ids) of every document.
 
     Null and empty texts have no ids. The draws depend on doc_id (null: 0), place, unit and seed only, so reruns agree and
-    repeated rows get the same ids. A word mark that stands in a text is spelt in bytes, so decoding is lossless.
+    repeated rows get the same ids, unless a further column ``draw`` tells them apart. A word mark that stands in a text is spelt in bytes, so decoding is lossless.
     """
     ints = T.ArrayType(T.IntegerType(), False)
     schema = T.StructType([
@@ -403,7 +409,8 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed:
                     [part.column(0), pa.array(np.diff(sizes)[first:last]), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64()), lists, pa.array(sha)],
                     names=schema.fieldNames())
 
-    rows = docs.select("doc_id", F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("draw"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.coalesce(F.xxhash64("doc_id"), F.lit(0)) if draw is None else F.xxhash64("doc_id", draw)
+    rows = docs.select("doc_id", key.alias("draw"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, schema)
 
 

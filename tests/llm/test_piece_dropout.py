@@ -75,3 +75,13 @@ def test_every_occurrence_has_a_draw_of_its_own():
         for k in range(0, n, 97):
             assert tuple(op.segment_one(p, flat, keys[k], op.RATE).tolist()) == got[k]
     assert len(set(got)) > 8
+
+
+def test_copies_of_a_document_have_draws_of_their_own(spark, odd, rows_of):
+    text = "international segmentation of repeated documents " * 5
+    df = spark.createDataFrame([(1, text)] * 3 + [(2, text), (None, None), (None, None)], "doc_id long, text string")
+    apart = op.encode_pieces(op.numbered_copies(df, "copy"), draw="copy")
+    got = [r for r in apart.collect() if r["doc_id"] is not None]
+    assert len({tuple(r["ids"]) for r in got}) == 4 and {op.decode_pieces(r["ids"]) for r in got} == {text}
+    assert rows_of(op.encode_pieces(op.numbered_copies(df.repartition(3), "copy"), draw="copy")) == rows_of(apart)
+    assert len({tuple(r["ids"]) for r in op.encode_pieces(df).collect() if r["doc_id"] == 1}) == 1
