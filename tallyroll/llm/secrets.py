@@ -29,9 +29,14 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 20, 0),
     ("hex", r"[0-9a-f]+", 24, 0),
 )
+#: A private key: the BEGIN line, header lines, and the base64 text to the END line, or without one to the last base64 line (lines
+#: of 16 letters or more and a last shorter one). Line feeds may be written as escapes.
+PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t]*(?:\r?\n|\\n)[A-Za-z0-9-]+:[^\r\n\\]*)*"
+       r"(?:(?:[A-Za-z0-9+/= \t\r\n]|\\[nr])*-----END [A-Z ]*PRIVATE KEY-----"
+       r"|(?:(?:[ \t\r\n]|\\[nr])+[A-Za-z0-9+/=]{16,})+(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/=]+(?=[ \t]*(?:[\r\n\\\"']|\Z)))?)?")
 #: Well-known shapes of other credentials.
 ADDED = (
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("pem", PEM, 0, 0),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 0),

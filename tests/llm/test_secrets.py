@@ -57,3 +57,18 @@ def test_masking(spark, clashing):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in op.mask_secrets(df).collect()}
     assert got == {1: ("x [SECRET] [SECRET]", 19), 2: ("clean", 5), 3: (None, None)}
     assert op.mask_secrets(clashing).columns == clashing.columns
+
+
+def test_whole_key_blocks_are_masked(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "Zx9+/aB3" * 6] * 3 + ["q1w2=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(lines)
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    cases = {
+        f"a\n{begin}\n{body}\n{end}\nb c": "a\n[SECRET]\nb c", f"a {begin}\n{headers}{body}\n{end} b": "a [SECRET] b",
+        f"a {begin}\r\n" + "\r\n".join(lines) + f"\r\n{end}\r\nb": "a [SECRET]\r\nb", f'"{begin}\\n' + "\\n".join(lines) + f'\\n{end}\\n"': '"[SECRET]\\n"',
+        f"{begin}\n{body}": "[SECRET]", f"{begin}\n{body}\nThis is text.": "[SECRET]\nThis is text.", f"{begin} {' '.join(lines)} {end}": "[SECRET]",
+        f"{begin}\n{headers}{body}\n\nmore text": "[SECRET]\n\nmore text", f"{begin} is a line": "[SECRET] is a line", f"{begin}\n{body}\n{end}\n{begin}\n{body}\n{end}": "[SECRET]\n[SECRET]"}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in op.mask_secrets(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
