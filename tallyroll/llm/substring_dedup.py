@@ -1,4 +1,4 @@
-"""Exact removal of repeated substrings by difference-cover blockwise suffix sorting.
+"""Removal of repeated substrings by difference-cover samples and equality classes by hash.
 
 A string of LENGTH bytes that starts earlier too is found without sorting all suffixes. Positions whose remainder modulo
 PERIOD lies in a difference cover are the sample: for any two positions there is one shift below PERIOD that brings both
@@ -10,10 +10,16 @@ equal, with the rest of the strings to the left and right of it.
    sample learns whether its core occurs elsewhere. Only the sort values travel, 4 bytes a sample.
 3. Samples that are not alone go into suffix buckets by their class. A bucket is sorted by class; inside a class samples
    with the same PERIOD - 1 bytes on both sides are one, and for the others every shift is a suffix that starts that many
-   bytes before the sample: its order among the class is settled by the hashes of the bytes between, the long tie being
-   the class itself. Each sample gets a mask of shifts whose string starts earlier elsewhere.
+   bytes before the sample, grouped with the equal ones of the class by the hash of the bytes beside the core. Each
+   sample gets a mask of shifts whose string starts earlier elsewhere.
 4. Masks return to the chunks, where bytes are removed.
 
+There are no ranks of samples and no suffix order: hash classes take their place. Whether a string of LENGTH bytes starts
+earlier too asks for equality and the first place only. Equal strings share a sample pair of equal cores, so they meet in
+one class, and at that shift their bytes beside the core have equal hashes; order between unequal strings decides nothing.
+Suffixes are not ordered and longer ties not resolved by this module. Unequal strings are one
+only if two 64-bit hashes of their cores and one of the rest collide.
+
 Memory is bounded by a bucket or a chunk; a class that fills more than ``hot_rows`` rows of a bucket sends its open strings on
 to buckets of their own hash, where equal strings meet, so no class decides a task's size.
 """
