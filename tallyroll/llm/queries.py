@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroll.llm import chat, mixing, ngram_join, piece_dropout, quality, secrets, substring_dedup, token_counts, token_files, topk
+from tallyroll.llm import chat, hard_negatives, licenses, mixing, ngram_join, piece_dropout, quality, secrets, spelling, substring_dedup, token_counts, token_files, topk
 from tallyroll.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.documents_components(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", hard_negatives.ORACLE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spelling_variants", spelling.ORACLE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_license_scans", licenses.ORACLE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
