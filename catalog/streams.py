@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import catalog.campaigns  # noqa: F401  (defines the command views)
 from catalog.issuance import _PERSIST
 from catalog.registry import query
-from catalog.sqlviews import with_views
+from catalog.sqlviews import VIEWS, request_uuid, with_views
+from tallyroll.functions.times import ts
 from tallyroll.plans.staging import work_folder
 from tallyroll.schemas import ISSUE
 from tallyroll.sources import derived
@@ -70,11 +71,94 @@ def stream_persist_issues(spark, sf_dir):
     folder = work_folder(spark, "persist")
     t = derived.tables(spark, sf_dir)
     stream = _stage(derived.stream_entry(spark, sf_dir), f"{folder}/in")
-    ingest.persist_query(stream, folder, t.event, t.coupon, NOW).awaitTermination()
+    ingest.persist_query(stream, folder, t.event, t.coupon, NOW, buckets=8).awaitTermination()
     return spark.read.schema(ISSUE).parquet(f"{folder}/issue").select(
         "issue_id", "event_id", "user_id", "issue_sequence", "request_id", "message_id", "issued_at", "valid_to")
 
 
+# --- storing against an existing ledger, with confirmations and redelivery -------------------
+
+# The ledger holds what was stored before 1997; entries come up to three times; campaign 24 is unknown, some sequences don't fit.
+_AGAIN = "(CAST(split_part(entry_id, '-', 1) AS BIGINT) - 1755000000000)"
+_STORE = f"""{_PERSIST.strip().replace("FROM d_parsed", "FROM sent WHERE event_id <> 24 AND issue_sequence < 2147483648")},
+  refused AS (SELECT entry_id, event_id, request_id, user_id, issue_sequence, CASE WHEN event_id = 24 THEN 'NO_CAMPAIGN' ELSE 'BAD_SEQUENCE' END AS outcome
+    FROM (SELECT DISTINCT entry_id, event_id, request_id, user_id, issue_sequence FROM sent) WHERE event_id = 24 OR issue_sequence >= 2147483648),
+  entries AS (SELECT entry_id, event_id, request_id, user_id, issue_sequence, outcome FROM a5 UNION ALL BY NAME SELECT * FROM refused),
+  rows_ AS (SELECT request_id, event_id, user_id, issue_sequence FROM old UNION ALL SELECT request_id, event_id, user_id, issue_sequence FROM a5 WHERE outcome = 'INSERT'),
+  times AS (SELECT entry_id, event_id, request_id, user_id, issue_sequence, count(*) AS n FROM (
+      SELECT * FROM sent UNION ALL SELECT * FROM sent WHERE {_AGAIN} % 3 <> 0 UNION ALL SELECT * FROM sent WHERE {_AGAIN} % 3 = 1) GROUP BY ALL),
+  ends AS (SELECT e.*, e.outcome IN ('INSERT', 'ABSORBED') AS stored, CASE WHEN e.outcome NOT IN ('INSERT', 'ABSORBED') THEN n END AS attempts,
+      e.outcome NOT IN ('INSERT', 'ABSORBED') AND n >= 3 AND NOT EXISTS (SELECT 1 FROM rows_ r WHERE r.request_id = e.request_id AND r.event_id = e.event_id
+        AND r.user_id = e.user_id AND r.issue_sequence = e.issue_sequence) AS given_up
+    FROM entries e JOIN times t USING (entry_id, event_id, request_id, user_id, issue_sequence)),
+  told AS (SELECT r.campaign_id, r.request_id, r.user_id, r.code, r.lifecycle, r.code = 0 AND r.lifecycle = 0 AND bool_or(coalesce(stored, false)) AS confirmed,
+      r.code = 0 AND r.lifecycle = 0 AND NOT bool_or(coalesce(stored, false)) AND bool_or(coalesce(given_up, false)) AS returned
+    FROM d_record r LEFT JOIN ends e ON e.event_id = r.campaign_id AND e.request_id = r.request_id AND e.user_id = r.user_id
+    GROUP BY r.campaign_id, r.request_id, r.user_id, r.code, r.lifecycle)"""
+
+VIEWS["d_sent"] = (("d_parsed",), f"SELECT * REPLACE (CASE WHEN {_AGAIN} % 41 = 5 THEN issue_sequence + 3000000000 ELSE issue_sequence END AS issue_sequence) FROM d_parsed")
+VIEWS["d_record"] = ((), f"""
+  SELECT o_orderkey % 25 + 1 AS campaign_id, {request_uuid('o_orderkey')} AS request_id, o_custkey + 1 + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS user_id,
+    CASE WHEN o_orderkey % 23 = 0 THEN 8 WHEN o_orderkey % 37 = 0 THEN 1 ELSE 0 END AS code,
+    CASE WHEN o_orderkey % 23 = 0 THEN 2 WHEN o_orderkey % 37 = 0 THEN 3 WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS lifecycle
+  FROM orders WHERE o_orderkey % 29 <> 0
+""")
+
+
+def _records(spark, sf_dir):
+    """Request records of the stream's requests: most accepted and pending, some of other users, settled or missing."""
+    k = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").filter(k % 29 != 0).select(
+        (k % 25 + 1).alias("campaign_id"), derived.request_uuid(k).alias("request_id"), (F.col("o_custkey") + 1 + F.when(k % 13 == 0, 1).otherwise(0)).alias("user_id"),
+        F.when(k % 23 == 0, 8).when(k % 37 == 0, 1).otherwise(0).alias("code"),
+        F.when(k % 23 == 0, 2).when(k % 37 == 0, 3).when(k % 9 == 0, 1).otherwise(0).alias("lifecycle"),
+        F.lit(0).cast("long").alias("remaining"), F.lit(NOW).cast("timestamp_ntz").alias("updated_at"))
+
+
+def _store(spark, sf_dir):
+    """Run the storing stream over all deliveries: the first ones, then the second, then the third. Its folder and state."""
+    folder = work_folder(spark, "store")
+    t = derived.tables(spark, sf_dir)
+    n = F.split("entry_id", "-")[0].cast("long") - F.lit(1755000000000)
+    grown = (F.col("issueSequence").cast("long") + F.lit(3000000000)).cast("string")
+    sent = derived.stream_entry(spark, sf_dir).withColumn("issueSequence", F.when((n % 41 == 5) & (F.col("issueSequence") != "0"), grown).otherwise(F.col("issueSequence")))
+    for wave in (sent, sent.filter(n % 3 != 0), sent.filter(n % 3 == 1)):
+        wave.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    ledger = t.issue.filter(F.col("created_at") < ts("1997-01-01 00:00:00"))
+    ingest.persist_query(
+        stream, folder, t.event.filter("event_id <> 24"), t.coupon, NOW, issue=ledger, records=_records(spark, sf_dir), buckets=8, merge_every=2).awaitTermination()
+    return folder, ingest.StoreState.below(spark, folder, 8, 2)
+
+
+@query("stream_store_entries", with_views(f"""WITH sent AS (SELECT * FROM d_sent), {_STORE}
+    SELECT entry_id, event_id, request_id, user_id, issue_sequence, stored, attempts, given_up FROM ends""", "d_sent", "d_issue", "d_record"))
+def stream_store_entries(spark, sf_dir):
+    """How every entry ended: stored, or failed so many times, or given up after a probe."""
+    folder, _ = _store(spark, sf_dir)
+    return ingest.outcomes(spark, folder).groupBy("entry_id", "event_id", "request_id", "user_id", "issue_sequence").agg(
+        F.bool_or(F.col("outcome").isin("INSERT", "ABSORBED")).alias("stored"), F.max("attempts").alias("attempts"),
+        F.bool_or(F.col("action") == "COMPENSATE_AND_ACK").alias("given_up"))
+
+
+@query("stream_store_records", with_views(f"""WITH sent AS (SELECT * FROM d_sent), {_STORE}
+    SELECT campaign_id, request_id, user_id, CASE WHEN returned THEN 8 ELSE code END AS code, CASE WHEN returned THEN 2 WHEN confirmed THEN 1 ELSE lifecycle END AS lifecycle
+    FROM told""", "d_sent", "d_issue", "d_record"))
+def stream_store_records(spark, sf_dir):
+    """Every request record after the stream: confirmed, given back, or as before."""
+    folder, state = _store(spark, sf_dir)
+    return state.records.all(ingest.batches_done(spark, folder)).select("campaign_id", "request_id", "user_id", "code", "lifecycle")
+
+
+@query("stream_store_counters", with_views(f"""WITH sent AS (SELECT * FROM d_sent), {_STORE}
+    SELECT campaign_id, count(*) FILTER (confirmed) AS confirmed, count(*) FILTER (returned) AS returned FROM told WHERE confirmed OR returned GROUP BY campaign_id""",
+    "d_sent", "d_issue", "d_record"))
+def stream_store_counters(spark, sf_dir):
+    """Confirmed quantity and stock given back of every campaign the stream moved."""
+    folder, state = _store(spark, sf_dir)
+    return state.counters.all(ingest.batches_done(spark, folder))
+
+
 @query("stream_allocate", with_views("SELECT * FROM d_decision", "d_decision"))
 def stream_allocate(spark, sf_dir):
     folder = work_folder(spark, "allocate")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 from operator import and_
@@ -68,6 +69,14 @@ def _greedy_winners(contested: DataFrame) -> DataFrame:
     return winners
 
 
+def stored_keys(rows: DataFrame) -> DataFrame:
+    """key, request_id, event_id, user_id, issue_sequence: one row for each unique key and each request that stored rows hold."""
+    columns = ("request_id", "event_id", "user_id", "issue_sequence")
+    keys = _key_rows(rows, *columns).unionByName(
+        rows.filter(F.col("request_id").isNotNull()).select(*columns, F.concat(F.lit("r:"), F.col("request_id")).alias("key")))
+    return keys.groupBy("key").agg(F.min(F.struct("request_id", "event_id", "user_id", "issue_sequence")).alias("row")).select("key", "row.*")
+
+
 def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
     """Outcome of storing each entry: INSERT, ABSORBED (same request again) or CONFLICT.
 
@@ -75,12 +84,16 @@ def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
     whatever else is stored. The outcome is that of trying entries in arrival order against the
     stored rows and the rows stored before them, on every unique key.
     """
+    entries = cut(entries)
+    requests = matching(issue.select("request_id", "event_id", "user_id", "issue_sequence"), entries, ["request_id"])
+    return classify_against(entries, requests, lambda keys: matching(_key_rows(issue), keys, ["key"]))
+
+
+def classify_against(entries: DataFrame, requests: DataFrame, held_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As :func:`classify_entries`, given the stored rows of the entries' requests, and of some keys those that stored rows hold."""
     c = F.col
     identity = F.struct("event_id", "user_id", "issue_sequence")
-    entries = cut(entries)
-    stored = matching(issue.select("request_id", "event_id", "user_id", "issue_sequence"), entries, ["request_id"]).groupBy("request_id").agg(
-        F.min(identity).alias("stored")
-    )
+    stored = requests.groupBy("request_id").agg(F.min(identity).alias("stored"))
     first = entries.groupBy("request_id").agg(
         F.min(F.struct("arrival_no", identity.alias("identity"))).alias("first")
     )
@@ -94,7 +107,7 @@ def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
     )
     fresh = out.filter(c("outcome") == "INSERT")
     keys = _key_rows(fresh, "arrival_no")
-    held = matching(_key_rows(issue), keys, ["key"])
+    held = held_of(keys)
     blocked = keys.join(held, "key", "left_semi").select("arrival_no").distinct()
     free = _key_rows(fresh.join(blocked, "arrival_no", "left_anti"), "arrival_no")
     shared = free.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -113,7 +126,8 @@ def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
 
 
 def persist_issues(
-    entries: DataFrame, issue: DataFrame, event: DataFrame, coupon: DataFrame, now: datetime
+    entries: DataFrame, issue: DataFrame | None, event: DataFrame, coupon: DataFrame, now: datetime,
+    classify: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New issue rows, their first history rows, and the classified entries.
 
@@ -121,15 +135,16 @@ def persist_issues(
     before anything else; they take no key from others.
 
     A campaign gives out each sequence once, so campaign and sequence make up the issue id: unique,
-    the same on every retry, and without numbering all rows in one task.
+    the same on every retry, and without numbering all rows in one task. Streams pass ``classify`` in place of the ledger.
     """
+    classify = classify or (lambda rows: classify_entries(rows, issue))
     known = event.select("event_id", F.lit(True).alias("_known")).distinct()
     entries = entries.join(known, "event_id", "left").withColumn(
         "_refusal",
         F.when(F.col("_known").isNull(), "NO_CAMPAIGN").when(~F.col("issue_sequence").between(1, MAX_SEQUENCE), "BAD_SEQUENCE"),
     ).drop("_known")
     refused = entries.filter(F.col("_refusal").isNotNull()).withColumn("outcome", F.col("_refusal")).drop("_refusal")
-    judged = classify_entries(entries.filter(F.col("_refusal").isNull()).drop("_refusal"), issue)
+    judged = classify(entries.filter(F.col("_refusal").isNull()).drop("_refusal"))
     judged = judged.unionByName(refused.select(judged.columns))
     fresh = judged.filter(F.col("outcome") == "INSERT").withColumn("valid_from", F.col("decided_at"))
     fresh = with_valid_to(fresh, event, coupon)

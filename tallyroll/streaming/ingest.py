@@ -1,68 +1,207 @@
-"""Stream -> store -> confirm, with redelivery: at-least-once input, exactly-once effect.
+"""Stream -> store -> confirm -> acknowledge, with redelivery: at-least-once input, exactly-once effect.
 
-Every micro-batch writes below ``batch=<id>`` and reads only earlier batches, so a micro-batch
-repeated after a failure computes the same rows and replaces its own output.
+A micro-batch consults what the ledger held at the start and what earlier ones stored, as bucketed key state: it reads
+the buckets of its own keys only. Stored entries are confirmed: request records and campaign counters move on. Entries that
+can't be stored are left to be delivered again until the limit of deliveries; then, if a probe finds their request absent,
+they are given back and acknowledged. A repeated micro-batch computes the same rows and replaces its own output.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyroll.operators.persistence import persist_issues
-from tallyroll.plans.staging import read_batches, write_batch
+from tallyroll.constants import MAX_DELIVERY_ATTEMPTS
+from tallyroll.operators.persistence import (
+    apply_answers, classify_against, classify_delivery, compensate, confirm, counter_deltas, persist_issues, probe, stored_keys,
+)
+from tallyroll.plans.staging import cut, read_batches, write_batch
 from tallyroll.schemas import ISSUE, STREAM_ENTRY
 from tallyroll.sources.stream import parse_issue_entries
+from tallyroll.streaming.state import BUCKETS, MERGE_EVERY, KeyedState
+
+_L, _I, _S, _T = T.LongType(), T.IntegerType(), T.StringType(), T.TimestampNTZType()
+
+
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in columns.items()])
+
+
+IDENTITY = ("entry_id", "event_id", "request_id", "user_id", "issue_sequence")
+STORED_KEY = _schema(key=_S, request_id=_S, event_id=_L, user_id=_L, issue_sequence=_L)
+RECORD = _schema(campaign_id=_L, request_id=_S, user_id=_L, code=_I, lifecycle=_I, remaining=_L, updated_at=_T)
+ATTEMPT = _schema(entry_id=_S, event_id=_L, request_id=_S, user_id=_L, issue_sequence=_L, attempts=_L)
+COUNTER = _schema(campaign_id=_L, confirmed=_L, returned=_L)
+#: One row for each entry of a micro-batch: outcome, deliveries so far if it can't be stored, what is done, and the answer to that.
+OUTCOME = _schema(entry_id=_S, event_id=_L, request_id=_S, user_id=_L, issue_sequence=_L, outcome=_S, attempts=_L, action=_S, answer=_S)
+STORED = ("INSERT", "ABSORBED")
+CONFIRMED_ANSWERS = ("CONFIRMED_NOW", "ALREADY_CONFIRMED")
+
+
+@dataclass(frozen=True)
+class StoreState:
+    """What a storing stream remembers."""
+
+    keys: KeyedState
+    records: KeyedState
+    attempts: KeyedState
+    counters: KeyedState
+
+    @classmethod
+    def below(cls, spark: SparkSession, folder: str, buckets: int = BUCKETS, merge_every: int = MERGE_EVERY) -> StoreState:
+        def state(name: str, schema: T.StructType, *keys: str) -> KeyedState:
+            return KeyedState(spark, f"{folder}/state/{name}", schema, keys, buckets, merge_every)
+
+        return cls(
+            state("keys", STORED_KEY, "key"), state("records", RECORD, "campaign_id", "request_id"), state("attempts", ATTEMPT, *IDENTITY),
+            state("counters", COUNTER, "campaign_id"))
+
+    def start(self, issue: DataFrame | None, records: DataFrame | None) -> None:
+        """The state before the stream: an existing ledger's keys and the request records as they stand."""
+        self.keys.start(None if issue is None else stored_keys(issue))
+        self.records.start(records)
+        self.attempts.start()
+        self.counters.start()
+
+    def merge(self, batch: int) -> None:
+        for state in (self.keys, self.records, self.attempts, self.counters):
+            state.merge(batch)
 
 
 def with_arrival(entries: DataFrame) -> DataFrame:
-    """Distinct entries with their place in the stream: milliseconds, number in the millisecond, content.
+    """Distinct entries with their place in the stream: milliseconds, number in the millisecond, content; and how often they came.
 
     The place is a struct, so it orders as the stream does and needs no global numbering.
     """
-    identity = ["entry_id", "event_id", "request_id", "user_id", "issue_sequence"]
     rest = F.struct("decided_at", "message_id", "segment_id", "bit_offset")
     parts = F.split(F.col("entry_id"), "-")
     place = F.struct(
         parts[0].try_cast("bigint").alias("ms"), F.try_element_at(parts, F.lit(2)).try_cast("bigint").alias("n"),
-        *identity[1:],
+        *IDENTITY[1:],
     )
-    return entries.groupBy(*identity).agg(F.min(rest).alias("rest")).select(*identity, "rest.*", place.alias("arrival_no"))
+    return entries.groupBy(*IDENTITY).agg(F.min(rest).alias("rest"), F.count("*").alias("deliveries")).select(
+        *IDENTITY, "rest.*", place.alias("arrival_no"), "deliveries")
+
+
+def _failed(judged: DataFrame, state: StoreState, batch: int, requests: DataFrame, limit: int) -> DataFrame:
+    """Entries that couldn't be stored, with their deliveries so far, what to do and whether that is due in this micro-batch."""
+    rows = judged.filter(~F.col("outcome").isin(*STORED)).select(*IDENTITY, "arrival_no", "outcome", "deliveries")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in IDENTITY]
+    on = same[0]
+    for part in same[1:]:
+        on = on & part
+    before = state.attempts.of(rows, batch)
+    counted = rows.alias("r").join(before.alias("a"), on, "left").select(
+        "r.*", F.coalesce("a.attempts", F.lit(0)).alias("earlier"), (F.coalesce("a.attempts", F.lit(0)) + F.col("deliveries")).alias("attempts"))
+    probed = probe(counted, requests).withColumn("stage", F.lit("RELAY"))
+    decided = classify_delivery(probed, limit)
+    # Acknowledged at the limit: what comes after that is not acted on again.
+    return decided.withColumn("action", F.when(F.col("earlier") >= limit, "IGNORE").otherwise(F.col("action")))
 
 
-def persist_batch(entries: DataFrame, batch: int, folder: str, event: DataFrame, coupon: DataFrame, now: datetime) -> None:
-    """Store one micro-batch: new issues, first history rows, confirmations, conflicts, malformed entries."""
+def persist_batch(
+    entries: DataFrame, batch: int, folder: str, event: DataFrame, coupon: DataFrame, now: datetime, state: StoreState | None = None,
+    limit: int = MAX_DELIVERY_ATTEMPTS,
+) -> None:
+    """Store one micro-batch: new issues, first history rows, answers to requests, redeliveries, malformed entries.
+
+    Confirmations of a micro-batch come before its give-backs.
+    """
     spark = entries.sparkSession
+    if state is None:
+        state = StoreState.below(spark, folder)
+        state.start(None, None)
+    state.merge(batch)
     good, bad = parse_issue_entries(entries.select([f.name for f in STREAM_ENTRY.fields]))
-    stored = read_batches(spark, f"{folder}/issue", ISSUE, before=batch)
-    arrivals = with_arrival(good)
-    issues, history, judged = persist_issues(arrivals, stored, event, coupon, now)
+    arrivals = cut(with_arrival(good))
+    # All keys the entries could hold, looked up at once.
+    known = cut(state.keys.of(stored_keys(arrivals), batch))
+    requests = known.filter(F.col("key").startswith("r:")).drop("key")
+    held = known.filter(~F.col("key").startswith("r:")).select("key")
+    issues, history, judged = persist_issues(
+        arrivals, None, event, coupon, now, lambda rows: classify_against(rows, requests, lambda keys: held))
     write_batch(issues.select(ISSUE.fieldNames()), f"{folder}/issue", batch)
+    mine = spark.read.schema(ISSUE).parquet(f"{folder}/issue/batch={batch}")
     write_batch(history, f"{folder}/history", batch)
-    stored_now = F.col("outcome").isin("INSERT", "ABSORBED")
-    answered = judged.filter(stored_now).select(F.col("event_id").alias("campaign_id"), "request_id", "user_id").distinct()
-    write_batch(answered, f"{folder}/confirm", batch)
-    write_batch(judged.filter(F.col("outcome") == "CONFLICT").select("entry_id", "event_id", "request_id", "user_id", "issue_sequence"), f"{folder}/conflict", batch)
-    refused = judged.filter(F.col("outcome").isin("NO_CAMPAIGN", "BAD_SEQUENCE"))
-    write_batch(refused.select("entry_id", "event_id", "request_id", "user_id", "issue_sequence", "outcome"), f"{folder}/refused", batch)
+    state.keys.update(stored_keys(mine), batch)
+
+    judged = cut(judged)
+    failed = cut(_failed(judged, state, batch, requests.unionByName(mine.select(requests.columns)), limit))
+    state.attempts.update(failed.select(*IDENTITY, "attempts"), batch)
+
+    command = [F.col("event_id").alias("campaign_id"), "request_id", "user_id", F.col("arrival_no").alias("command_no"), *[F.col(c).alias(f"_{c}") for c in ("entry_id", "issue_sequence")]]
+    stored = judged.filter(F.col("outcome").isin(*STORED)).select(*command, "outcome")
+    given_up = failed.filter(F.col("action") == "COMPENSATE_AND_ACK").select(*command, "outcome", "attempts")
+    records = cut(state.records.of(stored.select("campaign_id", "request_id").unionByName(given_up.select("campaign_id", "request_id")), batch))
+    confirmed = cut(confirm(records, stored))
+    after = apply_answers(records, confirmed, "confirm_result", now)
+    returned = cut(compensate(after, given_up))
+    left = apply_answers(after, returned, "compensate_result", now)
+    acted = confirmed.filter("confirm_result = 'CONFIRMED_NOW'").select("campaign_id", "request_id").unionByName(
+        returned.filter("compensate_result = 'COMPENSATED'").select("campaign_id", "request_id"))
+    state.records.update(left.join(acted.distinct(), ["campaign_id", "request_id"], "left_semi"), batch)
+    moves = counter_deltas(confirmed, returned)
+    totals = state.counters.of(moves, batch).unionByName(moves).groupBy("campaign_id").agg(
+        F.sum("confirmed").alias("confirmed"), F.sum("returned").alias("returned"))
+    state.counters.update(totals, batch)
+
+    back = [F.col("_entry_id").alias("entry_id"), F.col("campaign_id").alias("event_id"), "request_id", "user_id", F.col("_issue_sequence").alias("issue_sequence"), "outcome"]
+    kept = failed.filter(F.col("action") != "COMPENSATE_AND_ACK")
+    skipped = F.when(F.col("action") == "ACK", "SKIPPED_PERSISTED").when(F.col("action") == "KEEP", "SKIPPED_UNVERIFIED")
+    rows = (
+        confirmed.select(*back, F.lit(None).cast("long").alias("attempts"), F.lit("ACK").alias("action"), F.col("confirm_result").alias("answer"))
+        .unionByName(returned.select(*back, "attempts", F.lit("COMPENSATE_AND_ACK").alias("action"), F.col("compensate_result").alias("answer")))
+        .unionByName(kept.select(*IDENTITY, "outcome", "attempts", "action", skipped.alias("answer")))
+    )
+    write_batch(rows.select(OUTCOME.fieldNames()), f"{folder}/outcome", batch)
     write_batch(bad, f"{folder}/malformed", batch)
 
 
 def persist_query(
-    stream: DataFrame, folder: str, event: DataFrame, coupon: DataFrame, now: datetime, available_now: bool = True
+    stream: DataFrame, folder: str, event: DataFrame, coupon: DataFrame, now: datetime, available_now: bool = True,
+    issue: DataFrame | None = None, records: DataFrame | None = None, buckets: int = BUCKETS, merge_every: int = MERGE_EVERY,
+    limit: int = MAX_DELIVERY_ATTEMPTS,
 ) -> StreamingQuery:
-    """Start the storing query; its checkpoint below ``folder`` is the read position."""
+    """Start the storing query; its checkpoint below ``folder`` is the read position.
+
+    ``issue`` is the ledger as it stands, ``records`` the request records (:data:`RECORD`); both are read once, when the
+    stream starts for the first time.
+    """
+    state = StoreState.below(stream.sparkSession, folder, buckets, merge_every)
+    state.start(issue, records)
 
     def run(batch: DataFrame, number: int) -> None:
         # The input is read several times; keep it for the length of the batch only.
         batch = batch.persist()
         try:
-            persist_batch(batch, number, folder, event, coupon, now)
+            persist_batch(batch, number, folder, event, coupon, now, state, limit)
         finally:
             batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/position")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What was done with every entry, micro-batch by micro-batch."""
+    return read_batches(spark, f"{folder}/outcome", OUTCOME)
+
+
+def batches_done(spark: SparkSession, folder: str) -> int:
+    """Number of the next micro-batch."""
+    last = outcomes(spark, folder).agg(F.max("batch")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows for the failure ledger: rejected confirmations, and entries whose deliveries came to an end."""
+    o = outcomes(spark, folder)
+    ended = F.col("action").isin("COMPENSATE_AND_ACK", "KEEP") | (F.col("attempts").isNotNull() & (F.col("action") == "ACK"))
+    return o.filter(ended | (F.col("outcome").isin(*STORED) & ~F.col("answer").isin(*CONFIRMED_ANSWERS))).select(
+        F.col("event_id"), "user_id", "request_id", "issue_sequence", F.when(F.col("outcome").isin(*STORED), "CONFIRM").otherwise("RELAY").alias("failure_stage"),
+        F.col("answer").alias("compensation_result"), "batch")

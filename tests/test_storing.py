@@ -3,10 +3,13 @@ from datetime import datetime, timedelta
 
 from conftest import START, event_row, issue_row, uuid_of
 
+from pyspark.sql import types as T
+
 from tallyroll import schemas
 from tallyroll.operators import persistence
 from tallyroll.sources.stream import read_issue_stream
 from tallyroll.streaming import ingest
+from tallyroll.streaming.state import KeyedState
 
 ENTRY = ("request_id string, event_id long, user_id long, issue_sequence long, message_id string, arrival_no long, decided_at timestamp_ntz")
 NOW = datetime(2026, 8, 18, 13)
@@ -100,7 +103,8 @@ def test_stream_is_stored_once(spark, make, tmp_path):
     assert one["issue_id"] == (1 << 32) + 1
     assert {r["event_uid"] for r in read("history").collect()} == set(issues) and read("history").count() == 3
     assert read("malformed").select("entry_id", "fault").collect() == [(f"{ms + 2}-0", "userId")]
-    assert {r["entry_id"] for r in read("conflict").collect()} == {f"{ms}-0", f"{ms + 5}-0", f"{ms + 9}-0"}
+    refused = ingest.outcomes(spark, f"{tmp_path}/out").filter("outcome = 'CONFLICT'").collect()
+    assert {(r["entry_id"], r["attempts"], r["action"]) for r in refused} == {(f"{ms}-0", 1, "RETRY"), (f"{ms + 5}-0", 1, "RETRY"), (f"{ms + 9}-0", 1, "RETRY")}
     before = read("issue").count()
     # A micro-batch repeated after a failure replaces its own rows.
     again = spark.createDataFrame(files[1], schemas.STREAM_ENTRY)
@@ -108,6 +112,73 @@ def test_stream_is_stored_once(spark, make, tmp_path):
     assert read("issue").count() == before and read("history").count() == 3
 
 
+def test_store_confirm_redeliver_from_an_existing_ledger(spark, make, tmp_path):
+    """Stored rows of the ledger absorb or refuse; confirmations move records and counters; the third failed delivery is given back."""
+    event, coupon = make.event(event_row(1)), make.rows(schemas.COUPON, (1, "c", "FIXED", 100, 24, START))
+    ledger = make.issue(issue_row(1), issue_row(2, request_id=uuid_of(2)))
+    ms = 1755000000000
+    record = lambda n, user, code=0, stage=0: (1, uuid_of(n), user, code, stage, 0, START)
+    records = spark.createDataFrame(
+        [record(1, 1), record(3, 3), record(4, 4), record(5, 5, 0, 1), record(6, 66), record(7, 7, 8, 2), record(12, 12)], ingest.RECORD)
+    # 4 takes a stored user's place, 8 a stored sequence's; 9 is of no campaign; 12 runs against the entry before it.
+    bad = [entry(4, ms + 4, userId="1"), entry(8, ms + 8, issueSequence="2"), entry(9, ms + 9, campaignId="77"), entry(12, ms + 12, issueSequence="3")]
+    files = [
+        [entry(1, ms + 1), entry(3, ms + 3), entry(5, ms + 5), *bad], [entry(6, ms + 6), entry(7, ms + 7), *bad, entry(3, ms + 3)], bad, [], bad]
+    for part in files:
+        spark.createDataFrame(part, schemas.STREAM_ENTRY).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+
+    def run(folder, per_trigger, **sizes):
+        stream = read_issue_stream(spark, f"{tmp_path}/in", per_trigger)
+        ingest.persist_query(stream, folder, event, coupon, NOW, issue=ledger, records=records, **sizes).awaitTermination()
+        state = ingest.StoreState.below(spark, folder, **sizes)
+        last = ingest.batches_done(spark, folder)
+        kept = {r["request_id"]: (r["code"], r["lifecycle"]) for r in state.records.all(last).collect()}
+        counts = [(r["campaign_id"], r["confirmed"], r["returned"]) for r in state.counters.all(last).collect()]
+        failed = sorted((r["request_id"], r["failure_stage"], r["compensation_result"]) for r in ingest.failures(spark, folder).collect())
+        rows = {(r["request_id"], r["outcome"]) for r in ingest.outcomes(spark, folder).collect()}
+        return kept, counts, failed, rows
+
+    kept, counts, failed, rows = run(f"{tmp_path}/one", 1, buckets=4, merge_every=2)
+    n = lambda k: uuid_of(k)
+    assert {(n(1), "ABSORBED"), (n(3), "INSERT"), (n(3), "ABSORBED"), (n(4), "CONFLICT"), (n(8), "CONFLICT"), (n(9), "NO_CAMPAIGN"), (n(12), "CONFLICT")} <= rows
+    # User 1 asked under request 4, whose record is user 4's: not given back. Request 12's is.
+    assert kept == {n(1): (0, 1), n(3): (0, 1), n(4): (0, 0), n(5): (0, 1), n(6): (0, 0), n(7): (8, 2), n(12): (8, 2)}
+    assert counts == [(1, 2, 1)]
+    assert failed == sorted([
+        (n(4), "RELAY", "INVALID_ARGUMENT"), (n(8), "RELAY", "REQUEST_NOT_FOUND"), (n(9), "RELAY", "REQUEST_NOT_FOUND"), (n(12), "RELAY", "COMPENSATED"),
+        (n(6), "CONFIRM", "INVALID_ARGUMENT"), (n(7), "CONFIRM", "NOT_CONFIRMABLE")])
+    again = run(f"{tmp_path}/two", 5)
+    assert again[0] == kept and again[1] == counts and again[2] == failed
+
+
+def test_key_state_reads_touched_buckets_only(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.LongType())])
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), schema)
+    state = KeyedState(spark, f"{tmp_path}/s", schema, ("k",), buckets=8, merge_every=3)
+    state.start(rows(*[(f"k{i}", i) for i in range(40)], (None, -1)))
+    state.start(rows(("other", 0)))
+    got = lambda batch: {r["k"]: r["n"] for r in state.all(batch).collect()}
+    want = {f"k{i}": i for i in range(40)} | {None: -1}
+    for batch in range(8):
+        state.merge(batch)
+        assert got(batch) == want
+        changed = {f"k{batch}": 100 + batch, "k1": 200 + batch, f"new{batch}": batch}
+        state.update(rows(*changed.items()), batch)
+        if batch == 4:  # a repeated micro-batch replaces its own rows
+            state.update(rows(*changed.items()), batch)
+        want |= changed
+    assert state.base(7) == 6 and state.base(5) == 3 and state.base(2) == 0
+    one = rows(("k5", 0), (None, 0))
+    found = state.of(one, 8)
+    assert {r["k"]: r["n"] for r in found.collect()} == {"k5": 105, None: -1}
+    # Only the two keys' buckets of the newest snapshot and the deltas since.
+    files = [f for f in state.all(8, state.touched(one)).inputFiles()]
+    assert all("version=6" in f or "version=7" in f for f in files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and len(state.touched(one)) <= 2
+    assert {f.rsplit("=", 1)[1] for f in state.outdated(8) if "delta" in f} == {"0", "1", "2", "3", "4", "5"}
+
+
 def test_probe_and_answers(spark, make):
     issue = make.issue(issue_row(1), issue_row(2))
     f = spark.createDataFrame(
