@@ -22,8 +22,8 @@ from tallyroll.llm.common import grouped, staged
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = "a-zÀ-ÿ"
 SHORTEST, LEAST, RATIO, SLIP = 6, 5, 5, 199
-#: Words of a group that one task scans.
-GROUP = 4096
+#: Words of a group that one task scans, and entries of many groups about.
+GROUP, TASK_ENTRIES = 4096, 50_000
 FAR = 2
 
 
@@ -167,7 +167,9 @@ def near_words(words: DataFrame, group: int = GROUP) -> DataFrame:
     all_ = parts[0].select(columns)
     for part in parts[1:]:
         all_ = all_.unionByName(part.select(columns))
-    return all_.repartition("key").sortWithinPartitions("key", "middle").mapInArrow(_scan, "word string, near string, near_n long")
+    # The scan takes time where the shuffled bytes are few, so tasks are sized by entries (four a word).
+    tasks = max(1, -(-4 * words.count() // TASK_ENTRIES))
+    return all_.repartition(tasks, "key").sortWithinPartitions("key", "middle").mapInArrow(_scan, "word string, near string, near_n long")
 
 
 def with_forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
