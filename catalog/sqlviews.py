@@ -190,6 +190,8 @@ def with_views(body: str, *names: str) -> str:
         add(name)
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in order]
     inner = body.strip()
+    if inner[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {', '.join(parts)}, {inner[15:]}"
     if inner[:5].upper() == "WITH ":
         return f"WITH {', '.join(parts)}, {inner[5:]}"
     return f"WITH {', '.join(parts)} {inner}" if parts else inner

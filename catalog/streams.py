@@ -163,10 +163,78 @@ def stream_store_counters(spark, sf_dir):
 def stream_allocate(spark, sf_dir):
     folder = work_folder(spark, "allocate")
     rows = derived.request(spark, sf_dir).withColumn("kind", F.lit("REQUEST")).select(allocate.COMMAND.fieldNames())
-    allocate.allocate_query(_stage(rows, f"{folder}/in"), folder, derived.campaign(spark, sf_dir)).awaitTermination()
+    allocate.allocate_query(_stage(rows, f"{folder}/in"), folder, derived.campaign(spark, sf_dir), buckets=8).awaitTermination()
     return allocate.decisions(spark, folder)
 
 
+# Requests, and give-backs some requests later: of accepted and refused ones, repeated ones, by another user, of unknown ids.
+VIEWS["d_command_log"] = (("d_request",), """
+  SELECT 'REQUEST' AS kind, campaign_id, user_id, request_id, arrived_at, arrival_no * 4 AS arrival_no FROM d_request
+  UNION ALL SELECT 'COMPENSATE', campaign_id, CASE WHEN arrival_no % 21 = 3 THEN user_id + 1 ELSE user_id END, request_id, arrived_at, (arrival_no + 50) * 4 + 1 FROM d_request WHERE arrival_no % 7 = 3
+  UNION ALL SELECT 'COMPENSATE', campaign_id, user_id, request_id, arrived_at, (arrival_no + 90) * 4 + 2 FROM d_request WHERE arrival_no % 14 = 3
+  UNION ALL SELECT 'COMPENSATE', campaign_id, user_id, concat('none-', arrival_no), arrived_at, arrival_no * 4 + 3 FROM d_request WHERE arrival_no % 35 = 1
+""")
+
+
+def _command_log(spark, sf_dir):
+    n = F.col("arrival_no")
+    r = derived.request(spark, sf_dir)
+    back = r.withColumn("kind", F.lit("COMPENSATE"))
+    parts = [
+        r.withColumn("kind", F.lit("REQUEST")).withColumn("arrival_no", n * 4),
+        back.filter(n % 7 == 3).withColumn("user_id", F.when(n % 21 == 3, F.col("user_id") + 1).otherwise(F.col("user_id"))).withColumn("arrival_no", (n + 50) * 4 + 1),
+        back.filter(n % 14 == 3).withColumn("arrival_no", (n + 90) * 4 + 2),
+        back.filter(n % 35 == 1).withColumn("request_id", F.concat(F.lit("none-"), n.cast("string"))).withColumn("arrival_no", n * 4 + 3),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.select(allocate.COMMAND.fieldNames())
+
+
+@query("stream_allocate_give_backs", with_views("""
+    WITH RECURSIVE told AS (
+      SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY arrival_no) AS n, count(*) OVER (PARTITION BY campaign_id, request_id) > 1 AS again FROM d_command_log),
+    step AS (
+      SELECT campaign_id, CAST(0 AS BIGINT) AS n, total_stock AS stock, CAST(0 AS BIGINT) AS drawn, open_at, close_at,
+        CAST(MAP {} AS MAP(BIGINT, BOOLEAN)) AS holds,
+        CAST(MAP {} AS MAP(VARCHAR, STRUCT(u BIGINT, code INTEGER, seq BIGINT, remaining BIGINT, since TIMESTAMP))) AS mem,
+        CAST(NULL AS BIGINT) AS arrival_no, CAST(NULL AS VARCHAR) AS answer, CAST(NULL AS STRUCT(u BIGINT, code INTEGER, seq BIGINT, remaining BIGINT, since TIMESTAMP)) AS k
+      FROM d_campaign
+      UNION ALL
+      SELECT campaign_id, n, stock_, drawn_, open_at, close_at,
+        CASE answer WHEN 'ACCEPT' THEN map_concat(holds, MAP {user_id: true}) WHEN 'COMPENSATED' THEN map_concat(holds, MAP {user_id: false}) ELSE holds END,
+        CASE WHEN again AND answer IN ('ACCEPT', 'SOLD', 'HELD', 'EARLY', 'LATE') THEN map_concat(mem, MAP {request_id: k2}) WHEN answer = 'COMPENSATED' THEN map_concat(mem, MAP {request_id: k2}) ELSE mem END,
+        arrival_no, answer, k2
+      FROM (
+        SELECT *, CASE WHEN answer = 'COMPENSATED' THEN {'u': k.u, 'code': 8, 'seq': k.seq, 'remaining': stock_, 'since': k.since}
+            WHEN answer IN ('ACCEPT', 'SOLD', 'HELD', 'EARLY', 'LATE') THEN {'u': user_id, 'code': CASE answer WHEN 'ACCEPT' THEN 0 WHEN 'SOLD' THEN 1 WHEN 'HELD' THEN 2 WHEN 'EARLY' THEN 3 ELSE 4 END,
+              'seq': CASE WHEN answer = 'ACCEPT' THEN drawn_ END, 'remaining': stock_, 'since': arrived_at} ELSE k END AS k2
+        FROM (
+          SELECT *, stock - CASE answer WHEN 'ACCEPT' THEN 1 WHEN 'COMPENSATED' THEN -1 ELSE 0 END AS stock_, drawn + CASE answer WHEN 'ACCEPT' THEN 1 ELSE 0 END AS drawn_
+          FROM (
+            SELECT *, CASE WHEN kind = 'COMPENSATE' THEN CASE WHEN k IS NULL THEN 'REQUEST_NOT_FOUND' WHEN k.u <> user_id THEN 'INVALID_ARGUMENT' WHEN k.code = 8 THEN 'ALREADY_COMPENSATED'
+                  WHEN k.code <> 0 THEN 'NOT_COMPENSABLE' ELSE 'COMPENSATED' END
+                WHEN k IS NOT NULL THEN CASE WHEN k.u = user_id THEN 'REPEAT' ELSE 'CLASH' END
+                WHEN arrived_at < open_at THEN 'EARLY' WHEN arrived_at >= close_at THEN 'LATE' WHEN coalesce(holds[user_id], false) THEN 'HELD' WHEN stock <= 0 THEN 'SOLD' ELSE 'ACCEPT' END AS answer
+            FROM (SELECT s.campaign_id, t.n, s.stock, s.drawn, s.open_at, s.close_at, s.holds, s.mem, t.kind, t.user_id, t.request_id, t.arrived_at, t.arrival_no, t.again, s.mem[t.request_id] AS k
+                  FROM step s JOIN told t ON t.campaign_id = s.campaign_id AND t.n = s.n + 1)))))
+    SELECT t.arrival_no, t.kind, t.campaign_id, CASE WHEN t.kind = 'COMPENSATE' THEN NULL WHEN s.answer IS NULL THEN 5 WHEN s.answer = 'CLASH' THEN 6 ELSE s.k.code END AS code,
+      CASE WHEN t.kind = 'REQUEST' AND s.answer <> 'CLASH' THEN s.k.seq END AS issue_sequence, CASE WHEN t.kind = 'REQUEST' AND s.answer <> 'CLASH' THEN s.k.remaining END AS remaining,
+      CASE WHEN t.kind = 'REQUEST' THEN s.k.since END AS decided_at, CASE WHEN t.kind = 'REQUEST' THEN coalesce(s.answer IN ('REPEAT', 'CLASH'), false) END AS repeated,
+      CASE WHEN t.kind = 'COMPENSATE' THEN coalesce(s.answer, 'REQUEST_NOT_FOUND') END AS result, CASE WHEN s.answer = 'COMPENSATED' THEN s.k.remaining END AS restored
+    FROM told t LEFT JOIN step s ON s.campaign_id = t.campaign_id AND s.n = t.n""", "d_command_log", "d_campaign"))
+def stream_allocate_give_backs(spark, sf_dir):
+    """Requests and give-backs in the order of the log, two files to a micro-batch, in segments of a few thousand numbers."""
+    folder = work_folder(spark, "give-backs")
+    stream = _stage_in_order(_command_log(spark, sf_dir), f"{folder}/in", "arrival_no", 4, 2)
+    allocate.allocate_query(stream, folder, derived.campaign(spark, sf_dir), buckets=8, segment_rows=5000).awaitTermination()
+    answers = allocate.decisions(spark, folder).select(
+        "arrival_no", F.lit("REQUEST").alias("kind"), "campaign_id", "code", "issue_sequence", "remaining", "decided_at", "repeated")
+    return answers.unionByName(allocate.give_backs(spark, folder).select(
+        "arrival_no", F.lit("COMPENSATE").alias("kind"), "campaign_id", "result", "restored"), allowMissingColumns=True)
+
+
 @query("stream_commands", with_views("""
     SELECT command_no, issue_id, event_id, target_status, CASE WHEN refusal IS NULL THEN prev END AS previous_status, result FROM d_keyed WHERE replay = 'NEW'
     UNION ALL SELECT command_no, issue_id, NULL, target_status, NULL, replay FROM d_keyed WHERE replay <> 'NEW'""", "d_keyed"))

@@ -1,30 +1,28 @@
 """Continuous first-come allocation with give-back.
 
-Each micro-batch runs the distributed batch operators against what earlier micro-batches wrote, so a
-campaign that draws most of the traffic is still spread over tasks. Answers equal a sequential replay in arrival
-order, wherever micro-batches end: a request before a give-back does not see it, one after it does.
-
-Without give-backs the replay has a closed form. Campaigns that get some in a micro-batch are replayed row by row, each in
-a task of its own; only that micro-batch's rows of the campaign, with what is remembered about their requests and users,
-meet there, and ``maxFilesPerTrigger`` bounds them.
+Each micro-batch runs the distributed batch operators against what earlier micro-batches left: request records, holders
+and counters as bucketed key state, of which it reads the buckets of its own requests, users and campaigns. Answers equal a
+sequential replay in arrival order, wherever micro-batches end: a request before a give-back does not see it, one after
+it does. Campaigns without give-backs in a micro-batch take the closed form, the others the composed one; both spread
+a campaign over tasks by segments of the log.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyroll.constants import (
-    COMPENSATED, DECISION_ACCEPTED, DECISION_ALREADY_ISSUED, DECISION_CLOSED, DECISION_CORRUPTED_STATE, DECISION_IDEMPOTENCY_CONFLICT,
-    DECISION_INVALID_ARGUMENT, DECISION_NOT_INITIALIZED, DECISION_NOT_OPEN, DECISION_PERSISTENCE_FAILED, DECISION_SOLD_OUT, PENDING, TERMINAL,
-)
-from tallyroll.operators.allocation import allocate, campaign_limits, to_request_state, validate_requests
-from tallyroll.plans.staging import cut, matching, read_batches, write_batch
+from tallyroll.constants import COMPENSATED, DECISION_ACCEPTED, DECISION_PERSISTENCE_FAILED
+from tallyroll.operators.allocation import allocate, to_request_state
+from tallyroll.operators.give_back import GIVE_BACK_KIND, REQUEST_KIND, answer_commands
+from tallyroll.plans.segments import SEGMENT_ROWS
+from tallyroll.plans.staging import cut, read_batches, write_batch
 from tallyroll.schemas import REQUEST
+from tallyroll.streaming.state import BUCKETS, MERGE_EVERY, KeyedState
 
 # Stream rows: kind (REQUEST or COMPENSATE) and the request columns.
 COMMAND = T.StructType([T.StructField("kind", T.StringType()), *REQUEST.fields])
@@ -40,6 +38,7 @@ _RECORD = T.StructType([
         ("campaign_id", _L), ("request_id", _S), ("user_id", _L), ("code", _I), ("lifecycle", _I), ("issue_sequence", _L),
         ("remaining", _L), ("decided_at", _T), ("updated_at", _T))
 ])
+_HOLDER = T.StructType([T.StructField("campaign_id", _L), T.StructField("user_id", _L), T.StructField("holds", T.BooleanType())])
 _COUNTER = T.StructType([T.StructField("campaign_id", _L), T.StructField("drawn", _L), T.StructField("returned", _L)])
 _GIVEN_BACK = T.StructType([
     T.StructField("campaign_id", _L), T.StructField("request_id", _S), T.StructField("arrival_no", _L), T.StructField("result", _S),
@@ -47,149 +46,90 @@ _GIVEN_BACK = T.StructType([
 ])
 
 
-def _records(spark, folder: str, before: int, campaigns: DataFrame) -> DataFrame:
-    """Request records as they stand, of the campaigns at hand."""
+@dataclass(frozen=True)
+class AllocationState:
+    """What an allocation stream remembers."""
+
+    records: KeyedState
+    holders: KeyedState
+    counters: KeyedState
+
+    @classmethod
+    def below(cls, spark: SparkSession, folder: str, buckets: int = BUCKETS, merge_every: int = MERGE_EVERY) -> AllocationState:
+        def state(name: str, schema: T.StructType, *keys: str) -> KeyedState:
+            return KeyedState(spark, f"{folder}/state/{name}", schema, keys, buckets, merge_every)
+
+        return cls(
+            state("records", _RECORD, "campaign_id", "request_id"), state("holders", _HOLDER, "campaign_id", "user_id"),
+            state("counters", _COUNTER, "campaign_id"))
+
+    def each(self) -> tuple[KeyedState, ...]:
+        return self.records, self.holders, self.counters
+
+
+def _given_back(records: DataFrame, back: DataFrame) -> DataFrame:
+    """Records after the give-backs that took place."""
     keys = ["campaign_id", "request_id"]
-    first = matching(read_batches(spark, f"{folder}/record", _RECORD, before).drop("batch"), campaigns, ["campaign_id"])
-    back = (
-        read_batches(spark, f"{folder}/give_back", _GIVEN_BACK, before).filter(F.col("result") == "COMPENSATED")
-        .select(*keys, F.col("restored").alias("_restored"), F.col("arrived_at").alias("_at"), F.lit(True).alias("_back"))
-    )
+    done = back.filter(F.col("result") == "COMPENSATED").select(
+        *keys, F.col("restored").alias("_restored"), F.col("arrived_at").alias("_at"), F.lit(True).alias("_back"))
     b = F.coalesce(F.col("_back"), F.lit(False))
-    return first.join(back, keys, "left").withColumn(
+    return records.join(done, keys, "left").withColumn(
         "code", F.when(b, DECISION_PERSISTENCE_FAILED).otherwise(F.col("code"))
     ).withColumn("lifecycle", F.when(b, COMPENSATED).otherwise(F.col("lifecycle"))).withColumn(
         "remaining", F.when(b, F.col("_restored")).otherwise(F.col("remaining"))).withColumn(
-        "updated_at", F.when(b, F.col("_at")).otherwise(F.col("updated_at"))).drop("_back", "_restored", "_at")
+        "updated_at", F.when(b, F.col("_at")).otherwise(F.col("updated_at"))).withColumn("returned", b).drop("_back", "_restored", "_at")
 
 
-def _counters(spark, folder: str, before: int) -> DataFrame:
-    return read_batches(spark, f"{folder}/counter", _COUNTER, before).groupBy("campaign_id").agg(
-        F.sum("drawn").alias("drawn"), F.sum("returned").alias("returned"))
-
-
-_REPLAYED = T.StructType([*_DECISION.fields, T.StructField("result", _S), T.StructField("restored", _L)])
-
-
-def _replay(commands: DataFrame, state: DataFrame, records: DataFrame, holders: DataFrame) -> DataFrame:
-    """Requests and give-backs of each campaign one after the other, from the state before the micro-batch."""
-    c = F.col
-    remembered = records.select(
-        "campaign_id", "request_id", F.struct("user_id", "code", "lifecycle", "issue_sequence", "remaining", "decided_at").alias("remembered"))
-    held = holders.select("campaign_id", "user_id").distinct().withColumn("held", F.lit(True))
-    limits = campaign_limits(state).select("campaign_id", F.struct("stock", "base_sequence", "open_at", "close_at", "corrupt").alias("campaign"))
-    rows = (
-        validate_requests(commands).join(remembered, ["campaign_id", "request_id"], "left").join(held, ["campaign_id", "user_id"], "left")
-        .join(limits, "campaign_id", "left")
-        .select("kind", "campaign_id", "user_id", "request_id", "arrived_at", "arrival_no", "valid", "remembered", "held", "campaign")
-    )
-    schema = to_arrow_schema(_REPLAYED)
-
-    def answers(rows):
-        """Answers to the rows of one campaign, in order."""
-        memory, holding = {}, set()
-        for r in rows:
-            m = r["remembered"]
-            if m is not None:
-                memory[r["request_id"]] = [m["user_id"], m["code"], m["lifecycle"], m["issue_sequence"], m["remaining"], m["decided_at"]]
-            if r["held"]:
-                holding.add(r["user_id"])
-        limits = rows[0]["campaign"]
-        stock, sequence = (limits["stock"], limits["base_sequence"]) if limits else (0, 0)
-        for r in rows:
-            known = memory.get(r["request_id"])
-            out = {n: r[n] for n in ("campaign_id", "user_id", "request_id", "arrived_at", "arrival_no")} | {"repeated": False}
-            if r["kind"] == "COMPENSATE":
-                if known is None:
-                    out["result"] = "REQUEST_NOT_FOUND"
-                elif known[0] != r["user_id"]:
-                    out["result"] = "INVALID_ARGUMENT"
-                elif known[1] == DECISION_PERSISTENCE_FAILED and known[2] == COMPENSATED:
-                    out["result"] = "ALREADY_COMPENSATED"
-                elif known[1] != DECISION_ACCEPTED or known[2] != PENDING:
-                    out["result"] = "NOT_COMPENSABLE"
-                else:
-                    stock += 1
-                    out |= {"result": "COMPENSATED", "restored": stock}
-                    known[1], known[2], known[4] = DECISION_PERSISTENCE_FAILED, COMPENSATED, stock
-                    holding.discard(r["user_id"])
-            elif not r["valid"]:
-                out["code"] = DECISION_INVALID_ARGUMENT
-            elif known is not None:
-                out |= {"decided_at": known[5], "repeated": True, "code": DECISION_IDEMPOTENCY_CONFLICT}
-                if known[0] == r["user_id"]:
-                    out |= {"code": known[1], "issue_sequence": known[3], "remaining": known[4]}
-            elif limits is None:
-                out["code"] = DECISION_NOT_INITIALIZED
-            elif limits["corrupt"]:
-                out |= {"code": DECISION_CORRUPTED_STATE, "decided_at": r["arrived_at"]}
-            else:
-                if r["arrived_at"] < limits["open_at"]:
-                    code = DECISION_NOT_OPEN
-                elif r["arrived_at"] >= limits["close_at"]:
-                    code = DECISION_CLOSED
-                elif r["user_id"] in holding:
-                    code = DECISION_ALREADY_ISSUED
-                elif stock <= 0:
-                    code = DECISION_SOLD_OUT
-                else:
-                    code, stock, sequence = DECISION_ACCEPTED, stock - 1, sequence + 1
-                    holding.add(r["user_id"])
-                    out["issue_sequence"] = sequence
-                out |= {"code": code, "remaining": stock, "decided_at": r["arrived_at"]}
-                stage = PENDING if code == DECISION_ACCEPTED else TERMINAL
-                memory[r["request_id"]] = [r["user_id"], code, stage, out.get("issue_sequence"), stock, r["arrived_at"]]
-            yield out
-
-    def replay(batches):
-        """Rows come sorted by campaign and arrival, a campaign's rows together."""
-        pending = []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if pending and r["campaign_id"] != pending[0]["campaign_id"]:
-                    yield pa.RecordBatch.from_pylist(list(answers(pending)), schema=schema)
-                    pending = []
-                pending.append(r)
-        if pending:
-            yield pa.RecordBatch.from_pylist(list(answers(pending)), schema=schema)
-
-    return rows.repartition("campaign_id").sortWithinPartitions("campaign_id", "arrival_no").mapInArrow(replay, _REPLAYED)
-
-
-def allocate_micro_batch(commands: DataFrame, number: int, folder: str, campaigns: DataFrame) -> None:
+def allocate_micro_batch(
+    commands: DataFrame, number: int, folder: str, campaigns: DataFrame, state: AllocationState, segment_rows: int = SEGMENT_ROWS,
+) -> None:
     """Answer one micro-batch and write what the next ones need to know."""
     spark = commands.sparkSession
     c = F.col
-    touched = commands.select("campaign_id").distinct()
-    records = _records(spark, folder, number, touched)
-    holders = records.filter(c("code") == DECISION_ACCEPTED).select("campaign_id", "user_id")
-    state = (
-        campaigns.join(_counters(spark, folder, number), "campaign_id", "left").fillna(0, ["drawn", "returned"])
+    for part in state.each():
+        part.merge(number)
+    records = cut(state.records.of(commands, number))
+    holders = cut(state.holders.of(commands, number).filter("holds"))
+    counters = state.counters.of(campaigns, number)
+    standing = (
+        campaigns.join(counters, "campaign_id", "left").fillna(0, ["drawn", "returned"])
         .withColumn("stock", c("total_stock") - c("drawn") + c("returned")).withColumn("sequence", c("drawn")).drop("drawn", "returned")
     )
-    mixed = commands.filter(c("kind") == "COMPENSATE").select("campaign_id").distinct()
-    requests = commands.filter(c("kind") == "REQUEST").join(mixed, "campaign_id", "left_anti").select(REQUEST.fieldNames())
-    decided = allocate(requests, state, records.drop("lifecycle", "updated_at"), holders)
-    replayed = cut(_replay(commands.join(mixed, "campaign_id", "left_semi"), state, records, holders))
-    decided = decided.unionByName(replayed.filter(c("result").isNull()).select(_DECISION.fieldNames()))
+    mixed = commands.filter(c("kind") == GIVE_BACK_KIND).select("campaign_id").distinct()
+    requests = commands.filter(c("kind") == REQUEST_KIND).join(mixed, "campaign_id", "left_anti").select(REQUEST.fieldNames())
+    decided = allocate(requests, standing, records.drop("lifecycle", "updated_at"), holders, segment_rows)
+    answered = cut(answer_commands(commands.join(mixed, "campaign_id", "left_semi"), standing, records, holders, segment_rows))
+    decided = decided.unionByName(answered.filter(c("result").isNull()).select(_DECISION.fieldNames()))
     write_batch(decided, f"{folder}/decision", number)
+    write_batch(answered.filter(c("result").isNotNull()).select(_GIVEN_BACK.fieldNames()), f"{folder}/give_back", number)
+
     mine = spark.read.schema(_DECISION).parquet(f"{folder}/decision/batch={number}")
-    fresh = to_request_state(mine)
-    write_batch(fresh.select(_RECORD.fieldNames()), f"{folder}/record", number)
-    write_batch(replayed.filter(c("result").isNotNull()).select(_GIVEN_BACK.fieldNames()), f"{folder}/give_back", number)
     back = spark.read.schema(_GIVEN_BACK).parquet(f"{folder}/give_back/batch={number}")
-    moves = fresh.filter(c("code") == DECISION_ACCEPTED).select("campaign_id", F.lit(1).alias("drawn"), F.lit(0).alias("returned")).unionByName(
-        back.filter(c("result") == "COMPENSATED").select("campaign_id", F.lit(0).alias("drawn"), F.lit(1).alias("returned")))
-    write_batch(moves.groupBy("campaign_id").agg(F.sum("drawn").alias("drawn"), F.sum("returned").alias("returned")), f"{folder}/counter", number)
+    fresh = to_request_state(mine).select(_RECORD.fieldNames()).withColumn("fresh", F.lit(True))
+    now = cut(_given_back(fresh.unionByName(records.withColumn("fresh", F.lit(False))), back).filter("fresh or returned"))
+    state.records.update(now, number)
+    served = c("code") == DECISION_ACCEPTED
+    state.holders.update(now.filter(served | c("returned")).groupBy("campaign_id", "user_id").agg(F.bool_or(served).alias("holds")), number)
+    moves = now.groupBy("campaign_id").agg(
+        F.count(F.when(c("fresh") & (served | c("returned")), 1)).alias("drawn"), F.count(F.when(c("returned"), 1)).alias("returned"))
+    totals = counters.join(moves.select("campaign_id"), "campaign_id", "left_semi").unionByName(moves).groupBy("campaign_id").agg(
+        F.sum("drawn").alias("drawn"), F.sum("returned").alias("returned"))
+    state.counters.update(totals, number)
 
 
-def allocate_query(stream: DataFrame, folder: str, campaigns: DataFrame, available_now: bool = True) -> StreamingQuery:
+def allocate_query(
+    stream: DataFrame, folder: str, campaigns: DataFrame, available_now: bool = True, buckets: int = BUCKETS, merge_every: int = MERGE_EVERY,
+    segment_rows: int = SEGMENT_ROWS,
+) -> StreamingQuery:
     """Start continuous allocation over a stream of :data:`COMMAND` rows."""
+    state = AllocationState.below(stream.sparkSession, folder, buckets, merge_every)
+    for part in state.each():
+        part.start()
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            allocate_micro_batch(batch, number, folder, campaigns)
+            allocate_micro_batch(batch, number, folder, campaigns, state, segment_rows)
         finally:
             batch.unpersist()
 

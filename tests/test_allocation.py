@@ -96,7 +96,7 @@ def test_streaming_equals_batch_across_micro_batches(spark, tmp_path):
         part = [("REQUEST", *r) for r in rows if i * 150 < r[4] <= (i + 1) * 150]
         spark.createDataFrame(part, streaming.COMMAND).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(streaming.COMMAND).parquet(f"{tmp_path}/in")
-        streaming.allocate_query(stream, f"{tmp_path}/out", table).awaitTermination()
+        streaming.allocate_query(stream, f"{tmp_path}/out", table, buckets=4).awaitTermination()
     got = {r["arrival_no"]: (r["code"], r["issue_sequence"], r["remaining"]) for r in streaming.decisions(spark, f"{tmp_path}/out").collect()}
     assert got == want
 
@@ -112,7 +112,7 @@ def test_give_back_frees_the_place_and_the_user(spark, tmp_path):
     for part in parts:
         spark.createDataFrame(part, streaming.COMMAND).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(streaming.COMMAND).parquet(f"{tmp_path}/in")
-        streaming.allocate_query(stream, f"{tmp_path}/out", table).awaitTermination()
+        streaming.allocate_query(stream, f"{tmp_path}/out", table, buckets=4).awaitTermination()
     codes = {r["arrival_no"]: (r["code"], r["issue_sequence"], r["remaining"]) for r in streaming.decisions(spark, f"{tmp_path}/out").collect()}
     assert codes == {1: (0, 1, 0), 2: (1, None, 0), 5: (0, 2, 0), 6: (8, 1, 1), 9: (1, None, 0)}
     back = {r["arrival_no"]: r["result"] for r in streaming.give_backs(spark, f"{tmp_path}/out").collect()}
@@ -173,7 +173,87 @@ def test_answers_do_not_depend_on_micro_batches(spark, tmp_path):
     for files in (2, 1):
         folder = f"{tmp_path}/out{files}"
         stream = spark.readStream.schema(streaming.COMMAND).option("maxFilesPerTrigger", files).parquet(f"{tmp_path}/in")
-        streaming.allocate_query(stream, folder, table).awaitTermination()
+        streaming.allocate_query(stream, folder, table, buckets=4, merge_every=1).awaitTermination()
         got = {r["arrival_no"]: (r["code"], r["issue_sequence"], r["remaining"]) for r in streaming.decisions(spark, folder).collect()}
         got |= {r["arrival_no"]: r["result"] for r in streaming.give_backs(spark, folder).collect()}
         assert got == want
+
+
+def one_after_the_other(rows, campaigns, records, holders):
+    """Requests and give-backs by plain rules; campaigns: (stock, drawn, open, close)."""
+    memory, holding = {k: list(v) for k, v in records.items()}, set(holders)
+    left, drawn, out = {c: v[0] for c, v in campaigns.items()}, {c: v[1] for c, v in campaigns.items()}, {}
+    for kind, campaign, user, request, at, no in rows:
+        known = memory.get((campaign, request))
+        if kind == "COMPENSATE":
+            if known is None:
+                out[no] = ("REQUEST_NOT_FOUND", None)
+            elif known[0] != user:
+                out[no] = ("INVALID_ARGUMENT", None)
+            elif known[1:3] == [8, 2]:
+                out[no] = ("ALREADY_COMPENSATED", None)
+            elif known[1:3] != [0, 0]:
+                out[no] = ("NOT_COMPENSABLE", None)
+            else:
+                left[campaign] = left.get(campaign, 0) + 1
+                known[1], known[2], known[4] = 8, 2, left[campaign]
+                holding.discard((campaign, user))
+                out[no] = ("COMPENSATED", left[campaign])
+        elif not (user > 0 and 0 < len(request) < 129 and "|" not in request):
+            out[no] = (7, None, None, False)
+        elif known is not None:
+            out[no] = (known[1], known[3], known[4], True) if known[0] == user else (6, None, None, True)
+        elif campaign not in campaigns:
+            out[no] = (5, None, None, False)
+        elif campaigns[campaign][2] >= campaigns[campaign][3]:
+            out[no] = (9, None, None, False)
+        else:
+            code, sequence = 2, None
+            if at < campaigns[campaign][2]:
+                code = 3
+            elif at >= campaigns[campaign][3]:
+                code = 4
+            elif (campaign, user) not in holding:
+                code = 1
+                if left[campaign] > 0:
+                    code, sequence = 0, drawn[campaign] + 1
+                    left[campaign] -= 1
+                    drawn[campaign] += 1
+                    holding.add((campaign, user))
+            memory[campaign, request] = [user, code, 0 if code == 0 else 3, sequence, left[campaign]]
+            out[no] = (code, sequence, left[campaign], False)
+    return out
+
+
+def test_commands_in_segments_are_a_replay(spark):
+    """Sold out, refilled, asked again, repeated, too early, too late, of broken and unknown campaigns, from a state before."""
+    import random
+
+    from tallyroll.constants import DECISION_CORRUPTED_STATE, DECISION_INVALID_ARGUMENT, DECISION_NOT_INITIALIZED
+    from tallyroll.operators.give_back import answer_commands
+
+    names = {7: DECISION_INVALID_ARGUMENT, 5: DECISION_NOT_INITIALIZED, 9: DECISION_CORRUPTED_STATE}
+    for seed, segment in ((1, 1_000_000), (2, 7), (3, 1)):
+        draw = random.Random(seed)
+        campaigns = {1: (2, 3, OPEN, CLOSE), 2: (0, 5, OPEN, CLOSE), 3: (500, 0, OPEN, CLOSE), 4: (5, 0, CLOSE, OPEN)}
+        records = {(1, "r1"): (1, 0, 0, 1, 4), (1, "r2"): (2, 0, 1, 2, 3), (2, "r3"): (3, 0, 0, 5, 0), (2, "r4"): (4, 1, 3, None, 0), (3, "r5"): (5, 8, 2, 1, 9), (5, "r6"): (6, 0, 0, 1, 1)}
+        holders = [(1, 1), (1, 2), (2, 3)]
+        rows = []
+        for no in range(1, 141):
+            request = draw.randrange(24)
+            user = request % 6 + 1 if draw.random() < 0.9 else draw.choice((7, 0))
+            at = draw.choices((OPEN - timedelta(seconds=1), OPEN, CLOSE), (1, 20, 1))[0]
+            name = f"r{request}" if draw.random() < 0.95 else draw.choice(("", "a|b"))
+            rows.append(("COMPENSATE" if draw.random() < 0.45 else "REQUEST", draw.choices((1, 2, 3, 4, 5), (5, 5, 2, 1, 1))[0], user, name, at, no * 3))
+        want = one_after_the_other(rows, campaigns, records, holders)
+        state = spark.createDataFrame(
+            [(c, stock + drawn, stock, drawn, a, b) for c, (stock, drawn, a, b) in campaigns.items()],
+            "campaign_id long, total_stock long, stock long, sequence long, open_at timestamp_ntz, close_at timestamp_ntz")
+        remembered = spark.createDataFrame(
+            [(*k, *v, OPEN) for k, v in records.items()],
+            "campaign_id long, request_id string, user_id long, code int, lifecycle int, issue_sequence long, remaining long, decided_at timestamp_ntz")
+        answers = answer_commands(
+            spark.createDataFrame(rows, streaming.COMMAND).repartition(3), state, remembered, spark.createDataFrame(holders, "campaign_id long, user_id long"), segment)
+        got = {r["arrival_no"]: (r["result"], r["restored"]) if r["result"] else (r["code"], r["issue_sequence"], r["remaining"], r["repeated"]) for r in answers.collect()}
+        assert got == {no: (names.get(v[0], v[0]), *v[1:]) if not isinstance(v[0], str) else v for no, v in want.items()}
+        assert {"COMPENSATED", "NOT_COMPENSABLE", "ALREADY_COMPENSATED"} <= {v[0] for v in want.values()} and {0, 1, 2, 8} <= {v[0] for v in want.values()}
