@@ -49,3 +49,15 @@ def test_odd_rows(odd, empty, clashing, rows_of):
     assert op.remove_repeats(empty).collect() == []
     kept = {r["doc_id"]: bytes(r["kept"]) for r in op.remove_repeats(odd, with_text=True).collect()}
     assert kept[4] == b"one" and len(kept[9]) < 400
+
+
+def test_ranks_order_rows_by_any_depth():
+    draw = np.random.default_rng(4)
+    rows = draw.integers(0, 2, (300, 9), dtype=np.uint8)
+    order, shared = op.sorted_prefixes(rows)
+    assert [bytes(r) for r in rows[order]] == sorted(bytes(r) for r in rows)
+    for depth in range(10):
+        rank = op.ranks(order, shared, depth)
+        heads = [bytes(r[:depth]) for r in rows]
+        number = {h: k for k, h in enumerate(sorted(set(heads)))}
+        assert [number[h] for h in heads] == (rank - rank.min()).tolist()
