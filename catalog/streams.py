@@ -57,7 +57,7 @@ def stream_dedup_entries(spark, sf_dir):
     entries = derived.stream_entry(spark, sf_dir)
     good, _ = parse_issue_entries(_stage(entries.repartition(4), f"{folder}/in", 2))
     rows = good.select("message_id", "event_id", "issue_sequence")
-    dedup.drop_redelivered_query(rows, folder).awaitTermination()
+    dedup.drop_redelivered_query(rows, folder, buckets=8).awaitTermination()
     return dedup.first_deliveries(spark, folder, rows.schema)
 
 
@@ -245,7 +245,7 @@ def stream_commands(spark, sf_dir):
     cmds = _commands(spark, sf_dir)
     # Files in the order of the log, several to a micro-batch: answers don't depend on where micro-batches end.
     stream = _stage_in_order(cmds, f"{folder}/in", "command_no", 4, 2)
-    commands.command_query(stream, folder, derived.issue(spark, sf_dir)).awaitTermination()
+    commands.command_query(stream, folder, derived.issue(spark, sf_dir), buckets=8).awaitTermination()
     columns = ("command_no", "issue_id", "event_id", "target_status", "previous_status", "result")
     repeats = commands.repeats(spark, folder).join(cmds.select("command_no", "issue_id", "target_status"), "command_no")
     return commands.results(spark, folder).select(*columns).unionByName(
@@ -259,8 +259,9 @@ def stream_commands(spark, sf_dir):
 def stream_unstored_entries(spark, sf_dir):
     folder = work_folder(spark, "unstored")
     i = derived.issue(spark, sf_dir).filter(F.col("issued_at").isNotNull() & (F.col("issue_sequence") > 0))
-    entries = _stage(i.select("event_id", "issue_sequence", F.col("issued_at").alias("decided_at")).repartition(3), f"{folder}/entries", 1)
-    stored = _stage(i.filter(F.col("issue_sequence") % 10 != 3).select("event_id", "issue_sequence", "created_at").repartition(3), f"{folder}/stored", 2)
-    pending.collect_query(entries, f"{folder}/one", pending.ENTRIES).awaitTermination()
-    pending.collect_query(stored, f"{folder}/two", pending.STORED).awaitTermination()
-    return pending.unstored_so_far(spark, f"{folder}/one", f"{folder}/two")
+    entries = i.select(F.lit(pending.ENTRY).alias("kind"), "event_id", "issue_sequence", F.col("issued_at").alias("at"))
+    stored = i.filter(F.col("issue_sequence") % 10 != 3).select(F.lit(pending.STORED).alias("kind"), "event_id", "issue_sequence", F.col("created_at").alias("at"))
+    # Dealt at random over the files: a stored row may come before its entry or after it.
+    stream = _stage(entries.unionByName(stored).repartition(4), f"{folder}/in", 2)
+    pending.track_query(stream, folder, buckets=8, merge_every=1).awaitTermination()
+    return pending.unstored_so_far(spark, folder, buckets=8, merge_every=1)

@@ -48,20 +48,41 @@ def _key_rows(rows: DataFrame, *extra: str) -> DataFrame:
     return rows.select(*extra, F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
+def _jumped(links: DataFrame) -> DataFrame:
+    """node, root, flips: each link followed to an entry that has none; the way seen doubles with every join."""
+    links = cut(links)
+    while True:
+        further = links.select(F.col("node").alias("root"), F.col("root").alias("_root"), F.col("flips").alias("_flips"))
+        if links.join(further, "root", "left_semi").isEmpty():
+            return links
+        links = cut(links.join(further, "root", "left").select(
+            "node", F.coalesce("_root", "root").alias("root"), F.col("flips").bitwiseXOR(F.coalesce("_flips", F.lit(0))).alias("flips")))
+
+
 def _greedy_winners(contested: DataFrame) -> DataFrame:
     """Entries stored when contested ones are tried one by one in arrival order.
 
-    An entry that is first on all its keys is stored; whoever shares a key with it is not. The rest is looked at again, so an
-    entry blocked by a loser only is still stored. Rounds end when nothing is left; only
-    contested entries take part.
+    An entry that is first on all its keys is stored; whoever shares a key with it is not. An entry with a single earlier
+    rival on all its keys is stored exactly if that one isn't: such dependences form chains, which are followed to their
+    ends by pointer jumping, so a chain takes rounds by the logarithm of its length. Entries with several earlier rivals
+    are looked at again when these are decided; rounds end when nothing is left.
     """
+    c = F.col
     left = cut(contested)
     winners = left.filter(F.lit(False))
     while not left.isEmpty():
-        keys = _key_rows(left, "arrival_no")
+        keys = cut(_key_rows(left, "arrival_no"))
         first = keys.groupBy("key").agg(F.min("arrival_no").alias("first"))
-        judged = keys.join(first, "key").groupBy("arrival_no").agg(F.bool_and(F.col("arrival_no") == F.col("first")).alias("wins"))
-        won = cut(left.join(judged.filter("wins"), "arrival_no", "left_semi"))
+        behind = keys.join(first, "key").filter(c("arrival_no") > c("first"))
+        second = behind.groupBy("key").agg(F.min("arrival_no").alias("second"))
+        rivals = behind.join(second, "key").groupBy(c("arrival_no").alias("node")).agg(
+            F.min("first").alias("root"), F.max("first").alias("other"), F.bool_and(c("arrival_no") == c("second")).alias("single"))
+        ahead = cut(keys.select(c("arrival_no").alias("node")).distinct().join(rivals, "node", "left"))
+        firsts = ahead.filter(c("root").isNull()).select("node")
+        links = _jumped(ahead.filter(c("single") & (c("root") == c("other"))).select("node", "root", F.lit(1).alias("flips")))
+        # An odd number of steps from an entry that is stored ends at one that isn't.
+        ends = links.filter("flips = 0").join(firsts.select(c("node").alias("root")), "root", "left_semi").select("node")
+        won = cut(left.join(firsts.unionByName(ends).select(c("node").alias("arrival_no")), "arrival_no", "left_semi"))
         winners = winners.unionByName(won)
         taken = _key_rows(won).distinct()
         lost = keys.join(taken, "key", "left_semi").select("arrival_no").distinct()

@@ -24,7 +24,8 @@ _DONE = T.StructType([T.StructField("base", T.LongType())])
 class KeyedState:
     """Rows of ``schema`` by ``keys`` below ``folder``. Micro-batches are numbered from 0 without gaps.
 
-    The bucket count can't change over a stream's life. Keys may be null in part; null parts are keys like others.
+    ``by`` names the part of the keys that rows are bucketed and looked up by; all of them unless given. The bucket count can't
+    change over a stream's life. Keys may be null in part; null parts are keys like others.
     """
 
     spark: SparkSession
@@ -33,9 +34,14 @@ class KeyedState:
     keys: tuple[str, ...]
     buckets: int = BUCKETS
     merge_every: int = MERGE_EVERY
+    by: tuple[str, ...] = ()
+
+    @property
+    def place(self) -> tuple[str, ...]:
+        return self.by or self.keys
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(k).cast(self.schema[k].dataType) for k in self.keys]), F.lit(self.buckets)).cast("int").alias("bucket")
+        return F.pmod(F.xxhash64(*[F.col(k).cast(self.schema[k].dataType) for k in self.place]), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _write(self, rows: DataFrame, path: str) -> None:
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
@@ -90,19 +96,23 @@ class KeyedState:
         return sorted(r[0] for r in wanted.select(self._bucket()).distinct().collect())
 
     def of(self, wanted: DataFrame, batch: int) -> DataFrame:
-        """The newest rows before ``batch`` of the keys in ``wanted``; other buckets aren't read."""
-        asked = wanted.select(*self.keys).distinct()
+        """The newest rows before ``batch`` of the keys (or their ``by`` part) in ``wanted``; other buckets aren't read."""
+        asked = wanted.select(*self.place).distinct()
         here = self.all(batch, self.touched(asked)).alias("s")
         asked = asked.alias("w")
-        same = [F.col(f"s.{k}").eqNullSafe(F.col(f"w.{k}")) for k in self.keys]
+        same = [F.col(f"s.{k}").eqNullSafe(F.col(f"w.{k}")) for k in self.place]
         on = same[0]
         for part in same[1:]:
             on = on & part
         return here.join(asked, on, "left_semi")
 
+    def due(self, batch: int) -> bool:
+        """Whether a micro-batch starts with a new snapshot."""
+        return batch > 0 and batch % self.merge_every == 0
+
     def merge(self, batch: int, keep: Column | None = None) -> bool:
         """Before micro-batch ``batch``: a new snapshot where it is due; rows for which ``keep`` doesn't hold are left out."""
-        if batch == 0 or batch % self.merge_every or self.base(batch) == batch:
+        if not self.due(batch) or self.base(batch) == batch:
             return False
         rows = self.all(batch)
         self._finish(rows if keep is None else rows.filter(keep), batch)

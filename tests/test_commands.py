@@ -72,7 +72,7 @@ def test_commands_as_a_stream(spark, make, tmp_path):
             part += [(500, *repeat[1:]), (501, *repeat[1:4], "EXPIRED" if repeat[4] != "EXPIRED" else "USED", *repeat[5:])]
         make.rows(streaming.COMMAND, *part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(streaming.COMMAND).parquet(f"{tmp_path}/in")
-        streaming.command_query(stream, f"{tmp_path}/out", make.issue(*issues)).awaitTermination()
+        streaming.command_query(stream, f"{tmp_path}/out", make.issue(*issues), buckets=4).awaitTermination()
     got = {r["command_no"]: (r["previous_status"], r["result"]) for r in streaming.results(spark, f"{tmp_path}/out").collect()}
     assert got == want
     again = {r["command_no"]: r["replay"] for r in spark.read.parquet(f"{tmp_path}/out/replayed").collect()}
@@ -135,10 +135,13 @@ def test_a_refused_command_leaves_its_key_free(spark, make, tmp_path):
     for k in range(2):
         df.filter(f"command_no > {15 * k} and command_no <= {15 * k + 15}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(streaming.COMMAND).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    streaming.command_query(stream, f"{tmp_path}/out", make.issue(*issues)).awaitTermination()
+    streaming.command_query(stream, f"{tmp_path}/out", make.issue(*issues), buckets=4).awaitTermination()
     got = {r["command_no"]: r["result"] for r in streaming.results(spark, f"{tmp_path}/out").collect()}
     got |= {r["command_no"]: r["replay"] for r in spark.read.parquet(f"{tmp_path}/out/replayed").collect()}
     assert got == want
+    after = {r["issue_id"]: r["status"] for r in streaming.current_coupons(spark, f"{tmp_path}/out", buckets=4).collect()}
+    moved = {i: [c[4] for c in cmds if c[2] == i and want[c[0]] == "SUCCESS"] for i in after}
+    assert after == {i: (m[-1] if m else "ISSUED") for i, m in moved.items()}
 
 
 def test_rounds(spark, make):

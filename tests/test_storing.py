@@ -70,6 +70,28 @@ def test_chain_of_blocked_entries(spark, make):
     assert {r["arrival_no"]: r["outcome"] for r in got.collect()} == {1: "INSERT", 2: "CONFLICT", 3: "INSERT", 4: "CONFLICT", 5: "INSERT"}
 
 
+def test_long_chains_take_logarithmic_rounds(spark, make, monkeypatch):
+    """Every entry runs against the one before it; some chains meet in one entry, and some run against a stored row."""
+    rows, no = [], 0
+    for chain, length in enumerate((600, 7, 8), 1):
+        for k in range(length):
+            no += 1
+            # Shares its user with the entry before it or its sequence with the one after it, in turn.
+            rows.append((uuid_of(no), chain, k // 2 if k % 2 else k // 2 - 1000, (k + 1) // 2 + (5000 if k % 2 else 0), None, no, START))
+    for k in range(400):
+        no += 1
+        rows.append((uuid_of(no), 9, (k + 1) // 2, 1 + k // 2, None, no, START))
+    rows += [(uuid_of(no + 1), 9, 200, 1, None, no + 1, START), (uuid_of(no + 2), 9, 7000, 1, None, no + 2, START)]
+    calls = []
+    real = persistence.cut
+    monkeypatch.setattr(persistence, "cut", lambda df: calls.append(1) or real(df))
+    stored = [dict(request_id=uuid_of(90000), event_id=77, user_id=1, issue_sequence=1, message_id=None)]
+    got = persistence.classify_entries(spark.createDataFrame(rows, ENTRY), make.issue(issue_row(90000, event_id=77)))
+    got = {r["arrival_no"]: r["outcome"] for r in got.collect()}
+    want = one_by_one([dict(zip(("request_id", "event_id", "user_id", "issue_sequence", "message_id", "arrival_no"), r)) for r in rows], stored)
+    assert got == want and len(calls) < 60
+
+
 def entry(n, ms, **change):
     row = dict(
         entry_id=f"{ms}-0", type="ISSUE", requestId=uuid_of(n), campaignId="1", userId=str(n), bitmapSegmentId="0", bitOffset=str(n - 1),
@@ -241,9 +263,29 @@ def test_late_rows_count_and_order_does_not_matter(spark, tmp_path):
     windows.failure_windows_query(stream("f", failed, "campaign_id long, at timestamp_ntz, reason string"), f"{tmp_path}/w").awaitTermination()
     got = sorted((r["window_start"], r["reason"], r["failures"]) for r in windows.window_totals(spark, f"{tmp_path}/w").collect())
     assert got == [(at(0), "SOLD_OUT", 2), (at(0), "UNKNOWN", 1), (at(100), "SOLD_OUT", 2)]
-    pending.collect_query(stream("e", entries, pending.ENTRIES), f"{tmp_path}/e2", pending.ENTRIES).awaitTermination()
-    pending.collect_query(stream("s", stored, pending.STORED), f"{tmp_path}/s2", pending.STORED).awaitTermination()
-    assert [r["issue_sequence"] for r in pending.unstored_so_far(spark, f"{tmp_path}/e2", f"{tmp_path}/s2").collect()] == [2]
+    sightings = [*[(pending.ENTRY, *e) for e in entries[:2]], *[(pending.STORED, *e) for e in stored], (pending.ENTRY, *entries[2]), (pending.STORED, 1, 2, at(601))]
+    for order, every in ((sightings, 1), (sightings[::-1], 5)):
+        folder = f"{tmp_path}/p{every}"
+        pending.track_query(stream(f"s{every}", order, pending.SIGHTING), folder, buckets=4, merge_every=every).awaitTermination()
+        assert [r["issue_sequence"] for r in pending.unstored_so_far(spark, folder, buckets=4, merge_every=every).collect()] == [2]
+        assert pending.unstored_so_far(spark, folder, as_of=at(600), buckets=4, merge_every=every).count() == 0
     ids = stream("d", seen, "message_id string, n long")
-    dedup.drop_redelivered_query(ids, f"{tmp_path}/d2").awaitTermination()
+    dedup.drop_redelivered_query(ids, f"{tmp_path}/d2", buckets=4).awaitTermination()
     assert sorted(r["n"] for r in dedup.first_deliveries(spark, f"{tmp_path}/d2", ids.schema).collect()) == [1, 2, 3]
+
+
+def test_ids_are_forgotten_by_snapshots_after_the_retention(spark, tmp_path):
+    from tallyroll.streaming import dedup
+
+    at = lambda n: START + timedelta(hours=n)
+    batches = [[("a", at(0)), ("b", at(0)), (None, at(0))], [("c", at(10)), ("a", at(1)), (None, at(1))], [("d", at(11)), ("b", at(0))], [("a", at(0)), ("c", at(10))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "message_id string, at timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("message_id string, at timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    dedup.drop_redelivered_query(stream, f"{tmp_path}/out", "at", "5 HOURS", buckets=2, merge_every=2).awaitTermination()
+    got = [(r["message_id"], r["batch"]) for r in spark.read.parquet(f"{tmp_path}/out/out").collect()]
+    # The snapshot before batch 2 forgets what is 5 hours older than c: b comes through again and is listed, as a is then.
+    assert sorted(got, key=repr) == sorted([("a", 0), ("b", 0), (None, 0), ("c", 1), ("d", 2), ("b", 2), ("a", 3)], key=repr)
+    assert sorted((r["message_id"], r["batch"]) for r in dedup.late_deliveries(spark, f"{tmp_path}/out").collect()) == [("a", 3), ("b", 2)]
+    dedup.drop_redelivered_query(stream, f"{tmp_path}/all", buckets=2, merge_every=2).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/all/out").count() == 5
