@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.sqlviews import with_views
-from tallyroll.operators import checks
-from tallyroll.plans.runner import run_checks
-from tallyroll.plans.scope import Scope, events_for_all
+from tallyroll.operators import checks, reports
+from tallyroll.plans.runner import number_of, run_and_store, run_checks, stored_results, stored_violations
+from tallyroll.plans.scope import Scope, all_cutoff, events_for_all
+from tallyroll.plans.staging import work_folder
 from tallyroll.sources import derived
+from tallyroll.sources.ledger import load
+from tallyroll.sources.sinks import write_history_snapshot, write_issue_snapshot
 
 NOW = datetime(2000, 1, 1)
 FROM, TO = datetime(1997, 1, 1), datetime(1999, 1, 1)
@@ -369,3 +372,83 @@ def run_event_results(spark, sf_dir):
     t = derived.tables(spark, sf_dir)
     results, _ = run_checks(spark, t, Scope.event(8), NOW, ["stock", "state_chain", "issue_structure", "loss"])
     return results.select("check_name", "event_id", "status", "violation_count", "recovery_status")
+
+
+# --- stored runs -----------------------------------------------------------------------------
+
+_BUNDLE = f"""
+      SELECT 'stock' AS check_name, event_id AS target_id FROM ({_STOCK} AND e.status IN ('SOLD_OUT', 'CLOSED'))
+      UNION ALL SELECT 'state_chain', issue_id FROM ({_CHAIN} {_ALL_SCOPE})
+      UNION ALL SELECT 'issue_structure', issue_id FROM ({_ISSUE_STRUCTURE} {_ALL_SCOPE})
+      UNION ALL SELECT 'history_structure', history_id FROM ({_HISTORY_STRUCTURE} {_ALL_SCOPE})
+      UNION ALL SELECT 'issue_history_state', issue_id FROM ({_HISTORY_STATE} AND i.created_at < TIMESTAMP '2000-01-01')
+      UNION ALL SELECT 'time_sync', issue_id FROM ({_TIME_SYNC} {_ALL_SCOPE})
+      UNION ALL SELECT 'expiration_lag', issue_id FROM ({_LAG.format(op='<')})"""
+_RESULT_ID = "CAST('0x' || substr(md5(concat('night:', check_name)), 1, 15) AS BIGINT)"
+
+
+def _stored(spark, sf_dir):
+    """A folder with a run of all rules, stored twice, and an attempt of another run that never ended."""
+    folder = work_folder(spark, "runs")
+    t = derived.tables(spark, sf_dir)
+    run_and_store(spark, t, _all(t), NOW, folder, ["stock"], run_id="night")
+    run_and_store(spark, t, _all(t), NOW, folder, run_id="night")
+    stored_results(spark, folder).withColumn("status", F.lit("PASS")).drop("run_id").write.parquet(f"{folder}/results/run_id=broken/attempt=one")
+    return folder
+
+
+@query("run_stored_results", with_views(f"""
+    WITH bundle AS ({_BUNDLE})
+    SELECT {_RESULT_ID} AS result_id, 'night' AS run_id, check_name, 'FAIL' AS status, count(*) AS violation_count, count(*) AS linked, count(DISTINCT target_id) AS targets
+    FROM bundle GROUP BY check_name""", "d_history", "d_event"))
+def run_stored_results(spark, sf_dir):
+    """From the audit to the listing: results by page, each with the stored violations that bear its id."""
+    folder = _stored(spark, sf_dir)
+    v = stored_violations(spark, folder).groupBy("result_id").agg(F.countDistinct("violation_id").alias("linked"), F.countDistinct("target_id").alias("targets"))
+    return reports.results_page(stored_results(spark, folder), 0, 50).join(v, "result_id").select(
+        "result_id", "run_id", "check_name", "status", "violation_count", "linked", "targets")
+
+
+@query("run_stored_pages", with_views(f"""
+    WITH bundle AS ({_BUNDLE}), of AS (SELECT check_name, count(*) AS n FROM bundle GROUP BY check_name)
+    SELECT TIMESTAMP '2000-01-01' AS bucket, check_name, 'FAIL' AS status, 'ALL' AS scope_type, CAST(1 AS BIGINT) AS runs,
+      CASE WHEN check_name = 'state_chain' THEN least(20, greatest(0, n - 20)) END AS second_page, CASE WHEN check_name = 'state_chain' THEN CAST(0 AS BIGINT) END AS orphans
+    FROM of""", "d_history", "d_event"))
+def run_stored_pages(spark, sf_dir):
+    """The series of the stored results by day, and of one result the second page of its violations; none is an orphan."""
+    folder = _stored(spark, sf_dir)
+    results = stored_results(spark, folder)
+    chain = number_of(F.lit("night"), F.lit("state_chain"))
+    linked = stored_violations(spark, folder).filter(F.col("result_id") == chain)
+    page = reports.page(linked, [F.col("violation_id").desc()], 1, 20).agg(F.count("*").alias("second_page"))
+    orphans = stored_violations(spark, folder).join(results.select("result_id"), "result_id", "left_anti").agg(F.count("*").alias("orphans"))
+    counts = page.withColumn("check_name", F.lit("state_chain")).join(orphans.withColumn("check_name", F.lit("state_chain")), "check_name")
+    return reports.verification_series(results, "1 day").join(counts, "check_name", "left")
+
+
+@query("run_loaded_event", with_views(f"""
+    SELECT 'state_chain' AS check_name, count(*) AS violations FROM ({_CHAIN} AND event_id = 8)
+    UNION ALL SELECT 'issue_structure', count(*) FROM ({_ISSUE_STRUCTURE} AND event_id = 8)
+    UNION ALL SELECT 'issue_history_state', count(*) FROM ({_HISTORY_STATE} AND i.event_id = 8)""", "d_history"))
+def run_loaded_event(spark, sf_dir):
+    """A campaign audit of tables that were written as snapshots, laid out by campaign, and loaded again."""
+    folder = work_folder(spark, "ledger")
+    t = derived.tables(spark, sf_dir)
+    write_issue_snapshot(t.issue, f"{folder}/issue")
+    write_history_snapshot(t.history, f"{folder}/history")
+    for name in ("event", "coupon", "user", "failure"):
+        getattr(t, name).write.parquet(f"{folder}/{name}")
+    names = ["state_chain", "issue_structure", "issue_history_state"]
+    results, _ = run_checks(spark, load(spark, folder), Scope.event(8), NOW, names)
+    return results.select("check_name", F.col("violation_count").alias("violations"))
+
+
+@query("run_all_up_to_margin", with_views(f"""
+    SELECT 'issue_structure' AS check_name, count(*) AS violation_count FROM ({_ISSUE_STRUCTURE} AND created_at < TIMESTAMP '1997-06-01' - INTERVAL 10 SECOND
+      AND event_id IN (SELECT event_id FROM d_event WHERE created_at < TIMESTAMP '1997-06-01' - INTERVAL 10 SECOND))""", "d_issue", "d_event"))
+def run_all_up_to_margin(spark, sf_dir):
+    """An audit of everything up to the safety margin before now, so that rows still being written are left out."""
+    t = derived.tables(spark, sf_dir)
+    end = all_cutoff(datetime(1997, 6, 1), 10)
+    results, _ = run_checks(spark, t, Scope.all(end, events_for_all(t.event, end)), end, ["issue_structure"])
+    return results.select("check_name", "violation_count")

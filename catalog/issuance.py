@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.sqlviews import VIEWS, request_uuid, with_views
 from tallyroll.functions.times import ts
-from tallyroll.operators import allocation, persistence, reports
+from tallyroll.operators import allocation, checks, persistence, reports
 from tallyroll.sources import derived
 from tallyroll.sources.stream import pack_request_state, parse_issue_entries, parse_request_state
 from tallyroll.streaming.dedup import drop_redelivered
@@ -95,6 +95,23 @@ def allocate_corrupted_campaign(spark, sf_dir):
     return reports.decision_histogram(allocation.allocate(derived.request(spark, sf_dir), broken))
 
 
+@query("audit_accuracy_decisions", with_views("""
+    WITH s AS (SELECT event_id, count(*) AS issue_rows, max(issue_sequence) AS max_sequence, count(message_id) AS message_ids FROM d_issue GROUP BY event_id),
+    h AS (SELECT i.event_id, count(*) AS history_rows FROM d_history x JOIN d_issue i ON i.issue_id = x.issue_id WHERE x.from_status IS NULL GROUP BY i.event_id),
+    f AS (SELECT event_id, count(*) AS failures FROM d_failure GROUP BY event_id),
+    m AS (SELECT campaign_id AS event_id, count(*) AS requests, count(*) FILTER (code = 0) AS accepted, count(*) FILTER (code = 1) AS sold_out FROM d_decision GROUP BY campaign_id)
+    SELECT event_id, total_stock, coalesce(issue_rows, 0) AS issue_rows, coalesce(requests, 0) AS requests, coalesce(accepted, 0) AS accepted, coalesce(sold_out, 0) AS sold_out,
+      coalesce(issue_rows, 0) = coalesce(history_rows, 0) AND coalesce(issue_rows, 0) = total_stock AND max_sequence IS NOT DISTINCT FROM coalesce(issue_rows, 0)
+        AND coalesce(failures, 0) = 0 AND coalesce(message_ids, 0) = coalesce(issue_rows, 0)
+        AND coalesce(accepted, 0) = total_stock AND coalesce(sold_out, 0) = coalesce(requests, 0) - total_stock AS accurate
+    FROM d_event LEFT JOIN s USING (event_id) LEFT JOIN h USING (event_id) LEFT JOIN f USING (event_id) LEFT JOIN m USING (event_id)""",
+    "d_event", "d_history", "d_failure", "d_decision"))
+def audit_accuracy_decisions(spark, sf_dir):
+    """Stored rows held against the decisions of the request log."""
+    return checks.accuracy_summary(derived.tables(spark, sf_dir), decisions(spark, sf_dir)).select(
+        "event_id", "total_stock", "issue_rows", "requests", "accepted", "sold_out", "accurate")
+
+
 @query("request_status", with_views("""
     SELECT d.campaign_id, d.request_id, d.user_id, issue_sequence, remaining,
       CASE code WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'REJECTED_SOLD_OUT' WHEN 2 THEN 'REJECTED_DUPLICATE' WHEN 3 THEN 'REJECTED_NOT_OPEN' ELSE 'REJECTED_CLOSED' END AS status,

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroll.constants import ORPHAN_THRESHOLD_MINUTES
 from tallyroll.functions.times import seconds, ts
 from tallyroll.operators import checks as rules
 from tallyroll.plans.scope import ALL, AS_OF_RANGE, EVENT, Scope
-from tallyroll.schemas import VIOLATION
+from tallyroll.schemas import STORED_VIOLATION, VIOLATION
 from tallyroll.sources.ledger import Tables
 
 
@@ -194,46 +196,100 @@ def run_checks(
     return results, violations
 
 
+def run_name(scope: Scope, executed_at: datetime, trigger: str, names: list[str]) -> str:
+    """The id of an audit run: the same audit at the same time has the same one.
+
+    The campaigns of a narrowed scope are not part of it; name such a run yourself where several could meet.
+    """
+    parts = (scope.kind, scope.event_id, scope.start, scope.end, scope.event_set is not None, executed_at.isoformat(), trigger, *names)
+    return uuid.uuid3(uuid.NAMESPACE_OID, "|".join(map(str, parts))).hex
+
+
+def number_of(*parts: Column) -> Column:
+    """A positive number of 60 bits made of some values: the same on every run."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def run_and_store(
     spark: SparkSession, tables: Tables, scope: Scope, executed_at: datetime, folder: str,
     names: list[str] | None = None, trigger: str = "MANUAL", params: dict[str, dict] | None = None,
-    run_id: str | None = None,
+    run_id: str | None = None, clock: Callable[[], float] = time.monotonic,
 ) -> tuple[DataFrame, DataFrame]:
     """Run each rule as its own job, write its violations, and count what was written.
 
     A rule that fails while running becomes an ERROR row and the others go on. Nothing
     passes through the driver; results are counted from the stored rows.
+
+    Results have an id made of run and rule and the milliseconds their job took; violations have their result's id and one of
+    their own. Everything is written below a new attempt of the run, and the run counts once its row in ``runs``
+    names that attempt: a repeated run replaces itself, and readers (:func:`stored_results`, :func:`stored_violations`) see
+    whole runs only.
     """
     _require_event(tables, scope)
-    run_id = run_id or uuid.uuid4().hex
-    base = f"{folder}/violations/run_id={run_id}"
-    errors, refused, written = {}, [], []
     chosen = select_checks(names, scope.kind)
-
-    def store(rows: DataFrame, part: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{base}/part={part}")
-        written.append(f"{base}/part={part}")
+    run_id = run_id or run_name(scope, executed_at, trigger, [c.name for c in chosen])
+    attempt = uuid.uuid4().hex
+    inside = f"run_id={run_id}/attempt={attempt}"
+    errors, refused, written, took = {}, [], [], {}
+
+    def store(build: Callable[[], DataFrame], part: str, names: list[str]) -> None:
+        started = clock()
+        rows = build()
+        result = number_of(F.lit(run_id), F.col("check_name"))
+        rows.withColumn("result_id", result).withColumn(
+            "violation_id", number_of(result.cast("string"), "target_type", F.col("target_id").cast("string"), "violation_type", "detail")
+        ).write.parquet(f"{folder}/violations/{inside}/part={part}")
+        written.append(f"{folder}/violations/{inside}/part={part}")
+        took.update(dict.fromkeys(names, int((clock() - started) * 1000)))
 
     shared = _shared_pass(chosen, scope)
     if shared:
         try:
-            store(_shared_violations(tables, scope, params), "latest_row_rules")
+            store(lambda: _shared_violations(tables, scope, params), "latest_row_rules", [c.name for c in shared])
         except Exception:  # let each rule report for itself
             shared = []
     for check in [c for c in chosen if c not in shared]:
         try:
-            store(as_violations(check.fn(tables, scope, **(params or {}).get(check.name, {})), check), check.name)
+            store(lambda: as_violations(check.fn(tables, scope, **(params or {}).get(check.name, {})), check), check.name, [check.name])
             if check.errors:
                 refused.append(_refusals(check, tables, scope))
         except Exception as failure:
             errors[check.name] = str(failure)
-    violations = spark.read.schema(VIOLATION).parquet(*written) if written else _empty(spark)
+    violations = spark.read.schema(STORED_VIOLATION).parquet(*written) if written else spark.createDataFrame([], STORED_VIOLATION)
+    times = spark.createDataFrame([(c.name, took.get(c.name, 0)) for c in chosen], "check_name string, duration_millis long")
     results = summarize(
         spark, violations, [c.name for c in chosen], scope, trigger, executed_at, errors,
         reduce(DataFrame.unionByName, refused) if refused else None,
-    ).withColumn("run_id", F.lit(run_id))
-    results.write.mode("append").parquet(f"{folder}/results")
-    return results, violations
+    ).join(F.broadcast(times), "check_name").withColumn("result_id", number_of(F.lit(run_id), F.col("check_name")))
+    results.write.parquet(f"{folder}/results/{inside}")
+    spark.range(1).select(F.lit(attempt).alias("attempt"), ts(executed_at).alias("executed_at")).write.mode("overwrite").parquet(f"{folder}/runs/run_id={run_id}")
+    return results.withColumn("run_id", F.lit(run_id)), violations
+
+
+def stored_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """run_id, attempt, executed_at of the runs that have been finished."""
+    schema = "attempt string, executed_at timestamp_ntz, run_id string"
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/runs").select("run_id", "attempt", "executed_at")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "run_id string, attempt string, executed_at timestamp_ntz")
+
+
+def _of_runs(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    runs = stored_runs(spark, folder).select("run_id", "attempt")
+    return spark.read.parquet(f"{folder}/{name}").join(runs, ["run_id", "attempt"], "left_semi").drop("attempt", "part")
+
+
+def stored_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Result rows of finished runs."""
+    return _of_runs(spark, folder, "results")
+
+
+def stored_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Violations of finished runs, with their result's id."""
+    return _of_runs(spark, folder, "violations")
 
 
 def recheck(tables: Tables, name: str, events: DataFrame, params: dict | None = None) -> DataFrame:

@@ -64,6 +64,8 @@ VIOLATION = _schema(
     ("violation_type", _S), ("detail", _S),
 )
 
+STORED_VIOLATION = _schema(*[(f.name, f.dataType) for f in VIOLATION.fields], ("result_id", _L), ("violation_id", _L))
+
 RECOVERY = _schema(
     ("recovery_id", _L), ("result_id", _L), ("check_name", _S), ("action", _S), ("detail", _S),
     ("message", _S), ("status", _S), ("created_at", _T),

@@ -1,16 +1,10 @@
-"""Writing audit results, violations and new table snapshots."""
+"""Writing table snapshots. Audit results are written by ``plans.runner.run_and_store``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def write_results(results: DataFrame, violations: DataFrame, folder: str) -> None:
-    """Append result rows and violation rows; violations are laid out by rule."""
-    violations.write.mode("append").partitionBy("check_name").parquet(f"{folder}/violations")
-    results.write.mode("append").parquet(f"{folder}/results")
-
-
 def write_issue_snapshot(issue: DataFrame, folder: str, rows_per_file: int = 2_000_000) -> None:
     """Next issue table, laid out by campaign so that a campaign audit reads its own files only.
 

@@ -4,7 +4,7 @@ import pytest
 from conftest import CHECKED, START, event_row, history_row, issue_row, kinds, sec, uuid_of
 
 from tallyroll.operators import checks
-from tallyroll.plans.runner import CHECKS, catalog, register_check, run_and_store, run_checks, select_checks
+from tallyroll.plans.runner import CHECKS, catalog, register_check, run_and_store, run_checks, select_checks, stored_results, stored_runs, stored_violations
 from tallyroll.plans.scope import Scope, all_cutoff, next_range
 from tallyroll.sources.ledger import Tables
 
@@ -175,6 +175,22 @@ def test_run_checks_isolates_failures(make, spark, tmp_path):
         stored, violations = run_and_store(spark, t, Scope.event(1), CHECKED, str(tmp_path), names, run_id="r1")
         assert {r["check_name"]: r["status"] for r in spark.read.parquet(f"{tmp_path}/results").collect()} == {k: v[0] for k, v in got.items()}
         assert violations.filter("check_name = 'issue_structure'").count() == 1
+        # A repeated run replaces itself, with the same ids; one that ends early is not seen.
+        first = {(r["check_name"], r["result_id"]) for r in stored_results(spark, str(tmp_path)).collect()}
+        ticks = iter(range(1000))
+        run_and_store(spark, t, Scope.event(1), CHECKED, str(tmp_path), names, run_id="r1", clock=lambda: next(ticks))
+        again = stored_results(spark, str(tmp_path)).collect()
+        assert {(r["check_name"], r["result_id"]) for r in again} == first and len(again) == 5
+        assert {r["check_name"]: r["duration_millis"] for r in again} == {"stock": 1000, "state_chain": 1000, "issue_structure": 1000, "loss": 1000, "broken_for_test": 0}
+        assert {r["result_id"] for r in stored_violations(spark, str(tmp_path)).collect()} <= {i for _, i in first}
+
+        def ends(*_, **__):
+            raise KeyboardInterrupt
+
+        with pytest.raises(KeyboardInterrupt):
+            run_and_store(spark, t, Scope.event(1), CHECKED, str(tmp_path), names, run_id="r2", clock=ends)
+        assert {r["run_id"] for r in stored_results(spark, str(tmp_path)).collect()} == {"r1"}
+        assert stored_runs(spark, f"{tmp_path}/none").count() == 0
         with pytest.raises(ValueError):
             run_checks(spark, t, Scope.event(99), CHECKED, names)
         with pytest.raises(ValueError):
