@@ -1,6 +1,6 @@
 """Quality rules: fixed base rules, and a hashed n-gram logistic regression trained on labelled rows.
 
-Features are hashed word 1- and 2-grams and hashed byte 3- and 5-grams, as shares of all of a text's word or byte
+Features are hashed word 1- and 2-grams and hashed character 3- and 5-grams, as shares of all of a text's word or character
 grams, so that a score is a mean of weights and scoring is table look-ups in Arrow batches. The model is fitted on a
 bounded sample of the labelled rows, its scores are turned into probabilities on rows held out from the fit (Platt's
 method), and a text is kept from a fixed probability on.
@@ -31,6 +31,7 @@ _GRAMS = (3, 5)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _HEAD = (np.arange(256) & 0xC0) != 0x80  # not a continuation byte
+_STEP = U64(0x9FB21C651E98DF25)
 _UP = U64(64 - BITS)
 
 
@@ -80,20 +81,36 @@ def _word_grams(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([mix(hashes) >> _UP, two >> _UP]).astype(np.int64), np.concatenate([row, row[pair]])
 
 
-def _byte_grams(data: np.ndarray, k: int) -> np.ndarray:
-    """Table places of the k-grams that start at each byte but the last k - 1."""
-    if len(data) < k:
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts one after another, and the offsets of the texts among them."""
+    if not len(data) or data.max() < 0x80:
+        return data, offsets
+    at = np.flatnonzero(data & 0xC0 != 0x80)
+    first = data[at].astype(np.uint32)
+    size = 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
+    code = np.where(size == 1, first, first & (0xFF >> (size + 1)))
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    for k in range(1, 4):
+        longer = size > k
+        code[longer] = code[longer] << 6 | padded[at[longer] + k] & 0x3F
+    return code, np.searchsorted(at, offsets)
+
+
+def _char_grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """Table places of the k-grams that start at each code point but the last k - 1."""
+    if len(codes) < k:
         return np.zeros(0, np.int64)
-    m = len(data) - k + 1
-    code = np.zeros(m, np.uint64)
+    m = len(codes) - k + 1
+    wide = codes.astype(np.uint64)
+    value = np.zeros(m, np.uint64)
     for i in range(k):
-        code = code << U64(8) | data[i : i + m]
-    return ((code + U64(k)) * GOLDEN >> _UP).astype(np.int64)
+        value = value * _STEP + wide[i : i + m]
+    return ((value + U64(k)) * GOLDEN >> _UP).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """Weights of word and byte grams, and the line that turns a score into a log-odds."""
+    """Weights of word and character grams, and the line that turns a score into a log-odds."""
 
     words: np.ndarray
     grams: np.ndarray
@@ -106,9 +123,10 @@ class Model:
         total = np.bincount(of, weights=self.words[place], minlength=n)
         out = total / np.maximum(1, np.bincount(of, minlength=n))
         total, count = np.zeros(n), np.zeros(n, np.int64)
+        codes, offsets = characters(data, offsets)
         for k in _GRAMS:
-            sums = np.zeros(len(data) + 1)
-            np.cumsum(self.grams[_byte_grams(data, k)], out=sums[1 : max(1, len(data) - k + 2)])
+            sums = np.zeros(len(codes) + 1)
+            np.cumsum(self.grams[_char_grams(codes, k)], out=sums[1 : max(1, len(codes) - k + 2)])
             upto = np.maximum(offsets[:-1], offsets[1:] - k + 1)
             total += np.where(upto > offsets[:-1], sums[upto] - sums[offsets[:-1]], 0.0)
             count += upto - offsets[:-1]
@@ -119,7 +137,7 @@ class Model:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Sparse feature rows: label, places and shares; word grams first, byte grams after them."""
+    """Sparse feature rows: label, places and shares; word grams first, character grams after them."""
     schema = "quality int, place binary, share binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +147,13 @@ def features(docs: DataFrame) -> DataFrame:
             for _, _, data, offsets in text_slices(batch):
                 start, end, row = word_spans(data, offsets)
                 place, of = _word_grams(span_hashes(prefix_hashes(data), start, end), row)
+                codes, cuts = characters(data, offsets)
                 for r in range(len(offsets) - 1):
-                    own = data[offsets[r] : offsets[r + 1]]
-                    grams = np.concatenate([_byte_grams(own, k) for k in _GRAMS])
+                    own = codes[cuts[r] : cuts[r + 1]]
+                    grams = np.concatenate([_char_grams(own, k) for k in _GRAMS])
                     words, n = np.unique(place[of == r], return_counts=True)
-                    bytes_, m = np.unique(grams, return_counts=True)
-                    places.append(np.concatenate([words, bytes_ + _SIZE]).astype(np.int32).tobytes())
+                    chars, m = np.unique(grams, return_counts=True)
+                    places.append(np.concatenate([words, chars + _SIZE]).astype(np.int32).tobytes())
                     shares.append(np.concatenate([n / max(1, n.sum()), m / max(1, m.sum())]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(quality, pa.int32()), pa.array(places, pa.binary()), pa.array(shares, pa.binary())], names=["quality", "place", "share"])

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tallyroll.llm import quality as op
@@ -44,3 +45,14 @@ def test_without_labels(spark, odd, empty, clashing):
     assert sorted(r["doc_id"] or 0 for r in op.kept_documents(odd, labels).collect()) == sorted(
         r["doc_id"] or 0 for r in odd.collect() if brute(r["text"] or "")[0] >= 10 and 100 * brute(r["text"])[4] <= 20 * brute(r["text"])[0])
     assert op.quality_rules(empty, labels).collect() == [] and op.kept_documents(clashing, labels).columns == clashing.columns
+
+
+def test_characters_are_code_points():
+    texts = ["", "plain", "é日本🎉 ▁x", "ß", "", "🎉🎉"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    codes, cuts = op.characters(data, offsets)
+    assert ["".join(map(chr, codes[a:b].tolist())) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == texts
+    # Grams are those of the characters, wherever the text stands.
+    one, other = op._char_grams(op.characters(np.frombuffer("日本語".encode(), np.uint8), np.array([0, 9]))[0], 3), op._char_grams(codes, 3)
+    assert len(one) == 1 and len(other) == len("".join(texts)) - 2
