@@ -175,9 +175,13 @@ def total_text(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def bucket_count(total_bytes: int, each: int, least: int = 16, most: int = 16384) -> int:
-    """Buckets of about ``each`` bytes; the most keeps the number of pieces that tasks send in proportion."""
-    return max(least, min(most, -(-total_bytes // each)))
+#: Tasks of a stage at most; a task that gets many buckets takes them one at a time.
+MOST_TASKS = 1 << 17
+
+
+def bucket_count(total_bytes: int, each: int, least: int = 16) -> int:
+    """Buckets of about ``each`` bytes, whatever the input."""
+    return max(least, -(-total_bytes // each))
 
 
 def deal(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:

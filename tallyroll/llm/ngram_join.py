@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroll.llm.common import (
-    GOLDEN, U64, Forest, bucket_count, components, deal, dealt, grouped, mix, prefix_hashes, span_hashes, staged, text_slices, total_text, word_spans)
+    GOLDEN, MOST_TASKS, U64, Forest, bucket_count, components, deal, dealt, grouped, mix, prefix_hashes, span_hashes, staged, text_slices, total_text, word_spans)
 
 TILE_SETS, TILE_SHINGLES, LEAF = 2048, 4_000_000, 16
+#: Tasks that a component's rows are spread over when they learn their first document.
+SALTS = 16
 CELL_ROWS = 2048
 LEAST_AXES, MOST_AXES = 64, 2048
 FLUSH_ROWS = 1 << 20
@@ -386,8 +388,9 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     buckets, cell_rows = bucket_count(total_text(docs), 8 << 20), CELL_ROWS
     rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("__rid", "doc_id", "text")
+    tasks = min(buckets, MOST_TASKS)
     sent = rows.mapInArrow(lambda it: _emit(it, rule, buckets), "bucket int, kind int, piece binary")
-    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
+    met = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
         lambda it: _meet(it, rule, cell_rows), "rid long, doc_id long, k1 long, k2 long, n long, cell long, block long, blocks long, point binary")
     met = staged(met, "ngram-cells")
     key = F.unhex(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
@@ -398,7 +401,7 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     def near(sent: DataFrame) -> DataFrame:
         held = sent.join(points, "k1").select(*place, "n", "k1", "root", "point")
-        return held.repartition(buckets, *place).sortWithinPartitions(*place, "n", "k1").mapInArrow(lambda it: _within_bounds(it, rule), "a long, b long")
+        return held.repartition(tasks, *place).sortWithinPartitions(*place, "n", "k1").mapInArrow(lambda it: _within_bounds(it, rule), "a long, b long")
 
     single = inside.select("cell", F.col("block").alias("one"), F.lit(0).alias("two"), "n", "k1", F.lit(None).cast("long").alias("root"))
     chained = components(near(single), "ngram-subtrees")
@@ -421,8 +424,12 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     trees = components(links, "ngram-links").select(F.col("node").alias("set"), "root")
     member = texts.join(trees, "set", "left").withColumn("root", F.coalesce("root", "set"))
     first = member.filter("n > 0").groupBy("root").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("lead"))
-    out = member.join(first, "root", "left")
+        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("lead"), F.count("*").alias("rows"))
+    # A document without company is its own first. The others' firsts are dealt to SALTS places, and a large component's rows over them.
+    first = first.filter("rows > 1").drop("rows").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = member.withColumn("salt", F.pmod(F.xxhash64("__rid"), F.lit(SALTS)).cast("int")).join(first, ["root", "salt"], "left")
+    own = F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")
+    out = out.withColumn("least", F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("least"))).withColumn("lead", F.coalesce("lead", own))
     alone = F.col("n") == 0
     return out.select(
         "__rid", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),

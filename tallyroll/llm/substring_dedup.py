@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyroll.llm.common import U64, deal, dealt, grouped, mix, slices, staged, text_buffers, total_text
+from tallyroll.llm.common import MOST_TASKS, U64, bucket_count, deal, dealt, grouped, mix, slices, staged, text_buffers, total_text
 
 LENGTH = 100
 #: A perfect difference cover (fixed values): every remainder modulo PERIOD is a difference of two of them.
@@ -41,8 +41,6 @@ PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 CORE, SIDE = LENGTH - PERIOD + 1, PERIOD - 1
 WINDOW = SIDE + LENGTH
 CHUNK_BYTES, BUCKET_BYTES, HOT_ROWS, SLAB = 4 << 20, 8 << 20, 20_000, 1 << 16
-#: Tasks of a stage at most; each may hold many buckets.
-MOST_TASKS = 1 << 17
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
 
@@ -385,7 +383,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_rows: int = HOT
     one; strings never cross documents and are judged on the input. A null text is empty. Null ids come last; rows of the same
     id come in the order in which they were read and packed. Other columns are not read.
     """
-    buckets = max(16, -(-total_text(docs) // BUCKET_BYTES))
+    buckets = bucket_count(total_text(docs), BUCKET_BYTES)
     tasks = min(buckets, MOST_TASKS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = staged(rows.mapInArrow(_pack, CHUNK), "substring-chunks", "uncompressed")
