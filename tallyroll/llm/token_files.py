@@ -30,6 +30,8 @@ SCALE_BITS, VOCABULARY = 20, 1 << 16
 BLOCK_TOKENS, LANE_TOKENS, MOST_LANES, SECTION_STEPS = 1 << 19, 128, 2048, 128
 SEGMENT_BYTES = 24 << 20
 MOST_WORDS = 200_000
+#: A known word is one number: where its ids begin, and in the low bits how many there are.
+_LENGTH_BITS, _LENGTH = 31, (1 << 31) - 1
 CLOSING = ".,;:!?"
 LOW = U64(1 << 31)
 
@@ -77,10 +79,10 @@ class Words(dict):
         if place is None:
             ids = [t.id for t in self.merges.tokenize(low if low.isascii() else self.spell(low)[0][0])]
             if len(self.letters) < MOST_WORDS:
-                self.letters[low] = len(self.letter_ids) << 24 | len(ids)
+                self.letters[low] = len(self.letter_ids) << _LENGTH_BITS | len(ids)
                 self.letter_ids.extend(ids)
         else:
-            ids = self.letter_ids[place >> 24 : (place >> 24) + (place & 0xFFFFFF)].tolist()
+            ids = self.letter_ids[place >> _LENGTH_BITS : (place >> _LENGTH_BITS) + (place & _LENGTH)].tolist()
         end = word[len(core) :]
         after = self.closing.get(end)
         if after is None:
@@ -93,7 +95,7 @@ class Words(dict):
         value = self.more.get(word)
         if value is None:
             ids = self.find(word)
-            value = len(self.ids) << 24 | len(ids)
+            value = len(self.ids) << _LENGTH_BITS | len(ids)
             self.ids.extend(ids)
             if len(self) < MOST_WORDS:
                 self[word] = value
@@ -108,9 +110,9 @@ class Words(dict):
         words.append("\n")
         place = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         ends = np.flatnonzero(place == 1)
-        length = place & 0xFFFFFF
+        length = place & _LENGTH
         upto = np.cumsum(length)
-        ids = np.frombuffer(self.ids, np.int32)[np.repeat((place >> 24) - (upto - length), length) + np.arange(upto[-1])]
+        ids = np.frombuffer(self.ids, np.int32)[np.repeat((place >> _LENGTH_BITS) - (upto - length), length) + np.arange(upto[-1])]
         if self.more:
             self.more.clear()
             del self.ids[self.kept :]
