@@ -7,8 +7,9 @@ Skipping gives other segmentations of the same text, which decode to it byte for
 library's own.
 
 No piece holds a line feed, or a word mark behind another character, so a text's units (a word with the marks before
-it) are segmented each by itself. A unit's place in its document picks one of VARIANTS keys, and what a unit becomes
-under a key is remembered. Units are segmented side by side: a row of a matrix each, one merge a round.
+it) are segmented each by itself. Every occurrence of a unit has a key of its own, made of seed, document and place. What is
+remembered is a unit's merges without skips: an occurrence that skips none of them gets these, and only the others are
+segmented anew, side by side: a row of a matrix each, one merge a round.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from pyspark.sql import types as T
 from tallyroll.llm.common import GOLDEN, U64, mix, mix_int, slices, text_buffers
 
 MODEL, RATE, SEED = "piece_bpe_32k.model", 0.1, 1234
-#: Keys that the tests of one segmentation go through; occurrences draw from all 64-bit keys.
-VARIANTS = 8
 MARK = "▁"
 MOST_UNITS, LONG_UNIT, ROWS = 150_000, 48, 20_000
 #: Symbols from here on are characters without a piece; they become byte pieces.

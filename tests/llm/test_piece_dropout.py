@@ -33,7 +33,7 @@ def test_rows_are_the_agenda():
     p = op.pieces(op.MODEL)
     flat, sizes = p.symbols(["thing", "unbelievable", "日本語x", "\nfoo", "aaaaaaaaaaaaaaa", "", "  x"] * 8)
     rows = op.matrix(flat, sizes)
-    keys = op.unit_keys(rows, np.arange(len(sizes)) % op.VARIANTS, 3)
+    keys = op.unit_keys(rows, np.arange(len(sizes)) % 8, 3)
     for rate in (0.0, 0.2, 0.6):
         found, n = op.segment_rows(p, rows, keys, rate)
         ends, begin = np.cumsum(n), np.cumsum(sizes) - sizes
