@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.sqlviews import with_views
+from catalog.sqlviews import EMAIL, PHONE, with_views
 from tallyroll.operators import failures, persistence
 from tallyroll.sources import derived
 
@@ -95,9 +95,8 @@ for _group, _stages, _retry, _done in (
         lambda s, d, g=_group: failures.sweep_unrecoverable(_f(s, d), g))
 
 
-@query("failure_append_rows", with_views(r"""
-    SELECT failure_id, regexp_replace(regexp_replace(error_message, '([\w.+-]{1,3})[\w.+-]*(@[\w.-]+\.[A-Za-z]{2,})', '\1****\2', 'g'),
-      '\b(0\d{1,2})[-.\s]?(\d{3,4})[-.\s]?(\d{4})\b', '\1-****-\3', 'g') AS error_message,
+@query("failure_append_rows", with_views(f"""
+    SELECT failure_id, regexp_replace(regexp_replace(error_message, {EMAIL}), {PHONE}) AS error_message,
       occurred_at + INTERVAL 9 HOUR AS occurred_at
     FROM d_failure""", "d_failure"))
 def failure_append_rows(spark, sf_dir):

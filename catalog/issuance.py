@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.sqlviews import VIEWS, request_uuid, with_views
+from catalog.sqlviews import EMAIL, PHONE, VIEWS, request_uuid, with_views
 from tallyroll.functions.times import ts
 from tallyroll.operators import allocation, checks, persistence, reports
 from tallyroll.sources import derived
@@ -112,13 +112,13 @@ def audit_accuracy_decisions(spark, sf_dir):
         "event_id", "total_stock", "issue_rows", "requests", "accepted", "sold_out", "accurate")
 
 
-@query("request_status", with_views("""
+@query("request_status", with_views(f"""
     SELECT d.campaign_id, d.request_id, d.user_id, issue_sequence, remaining,
       CASE code WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'REJECTED_SOLD_OUT' WHEN 2 THEN 'REJECTED_DUPLICATE' WHEN 3 THEN 'REJECTED_NOT_OPEN' ELSE 'REJECTED_CLOSED' END AS status,
       decided_at,
       CASE WHEN length(name) > 2 THEN concat(substr(name, 1, 1), repeat('*', length(name) - 2), substr(name, length(name), 1)) ELSE name END AS name,
-      regexp_replace(email, '([\\w.+-]{1,3})[\\w.+-]*(@[\\w.-]+\\.[A-Za-z]{2,})', '\\1****\\2', 'g') AS email,
-      regexp_replace(phone, '\\b(0\\d{1,2})[-.\\s]?(\\d{3,4})[-.\\s]?(\\d{4})\\b', '\\1-****-\\3', 'g') AS phone
+      regexp_replace(email, {EMAIL}) AS email,
+      regexp_replace(phone, {PHONE}) AS phone
     FROM d_decision d LEFT JOIN d_user u ON u.user_id = d.user_id WHERE NOT repeated AND code < 5
     UNION ALL SELECT DISTINCT campaign_id, request_id, CAST(NULL AS BIGINT), NULL, NULL, 'NOT_FOUND', NULL, NULL, NULL, NULL FROM d_decision WHERE code = 5""", "d_decision", "d_user"))
 def request_status(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.issuance import decisions, uuid3
 from catalog.registry import query
 from catalog.repairs import results_table, violations_table
-from catalog.sqlviews import with_views
+from catalog.sqlviews import EMAIL, PHONE, with_views
 from tallyroll.constants import ACTIVE_STATUSES
 from tallyroll.functions import ids, text, times
 from tallyroll.operators import persistence, reports
@@ -15,10 +15,6 @@ from tallyroll.plans.runner import CHECKS, catalog
 from tallyroll.sources import derived
 from tallyroll.sources.stream import parse_issue_entries
 
-EMAIL = r"'([\w.+-]{1,3})[\w.+-]*(@[\w.-]+\.[A-Za-z]{2,})', '\1****\2', 'g'"
-PHONE = r"'\b(0\d{1,2})[-.\s]?(\d{3,4})[-.\s]?(\d{4})\b', '\1-****-\3', 'g'"
-
-
 def name_mask(col: str) -> str:
     t = f"trim({col})"
     return (

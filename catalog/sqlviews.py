@@ -14,6 +14,10 @@ def request_uuid(key: str) -> str:
     return _uuid("req:", key)
 
 
+# Masking of personal data as arguments of regexp_replace (fixed values).
+EMAIL = r"'([\w.+-]{1,3})[\w.+-]*(@[\w.-]+\.[A-Za-z]{2,})', '\1****\2', 'g'"
+PHONE = r"'\b(0\d{1,2})[-.\s]?(\d{3,4})[-.\s]?(\d{4})\b', '\1-****-\3', 'g'"
+
 # name -> (views it reads, text)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
