@@ -11,6 +11,7 @@ from catalog.sqlviews import EMAIL, PHONE, with_views
 from tallyroll.constants import ACTIVE_STATUSES
 from tallyroll.functions import ids, text, times
 from tallyroll.operators import persistence, reports
+from tallyroll.operators.paging import PageIndex
 from tallyroll.plans.runner import CHECKS, catalog
 from tallyroll.sources import derived
 from tallyroll.sources.stream import parse_issue_entries
@@ -74,6 +75,22 @@ def report_results_page(spark, sf_dir):
     return reports.results_page(results_table(spark, sf_dir), 3, 25, "FAIL").select("result_id", "check_name", "executed_at")
 
 
+@query("report_results_deep_page", with_views(
+    "SELECT result_id, check_name, executed_at FROM d_result ORDER BY executed_at DESC, result_id DESC LIMIT 25 OFFSET 750", "d_result"))
+def report_results_deep_page(spark, sf_dir):
+    """A page far down, from an index of the listing: only the ranges it lies in are sorted."""
+    index = PageIndex.of(results_table(spark, sf_dir).select("result_id", "check_name", "executed_at"), [("executed_at", True), ("result_id", True)])
+    return index.page(30, 25)
+
+
+@query("report_violations_by_result_page", with_views(
+    "SELECT violation_id, result_id, check_name FROM d_violation ORDER BY result_id ASC NULLS FIRST, violation_id DESC LIMIT 40 OFFSET 400", "d_violation"))
+def report_violations_by_result_page(spark, sf_dir):
+    """Few values of the first key hold all rows: each is cut further by the second one."""
+    index = PageIndex.of(violations_table(spark, sf_dir).select("violation_id", "result_id", "check_name"), [("result_id", False), ("violation_id", True)], most=100)
+    return index.page(10, 40)
+
+
 @query("report_violations_page", with_views(
     "SELECT violation_id, check_name, target_id FROM d_violation WHERE result_id = 7 ORDER BY violation_id DESC LIMIT 20 OFFSET 20", "d_violation"))
 def report_violations_page(spark, sf_dir):
