@@ -29,7 +29,7 @@ MODEL, END_ID = "word_bpe_49k.json", 1
 SCALE_BITS, VOCABULARY = 20, 1 << 16
 BLOCK_TOKENS, LANE_TOKENS, MOST_LANES, SECTION_STEPS = 1 << 19, 128, 2048, 128
 SEGMENT_BYTES = 24 << 20
-MOST_WORDS = 500_000
+MOST_WORDS = 800_000
 #: A known word is one number: where its ids begin, and in the low bits how many there are.
 _LENGTH_BITS, _LENGTH = 31, (1 << 31) - 1
 CLOSING = ".,;:!?"
