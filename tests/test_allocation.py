@@ -240,12 +240,12 @@ def test_commands_in_segments_are_a_replay(spark):
         records = {(1, "r1"): (1, 0, 0, 1, 4), (1, "r2"): (2, 0, 1, 2, 3), (2, "r3"): (3, 0, 0, 5, 0), (2, "r4"): (4, 1, 3, None, 0), (3, "r5"): (5, 8, 2, 1, 9), (5, "r6"): (6, 0, 0, 1, 1)}
         holders = [(1, 1), (1, 2), (2, 3)]
         rows = []
-        for no in range(1, 141):
-            request = draw.randrange(24)
+        for no in range(1, 181):
+            request = draw.randrange(10)
             user = request % 6 + 1 if draw.random() < 0.9 else draw.choice((7, 0))
             at = draw.choices((OPEN - timedelta(seconds=1), OPEN, CLOSE), (1, 20, 1))[0]
             name = f"r{request}" if draw.random() < 0.95 else draw.choice(("", "a|b"))
-            rows.append(("COMPENSATE" if draw.random() < 0.45 else "REQUEST", draw.choices((1, 2, 3, 4, 5), (5, 5, 2, 1, 1))[0], user, name, at, no * 3))
+            rows.append(("COMPENSATE" if draw.random() < 0.45 else "REQUEST", draw.choices((1, 2, 3, 4, 5), (6, 4, 4, 1, 1))[0], user, name, at, no * 3))
         want = one_after_the_other(rows, campaigns, records, holders)
         state = spark.createDataFrame(
             [(c, stock + drawn, stock, drawn, a, b) for c, (stock, drawn, a, b) in campaigns.items()],
