@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.sqlviews import with_views
 from tallyroll.operators import checks, reports
+from tallyroll.operators.chains import chain_heads, moved_heads
 from tallyroll.plans.runner import number_of, run_and_store, run_checks, stored_results, stored_violations
 from tallyroll.plans.scope import Scope, all_cutoff, events_for_all
 from tallyroll.plans.staging import work_folder
 from tallyroll.sources import derived
-from tallyroll.sources.ledger import load
-from tallyroll.sources.sinks import write_history_snapshot, write_issue_snapshot
+from tallyroll.sources.ledger import load, read_history
+from tallyroll.sources.sinks import write_history_by_month, write_history_snapshot, write_issue_snapshot
 
 NOW = datetime(2000, 1, 1)
 FROM, TO = datetime(1997, 1, 1), datetime(1999, 1, 1)
@@ -122,6 +123,49 @@ def check_state_chain_event(spark, sf_dir):
     return checks.state_chain(derived.tables(spark, sf_dir), Scope.event(3))
 
 
+# Every seventh row arrives two days late, some of them behind later rows of their issue.
+_ARRIVED = """
+arrived AS (
+  SELECT issue_id, history_id, coalesce(occurred_at, TIMESTAMP '0001-01-01') AS moment, to_status,
+    coalesce(recorded_at + to_days(CASE WHEN history_id % 7 = 0 THEN 2 ELSE 0 END) >= TIMESTAMP '1996-01-01', true) AS fresh
+  FROM d_history),
+behind AS (
+  SELECT issue_id FROM arrived GROUP BY issue_id
+  HAVING min(CASE WHEN fresh THEN struct_pack(a := moment, b := history_id) END) < max(CASE WHEN NOT fresh THEN struct_pack(a := moment, b := history_id) END))
+"""
+SINCE = datetime(1996, 1, 1)
+
+
+def _by_month(spark, sf_dir):
+    """The issues, and a folder with their history by month of arrival."""
+    t = derived.tables(spark, sf_dir)
+    folder = work_folder(spark, "history")
+    late = F.when(F.col("history_id") % 7 == 0, F.col("recorded_at") + F.expr("INTERVAL '2' DAY")).otherwise(F.col("recorded_at"))
+    write_history_by_month(t.history.withColumn("recorded_at", late), f"{folder}/rows")
+    chain_heads(read_history(spark, f"{folder}/rows", before=SINCE)).write.parquet(f"{folder}/heads")
+    return t.issue, folder
+
+
+@query("check_state_chain_since", with_views(f"""WITH {_ARRIVED}
+SELECT f.* FROM ({_CHAIN}) f JOIN arrived a ON a.history_id = f.history_id
+WHERE a.fresh OR f.issue_id IN (SELECT issue_id FROM behind)""", "d_history"))
+def check_state_chain_since(spark, sf_dir):
+    """Breaks that the history recorded from a time on brings, from stored chain heads; only its months are read, and late issues."""
+    issue, folder = _by_month(spark, sf_dir)
+    new, old = (read_history(spark, f"{folder}/rows", **span) for span in ({"since": SINCE}, {"before": SINCE}))
+    return checks.state_chain_since(issue, spark.read.parquet(f"{folder}/heads"), new, old)
+
+
+@query("chain_heads_moved", with_views("""
+SELECT issue_id, history_id, occurred_at, to_status FROM (
+  SELECT *, lead(history_id) OVER (PARTITION BY issue_id ORDER BY coalesce(occurred_at, TIMESTAMP '0001-01-01'), history_id) AS after FROM d_history)
+WHERE after IS NULL""", "d_history"))
+def chain_heads_moved(spark, sf_dir):
+    """Stored chain heads, moved on by the history recorded since: the next audit starts from these."""
+    _, folder = _by_month(spark, sf_dir)
+    return moved_heads(spark.read.parquet(f"{folder}/heads"), read_history(spark, f"{folder}/rows", since=SINCE))
+
+
 # --- structure -------------------------------------------------------------------------
 
 # A statement for each fault; of an issue's faults the one of least number counts. Names and numbers are fixed values.

@@ -14,7 +14,7 @@ from tallyroll.constants import (
 )
 from tallyroll.functions.ids import is_uuid
 from tallyroll.functions.times import micros_between, millis, seconds, seconds_between, ts
-from tallyroll.operators.chains import chain_breaks, latest_history
+from tallyroll.operators.chains import chain_breaks, continued_breaks, latest_history
 from tallyroll.plans.scope import ALL, AS_OF_RANGE, EVENT, Scope
 from tallyroll.sources.ledger import Tables
 
@@ -115,13 +115,25 @@ def state_chain(tables: Tables, scope: Scope) -> DataFrame:
     if scope.kind != ALL:
         # A narrow scope shrinks the history before it is sorted; an ALL scope would not.
         history = history.join(issues.select("issue_id"), "issue_id", "left_semi")
+    return _broken(chain_breaks(history), issues)
+
+
+def _broken(breaks: DataFrame, issues: DataFrame) -> DataFrame:
     return (
-        chain_breaks(history).join(issues, "issue_id")
-        .withColumn("violation_type", F.lit("BROKEN_CHAIN"))
+        breaks.join(issues, "issue_id").withColumn("violation_type", F.lit("BROKEN_CHAIN"))
         .select("issue_id", "event_id", "history_id", "prev_to_status", "from_status", "to_status", "violation_type")
     )
 
 
+def state_chain_since(issue: DataFrame, heads: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+    """Broken chains that ``new`` history brings to ledgers audited up to ``heads`` (``chains.chain_heads`` of ``old``).
+
+    Old history is read only for issues that a late row reaches back into; they are reported whole, others by their
+    new rows.
+    """
+    return _broken(continued_breaks(heads, new, old), issue.select("issue_id", "event_id"))
+
+
 def issue_structure(tables: Tables, scope: Scope, skew_seconds: int = CLOCK_SKEW_SECONDS) -> DataFrame:
     """Faulty fields of one issue row; the first rule that fails names the violation."""
     c = F.col

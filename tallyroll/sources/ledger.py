@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyroll.functions.times import ts
 from tallyroll.schemas import TABLES
 
 
@@ -37,6 +40,20 @@ def load(spark: SparkSession, folder: str, fmt: str = "parquet") -> Tables:
     return Tables(**{n: read_table(spark, folder, n, fmt) for n in names})
 
 
+def read_history(spark: SparkSession, folder: str, since: datetime | None = None, before: datetime | None = None) -> DataFrame:
+    """History laid out by month (``sinks.write_history_by_month``); files of other months are not opened.
+
+    ``since``: recorded from then on; rows without a recorded time count as new. ``before``: recorded before then.
+    """
+    month, at = F.col("recorded_in"), F.col("recorded_at")
+    rows = spark.read.schema(T.StructType([*TABLES["history"].fields, T.StructField("recorded_in", T.DateType())])).parquet(folder)
+    if since is not None:
+        rows = rows.filter(month.isNull() | (month >= F.lit(since.date().replace(day=1)))).filter(at.isNull() | (at >= ts(since)))
+    if before is not None:
+        rows = rows.filter(month <= F.lit(before.date())).filter(at < ts(before))
+    return rows.drop("recorded_in")
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
