@@ -7,7 +7,7 @@ of everything in them. Sets whose boxes and points leave room for the similarity
 Boxes of many-dimensional counts overlap almost everywhere as long as a box holds unrelated sets, so the root of the
 tree is not made of boxes: sets are first dealt into cells which no linked pair can miss. For sizes near b, a linked
 pair differs in at most D shingles; with D + 1 groups or more one group holds the same shingles in both, and its content
-is the cell. The points of a cell are joined by their leaves' and their own bounds; a cell of more than CELL_ROWS sets is cut
+is the cell. The points of a cell are joined by descending their tree's levels against itself; a cell of more than CELL_ROWS sets is cut
 into blocks by size, which are joined each by itself before trees meet across blocks. The parts that pairs within the bounds
 connect are the subtrees, each of which gets its texts once, builds its leaves and joins them exactly. A subtree of more
 than TILE_SETS sets is cut into tiles that meet pair by pair in tasks of their own. Equal sets are one point throughout.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from tallyroll.llm.common import (
     GOLDEN, MOST_TASKS, U64, Forest, bucket_count, components, deal, dealt, grouped, mix, prefix_hashes, span_hashes, staged, text_slices, total_text, word_spans)
 
-TILE_SETS, TILE_SHINGLES, LEAF = 2048, 4_000_000, 16
+TILE_SETS, TILE_SHINGLES = 2048, 4_000_000
+#: Points of a leaf, and boxes of a box, of the tree.
+LEAF, FAN = 16, 8
 #: Tasks that a component's rows are spread over when they learn their first document.
 SALTS = 16
 CELL_ROWS = 2048
@@ -297,40 +299,101 @@ def point(own: np.ndarray, axes: int) -> np.ndarray:
 
 # --- subtrees ---
 
+@dataclass(frozen=True)
+class Level:
+    """Boxes of one level of the tree: upper corners, sizes from and to, and where each box's members begin below."""
+
+    top: np.ndarray
+    small: np.ndarray
+    large: np.ndarray
+    start: np.ndarray
+
+    def over(self, fan: int) -> "Level":
+        """The level above: boxes of ``fan`` neighbours."""
+        start = np.arange(0, len(self.small), fan)
+        return Level(np.maximum.reduceat(self.top, start), np.minimum.reduceat(self.small, start), np.maximum.reduceat(self.large, start),
+                     np.append(start, len(self.small)))
+
+
+def packed_order(points: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Points in the order of the leaves: by size first, then slab by slab along the axis that spreads the slab most, twice over."""
+    order = np.argsort(size, kind="stable")
+    for slab in (LEAF * FAN * FAN, LEAF * FAN):
+        if len(size) > slab // FAN:
+            order = np.concatenate([part[np.argsort(points[part, points[part].var(axis=0).argmax()], kind="stable")]
+                                    for part in (order[k : k + slab] for k in range(0, len(size), slab))])
+    return order
+
+
 def bounded_pairs(points: np.ndarray, size: np.ndarray, rule: Rule, root, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Pairs whose sizes fit and whose summed minima reach the overlap they would need.
 
-    Leaves hold LEAF points next to each other by size and then by their widest axis; pairs of leaves are tried by their
-    boxes' upper corners first. Leaves that are one tree already, by ``root``, are left out, so a group of near copies costs
-    about one pass over its leaves. With ``side``, pairs of different sides only.
+    An R-tree over the points: leaves of LEAF points next to each other, boxes of FAN boxes above them up to one root. The
+    tree meets itself from the root down. Two boxes are opened where their sizes fit and the summed minima of their upper
+    corners leave room for a link; boxes that are one tree of links already, by ``root``, are left closed, so a group of near
+    copies costs about one pass over its leaves. With ``side``, pairs of different sides only.
     """
     n = len(size)
-    order = np.argsort(size, kind="stable")
-    if n > 4 * LEAF:
-        slab = 16 * LEAF
-        order = np.concatenate([part[np.argsort(points[part, points[part].var(axis=0).argmax()], kind="stable")]
-                                for part in (order[k : k + slab] for k in range(0, n, slab))])
-    leaves = [order[k : k + LEAF] for k in range(0, n, LEAF)]
-    top = np.stack([points[x].max(axis=0) for x in leaves])
-    small, large = np.array([size[x].min() for x in leaves]), np.array([size[x].max() for x in leaves])
-    for i, leaf in enumerate(leaves):
-        fit = np.flatnonzero((100 * large[i:] >= rule.percent * small[i]) & (100 * large[i] >= rule.percent * small[i:])) + i
-        if len(fit) > 1:
-            bound = np.minimum(top[i], top[fit]).sum(axis=1)
-            fit = fit[bound >= rule.least_common(small[i] + small[fit])]
-        for j in fit.tolist():
-            other = leaves[j]
-            first = root(leaf[0])
-            if all(root(x) == first for x in leaf[1:]) and all(root(x) == first for x in other):
-                continue
-            room = np.minimum(points[leaf][:, None, :], points[other][None, :, :]).sum(axis=2)
-            good = room >= rule.least_common(size[leaf][:, None] + size[other][None, :])
+    if n == 0:
+        return
+    order = packed_order(points, size)
+    p, s = points[order], size[order]
+    start = np.arange(0, n, LEAF)
+    levels = [Level(np.maximum.reduceat(p, start), np.minimum.reduceat(s, start), np.maximum.reduceat(s, start), np.append(start, n))]
+    while len(levels[-1].small) > 1:
+        levels.append(levels[-1].over(FAN))
+
+    # A box known to be one tree of links stays one; that tree's root is looked up anew.
+    whole = [np.zeros(len(level.small), bool) for level in levels]
+
+    def one_tree(h: int, i: int) -> int | None:
+        """The root of everything in box ``i`` of level ``h``, None if it holds several trees."""
+        first, last = int(levels[h].start[i]), int(levels[h].start[i + 1])
+        if not whole[h][i]:
+            if h == 0:
+                tree = root(order[first])
+                whole[h][i] = all(root(x) == tree for x in order[first + 1 : last])
+            else:
+                tree = one_tree(h - 1, first)
+                whole[h][i] = tree is not None and all(one_tree(h - 1, k) == tree for k in range(first + 1, last))
+            if not whole[h][i]:
+                return None
+        while h:
+            first, h = int(levels[h].start[i]), h - 1
+            i = first
+        return root(order[levels[0].start[i]])
+
+    # Depth first: links found below one pair of boxes close others before they are opened.
+    open_ = [(len(levels) - 1, 0, 0)]
+    while open_:
+        h, i, j = open_.pop()
+        tree = one_tree(h, i)
+        if tree is not None and (i == j or one_tree(h, j) == tree):
+            continue
+        level = levels[h]
+        mine, other = slice(level.start[i], level.start[i + 1]), slice(level.start[j], level.start[j + 1])
+        if h:
+            below = levels[h - 1]
+            small, large = below.small, below.large
+            good = (100 * large[other][None, :] >= rule.percent * small[mine][:, None]) & (100 * large[mine][:, None] >= rule.percent * small[other][None, :])
+            room = np.minimum(below.top[mine][:, None, :], below.top[other][None, :, :]).sum(axis=2)
+            good &= room >= rule.least_common(small[mine][:, None] + small[other][None, :])
+        else:
+            room = np.minimum(p[mine][:, None, :], p[other][None, :, :]).sum(axis=2)
+            good = room >= rule.least_common(s[mine][:, None] + s[other][None, :])
             if side is not None:
-                good &= side[leaf][:, None] != side[other][None, :]
-            if i == j:
-                good &= np.arange(len(leaf))[:, None] < np.arange(len(other))[None, :]
-            one, two = np.nonzero(good)
-            yield from zip(leaf[one].tolist(), other[two].tolist(), strict=True)
+                good &= side[order[mine]][:, None] != side[order[other]][None, :]
+        one, two = np.nonzero(good)
+        one, two = one + mine.start, two + other.start
+        if i == j:
+            keep = one <= two if h else one < two
+            one, two = one[keep], two[keep]
+        if h:
+            # Boxes next to each other come off the stack first.
+            far = np.argsort(one - two, kind="stable")
+            open_ += [(h - 1, int(x), int(y)) for x, y in zip(one[far], two[far], strict=True)]
+        else:
+            yield from zip(order[one].tolist(), order[two].tolist(), strict=True)
 
 
 def tree_join(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:

@@ -91,6 +91,38 @@ def test_tree_finds_what_pairs_find():
                 assert up.find(i) == up.find(j)
 
 
+@pytest.mark.parametrize("leaf, fan", [(1, 2), (3, 2), (16, 8)])
+def test_inner_levels_lose_no_pair(monkeypatch, leaf, fan):
+    """Without links known, the descent gives every pair within the bounds once; with two sides, those between them."""
+    monkeypatch.setattr(op, "LEAF", leaf)
+    monkeypatch.setattr(op, "FAN", fan)
+    rng = np.random.default_rng(leaf)
+    for n in (0, 1, 2, 7, 150):
+        base = rng.integers(0, 4, (12, 32))
+        points = np.abs(base[rng.integers(0, 12, n)] + rng.integers(-1, 2, (n, 32)) * (rng.random((n, 32)) < 0.1)).astype(np.int64)
+        size, side, rule = points.sum(axis=1), rng.integers(0, 2, n), op.Rule(3, 90)
+        room = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
+        fits = room >= rule.least_common(size[:, None] + size[None, :])
+        want = {(a, b) for a in range(n) for b in range(a + 1, n) if fits[a, b]}
+        got = [tuple(sorted(p)) for p in op.bounded_pairs(points, size, rule, lambda x: x)]
+        assert len(got) == len(set(got)) and set(got) == want
+        got = [tuple(sorted(p)) for p in op.bounded_pairs(points, size, rule, lambda x: x, side)]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if side[a] != side[b]}
+
+
+def test_family_is_closed_after_about_one_pass():
+    """Near copies of one set: links found close boxes from the top, so few of the half million pairs are looked at."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [np.unique(np.append(base[rng.random(len(base)) > 0.01], rng.integers(0, 2**63, 2).astype(np.uint64))) for _ in range(1000)]
+    points, size = np.stack([op.point(s, 64) for s in sets]).astype(np.int64), np.array([len(s) for s in sets])
+    forest, seen = op.Forest(len(sets)), 0
+    for a, b in op.bounded_pairs(points, size, op.Rule(3, 90), forest.find):
+        forest.union(a, b)
+        seen += 1
+    assert len({forest.find(x) for x in range(len(sets))}) == 1 and seen < 40 * len(sets)
+
+
 def test_levels_meet():
     """Two sizes that can link share a level with the same number of groups."""
     for percent in (80, 90):
