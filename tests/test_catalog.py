@@ -10,7 +10,7 @@ from verify import TABLES, rows_of
 
 SMALL = "/root/testdata/sf0.001"
 NAMES = [
-    "run_all_results", "check_state_chain_all", "allocate_small_segments", "command_results", "repair_chain_outcomes", "persist_classify",
+    "run_all_results", "check_state_chain_since", "chain_heads_moved", "allocate_small_segments", "command_results", "repair_chain_outcomes", "persist_classify",
     "failure_retry_compensations", "report_issuance_log", "stream_failure_windows", "campaign_close_drained", "series_relay", "fn_mask_documents",
 ]
 
