@@ -10,6 +10,7 @@ from catalog.registry import query
 from catalog.sqlviews import VIEWS, with_views
 from tallyroll.functions.times import plus, ts
 from tallyroll.operators import commands, lifecycle
+from tallyroll.plans.staging import kept
 from tallyroll.sources import derived
 
 EARLY, MID = datetime(2001, 8, 1), datetime(2001, 8, 15)
@@ -287,7 +288,7 @@ VIEWS["d_keyed_memory"] = (("d_command", "d_issue"), _keyed("""
 
 @query("command_replay", with_views("SELECT command_no, replay, CASE WHEN replay = 'NEW' THEN result END AS result FROM d_keyed_memory", "d_keyed_memory"))
 def command_replay(spark, sf_dir):
-    cmds = _commands(spark, sf_dir)
+    cmds = kept(_commands(spark, sf_dir), "commands")
     n = F.col("command_no")
     idem = cmds.filter((n % 10 == 2) & (n % 8 != 7)).select(
         "event_uid", "issue_id", "user_id", F.when(n % 40 == 2, "EXPIRED").otherwise(F.col("target_status")).alias("target_status"),

@@ -25,14 +25,21 @@ def _stage(df, folder, files=1000):
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def _stage_in_order(df, folder, column, parts, files):
-    """As ``_stage``, in files that follow each other by ``column``."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
+def _run_in_order(df, folder, column, parts, files, run, numbers=None):
+    """Run a stream over ``parts`` equal ranges of ``column`` in their order, ``files`` of them to a micro-batch.
+
+    ``run`` starts the query on the stream it is given. It goes to the end of what is there before the next ranges are written, so
+    a range may lie in as many files as its rows take. ``numbers``: a frame with the same or more numbers that is cheaper to read.
+    """
+    spark = df.sparkSession
+    low, high = (df if numbers is None else numbers).agg(F.min(column), F.max(column)).first()
     step = max(1, -(-(high + 1 - low) // parts)) if low is not None else 1
-    for k in range(parts):
-        part = df if low is None else df.filter(F.col(column).between(low + k * step, low + (k + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
+    stream = spark.readStream.schema(df.schema).parquet
+    for k in range(0, parts, files):
+        part = df if low is None else df.filter(F.col(column).between(low + k * step, low + (k + files) * step - 1))
+        part.write.mode("append").option("compression", "zstd").parquet(folder)
+        run(stream(folder)).awaitTermination()
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 @query("stream_failure_windows", """
@@ -227,8 +234,8 @@ def _command_log(spark, sf_dir):
 def stream_allocate_give_backs(spark, sf_dir):
     """Requests and give-backs in the order of the log, two files to a micro-batch, in segments of a few thousand numbers."""
     folder = work_folder(spark, "give-backs")
-    stream = _stage_in_order(_command_log(spark, sf_dir), f"{folder}/in", "arrival_no", 4, 2)
-    allocate.allocate_query(stream, folder, derived.campaign(spark, sf_dir), buckets=8, segment_rows=5000).awaitTermination()
+    _run_in_order(_command_log(spark, sf_dir), f"{folder}/in", "arrival_no", 4, 2, lambda stream: allocate.allocate_query(
+        stream, folder, derived.campaign(spark, sf_dir), buckets=8, segment_rows=5000))
     answers = allocate.decisions(spark, folder).select(
         "arrival_no", F.lit("REQUEST").alias("kind"), "campaign_id", "code", "issue_sequence", "remaining", "decided_at", "repeated")
     return answers.unionByName(allocate.give_backs(spark, folder).select(
@@ -242,10 +249,11 @@ def stream_commands(spark, sf_dir):
     from catalog.campaigns import _commands
 
     folder = work_folder(spark, "commands")
-    cmds = _commands(spark, sf_dir)
-    # Files in the order of the log, several to a micro-batch: answers don't depend on where micro-batches end.
-    stream = _stage_in_order(cmds, f"{folder}/in", "command_no", 4, 2)
-    commands.command_query(stream, folder, derived.issue(spark, sf_dir), buckets=8).awaitTermination()
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("command_no"))
+    # In the order of the log, several ranges to a micro-batch: answers don't depend on where micro-batches end.
+    cmds = _run_in_order(
+        _commands(spark, sf_dir), f"{folder}/in", "command_no", 4, 2,
+        lambda stream: commands.command_query(stream, folder, derived.issue(spark, sf_dir), buckets=8), lines)
     columns = ("command_no", "issue_id", "event_id", "target_status", "previous_status", "result")
     repeats = commands.repeats(spark, folder).join(cmds.select("command_no", "issue_id", "target_status"), "command_no")
     return commands.results(spark, folder).select(*columns).unionByName(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyroll.constants import EXPIRED, ISSUED, OPEN, REASON_MANUAL_EXPIRED, SCHEDULED, USED
 from tallyroll.functions.times import ts
 from tallyroll.plans.segments import number_segment, ranked, spread
-from tallyroll.plans.staging import cut
+from tallyroll.plans.staging import cut, kept
 
 
 _CONTENT = ("issue_id", "user_id", "target_status")
@@ -25,12 +25,26 @@ def replay_commands(cmds: DataFrame, idempotency: DataFrame) -> DataFrame:
     """
     c = F.col
     stored = idempotency.select("event_uid", F.struct(*_CONTENT).alias("stored"), c("occurred_at").alias("stored_at"))
-    out = cmds.join(stored, "event_uid", "left")
-    return out.withColumn(
-        "replay",
+    return cmds.join(stored, "event_uid", "left").withColumn("replay", _replay()).drop("stored", "stored_at")
+
+
+def _replay():
+    c = F.col
+    return (
         F.when(c("stored").isNull(), "NEW").when(c("stored") != F.struct(*_CONTENT), "IDEMPOTENCY_CONFLICT")
-        .when(c("stored_at").isNull(), "DUPLICATE_REQUEST").otherwise("REPLAY"),
-    ).drop("stored", "stored_at")
+        .when(c("stored_at").isNull(), "DUPLICATE_REQUEST").otherwise("REPLAY"))
+
+
+def _judged(cmds: DataFrame, idempotency: DataFrame) -> DataFrame:
+    """As :func:`replay_commands`, with ``first``: the first command of a key that several commands have and nobody remembers.
+
+    Keys are counted in narrow rows and held against the remembered ones there; whole commands are shuffled once, to the few keys that matter.
+    """
+    c = F.col
+    stored = idempotency.select("event_uid", F.struct(*_CONTENT).alias("stored"), c("occurred_at").alias("stored_at"))
+    keys = cmds.groupBy("event_uid").agg(F.count(F.lit(1)).alias("n"), F.min("command_no").alias("first")).join(stored, "event_uid", "left")
+    keys = keys.filter((c("n") > 1) | c("stored").isNotNull()).withColumn("first", F.when(c("stored").isNull(), c("first"))).drop("n")
+    return cmds.join(keys, "event_uid", "left").withColumn("replay", _replay()).drop("stored", "stored_at")
 
 
 def run_commands(issue: DataFrame, cmds: DataFrame, idempotency: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -39,49 +53,78 @@ def run_commands(issue: DataFrame, cmds: DataFrame, idempotency: DataFrame) -> t
     Returns issue updates, history rows and results of the commands that were tried, and the others with their
     ``replay``. A refused command leaves its key free, so a later one with that key is tried.
 
-    Whether a command is tried depends on what earlier ones of its key achieved, and that on the coupons. Only coupons
-    which a key with several commands touches are looked at again: starting with the first command of each key, a round
-    tries the commands up to the first success known so far. The first n decisions are final after n rounds, and a round
-    that changes nothing ends it.
+    Whether a command is tried depends on what earlier ones of its key achieved, and that on the coupons. Starting with the first
+    command of each key, a round tries the commands up to the first success known so far. The first n decisions are final
+    after n rounds, and a round that changes nothing ends it. Only coupons which a key with several commands touches are looked
+    at again after the first round; what it found for the others stays.
     """
     c = F.col
-    judged = replay_commands(cmds, idempotency)
-    open_ = judged.filter(c("replay") == "NEW").drop("replay")
-    repeated = open_.groupBy("event_uid").agg(F.count(F.lit(1)).alias("n"), F.min("command_no").alias("first")).filter("n > 1")
-    contested = cut(open_.join(repeated.select("event_uid", "first"), "event_uid"))
+    judged = kept(_judged(cmds, idempotency), "judged")
+    open_ = judged.filter(c("replay") == "NEW").drop("replay", "first")
+    contested = judged.filter((c("replay") == "NEW") & c("first").isNotNull()).drop("replay")
     untried = contested.filter(c("command_no") > c("first")).select("command_no")
-    if not contested.isEmpty():
-        ids = contested.select("issue_id").distinct()
-        around = cut(open_.join(ids, "issue_id", "left_semi"))
+    ids = cut(contested.select("issue_id").distinct())
+    tried = judged.filter((c("replay") == "NEW") & ~F.coalesce(c("command_no") > c("first"), F.lit(False))).select(cmds.columns)
+    if ids.isEmpty():
+        results = kept(_outcomes(issue, tried), "results")
+        late = open_.limit(0).withColumn("replay", F.lit(None).cast("string"))
+    else:
+        shared = F.coalesce("shared", F.lit(False))
+        found = kept(_outcomes(issue, tried).join(ids.withColumn("shared", F.lit(True)), "issue_id", "left").withColumn("shared", shared), "results")
+        results = found.filter(c("shared")).drop("shared")
+        # The other commands of the shared coupons are tried in every round; contested ones up to the first success of their key.
+        others = kept(results.select(cmds.columns).join(contested.select("event_uid").distinct(), "event_uid", "left_anti").select(cmds.columns), "others")
         coupons = cut(issue.join(ids, "issue_id", "left_semi"))
         untried = cut(untried)
         while True:
-            results = apply_commands(coupons, around.join(untried, "command_no", "left_anti"))[2]
-            won = results.filter(c("result") == "SUCCESS").join(repeated, "event_uid", "left_semi").groupBy("event_uid").agg(F.min("command_no").alias("won"))
+            won = results.filter(c("result") == "SUCCESS").select("event_uid", "command_no").join(
+                contested.select("event_uid").distinct(), "event_uid", "left_semi").groupBy("event_uid").agg(F.min("command_no").alias("won"))
             after = cut(contested.join(won, "event_uid").filter(c("command_no") > c("won")).select("command_no"))
-            same = after.exceptAll(untried).isEmpty() and untried.exceptAll(after).isEmpty()
-            untried = after
-            if same:
+            if after.exceptAll(untried).isEmpty() and untried.exceptAll(after).isEmpty():
                 break
-    updates, history, results = apply_commands(issue, open_.join(untried, "command_no", "left_anti"))
-    answers = results.filter(c("result") == "SUCCESS").select("event_uid", F.struct(*_CONTENT).alias("stored"))
-    late = open_.join(untried, "command_no", "left_semi").join(answers, "event_uid").withColumn(
-        "replay", F.when(c("stored") != F.struct(*_CONTENT), "IDEMPOTENCY_CONFLICT").otherwise("REPLAY")).drop("stored")
+            untried = after
+            tried = contested.select(cmds.columns).join(untried, "command_no", "left_anti").select(cmds.columns)
+            results = kept(_outcomes(coupons, others.unionByName(tried)), "results")
+        results = found.filter(~c("shared")).drop("shared").unionByName(results)
+        answers = results.filter(c("result") == "SUCCESS").select("event_uid", F.struct(*_CONTENT).alias("stored"))
+        late = contested.drop("first").join(untried, "command_no", "left_semi").join(answers, "event_uid").withColumn(
+            "replay", F.when(c("stored") != F.struct(*_CONTENT), "IDEMPOTENCY_CONFLICT").otherwise("REPLAY")).drop("stored")
     columns = [*cmds.columns, "replay"]
-    return updates, history, results, judged.filter(c("replay") != "NEW").select(columns).unionByName(late.select(columns))
+    repeats = judged.filter(c("replay") != "NEW").select(columns).unionByName(late.select(columns))
+    return _updates(issue, results), _history(results), results, repeats
+
+
+#: Commands of one coupon that one task takes; more are taken in segments of the log.
+CROWD_ROWS = 100_000
 
 
 def apply_commands(issue: DataFrame, cmds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run commands in ``command_no`` order. Returns issue updates, history rows and results.
 
     ``cmds``: command_no, event_uid, issue_id, user_id, target_status, reason, at.
+    """
+    results = _outcomes(issue, kept(cmds, "commands"))
+    return _updates(issue, results), _history(results), results
 
-    No command log is gathered per coupon. While a coupon is live its status is decided
-    by the last admissible use or cancel before, so a running last value gives the status
-    each command meets; the first expiry that meets ISSUED ends the coupon. The running
-    value is taken inside segments of the log and carried over them, so one coupon with very many
-    commands is spread over tasks.
+
+def _outcomes(issue: DataFrame, cmds: DataFrame) -> DataFrame:
+    """Results of commands. ``cmds`` is read twice.
+
+    While a coupon is live its status is decided by the last admissible use or cancel before, so a running last value gives the
+    status each command meets; the first expiry that meets ISSUED ends the coupon. Commands and coupons are shuffled once, by
+    coupon. Coupons with very many commands are counted out before and spread over tasks.
     """
+    crowded = cut(cmds.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD_ROWS).select("issue_id"))
+    if crowded.isEmpty():
+        return _results(_met(_refused(issue, cmds)))
+    ids = F.broadcast(crowded.withColumnRenamed("issue_id", "_id"))
+    on = cmds["issue_id"].eqNullSafe(F.col("_id"))
+    few, many = cmds.join(ids, on, "left_anti"), cmds.join(ids, on, "left_semi")
+    return _results(_met(_refused(issue, few))).unionByName(_results(_met_in_segments(_refused(issue, many))))
+
+
+def _refused(issue: DataFrame, cmds: DataFrame) -> DataFrame:
+    """Commands with their coupon, why they are refused whatever status they meet, and the status they leave if they aren't."""
     c = F.col
     no = F.lit(False)
     known = issue.select(
@@ -97,10 +140,29 @@ def apply_commands(issue: DataFrame, cmds: DataFrame) -> tuple[DataFrame, DataFr
         F.when(c("found").isNull(), "ISSUE_NOT_FOUND").when(~mine, "INVALID_REQUEST")
         .when(early, "EVENT_NOT_OPEN").when(late, "ALREADY_EXPIRED"),
     )
-    rows = rows.withColumn("mark", F.when(c("refusal").isNull() & target.isin(USED, ISSUED), target)).withColumn(
-        "segment", number_segment(c("command_no"))
-    )
+    return rows.withColumn("mark", F.when(c("refusal").isNull() & target.isin(USED, ISSUED), target)).withColumn(
+        "live", c("status").isin(ISSUED, USED)).drop("owner", "valid_from", "valid_to", "found")
 
+
+def _ends_it():
+    """Whether a command expires its coupon, if none before did."""
+    c = F.col
+    return c("live") & c("refusal").isNull() & (c("target_status") == EXPIRED) & (c("meets") == ISSUED)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The status each command meets while its coupon lives, and the command that ends it; a coupon's commands in one task."""
+    c = F.col
+    # Commands without a number have no place in the order: they meet each other only.
+    inside = Window.partitionBy("issue_id", c("command_no").isNull()).orderBy("command_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("meets", F.coalesce(F.last("mark", ignorenulls=True).over(inside), c("status")))
+    return rows.withColumn("ended_no", F.min(F.when(_ends_it(), c("command_no"))).over(Window.partitionBy("issue_id")))
+
+
+def _met_in_segments(rows: DataFrame) -> DataFrame:
+    """As :func:`_met`: the running value is taken inside segments of the log and carried over them."""
+    c = F.col
+    rows = rows.withColumn("segment", number_segment(c("command_no")))
     inside = Window.partitionBy("issue_id", "segment").orderBy("command_no").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("issue_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
@@ -115,13 +177,15 @@ def apply_commands(issue: DataFrame, cmds: DataFrame) -> tuple[DataFrame, DataFr
     rows = spread(rows.join(carried, ["issue_id", "segment"], "left"), "issue_id", "segment").withColumn(
         "meets", F.coalesce(F.last("mark", ignorenulls=True).over(inside), c("carry"), c("status"))
     )
-    live = c("status").isin(ISSUED, USED)
-    ends_it = live & c("refusal").isNull() & (target == EXPIRED) & (c("meets") == ISSUED)
-    ended = rows.filter(ends_it).groupBy("issue_id").agg(F.min("command_no").alias("ended_no"))
-    rows = rows.join(ended, "issue_id", "left").withColumn(
-        "previous_status",
-        F.when(~live, c("status")).when(c("command_no") > c("ended_no"), EXPIRED).otherwise(c("meets")),
-    )
+    ended = rows.filter(_ends_it()).groupBy("issue_id").agg(F.min("command_no").alias("ended_no"))
+    return rows.join(ended, "issue_id", "left")
+
+
+def _results(rows: DataFrame) -> DataFrame:
+    c = F.col
+    target = c("target_status")
+    prev = F.when(~c("live"), c("status")).when(c("command_no") > c("ended_no"), EXPIRED).otherwise(c("meets"))
+    rows = rows.withColumn("previous_status", prev)
     prev = c("previous_status")
     allowed = (
         ((prev == ISSUED) & target.isin(USED, EXPIRED)) | ((prev == USED) & (target == ISSUED))
@@ -133,31 +197,39 @@ def apply_commands(issue: DataFrame, cmds: DataFrame) -> tuple[DataFrame, DataFr
         .when((target == EXPIRED) & (prev == EXPIRED), "ALREADY_EXPIRED")
         .otherwise("INVALID_STATE_TRANSITION")
     )
-    results = rows.withColumn("result", result).select(
+    return rows.withColumn("result", result).select(
         "command_no", "event_uid", "issue_id", "event_id", "user_id", "target_status", "reason", "at",
         F.when(c("refusal").isNull(), prev).alias("previous_status"), "result",
     )
-    done = results.filter(c("result") == "SUCCESS")
+
+
+def _history(results: DataFrame) -> DataFrame:
+    c = F.col
+    target, at = c("target_status"), c("at")
     reason = F.when(target == EXPIRED, REASON_MANUAL_EXPIRED).otherwise(
         F.coalesce(c("reason"), F.when(target == ISSUED, "USE_CANCELED").otherwise("USED"))
     )
-    history = done.select(
+    return results.filter(c("result") == "SUCCESS").select(
         "issue_id", c("previous_status").alias("from_status"), target.alias("to_status"),
         F.concat(F.lit("USER_"), c("user_id").cast("string")).alias("actor"), reason.alias("reason"),
         at.alias("occurred_at"), at.alias("recorded_at"), "event_uid",
     )
-    last = done.groupBy("issue_id").agg(
+
+
+def _updates(issue: DataFrame, results: DataFrame) -> DataFrame:
+    c = F.col
+    target = c("target_status")
+    last = results.filter(c("result") == "SUCCESS").groupBy("issue_id").agg(
         F.max(F.struct("command_no", "target_status"))["target_status"].alias("status"),
         F.max(F.when(target != EXPIRED, F.struct("command_no", "target_status", "at"))).alias("move"),
     )
     times = issue.select("issue_id", "used_at", "canceled_at").join(last, "issue_id")
     moved = c("move").isNotNull()
-    updates = times.select(
+    return times.select(
         "issue_id", "status",
         F.when(moved, F.when(c("move.target_status") == USED, c("move.at"))).otherwise(c("used_at")).alias("used_at"),
         F.when(moved, F.when(c("move.target_status") == ISSUED, c("move.at"))).otherwise(c("canceled_at")).alias("canceled_at"),
     )
-    return updates, history, results
 
 
 def create_coupons(coupon: DataFrame, cmds: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:

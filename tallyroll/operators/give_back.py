@@ -11,7 +11,7 @@ again or a user who was thought to be served isn't; requests before the first se
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroll.constants import (
@@ -36,10 +36,17 @@ def _served(attempts: DataFrame, settled: DataFrame, limits: DataFrame, segment_
     """
     c = F.col
     start = limits.select("campaign_id", "stock")
+    user = ["campaign_id", "user_id"]
     now = attempts.withColumn("served", c("gate").isNull())
+    # One user's attempts meet in a task, unless somebody made more than a segment holds.
+    crowded = not attempts.groupBy(*user).agg(F.count(F.lit(1)).alias("n")).filter(c("n") > segment_rows).isEmpty()
+    before = Window.partitionBy(*user).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     while True:
         busy = F.when(c("served"), F.coalesce("back_no", F.lit(NEVER)))
-        rows = running_max_before(now, ["campaign_id", "user_id"], "no", busy, "busy_to", segment_rows)
+        if crowded:
+            rows = running_max_before(now, user, "no", busy, "busy_to", segment_rows)
+        else:
+            rows = now.filter(c("no").isNotNull()).withColumn("busy_to", F.max(busy).over(before))
         free = ~(F.greatest(F.coalesce("busy_to", F.lit(BEFORE)), F.coalesce("held_to", F.lit(BEFORE))) > c("no"))
         asks = c("gate").isNull() & free
         tried = rows.withColumn("was", c("served")).withColumn("asks", asks).withColumn("delta", F.when(c("asks"), -1).otherwise(0)).drop("busy_to")
@@ -79,8 +86,11 @@ def answer_commands(commands: DataFrame, state: DataFrame, records: DataFrame, h
         "campaign_id", "user_id", F.coalesce("freed_no", F.lit(NEVER)).alias("held_to"))
     attempts = cut(first.join(backs, _KEY, "left").join(held, ["campaign_id", "user_id"], "left"))
 
-    moves = _served(attempts, settled, limits, segment_rows)
-    tried = moves.filter("asks is not null")
+    # Passes move narrow rows; ids and times come back at the end.
+    ref = F.xxhash64("request_id").alias("ref")
+    moves = _served(attempts.select("campaign_id", "user_id", "no", ref, "gate", "back_no", "held_to"), settled, limits, segment_rows)
+    tried = moves.filter("asks is not null").drop("back_no").join(
+        attempts.select("campaign_id", "no", ref, "request_id", "arrived_at", "back_no"), ["campaign_id", "no", "ref"])
     places = ranked(
         tried.filter("served").select("campaign_id", "no"), ["campaign_id"], number_segment(c("no"), segment_rows), [c("no")], name="place"
     ).join(limits.select("campaign_id", "base_sequence"), "campaign_id").select("campaign_id", "no", (c("base_sequence") + c("place")).alias("issue_sequence"))

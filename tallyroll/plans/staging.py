@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """The frame written once to a folder of its own, for several readers: packed columns, a fraction of what ``cut`` takes."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 BROADCAST_ROWS = 200_000
 
 
@@ -68,4 +75,4 @@ def read_batches(spark: SparkSession, folder: str, schema: T.StructType, before:
 
 def write_batch(df: DataFrame, folder: str, batch: int) -> None:
     """Write one micro-batch's rows; a repeated micro-batch replaces its own rows."""
-    df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch={batch}")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyroll.operators.commands import run_commands
 from tallyroll.operators.recovery import apply_changes
-from tallyroll.plans.staging import cut, read_batches, write_batch
+from tallyroll.plans.staging import kept, read_batches, write_batch
 from tallyroll.streaming.state import BUCKETS, MERGE_EVERY, KeyedState
 
 _L, _S, _T = T.LongType(), T.StringType(), T.TimestampNTZType()
@@ -53,12 +53,13 @@ def command_batch(cmds: DataFrame, number: int, folder: str, state: CommandState
     spark = cmds.sparkSession
     state.coupons.merge(number)
     state.done.merge(number)
-    coupons = cut(state.coupons.of(cmds, number))
-    updates, history, results, repeats = run_commands(coupons, cmds, cut(state.done.of(cmds, number)))
+    coupons = kept(state.coupons.of(cmds, number), "coupons")
+    done = state.done.all(number, state.done.touched(cmds))
+    updates, history, results, repeats = run_commands(coupons, cmds, done)
     write_batch(results, f"{folder}/result", number)
     write_batch(history, f"{folder}/history", number)
     write_batch(repeats.select("command_no", "event_uid", "replay"), f"{folder}/replayed", number)
-    updates = cut(updates)
+    updates = kept(updates, "updates")
     state.coupons.update(apply_changes(coupons.join(updates.select("issue_id"), "issue_id", "left_semi"), "issue_id", updates), number)
     mine = spark.read.schema(_RESULT).parquet(f"{folder}/result/batch={number}").filter(F.col("result") == "SUCCESS")
     state.done.update(mine.select(

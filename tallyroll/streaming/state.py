@@ -45,7 +45,8 @@ class KeyedState:
 
     def _write(self, rows: DataFrame, path: str) -> None:
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        # A bucket meets in few files; adaptive execution splits a large one over tasks.
+        rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
     def _read(self, *paths: str) -> DataFrame:
         return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("version", T.LongType()), T.StructField("bucket", T.IntegerType())])).option(
