@@ -259,3 +259,26 @@ def test_commands_in_segments_are_a_replay(spark):
         assert got == {no: (names.get(v[0], v[0]), *v[1:]) if not isinstance(v[0], str) else v for no, v in want.items()}
         seen |= {v[0] for v in want.values()}
     assert {"COMPENSATED", "NOT_COMPENSABLE", "ALREADY_COMPENSATED", "INVALID_ARGUMENT", "REQUEST_NOT_FOUND", *range(10)} <= seen
+
+
+def test_users_with_few_attempts_take_one_window_and_narrow_rows(spark, monkeypatch):
+    """Passes carry no request ids, and a user's attempts are cut into segments only if there are more than one holds."""
+    from tallyroll.operators import give_back
+
+    used, moved, narrow = [], [], give_back._served
+
+    def served(attempts, *rest):
+        moved.append(set(attempts.columns))
+        return narrow(attempts, *rest)
+
+    real = give_back.running_max_before
+    monkeypatch.setattr(give_back, "_served", served)
+    monkeypatch.setattr(give_back, "running_max_before", lambda *a: used.append(1) or real(*a))
+    rows = [("REQUEST", 1, 1, "a", OPEN, 1), ("COMPENSATE", 1, 1, "a", OPEN, 2), ("REQUEST", 1, 2, "b", OPEN, 3), ("REQUEST", 1, 3, "c", OPEN, 4), ("REQUEST", 1, 2, "d", OPEN, 5), ("REQUEST", 1, 2, "e", OPEN, 6)]
+    state = spark.createDataFrame([(1, 1, 1, 0, OPEN, CLOSE)], "campaign_id long, total_stock long, stock long, sequence long, open_at timestamp_ntz, close_at timestamp_ntz")
+    none = spark.createDataFrame([], "campaign_id long, request_id string, user_id long, code int, lifecycle int, issue_sequence long, remaining long, decided_at timestamp_ntz")
+    for segment, segments_used in ((3, False), (2, True)):
+        used.clear()
+        got = give_back.answer_commands(spark.createDataFrame(rows, streaming.COMMAND), state, none, none.select("campaign_id", "user_id"), segment).collect()
+        assert {r["arrival_no"]: r["result"] or r["code"] for r in got} == {1: 0, 2: "COMPENSATED", 3: 0, 4: 1, 5: 2, 6: 2} and bool(used) == segments_used
+    assert not any({"request_id", "arrived_at"} & m for m in moved)
