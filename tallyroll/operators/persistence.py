@@ -91,11 +91,19 @@ def _greedy_winners(contested: DataFrame) -> DataFrame:
 
 
 def stored_keys(rows: DataFrame) -> DataFrame:
-    """key, request_id, event_id, user_id, issue_sequence: one row for each unique key and each request that stored rows hold."""
+    """key, request_id, event_id, user_id, issue_sequence: one row for each unique key and each request that stored rows hold.
+
+    What is stored is told with the request only; of the other keys it matters that they are taken.
+    """
     columns = ("request_id", "event_id", "user_id", "issue_sequence")
-    keys = _key_rows(rows, *columns).unionByName(
-        rows.filter(F.col("request_id").isNotNull()).select(*columns, F.concat(F.lit("r:"), F.col("request_id")).alias("key")))
-    return keys.groupBy("key").agg(F.min(F.struct("request_id", "event_id", "user_id", "issue_sequence")).alias("row")).select("key", "row.*")
+    requests = rows.filter(F.col("request_id").isNotNull()).select(*columns, F.concat(F.lit("r:"), F.col("request_id")).alias("key"))
+    keys = requests.unionByName(_key_rows(rows), allowMissingColumns=True)
+    return keys.groupBy("key").agg(F.min(F.struct(*columns)).alias("row")).select("key", "row.*")
+
+
+def wanted_keys(rows: DataFrame) -> DataFrame:
+    """The keys under which :func:`stored_keys` would hold rows, as they come."""
+    return _key_rows(rows).unionByName(rows.filter(F.col("request_id").isNotNull()).select(F.concat(F.lit("r:"), F.col("request_id")).alias("key")))
 
 
 def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
@@ -127,19 +135,20 @@ def classify_against(entries: DataFrame, requests: DataFrame, held_of: Callable[
         .drop("first", "stored")
     )
     fresh = out.filter(c("outcome") == "INSERT")
-    keys = _key_rows(fresh, "arrival_no")
+    keys = _key_rows(fresh, "arrival_no", "request_id")
     held = held_of(keys)
-    blocked = keys.join(held, "key", "left_semi").select("arrival_no").distinct()
-    free = _key_rows(fresh.join(blocked, "arrival_no", "left_anti"), "arrival_no")
-    shared = free.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    contested = fresh.join(free.join(shared, "key", "left_semi").select("arrival_no").distinct(), "arrival_no", "left_semi").select(
-        "arrival_no", "event_id", "user_id", "issue_sequence", "message_id"
+    blocked = keys.join(held, "key", "left_semi").select("arrival_no", "request_id").distinct()
+    free = fresh.join(blocked, "arrival_no", "left_anti").withColumn("_ref", F.xxhash64("arrival_no"))
+    # Keys that several entries have are found by hashes; who gets here by a clash of hashes has no rival and is stored.
+    marks = _key_rows(free, "_ref").select("_ref", F.xxhash64("key").alias("_mark"))
+    shared = marks.groupBy("_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    contested = free.join(marks.join(shared, "_mark", "left_semi").select("_ref").distinct(), "_ref", "left_semi").select(
+        "arrival_no", "event_id", "user_id", "issue_sequence", "message_id", "request_id"
     )
     contested = cut(contested)
-    lost = contested.join(_greedy_winners(contested), "arrival_no", "left_anti").select("arrival_no")
-    refused = blocked.unionByName(lost)
+    lost = contested.join(_greedy_winners(contested), "arrival_no", "left_anti").select("arrival_no", "request_id")
     # A refused first entry takes the repeats that lean on it along.
-    refused = out.join(refused, "arrival_no", "left_semi").select("request_id").distinct().withColumn("_refused", F.lit(True))
+    refused = blocked.unionByName(lost).select("request_id").distinct().withColumn("_refused", F.lit(True))
     falls = (c("outcome") == "INSERT") | c("_leans")
     return out.join(refused, "request_id", "left").withColumn(
         "outcome", F.when(falls & c("_refused"), "CONFLICT").otherwise(c("outcome"))

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyroll.constants import MAX_DELIVERY_ATTEMPTS
 from tallyroll.operators.persistence import (
-    apply_answers, classify_against, classify_delivery, compensate, confirm, counter_deltas, persist_issues, probe, stored_keys,
+    apply_answers, classify_against, classify_delivery, compensate, confirm, counter_deltas, persist_issues, probe, stored_keys, wanted_keys,
 )
 from tallyroll.plans.staging import cut, read_batches, write_batch
 from tallyroll.schemas import ISSUE, STREAM_ENTRY
@@ -120,11 +120,11 @@ def persist_batch(
     good, bad = parse_issue_entries(entries.select([f.name for f in STREAM_ENTRY.fields]))
     arrivals = cut(with_arrival(good))
     # All keys the entries could hold, looked up at once.
-    known = cut(state.keys.of(stored_keys(arrivals), batch))
+    known = state.keys.of(wanted_keys(arrivals), batch, cut)
     requests = known.filter(F.col("key").startswith("r:")).drop("key")
     held = known.filter(~F.col("key").startswith("r:")).select("key")
     issues, history, judged = persist_issues(
-        arrivals, None, event, coupon, now, lambda rows: classify_against(rows, requests, lambda keys: held))
+        arrivals, None, event, coupon, now, lambda rows: cut(classify_against(rows, requests, lambda keys: held)))
     write_batch(issues.select(ISSUE.fieldNames()), f"{folder}/issue", batch)
     mine = spark.read.schema(ISSUE).parquet(f"{folder}/issue/batch={batch}")
     write_batch(history, f"{folder}/history", batch)
@@ -137,7 +137,7 @@ def persist_batch(
     command = [F.col("event_id").alias("campaign_id"), "request_id", "user_id", F.col("arrival_no").alias("command_no"), *[F.col(c).alias(f"_{c}") for c in ("entry_id", "issue_sequence")]]
     stored = judged.filter(F.col("outcome").isin(*STORED)).select(*command, "outcome")
     given_up = failed.filter(F.col("action") == "COMPENSATE_AND_ACK").select(*command, "outcome", "attempts")
-    records = cut(state.records.of(stored.select("campaign_id", "request_id").unionByName(given_up.select("campaign_id", "request_id")), batch))
+    records = state.records.of(stored.select("campaign_id", "request_id").unionByName(given_up.select("campaign_id", "request_id")), batch, cut)
     confirmed = cut(confirm(records, stored))
     after = apply_answers(records, confirmed, "confirm_result", now)
     returned = cut(compensate(after, given_up))

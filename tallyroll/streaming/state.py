@@ -9,6 +9,7 @@ folders and replaces its own delta, and a snapshot counts once the table of fini
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -78,12 +79,19 @@ class KeyedState:
 
     def all(self, batch: int, buckets: list[int] | None = None) -> DataFrame:
         """The newest row of every key before ``batch``, of some buckets or of all."""
+        return self._newest(batch, *self._versions(batch, buckets))
+
+    def _versions(self, batch: int, buckets: list[int] | None) -> tuple[int, DataFrame]:
+        """The newest snapshot's number, and its rows with those of the deltas since."""
         base = self.base(batch)
         if base is None:
             raise ValueError(f"{self.folder} has not been started")
         rows = self._read(f"{self.folder}/kind=base/version={base}", *[f"{self.folder}/kind=delta/version={n}" for n in range(base, batch)])
         if buckets is not None:
             rows = rows.filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+        return base, rows
+
+    def _newest(self, batch: int, base: int, rows: DataFrame) -> DataFrame:
         # Both kinds of version ``base`` may be read: the delta is the newer one.
         newer = F.struct("version", F.col("_metadata.file_path").contains("/kind=delta/"))
         values = [f.name for f in self.schema.fields if f.name not in self.keys]
@@ -96,16 +104,23 @@ class KeyedState:
         """Buckets that some keys fall into: at most ``buckets`` numbers."""
         return sorted(r[0] for r in wanted.select(self._bucket()).distinct().collect())
 
-    def of(self, wanted: DataFrame, batch: int) -> DataFrame:
-        """The newest rows before ``batch`` of the keys (or their ``by`` part) in ``wanted``; other buckets aren't read."""
-        asked = wanted.select(*self.place).distinct()
-        here = self.all(batch, self.touched(asked)).alias("s")
-        asked = asked.alias("w")
+    def of(self, wanted: DataFrame, batch: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The newest rows before ``batch`` of the keys (or their ``by`` part) in ``wanted``; other buckets aren't read.
+
+        ``keep`` (such as ``cut``) stores the rows found.
+        """
+        asked = wanted.select(*self.place)
+        base, rows = self._versions(batch, self.touched(asked))
+        # Nothing kept in these buckets: nothing to look up, and what is asked for needn't be shuffled.
+        if rows.isEmpty():
+            return self.spark.createDataFrame([], self.schema).limit(0)
+        here, asked = self._newest(batch, base, rows).alias("s"), asked.alias("w")
         same = [F.col(f"s.{k}").eqNullSafe(F.col(f"w.{k}")) for k in self.place]
         on = same[0]
         for part in same[1:]:
             on = on & part
-        return here.join(asked, on, "left_semi")
+        found = here.join(asked, on, "left_semi")
+        return found if keep is None else keep(found)
 
     def due(self, batch: int) -> bool:
         """Whether a micro-batch starts with a new snapshot."""

@@ -194,3 +194,37 @@ def test_initialization_ledger(spark):
         "INITIALIZED", 2, at(4), None, at(4))
     assert (got[2]["status"], got[2]["last_error_code"], len(got[2]["last_error_message"])) == ("FAILED", "E", 600)
     assert (got[3]["status"], got[3]["last_error_code"], got[3]["updated_at"]) == ("PENDING", None, at(2))
+
+
+def counted(spark, df, column):
+    """The frame, and a counter of the rows of it that were worked out."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(pass_on, df.schema[column].dataType).asNondeterministic()(column)), seen
+
+
+def test_a_log_is_judged_and_tried_once(spark, make):
+    issues, cmds = make_case(6, 90)
+    log, seen = counted(spark, make.rows(streaming.COMMAND, *cmds), "event_uid")
+    idem = spark.createDataFrame([], "event_uid string, issue_id long, user_id long, target_status string, occurred_at timestamp_ntz")
+    updates, history, results, repeats = commands.run_commands(make.issue(*issues), log, idem)
+    want, _ = walk(issues, cmds)
+    assert {r["command_no"]: (r["previous_status"], r["result"]) for r in results.collect()} == want
+    assert updates.count() and history.count() and not repeats.count()
+    # Once to count the keys, once to judge.
+    assert seen.value <= 2 * len(cmds)
+
+
+def test_crowded_coupons_are_walked_in_segments(spark, make, monkeypatch):
+    monkeypatch.setattr(commands, "CROWD_ROWS", 30)
+    monkeypatch.setattr(commands, "number_segment", lambda c: segments.number_segment(c, 16))
+    issues, cmds = make_case(7, 200)
+    want, _ = walk(issues, cmds)
+    got = commands.apply_commands(make.issue(*issues), make.rows(streaming.COMMAND, *cmds))[2]
+    assert {r["command_no"]: (r["previous_status"], r["result"]) for r in got.collect()} == want

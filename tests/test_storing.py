@@ -289,3 +289,25 @@ def test_ids_are_forgotten_by_snapshots_after_the_retention(spark, tmp_path):
     assert sorted((r["message_id"], r["batch"]) for r in dedup.late_deliveries(spark, f"{tmp_path}/out").collect()) == [("a", 3), ("b", 2)]
     dedup.drop_redelivered_query(stream, f"{tmp_path}/all", buckets=2, merge_every=2).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/all/out").count() == 5
+
+
+def test_only_requests_tell_what_is_stored(spark, make):
+    got = {r["key"]: (r["request_id"], r["event_id"], r["user_id"], r["issue_sequence"]) for r in persistence.stored_keys(make.issue(issue_row(7, message_id="m"))).collect()}
+    none = (None, None, None, None)
+    assert got == {"0:1:7": none, "1:1:7": none, "2:m": none, f"r:{uuid_of(7)}": (uuid_of(7), 1, 7, 7)}
+
+
+def test_entries_are_judged_once(spark, make, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(value):
+        seen.add(1)
+        return value
+
+    real = ingest.classify_against
+    monkeypatch.setattr(ingest, "classify_against", lambda *a: real(*a).withColumn("outcome", F.udf(pass_on, "string").asNondeterministic()("outcome")))
+    rows = spark.createDataFrame([entry(n, 1755000000000 + n) for n in range(1, 6)], schemas.STREAM_ENTRY)
+    ingest.persist_batch(rows, 0, f"{tmp_path}/out", make.event(event_row(1)), make.rows(schemas.COUPON, (1, "c", "FIXED", 100, 24, START)), NOW)
+    assert spark.read.parquet(f"{tmp_path}/out/issue").count() == 5 and seen.value == 5
