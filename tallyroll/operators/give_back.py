@@ -7,6 +7,8 @@ values over the log, cut into segments. So the served requests are the one assig
 found by working out holders and stock from an assumed one until nothing changes. Every pass settles the log at least up
 to the first place where the assumption was wrong, hence to the next point where a sold-out campaign serves somebody
 again or a user who was thought to be served isn't; requests before the first sell-out are right from the first pass on.
+What is assumed first sets how many passes there are, not where they end: one settles the log's first place, the next one the
+second, and so on, so that only one assignment reproduces itself.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from tallyroll.constants import (
 )
 from tallyroll.operators.allocation import campaign_limits, validate_requests
 from tallyroll.plans.segments import SEGMENT_ROWS, number_segment, ranked, running_max_before, running_stock
-from tallyroll.plans.staging import cut
+from tallyroll.plans.staging import cut, if_small
 
 REQUEST_KIND, GIVE_BACK_KIND = "REQUEST", "COMPENSATE"
 #: Later than every log number; earlier than every log number.
@@ -28,6 +30,19 @@ NEVER, BEFORE = (1 << 63) - 1, -1
 _KEY = ["campaign_id", "request_id"]
 
 
+def _sold_out(asked: DataFrame, settled: DataFrame, start: DataFrame, segment_rows: int) -> DataFrame:
+    """``sold_no`` of each campaign: the first segment that those who ask before it, less what they give back, leave no stock for."""
+    c = F.col
+    across = Window.partitionBy("campaign_id").orderBy("sold_no").rowsBetween(Window.unboundedPreceding, -1)
+    asking = asked.filter("asks")
+    moves = asking.select("campaign_id", c("no").alias("at"), F.lit(1).alias("taken")).unionByName(
+        asking.filter("back_no is not null").select("campaign_id", c("back_no").alias("at"), F.lit(-1).alias("taken"))).unionByName(
+        settled.select("campaign_id", c("back_no").alias("at"), F.lit(-1).alias("taken")))
+    taken = moves.groupBy("campaign_id", number_segment(c("at"), segment_rows).alias("sold_no")).agg(F.sum("taken").alias("taken"))
+    gone = taken.withColumn("gone", F.coalesce(F.sum("taken").over(across), F.lit(0))).join(start, "campaign_id").filter(c("gone") >= c("stock"))
+    return if_small(cut(gone.groupBy("campaign_id").agg(F.min("sold_no").alias("sold_no"))))
+
+
 def _served(attempts: DataFrame, settled: DataFrame, limits: DataFrame, segment_rows: int) -> DataFrame:
     """The stock's moves in log order: attempts with ``served``, and give-backs that took place.
 
@@ -37,23 +52,30 @@ def _served(attempts: DataFrame, settled: DataFrame, limits: DataFrame, segment_
     c = F.col
     start = limits.select("campaign_id", "stock")
     user = ["campaign_id", "user_id"]
-    now = attempts.withColumn("served", c("gate").isNull())
     # One user's attempts meet in a task, unless somebody made more than a segment holds.
     crowded = not attempts.groupBy(*user).agg(F.count(F.lit(1)).alias("n")).filter(c("n") > segment_rows).isEmpty()
     before = Window.partitionBy(*user).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    while True:
+
+    def asking(now: DataFrame) -> DataFrame:
+        """Attempts with ``asks``: no gate, and the user holds nothing then if ``served`` is right."""
         busy = F.when(c("served"), F.coalesce("back_no", F.lit(NEVER)))
         if crowded:
             rows = running_max_before(now, user, "no", busy, "busy_to", segment_rows)
         else:
             rows = now.filter(c("no").isNotNull()).withColumn("busy_to", F.max(busy).over(before))
         free = ~(F.greatest(F.coalesce("busy_to", F.lit(BEFORE)), F.coalesce("held_to", F.lit(BEFORE))) > c("no"))
-        asks = c("gate").isNull() & free
-        tried = rows.withColumn("was", c("served")).withColumn("asks", asks).withColumn("delta", F.when(c("asks"), -1).otherwise(0)).drop("busy_to")
+        return rows.withColumn("asks", c("gate").isNull() & free).drop("busy_to")
+
+    # Assumed first: whoever asks is served up to where the stock runs out by that, and nobody after it.
+    asked = cut(asking(attempts.withColumn("served", c("gate").isNull())).drop("served"))
+    now = asked.join(_sold_out(asked, settled, start, segment_rows), "campaign_id", "left").withColumn(
+        "served", c("asks") & F.coalesce(c("no") < c("sold_no"), F.lit(True))).select(attempts.columns + ["served"])
+    while True:
+        tried = asking(now).withColumn("was", c("served")).withColumn("delta", F.when(c("asks"), -1).otherwise(0))
         backs = now.filter(c("served") & c("back_no").isNotNull()).select("campaign_id", c("back_no").alias("no"), F.lit(1).alias("delta")).unionByName(
             settled.select("campaign_id", c("back_no").alias("no"), F.lit(1).alias("delta")))
         moves = tried.drop("served").unionByName(backs, allowMissingColumns=True)
-        moves = cut(running_stock(moves, ["campaign_id"], "no", start, segment_rows).withColumn("served", c("asks") & (c("before") > 0)))
+        moves = running_stock(moves, ["campaign_id"], "no", start, segment_rows).withColumn("served", c("asks") & (c("before") > 0))
         if moves.filter("served <> was").isEmpty():
             return moves
         now = moves.filter("asks is not null").select(attempts.columns + ["served"])
@@ -69,13 +91,15 @@ def answer_commands(commands: DataFrame, state: DataFrame, records: DataFrame, h
     """
     c = F.col
     rows = cut(validate_requests(commands))
-    limits = campaign_limits(state)
+    # One row a campaign: kept and sent to the rows, which would otherwise meet in a task a campaign.
+    limits = if_small(cut(campaign_limits(state)))
 
     # The first valid request of an id that isn't remembered decides, in campaigns that can decide at all.
     first = rows.filter((c("kind") == REQUEST_KIND) & c("valid")).join(records.select(*_KEY), _KEY, "left_anti").groupBy(*_KEY).agg(
         F.min(F.struct("arrival_no", "user_id", "arrived_at")).alias("f")).select(*_KEY, c("f.arrival_no").alias("no"), "f.user_id", "f.arrived_at")
     first = first.join(limits.filter(~c("corrupt")).select("campaign_id", "open_at", "close_at"), "campaign_id").withColumn(
         "gate", F.when(c("arrived_at") < c("open_at"), DECISION_NOT_OPEN).when(c("arrived_at") >= c("close_at"), DECISION_CLOSED)).drop("open_at", "close_at")
+    first = cut(first)
     known = first.select(*_KEY, "user_id", "no").unionByName(records.select(*_KEY, "user_id", F.lit(BEFORE).cast("long").alias("no")))
     backs = rows.filter(c("kind") == GIVE_BACK_KIND).select(*_KEY, "user_id", "arrival_no").join(known, [*_KEY, "user_id"]).filter(
         c("arrival_no") > c("no")).groupBy(*_KEY).agg(F.min("arrival_no").alias("back_no"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyroll.plans.staging import cut, if_small
+
 SEGMENT_ROWS = 1_000_000
 NULL_TIME_BASE = -(1 << 62)
 
@@ -89,19 +91,19 @@ def running_stock(moves: DataFrame, keys: list[str], order: str, start: DataFram
     ``start``: the keys and ``stock``, not negative. A row maps a stock x to max(x + d, 0), and maps of the form
     max(x + a, a + m) are closed under composition: a is the sum of the moves, m the lowest point of their running sums
     (or zero), negated. Each segment is one such map, the maps before a segment compose to its first stock, and inside
-    a segment running sums and minima give every row's.
+    a segment running sums and minima give every row's. These are worked out once and kept, for the maps and the rows.
     """
     c = F.col
     rows = spread(moves.withColumn("_segment", number_segment(c(order), size)), *keys, "_segment")
     upto = Window.partitionBy(*keys, "_segment").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     step = Window.partitionBy(*keys, "_segment").orderBy(order)
-    rows = rows.withColumn("_sum", F.sum("delta").over(upto)).withColumn("_low", F.max(-c("_sum")).over(upto)).withColumn("_last_low", F.lag("_low").over(step))
+    rows = cut(rows.withColumn("_sum", F.sum("delta").over(upto)).withColumn("_low", F.max(-c("_sum")).over(upto)).withColumn("_last_low", F.lag("_low").over(step)))
     across = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     maps = rows.groupBy(*keys, "_segment").agg(F.sum("delta").alias("_a"), F.max("_low").alias("_m"))
     maps = maps.withColumn("_moved", F.coalesce(F.sum("_a").over(across), F.lit(0)))
     maps = maps.withColumn("_reach", F.max(c("_m") - c("_moved")).over(across)).join(start.select(*keys, "stock"), keys, "left")
     stock = F.coalesce("stock", F.lit(0))
-    first = maps.select(*keys, "_segment", (c("_moved") + F.greatest(stock, F.coalesce("_reach", stock))).alias("_first"))
-    return rows.join(first, [*keys, "_segment"]).withColumn(
+    first = cut(maps.select(*keys, "_segment", (c("_moved") + F.greatest(stock, F.coalesce("_reach", stock))).alias("_first")))
+    return rows.join(if_small(first), [*keys, "_segment"]).withColumn(
         "before", c("_sum") - c("delta") + F.greatest("_first", F.coalesce("_last_low", "_first"))).withColumn(
         "after", c("_sum") + F.greatest("_first", "_low")).drop("_segment", "_sum", "_low", "_last_low", "_first")

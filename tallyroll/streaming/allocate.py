@@ -20,7 +20,7 @@ from tallyroll.constants import COMPENSATED, DECISION_ACCEPTED, DECISION_PERSIST
 from tallyroll.operators.allocation import allocate, to_request_state
 from tallyroll.operators.give_back import GIVE_BACK_KIND, REQUEST_KIND, answer_commands
 from tallyroll.plans.segments import SEGMENT_ROWS
-from tallyroll.plans.staging import cut, read_batches, write_batch
+from tallyroll.plans.staging import cut, if_small, read_batches, write_batch
 from tallyroll.schemas import REQUEST
 from tallyroll.streaming.state import BUCKETS, MERGE_EVERY, KeyedState
 
@@ -90,13 +90,15 @@ def allocate_micro_batch(
         part.merge(number)
     records = cut(state.records.of(commands, number))
     holders = cut(state.holders.of(commands, number).filter("holds"))
-    counters = state.counters.of(campaigns, number)
-    standing = (
+    campaigns = cut(campaigns)
+    counters = cut(state.counters.of(campaigns, number))
+    standing = if_small(cut(
         campaigns.join(counters, "campaign_id", "left").fillna(0, ["drawn", "returned"])
         .withColumn("stock", c("total_stock") - c("drawn") + c("returned")).withColumn("sequence", c("drawn")).drop("drawn", "returned")
-    )
-    mixed = commands.filter(c("kind") == GIVE_BACK_KIND).select("campaign_id").distinct()
-    requests = commands.filter(c("kind") == REQUEST_KIND).join(mixed, "campaign_id", "left_anti").select(REQUEST.fieldNames())
+    ))
+    # Rows are told apart by a broadcast where campaigns are few; a shuffle would gather a campaign in one task.
+    mixed = if_small(cut(commands.filter(c("kind") == GIVE_BACK_KIND).select("campaign_id").distinct()))
+    requests = cut(commands.filter(c("kind") == REQUEST_KIND).join(mixed, "campaign_id", "left_anti").select(REQUEST.fieldNames()))
     decided = allocate(requests, standing, records.drop("lifecycle", "updated_at"), holders, segment_rows)
     answered = cut(answer_commands(commands.join(mixed, "campaign_id", "left_semi"), standing, records, holders, segment_rows))
     decided = decided.unionByName(answered.filter(c("result").isNull()).select(_DECISION.fieldNames()))

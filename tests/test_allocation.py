@@ -282,3 +282,19 @@ def test_users_with_few_attempts_take_one_window_and_narrow_rows(spark, monkeypa
         got = give_back.answer_commands(spark.createDataFrame(rows, streaming.COMMAND), state, none, none.select("campaign_id", "user_id"), segment).collect()
         assert {r["arrival_no"]: r["result"] or r["code"] for r in got} == {1: 0, 2: "COMPENSATED", 3: 0, 4: 1, 5: 2, 6: 2} and bool(used) == segments_used
     assert not any({"request_id", "arrived_at"} & m for m in moved)
+
+
+def test_a_sold_out_campaign_takes_few_passes(spark, monkeypatch):
+    """Requests after the sell-out that would be given back aren't taken for served one after the other."""
+    from tallyroll.operators import give_back
+
+    passes, real = [], give_back.running_stock
+    monkeypatch.setattr(give_back, "running_stock", lambda *a: passes.append(1) or real(*a))
+    rows = [("REQUEST", 1, 1, "kept", OPEN, 1)]
+    for user in range(2, 9):
+        rows += [("REQUEST", 1, user, f"r{user}", OPEN, 2 * user), ("COMPENSATE", 1, user, f"r{user}", OPEN, 2 * user + 1)]
+    state = spark.createDataFrame([(1, 1, 1, 0, OPEN, CLOSE)], "campaign_id long, total_stock long, stock long, sequence long, open_at timestamp_ntz, close_at timestamp_ntz")
+    none = spark.createDataFrame([], "campaign_id long, request_id string, user_id long, code int, lifecycle int, issue_sequence long, remaining long, decided_at timestamp_ntz")
+    got = give_back.answer_commands(spark.createDataFrame(rows, streaming.COMMAND), state, none, none.select("campaign_id", "user_id"), 2).collect()
+    want = {1: 0} | {2 * user: 1 for user in range(2, 9)} | {2 * user + 1: "NOT_COMPENSABLE" for user in range(2, 9)}
+    assert {r["arrival_no"]: r["result"] or r["code"] for r in got} == want and len(passes) < 3
