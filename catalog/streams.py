@@ -129,12 +129,13 @@ def _store(spark, sf_dir):
     n = F.split("entry_id", "-")[0].cast("long") - F.lit(1755000000000)
     grown = (F.col("issueSequence").cast("long") + F.lit(3000000000)).cast("string")
     sent = derived.stream_entry(spark, sf_dir).withColumn("issueSequence", F.when((n % 41 == 5) & (F.col("issueSequence") != "0"), grown).otherwise(F.col("issueSequence")))
-    for wave in (sent, sent.filter(n % 3 != 0), sent.filter(n % 3 == 1)):
-        wave.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     ledger = t.issue.filter(F.col("created_at") < ts("1997-01-01 00:00:00"))
-    ingest.persist_query(
-        stream, folder, t.event.filter("event_id <> 24"), t.coupon, NOW, issue=ledger, records=_records(spark, sf_dir), buckets=8, merge_every=2).awaitTermination()
+    for wave in (sent, sent.filter(n % 3 != 0), sent.filter(n % 3 == 1)):
+        # A micro-batch each: the stream goes to the end of what is there before the next is written, by as many tasks as its rows take.
+        wave.write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
+        ingest.persist_query(
+            spark.readStream.schema(sent.schema).parquet(f"{folder}/in"), folder, t.event.filter("event_id <> 24"), t.coupon, NOW,
+            issue=ledger, records=_records(spark, sf_dir), buckets=8, merge_every=2).awaitTermination()
     return folder, ingest.StoreState.below(spark, folder, 8, 2)
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroll.constants import (
@@ -16,7 +16,7 @@ from tallyroll.constants import (
 )
 from tallyroll.functions.times import hours, plus, ts
 from tallyroll.plans.segments import number_segment, ranked
-from tallyroll.plans.staging import cut, matching
+from tallyroll.plans.staging import cut, if_small, kept, matching
 
 
 # Sequences stay below this number, so ids of different campaigns never meet.
@@ -27,7 +27,7 @@ MAX_SEQUENCE = (1 << 31) - 1
 
 def with_valid_to(entries: DataFrame, event: DataFrame, coupon: DataFrame) -> DataFrame:
     """End of validity: decision time plus the coupon's valid hours."""
-    rules = event.select("event_id", "coupon_id").join(coupon.select("coupon_id", "valid_hours"), "coupon_id").drop("coupon_id")
+    rules = if_small(event.select("event_id", "coupon_id").join(coupon.select("coupon_id", "valid_hours"), "coupon_id").drop("coupon_id"))
     return entries.join(rules, "event_id", "left").withColumn(
         "valid_to", plus(F.col("valid_from"), F.col("valid_hours"), "HOUR")
     ).drop("valid_hours")
@@ -50,12 +50,12 @@ def _key_rows(rows: DataFrame, *extra: str) -> DataFrame:
 
 def _jumped(links: DataFrame) -> DataFrame:
     """node, root, flips: each link followed to an entry that has none; the way seen doubles with every join."""
-    links = cut(links)
+    links = kept(links)
     while True:
         further = links.select(F.col("node").alias("root"), F.col("root").alias("_root"), F.col("flips").alias("_flips"))
         if links.join(further, "root", "left_semi").isEmpty():
             return links
-        links = cut(links.join(further, "root", "left").select(
+        links = kept(links.join(further, "root", "left").select(
             "node", F.coalesce("_root", "root").alias("root"), F.col("flips").bitwiseXOR(F.coalesce("_flips", F.lit(0))).alias("flips")))
 
 
@@ -68,42 +68,46 @@ def _greedy_winners(contested: DataFrame) -> DataFrame:
     are looked at again when these are decided; rounds end when nothing is left.
     """
     c = F.col
-    left = cut(contested)
+    left = contested
     winners = left.filter(F.lit(False))
     while not left.isEmpty():
-        keys = cut(_key_rows(left, "arrival_no"))
+        keys = kept(_key_rows(left, "arrival_no"))
         first = keys.groupBy("key").agg(F.min("arrival_no").alias("first"))
         behind = keys.join(first, "key").filter(c("arrival_no") > c("first"))
         second = behind.groupBy("key").agg(F.min("arrival_no").alias("second"))
         rivals = behind.join(second, "key").groupBy(c("arrival_no").alias("node")).agg(
             F.min("first").alias("root"), F.max("first").alias("other"), F.bool_and(c("arrival_no") == c("second")).alias("single"))
-        ahead = cut(keys.select(c("arrival_no").alias("node")).distinct().join(rivals, "node", "left"))
+        ahead = kept(keys.select(c("arrival_no").alias("node")).distinct().join(rivals, "node", "left"))
         firsts = ahead.filter(c("root").isNull()).select("node")
         links = _jumped(ahead.filter(c("single") & (c("root") == c("other"))).select("node", "root", F.lit(1).alias("flips")))
         # An odd number of steps from an entry that is stored ends at one that isn't.
         ends = links.filter("flips = 0").join(firsts.select(c("node").alias("root")), "root", "left_semi").select("node")
-        won = cut(left.join(firsts.unionByName(ends).select(c("node").alias("arrival_no")), "arrival_no", "left_semi"))
+        won = kept(left.join(firsts.unionByName(ends).select(c("node").alias("arrival_no")), "arrival_no", "left_semi"))
         winners = winners.unionByName(won)
         taken = _key_rows(won).distinct()
         lost = keys.join(taken, "key", "left_semi").select("arrival_no").distinct()
-        left = cut(left.join(lost, "arrival_no", "left_anti"))
+        left = kept(left.join(lost, "arrival_no", "left_anti"))
     return winners
 
 
+def stored_requests(rows: DataFrame) -> DataFrame:
+    """request_id, event_id, user_id, issue_sequence: one row for each request that stored rows hold."""
+    return rows.filter(F.col("request_id").isNotNull()).groupBy("request_id").agg(
+        F.min(F.struct("event_id", "user_id", "issue_sequence")).alias("row")).select("request_id", "row.*")
+
+
+def taken_keys(rows: DataFrame) -> DataFrame:
+    """key: the unique keys that stored rows hold, each once."""
+    return _key_rows(rows).distinct()
+
+
 def stored_keys(rows: DataFrame) -> DataFrame:
     """key, request_id, event_id, user_id, issue_sequence: one row for each unique key and each request that stored rows hold.
 
     What is stored is told with the request only; of the other keys it matters that they are taken.
     """
-    columns = ("request_id", "event_id", "user_id", "issue_sequence")
-    requests = rows.filter(F.col("request_id").isNotNull()).select(*columns, F.concat(F.lit("r:"), F.col("request_id")).alias("key"))
-    keys = requests.unionByName(_key_rows(rows), allowMissingColumns=True)
-    return keys.groupBy("key").agg(F.min(F.struct(*columns)).alias("row")).select("key", "row.*")
-
-
-def wanted_keys(rows: DataFrame) -> DataFrame:
-    """The keys under which :func:`stored_keys` would hold rows, as they come."""
-    return _key_rows(rows).unionByName(rows.filter(F.col("request_id").isNotNull()).select(F.concat(F.lit("r:"), F.col("request_id")).alias("key")))
+    requests = stored_requests(rows).withColumn("key", F.concat(F.lit("r:"), F.col("request_id")))
+    return requests.unionByName(taken_keys(rows), allowMissingColumns=True).select("key", "request_id", "event_id", "user_id", "issue_sequence")
 
 
 def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
@@ -118,46 +122,61 @@ def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
     return classify_against(entries, requests, lambda keys: matching(_key_rows(issue), keys, ["key"]))
 
 
-def classify_against(entries: DataFrame, requests: DataFrame, held_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """As :func:`classify_entries`, given the stored rows of the entries' requests, and of some keys those that stored rows hold."""
+def _as_it_is(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def classify_against(
+    entries: DataFrame, requests: DataFrame, held_of: Callable[[DataFrame], DataFrame],
+    complete: Callable[[DataFrame], DataFrame] = _as_it_is, tell_stored: bool = False,
+) -> DataFrame:
+    """As :func:`classify_entries`, given the stored rows of the entries' requests, and of some keys those that stored rows hold.
+
+    Both may come with further rows. Rows with a ``_refusal`` end with it and take part in nothing else. ``complete`` adds those of
+    the named columns that follow from others, so that they needn't be shuffled. ``tell_stored`` adds what the ledger holds under the
+    entry's request.
+    """
     c = F.col
+    columns = [n for n in entries.columns if n != "_refusal"]
+    refusal = c("_refusal") if "_refusal" in entries.columns else F.lit(None).cast("string")
     identity = F.struct("event_id", "user_id", "issue_sequence")
+    unique = sorted({n for key in UNIQUE_KEYS for n in key})
     stored = requests.groupBy("request_id").agg(F.min(identity).alias("stored"))
-    first = entries.groupBy("request_id").agg(
-        F.min(F.struct("arrival_no", identity.alias("identity"))).alias("first")
-    )
-    known = F.coalesce(c("stored"), c("first.identity"))
-    is_first = c("stored").isNull() & (c("arrival_no") == c("first.arrival_no"))
-    out = cut(
-        entries.join(first, "request_id").join(stored, "request_id", "left")
-        .withColumn("outcome", F.when(is_first, "INSERT").when(known == identity, "ABSORBED").otherwise("CONFLICT"))
-        .withColumn("_leans", c("stored").isNull() & (c("outcome") == "ABSORBED"))
-        .drop("first", "stored")
-    )
-    fresh = out.filter(c("outcome") == "INSERT")
-    keys = _key_rows(fresh, "arrival_no", "request_id")
-    held = held_of(keys)
-    blocked = keys.join(held, "key", "left_semi").select("arrival_no", "request_id").distinct()
-    free = fresh.join(blocked, "arrival_no", "left_anti").withColumn("_ref", F.xxhash64("arrival_no"))
-    # Keys that several entries have are found by hashes; who gets here by a clash of hashes has no rival and is stored.
-    marks = _key_rows(free, "_ref").select("_ref", F.xxhash64("key").alias("_mark"))
-    shared = marks.groupBy("_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    contested = free.join(marks.join(shared, "_mark", "left_semi").select("_ref").distinct(), "_ref", "left_semi").select(
-        "arrival_no", "event_id", "user_id", "issue_sequence", "message_id", "request_id"
-    )
-    contested = cut(contested)
-    lost = contested.join(_greedy_winners(contested), "arrival_no", "left_anti").select("arrival_no", "request_id")
+    # Refused rows don't count among a request's entries; the rest is worked out where a request's rows lie together.
+    first = F.min(F.when(refusal.isNull(), F.struct("arrival_no", identity.alias("identity")))).over(Window.partitionBy("request_id"))
+    known = F.coalesce(c("stored"), c("_first.identity"))
+    is_first = c("stored").isNull() & (c("arrival_no") == c("_first.arrival_no"))
+    outcome = F.when(is_first, "INSERT").when(known == identity, "ABSORBED").otherwise("CONFLICT")
+    told = [*columns, *(["stored"] if tell_stored else [])]
+    out = kept(
+        complete(entries.filter(c("request_id").isNotNull() | refusal.isNotNull())).withColumn("_first", first).join(stored, "request_id", "left")
+        .withColumn("outcome", F.coalesce(refusal, outcome))
+        .withColumn("_leans", refusal.isNull() & c("stored").isNull() & (c("outcome") == "ABSORBED"))
+        # Given with the last step, so that a row has one number wherever the rows kept here are read.
+        .select(*told, "outcome", "_leans", F.monotonically_increasing_id().alias("_ref")), "classified")
+    fresh = out.filter(c("outcome") == "INSERT").select(*columns, "_ref")
+    keys = _key_rows(complete(fresh), "_ref")
+    held = held_of(keys.select("key")).select("key").distinct().withColumn("_held", F.lit(True))
+    # Entries to look at: those with a key that a stored row holds, and those that share one.
+    marks = keys.join(held, "key", "left").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter(
+        c("_held") | (c("_n") > 1)).groupBy("_ref").agg(F.coalesce(F.bool_or("_held"), F.lit(False)).alias("_blocked"))
+    met = kept(complete(fresh.join(marks, "_ref")).select("arrival_no", "request_id", *unique, "_blocked"), "met")
+    # Numbers in place of arrivals, which may be wide; equal arrivals lie together and get the same.
+    contested = kept(
+        met.filter(~c("_blocked")).repartitionByRange("arrival_no").sortWithinPartitions("arrival_no").withColumn("_no", F.monotonically_increasing_id())
+        .withColumn("_no", F.min("_no").over(Window.partitionBy("arrival_no"))).select(c("_no").alias("arrival_no"), "request_id", *unique), "contested")
+    lost = contested.join(_greedy_winners(contested.drop("request_id")), "arrival_no", "left_anti")
     # A refused first entry takes the repeats that lean on it along.
-    refused = blocked.unionByName(lost).select("request_id").distinct().withColumn("_refused", F.lit(True))
+    refused = met.filter("_blocked").select("request_id").unionByName(lost.select("request_id")).distinct().withColumn("_refused", F.lit(True))
     falls = (c("outcome") == "INSERT") | c("_leans")
-    return out.join(refused, "request_id", "left").withColumn(
+    return out.drop("_ref").join(refused, "request_id", "left").withColumn(
         "outcome", F.when(falls & c("_refused"), "CONFLICT").otherwise(c("outcome"))
     ).drop("_refused", "_leans")
 
 
 def persist_issues(
     entries: DataFrame, issue: DataFrame | None, event: DataFrame, coupon: DataFrame, now: datetime,
-    classify: Callable[[DataFrame], DataFrame] | None = None,
+    classify: Callable[[DataFrame], DataFrame] | None = None, complete: Callable[[DataFrame], DataFrame] = _as_it_is,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New issue rows, their first history rows, and the classified entries.
 
@@ -165,18 +184,19 @@ def persist_issues(
     before anything else; they take no key from others.
 
     A campaign gives out each sequence once, so campaign and sequence make up the issue id: unique,
-    the same on every retry, and without numbering all rows in one task. Streams pass ``classify`` in place of the ledger.
+    the same on every retry, and without numbering all rows in one task. Streams pass ``classify`` in place of the ledger, which gets
+    refused entries too, told by ``_refusal``; ``complete`` is that of :func:`classify_against`.
     """
     classify = classify or (lambda rows: classify_entries(rows, issue))
-    known = event.select("event_id", F.lit(True).alias("_known")).distinct()
+    event = kept(event.select("event_id", "coupon_id"), "campaigns")
+    # A shuffle by campaign would gather a campaign's entries in one task.
+    known = if_small(event.select("event_id", F.lit(True).alias("_known")).distinct())
     entries = entries.join(known, "event_id", "left").withColumn(
         "_refusal",
         F.when(F.col("_known").isNull(), "NO_CAMPAIGN").when(~F.col("issue_sequence").between(1, MAX_SEQUENCE), "BAD_SEQUENCE"),
     ).drop("_known")
-    refused = entries.filter(F.col("_refusal").isNotNull()).withColumn("outcome", F.col("_refusal")).drop("_refusal")
-    judged = classify(entries.filter(F.col("_refusal").isNull()).drop("_refusal"))
-    judged = judged.unionByName(refused.select(judged.columns))
-    fresh = judged.filter(F.col("outcome") == "INSERT").withColumn("valid_from", F.col("decided_at"))
+    judged = classify(entries)
+    fresh = complete(judged.filter(F.col("outcome") == "INSERT")).withColumn("valid_from", F.col("decided_at"))
     fresh = with_valid_to(fresh, event, coupon)
     new_issue = fresh.select(
         (F.col("event_id") * F.lit(ISSUE_ID_SPAN) + F.col("issue_sequence")).alias("issue_id"), "event_id", "user_id", "issue_sequence", "request_id",
@@ -210,12 +230,14 @@ def probe(failures: DataFrame, issue: DataFrame) -> DataFrame:
     ).drop("stored")
 
 
-def _answer(state: DataFrame, cmds: DataFrame, order: str, result: str, already, done_now: str, refused: str, already_name: str):
+def _answer(
+    state: DataFrame, cmds: DataFrame, order: str | Column, result: str, already, done_now: str, refused: str, already_name: str, carry: bool,
+):
     """Answer commands against request records; the first of several on one request acts."""
     c = F.col
-    record = state.select(
-        "campaign_id", "request_id", F.struct("user_id", "code", "lifecycle").alias("_record")
-    )
+    key = ("campaign_id", "request_id")
+    order = c(order) if isinstance(order, str) else order
+    record = state.select(*key, F.struct(*[n for n in state.columns if carry and n not in key] or ("user_id", "code", "lifecycle")).alias("_record"))
     open_record = (c("_record.code") == DECISION_ACCEPTED) & (c("_record.lifecycle") == PENDING)
     judged = cmds.join(record, ["campaign_id", "request_id"], "left").withColumn(
         result,
@@ -225,22 +247,22 @@ def _answer(state: DataFrame, cmds: DataFrame, order: str, result: str, already,
         .when(~open_record, refused)
         .otherwise(done_now),
     )
-    acting = judged.filter(c(result) == done_now).groupBy("campaign_id", "request_id").agg(F.min(order).alias("_first"))
-    return judged.join(acting, ["campaign_id", "request_id"], "left").withColumn(
-        result, F.when((c(result) == done_now) & (c(order) > c("_first")), already_name).otherwise(c(result))
-    ).drop("_record", "_first")
+    acting = F.min(F.when(c(result) == done_now, order)).over(Window.partitionBy(*key))
+    judged = judged.withColumn("_first", acting).withColumn(
+        result, F.when((c(result) == done_now) & (order > c("_first")), already_name).otherwise(c(result))).drop("_first")
+    return judged.withColumnRenamed("_record", "record") if carry else judged.drop("_record")
 
 
-def confirm(state: DataFrame, cmds: DataFrame, order: str = "command_no") -> DataFrame:
-    """Confirm accepted, pending requests once. Adds ``confirm_result``."""
+def confirm(state: DataFrame, cmds: DataFrame, order: str | Column = "command_no", carry: bool = False) -> DataFrame:
+    """Confirm accepted, pending requests once. Adds ``confirm_result``; ``carry``: and ``record``, the request's record but for its key."""
     already = (F.col("_record.code") == DECISION_ACCEPTED) & (F.col("_record.lifecycle") == CONFIRMED)
-    return _answer(state, cmds, order, "confirm_result", already, "CONFIRMED_NOW", "NOT_CONFIRMABLE", "ALREADY_CONFIRMED")
+    return _answer(state, cmds, order, "confirm_result", already, "CONFIRMED_NOW", "NOT_CONFIRMABLE", "ALREADY_CONFIRMED", carry)
 
 
-def compensate(state: DataFrame, cmds: DataFrame, order: str = "command_no") -> DataFrame:
-    """Give accepted, pending requests back once. Adds ``compensate_result``."""
+def compensate(state: DataFrame, cmds: DataFrame, order: str | Column = "command_no", carry: bool = False) -> DataFrame:
+    """Give accepted, pending requests back once. Adds ``compensate_result``; ``carry``: and ``record``, the request's record but for its key."""
     already = (F.col("_record.code") == DECISION_PERSISTENCE_FAILED) & (F.col("_record.lifecycle") == COMPENSATED)
-    return _answer(state, cmds, order, "compensate_result", already, "COMPENSATED", "NOT_COMPENSABLE", "ALREADY_COMPENSATED")
+    return _answer(state, cmds, order, "compensate_result", already, "COMPENSATED", "NOT_COMPENSABLE", "ALREADY_COMPENSATED", carry)
 
 
 def apply_answers(
@@ -254,9 +276,10 @@ def apply_answers(
     done = "CONFIRMED_NOW" if result == "confirm_result" else "COMPENSATED"
     code, stage = (DECISION_ACCEPTED, CONFIRMED) if done == "CONFIRMED_NOW" else (DECISION_PERSISTENCE_FAILED, COMPENSATED)
     acted = answers.filter(F.col(result) == done)
-    moved = acted.groupBy("campaign_id", "request_id").agg(F.min(order).alias("_at"), F.lit(True).alias("_moved"))
+    moved = acted.select("campaign_id", "request_id").distinct().withColumn("_moved", F.lit(True))
     restored = F.lit(None).cast("long")
     if stock is not None and done == "COMPENSATED":
+        moved = acted.groupBy("campaign_id", "request_id").agg(F.min(order).alias("_at"), F.lit(True).alias("_moved"))
         moved = ranked(moved, ["campaign_id"], number_segment(F.col("_at")), [F.col("_at").asc()], name="_place").join(
             stock.select("campaign_id", F.col("stock").alias("_stock")), "campaign_id", "left")
         restored = F.col("_stock") + F.col("_place")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,10 +34,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of writes begun inside go when the write ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     """The frame written once to a folder of its own, for several readers: packed columns, a fraction of what ``cut`` takes."""
     folder = work_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -75,4 +93,5 @@ def read_batches(spark: SparkSession, folder: str, schema: T.StructType, before:
 
 def write_batch(df: DataFrame, folder: str, batch: int) -> None:
     """Write one micro-batch's rows; a repeated micro-batch replaces its own rows."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch={batch}")
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch={batch}")

@@ -17,7 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyroll.plans.staging import BROADCAST_ROWS, shuffles_freed
+
 BUCKETS, MERGE_EVERY = 64, 16
+# Parts a bucket is dealt into where a shuffle gathers whole buckets.
+PARTS = 16
 _DONE = T.StructType([T.StructField("base", T.LongType())])
 
 
@@ -26,7 +30,8 @@ class KeyedState:
     """Rows of ``schema`` by ``keys`` below ``folder``. Micro-batches are numbered from 0 without gaps.
 
     ``by`` names the part of the keys that rows are bucketed and looked up by; all of them unless given. The bucket count can't
-    change over a stream's life. Keys may be null in part; null parts are keys like others.
+    change over a stream's life. Keys may be null in part; null parts are keys like others. ``once``: a key is written once
+    and never changes, so that no newest row has to be picked.
     """
 
     spark: SparkSession
@@ -36,6 +41,7 @@ class KeyedState:
     buckets: int = BUCKETS
     merge_every: int = MERGE_EVERY
     by: tuple[str, ...] = ()
+    once: bool = False
 
     @property
     def place(self) -> tuple[str, ...]:
@@ -44,10 +50,13 @@ class KeyedState:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*[F.col(k).cast(self.schema[k].dataType) for k in self.place]), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+    def _write(self, rows: DataFrame, path: str, dealt: bool = False) -> None:
+        """``dealt``: rows have their bucket and lie together by it."""
+        fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
         # A bucket meets in few files; adaptive execution splits a large one over tasks.
-        rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
+        rows = rows.select(*fields, "bucket") if dealt else rows.select(*fields).withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        with shuffles_freed(rows.sparkSession):
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
     def _read(self, *paths: str) -> DataFrame:
         return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("version", T.LongType()), T.StructField("bucket", T.IntegerType())])).option(
@@ -63,9 +72,9 @@ class KeyedState:
             return None
         return done.filter(F.col("base") <= batch).agg(F.max("base")).first()[0]
 
-    def _finish(self, rows: DataFrame, batch: int) -> None:
+    def _finish(self, rows: DataFrame, batch: int, dealt: bool = False) -> None:
         # Snapshot N holds what came before batch N; its version orders it before that batch's delta.
-        self._write(rows, f"{self.folder}/kind=base/version={batch}")
+        self._write(rows, f"{self.folder}/kind=base/version={batch}", dealt)
         self.spark.range(1).select(F.lit("x").alias("x")).write.mode("overwrite").parquet(f"{self.folder}-finished/base={batch}")
 
     def start(self, rows: DataFrame | None = None) -> None:
@@ -89,20 +98,46 @@ class KeyedState:
         rows = self._read(f"{self.folder}/kind=base/version={base}", *[f"{self.folder}/kind=delta/version={n}" for n in range(base, batch)])
         if buckets is not None:
             rows = rows.filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
-        return base, rows
+        # Both kinds of version ``base`` may be read: the delta is the newer one.
+        return base, rows.withColumn("_newer", F.col("version") * 2 + F.col("_metadata.file_path").contains("/kind=delta/").cast("long"))
 
     def _newest(self, batch: int, base: int, rows: DataFrame) -> DataFrame:
-        # Both kinds of version ``base`` may be read: the delta is the newer one.
-        newer = F.struct("version", F.col("_metadata.file_path").contains("/kind=delta/"))
-        values = [f.name for f in self.schema.fields if f.name not in self.keys]
-        if base == batch:
+        if base == batch or self.once:
             return rows.select(self.schema.fieldNames())
-        picked = rows.groupBy(*self.keys).agg(F.max_by(F.struct(F.lit(True).alias("_"), *values), newer).alias("row"))
-        return picked.select(*[F.col(n) if n in self.keys else F.col(f"row.{n}").alias(n) for n in self.schema.fieldNames()])
+        return self._picked(rows)
+
+    def _picked(self, rows: DataFrame, *beside: str) -> DataFrame:
+        """The newest row of each key; ``beside``: columns that hang on the key."""
+        values = [f.name for f in self.schema.fields if f.name not in self.keys]
+        rows = rows.select(*beside, *self.keys, F.struct(F.lit(True).alias("_"), *values).alias("row"), "_newer")
+        if beside:
+            rows = rows.repartition(*beside)
+        picked = rows.groupBy(*beside, *self.keys).agg(F.max_by("row", "_newer").alias("row"))
+        return picked.select(*beside, *[F.col(n) if n in self.keys else F.col(f"row.{n}").alias(n) for n in self.schema.fieldNames()])
+
+    def _asked(self, wanted: DataFrame) -> dict[int, int]:
+        """Buckets that some keys fall into, and how many of the keys: at most ``buckets`` numbers."""
+        return {r[0]: r[1] for r in wanted.groupBy(self._bucket()).count().collect()}
 
     def touched(self, wanted: DataFrame) -> list[int]:
         """Buckets that some keys fall into: at most ``buckets`` numbers."""
-        return sorted(r[0] for r in wanted.select(self._bucket()).distinct().collect())
+        return sorted(self._asked(wanted))
+
+    def near(self, wanted: DataFrame, batch: int) -> DataFrame:
+        """The newest rows before ``batch`` of the keys in ``wanted``, and where these are many, also others of their buckets.
+
+        For joins by the key, which leave out the others: kept rows and keys that are asked for then are shuffled once, by that join.
+        """
+        asked = wanted.select(*self.place)
+        buckets = self._asked(asked)
+        base, rows = self._versions(batch, sorted(buckets))
+        if rows.isEmpty():
+            return self.spark.createDataFrame([], self.schema).limit(0)
+        if sum(buckets.values()) <= BROADCAST_ROWS:
+            # As one column, in which null parts are parts like others.
+            key = F.struct(*self.place).alias("_key")
+            rows = rows.withColumn("_key", key).join(F.broadcast(asked.select(key)), "_key", "left_semi").drop("_key")
+        return self._newest(batch, base, rows)
 
     def of(self, wanted: DataFrame, batch: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """The newest rows before ``batch`` of the keys (or their ``by`` part) in ``wanted``; other buckets aren't read.
@@ -130,8 +165,14 @@ class KeyedState:
         """Before micro-batch ``batch``: a new snapshot where it is due; rows for which ``keep`` doesn't hold are left out."""
         if not self.due(batch) or self.base(batch) == batch:
             return False
-        rows = self.all(batch)
-        self._finish(rows if keep is None else rows.filter(keep), batch)
+        base, rows = self._versions(batch, None)
+        if self.once:
+            rows = rows.select(self.schema.fieldNames())
+        else:
+            # Dealt by bucket and part of it, picked there and written from there: one shuffle.
+            part = F.pmod(F.xxhash64(F.lit(PARTS), *[F.col(k) for k in self.place]), F.lit(PARTS))
+            rows = self._picked(rows.withColumn("part", part), "bucket", "part").drop("part")
+        self._finish(rows if keep is None else rows.filter(keep), batch, not self.once)
         return True
 
     def outdated(self, batch: int) -> list[str]:
