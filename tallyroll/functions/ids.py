@@ -13,6 +13,30 @@ def is_uuid(value: Column) -> Column:
     return value.rlike(UUID_PATTERN)
 
 
+_HEX_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+
+
+def packed(text: Column) -> Column:
+    """Text as bytes, a lower-case UUID by 16 of them, alone or after a letter or digit and a colon. Different texts give different bytes."""
+    digits = lambda c: F.unhex(F.translate(c, "-", ""))
+    tag = lambda n: F.lit(bytearray([n]))
+    return F.when(text.rlike(f"\\A{_HEX_UUID}\\z"), F.concat(tag(1), digits(text))).when(
+        text.rlike(f"\\A[0-9a-z]:{_HEX_UUID}\\z"), F.concat(tag(2), F.substring(text, 1, 1).cast("binary"), digits(F.substring(text, 3, 36)))
+    ).when(text.isNotNull(), F.concat(tag(0), text.cast("binary")))
+
+
+def unpacked(data: Column) -> Column:
+    """The text that :func:`packed` made bytes of."""
+    kind = F.hex(F.substring(data, 1, 1))
+
+    def uuid(start: int) -> Column:
+        h = F.lower(F.hex(F.substring(data, start, 16)))
+        return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+    return F.when(kind == "01", uuid(2)).when(kind == "02", F.concat(F.substring(data, 2, 1).cast("string"), F.lit(":"), uuid(3))).when(
+        data.isNotNull(), F.substring(data, 2, 1 << 30).cast("string"))
+
+
 def uuid_from_name(name: Column) -> Column:
     """Name-based (MD5, version 3) UUID of a UTF-8 string, as text."""
     h = F.md5(name.cast("binary"))

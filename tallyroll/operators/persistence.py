@@ -14,6 +14,7 @@ from tallyroll.constants import (
     ACTOR_SYSTEM, CLAIM_IDLE_SECONDS, COMPENSATED, CONFIRMED, DECISION_ACCEPTED,
     DECISION_PERSISTENCE_FAILED, ISSUED, MAX_DELIVERY_ATTEMPTS, PENDING, REASON_ISSUE_CONFIRMED, RETENTION_HOURS,
 )
+from tallyroll.functions.ids import packed
 from tallyroll.functions.times import hours, plus, ts
 from tallyroll.plans.segments import number_segment, ranked
 from tallyroll.plans.staging import cut, if_small, kept, matching
@@ -36,7 +37,7 @@ def with_valid_to(entries: DataFrame, event: DataFrame, coupon: DataFrame) -> Da
 UNIQUE_KEYS = (("event_id", "user_id"), ("event_id", "issue_sequence"), ("message_id",))
 
 
-def _key_rows(rows: DataFrame, *extra: str) -> DataFrame:
+def key_rows(rows: DataFrame, *extra: str) -> DataFrame:
     """One row per unique key a row holds; keys with a missing part hold nothing."""
     keys = [
         F.when(
@@ -71,7 +72,7 @@ def _greedy_winners(contested: DataFrame) -> DataFrame:
     left = contested
     winners = left.filter(F.lit(False))
     while not left.isEmpty():
-        keys = kept(_key_rows(left, "arrival_no"))
+        keys = kept(key_rows(left, "arrival_no"))
         first = keys.groupBy("key").agg(F.min("arrival_no").alias("first"))
         behind = keys.join(first, "key").filter(c("arrival_no") > c("first"))
         second = behind.groupBy("key").agg(F.min("arrival_no").alias("second"))
@@ -84,7 +85,7 @@ def _greedy_winners(contested: DataFrame) -> DataFrame:
         ends = links.filter("flips = 0").join(firsts.select(c("node").alias("root")), "root", "left_semi").select("node")
         won = kept(left.join(firsts.unionByName(ends).select(c("node").alias("arrival_no")), "arrival_no", "left_semi"))
         winners = winners.unionByName(won)
-        taken = _key_rows(won).distinct()
+        taken = key_rows(won).distinct()
         lost = keys.join(taken, "key", "left_semi").select("arrival_no").distinct()
         left = kept(left.join(lost, "arrival_no", "left_anti"))
     return winners
@@ -98,7 +99,7 @@ def stored_requests(rows: DataFrame) -> DataFrame:
 
 def taken_keys(rows: DataFrame) -> DataFrame:
     """key: the unique keys that stored rows hold, each once."""
-    return _key_rows(rows).distinct()
+    return key_rows(rows).distinct()
 
 
 def stored_keys(rows: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def classify_entries(entries: DataFrame, issue: DataFrame) -> DataFrame:
     """
     entries = cut(entries)
     requests = matching(issue.select("request_id", "event_id", "user_id", "issue_sequence"), entries, ["request_id"])
-    return classify_against(entries, requests, lambda keys: matching(_key_rows(issue), keys, ["key"]))
+    return classify_against(entries, requests, lambda keys: matching(key_rows(issue), keys, ["key"]))
 
 
 def _as_it_is(rows: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def classify_against(
 
     Both may come with further rows. Rows with a ``_refusal`` end with it and take part in nothing else. ``complete`` adds those of
     the named columns that follow from others, so that they needn't be shuffled. ``tell_stored`` adds what the ledger holds under the
-    entry's request.
+    request of an entry that isn't absorbed.
     """
     c = F.col
     columns = [n for n in entries.columns if n != "_refusal"]
@@ -147,7 +148,7 @@ def classify_against(
     known = F.coalesce(c("stored"), c("_first.identity"))
     is_first = c("stored").isNull() & (c("arrival_no") == c("_first.arrival_no"))
     outcome = F.when(is_first, "INSERT").when(known == identity, "ABSORBED").otherwise("CONFLICT")
-    told = [*columns, *(["stored"] if tell_stored else [])]
+    told = [*columns, *([F.when(c("outcome") != "ABSORBED", c("stored")).alias("stored")] if tell_stored else [])]
     out = kept(
         complete(entries.filter(c("request_id").isNotNull() | refusal.isNotNull())).withColumn("_first", first).join(stored, "request_id", "left")
         .withColumn("outcome", F.coalesce(refusal, outcome))
@@ -155,8 +156,9 @@ def classify_against(
         # Given with the last step, so that a row has one number wherever the rows kept here are read.
         .select(*told, "outcome", "_leans", F.monotonically_increasing_id().alias("_ref")), "classified")
     fresh = out.filter(c("outcome") == "INSERT").select(*columns, "_ref")
-    keys = _key_rows(complete(fresh), "_ref")
-    held = held_of(keys.select("key")).select("key").distinct().withColumn("_held", F.lit(True))
+    keys = key_rows(complete(fresh), "_ref")
+    held = held_of(keys.select("key")).select(packed(c("key")).alias("key")).distinct().withColumn("_held", F.lit(True))
+    keys = keys.withColumn("key", packed(c("key")))
     # Entries to look at: those with a key that a stored row holds, and those that share one.
     marks = keys.join(held, "key", "left").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter(
         c("_held") | (c("_n") > 1)).groupBy("_ref").agg(F.coalesce(F.bool_or("_held"), F.lit(False)).alias("_blocked"))

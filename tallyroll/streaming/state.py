@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyroll.functions.ids import packed, unpacked
 from tallyroll.plans.staging import BROADCAST_ROWS, shuffles_freed
 
 BUCKETS, MERGE_EVERY = 64, 16
@@ -50,11 +51,20 @@ class KeyedState:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*[F.col(k).cast(self.schema[k].dataType) for k in self.place]), F.lit(self.buckets)).cast("int").alias("bucket")
 
+    def _texts(self, rows: DataFrame, how: Callable[[Column], Column], names: tuple[str, ...] | None = None) -> DataFrame:
+        """Text columns packed or unpacked: ids take half the room in a shuffle."""
+        names = [f.name for f in self.schema.fields if isinstance(f.dataType, T.StringType) and (names is None or f.name in names)]
+        return rows.withColumns({n: how(F.col(n)) for n in names}) if names else rows
+
     def _write(self, rows: DataFrame, path: str, dealt: bool = False) -> None:
         """``dealt``: rows have their bucket and lie together by it."""
         fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
         # A bucket meets in few files; adaptive execution splits a large one over tasks.
-        rows = rows.select(*fields, "bucket") if dealt else rows.select(*fields).withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        if dealt:
+            rows = rows.select(*fields, "bucket")
+        else:
+            rows = self._texts(rows.select(*fields).withColumn("bucket", self._bucket()), packed).hint("rebalance", "bucket")
+            rows = self._texts(rows, unpacked)
         with shuffles_freed(rows.sparkSession):
             rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
@@ -104,7 +114,7 @@ class KeyedState:
     def _newest(self, batch: int, base: int, rows: DataFrame) -> DataFrame:
         if base == batch or self.once:
             return rows.select(self.schema.fieldNames())
-        return self._picked(rows)
+        return self._texts(self._picked(self._texts(rows, packed)), unpacked)
 
     def _picked(self, rows: DataFrame, *beside: str) -> DataFrame:
         """The newest row of each key; ``beside``: columns that hang on the key."""
@@ -123,21 +133,23 @@ class KeyedState:
         """Buckets that some keys fall into: at most ``buckets`` numbers."""
         return sorted(self._asked(wanted))
 
-    def near(self, wanted: DataFrame, batch: int) -> DataFrame:
+    def near(self, wanted: DataFrame, batch: int, *pack: str) -> DataFrame:
         """The newest rows before ``batch`` of the keys in ``wanted``, and where these are many, also others of their buckets.
 
         For joins by the key, which leave out the others: kept rows and keys that are asked for then are shuffled once, by that join.
+        ``pack``: columns of the result to be packed.
         """
         asked = wanted.select(*self.place)
         buckets = self._asked(asked)
         base, rows = self._versions(batch, sorted(buckets))
         if rows.isEmpty():
-            return self.spark.createDataFrame([], self.schema).limit(0)
+            return self._texts(self.spark.createDataFrame([], self.schema).limit(0), packed, pack)
         if sum(buckets.values()) <= BROADCAST_ROWS:
             # As one column, in which null parts are parts like others.
             key = F.struct(*self.place).alias("_key")
             rows = rows.withColumn("_key", key).join(F.broadcast(asked.select(key)), "_key", "left_semi").drop("_key")
-        return self._newest(batch, base, rows)
+        rows = self._texts(rows, packed, pack)
+        return rows.select(self.schema.fieldNames()) if base == batch or self.once else self._picked(rows)
 
     def of(self, wanted: DataFrame, batch: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """The newest rows before ``batch`` of the keys (or their ``by`` part) in ``wanted``; other buckets aren't read.
@@ -171,7 +183,7 @@ class KeyedState:
         else:
             # Dealt by bucket and part of it, picked there and written from there: one shuffle.
             part = F.pmod(F.xxhash64(F.lit(PARTS), *[F.col(k) for k in self.place]), F.lit(PARTS))
-            rows = self._picked(rows.withColumn("part", part), "bucket", "part").drop("part")
+            rows = self._texts(self._picked(self._texts(rows.withColumn("part", part), packed), "bucket", "part").drop("part"), unpacked)
         self._finish(rows if keep is None else rows.filter(keep), batch, not self.once)
         return True
 
